@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, classifier, mixing, quality_rules, url_filters
+from gleanery.llm import chat, classifier, decontamination, mixing, quality_rules, url_filters
 from gleanery.sources.tables import read_table
 
 URL_RULES = (
@@ -46,6 +46,14 @@ def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read_table(spark, sf_dir, "pages"), rules).drop("url")
 
 
+def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words hit and items found in every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by the mix of all sources."""
     return mixing.weighted_fair_mix(read_table(spark, sf_dir, "documents"))
@@ -77,6 +85,7 @@ QUERIES = {
         op1_host_quality_rules,
         op3_naive_bayes_svm,
         op4_redirect_equivalence,
+        op7_fm_index_decontamination,
         op9_weighted_fair_queueing,
         op10_chat_formatting,
     )
