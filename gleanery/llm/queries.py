@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, classifier, decontamination, mixing, quality_rules, url_filters
+from gleanery.llm import chat, classifier, decontamination, html_text, mixing, quality_rules, url_filters
 from gleanery.sources.tables import read_table
 
 URL_RULES = (
@@ -54,6 +54,13 @@ def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_text.extract_main_text(pages)
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by the mix of all sources."""
     return mixing.weighted_fair_mix(read_table(spark, sf_dir, "documents"))
@@ -86,6 +93,7 @@ QUERIES = {
         op3_naive_bayes_svm,
         op4_redirect_equivalence,
         op7_fm_index_decontamination,
+        op8_site_template_removal,
         op9_weighted_fair_queueing,
         op10_chat_formatting,
     )
