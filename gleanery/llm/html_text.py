@@ -46,7 +46,7 @@ PROSE = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What a start tag closes when it is open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SPACE = re.compile(r"[ \t\n\r\f\v]+")
+SPACE = re.compile(r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]")
 
 
 class Node:
