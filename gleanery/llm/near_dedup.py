@@ -1,13 +1,15 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Documents with equal shingle sets are one class from the start. Each class is posted under its signature's coordinate
-and value pairs. Pairs held by one class only are dropped; a class keeps its rarest postings, so many that any two
-classes with ``matches`` common coordinates share one (prefix filter), and classes with fewer shared coordinates than
-that are dropped (count filter). Posting lists are joined to candidates, candidates' collisions are counted on the whole
-signatures, and what is above the threshold is confirmed on the full sets.
+and value pairs. Pairs held by one class only are dropped; classes with fewer shared pairs than the match threshold
+are dropped (count filter); the others keep their rarest pairs, so many that any two classes with enough collisions
+share a posting list (prefix filter).
 
-A posting list is never paired with itself as a whole. First every list is joined to one member, its pivot, and the
-confirmed links are merged; only classes of the same list that are in different components after that are paired.
+A posting list is never paired with itself as a whole. Each list has a pivot, its most central member, and all members
+are compared with it on the full sets. What that leaves open of the list is settled by what the comparison showed:
+two members of different components can only be linked if their overlaps with the pivot and their sizes allow it
+(those few pairs are compared), or if they share a shingle that the pivot lacks (such shingles make the posting lists of
+the next round, which are far shorter). After the last round the pairs still open are compared one by one.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
                 for w in words[first[r] : first[r] + counts[r]]:
                     x = x * BASE + w
             extra.append(x)
-        h, of = np.concatenate([h, mix(np.array(extra, U64) + U64(len(short)) * U64(0))]), np.concatenate([of, short])
+        h, of = np.concatenate([h, mix(np.array(extra, U64))]), np.concatenate([of, short])
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.ones(len(h), bool)
@@ -65,3 +67,141 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         v = ((h * FACTORS[j] + SHIFTS[j]) >> U64(32)).astype(np.uint32)
         out[full, j] = np.minimum.reduceat(v, bounds[:-1][full])
     return out
+
+
+def _signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
+
+
+def _sign(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, 4 << 20):
+            h, bounds = shingle_sets(b.column("text"), k)
+            n = np.diff(bounds)
+            posted = signatures(h, bounds).astype(U64) | (np.arange(COORDINATES, dtype=U64) << U64(32))
+            ends = np.arange(0, posted.size + 1, COORDINATES)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(posted.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n), _signed(set_hash(h, bounds)), lists], ["doc_id", "n_shingles", "class", "posted"]
+            )
+
+    return run
+
+
+def set_hash(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One 64-bit hash per set, of all its members and their number."""
+    n = np.diff(bounds)
+    out = np.zeros(len(n), U64)
+    full = np.flatnonzero(n)
+    if len(full):
+        out[full] = mix(np.add.reduceat(mix(h + BASE), bounds[:-1][full]) + n[full].astype(U64))
+    return out
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, 4 << 20):
+            h, bounds = shingle_sets(b.column("text"), k)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _signed(h))
+            mine = np.asarray(b.column("class")) == set_hash(h, bounds).view(np.int64)
+            out = pa.RecordBatch.from_arrays([b.column("class"), pa.array(np.diff(bounds)), lists], ["class", "n", "members"])
+            yield out.filter(pa.array(mine))
+
+    return run
+
+
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(p, q, both, n_p, n_q, extra)`` of class pairs: sizes, overlap, and what ``q`` has beyond ``p``."""
+    one = sets.select(F.col("class").alias("p"), F.col("n").alias("n_p"), F.col("members").alias("of_p"))
+    two = sets.select(F.col("class").alias("q"), F.col("n").alias("n_q"), F.col("members").alias("of_q"))
+    extra = F.array_except("of_q", "of_p")
+    return pairs.join(one, "p").join(two, "q").select("p", "q", "n_p", "n_q", extra.alias("extra")).withColumn("both", F.col("n_q") - F.size("extra"))
+
+
+def _linked(percent: int):
+    return 100 * F.col("both") >= percent * (F.col("n_p") + F.col("n_q") - F.col("both"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int = 42, rounds: int = 3) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
+
+    Two documents are linked if their sets of ``k``-word shingles have a Jaccard similarity of ``percent`` / 100 or more,
+    confirmed on the full sets; ``component_id`` is the smallest ``doc_id`` reachable over links and ``kept`` marks the
+    document that has it. At a similarity of 0.85, a pair has fewer than 42 of 64 equal coordinates with a chance of
+    about 3 in a million; links more similar than that are found all the more surely.
+
+    Null texts and texts without words have an empty set and no links: their component is their own id. Rows with the same
+    ``doc_id`` are rows of one component if their sets are linked, else of several. Ids must not be null. An empty
+    table gives no rows; other columns are ignored.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    signed = texts.mapInArrow(_sign(k), f"doc_id {kind}, n_shingles long, class long, posted array<long>")
+    signed = materialize(signed, "signed")
+    full = signed.where("n_shingles > 0")
+
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("posted").alias("posted"))
+    posted = classes.select("class", F.explode("posted").alias("key"))
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = posted.join(shared, "key").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    shared = shared.where(F.size("keys") >= matches)
+    central = F.aggregate("keys", F.lit(0).cast("long"), lambda n, x: n + x["df"]).alias("central")
+    prefix = F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("x")
+    lists = materialize(shared.select("class", central, prefix).select(F.col("x.key").alias("key"), F.col("class").alias("q"), "central"), "lists")
+
+    picked = lists.select(F.col("q").alias("class")).distinct()
+    picked = full.join(picked, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    sets = texts.join(picked, "doc_id").select("class", "text").mapInArrow(_sets(k), "class long, n long, members array<long>")
+    sets = materialize(sets.dropDuplicates(["class"]), "sets")
+
+    links = None  # confirmed
+    loose = None  # pairs that sizes and overlaps with a pivot leave open
+    for _ in range(rounds):
+        size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("q", F.struct("central", "q")).alias("p"))
+        entries = materialize(lists.join(size.where("size > 1").drop("size"), "key").select("key", "p", "q"), "entries")
+        pairs = entries.select("p", "q").where("p <> q").distinct()
+        compared = materialize(_compare(pairs, sets), "compared")
+        new = compared.where(_linked(percent)).select("p", "q")
+        links = materialize(new if links is None else links.unionByName(new).distinct(), "links")
+        parts = connected_components(links, "p", "q").select(F.col("node").alias("q"), F.col("component").alias("part"))
+        own = entries.where("p = q").join(sets.select(F.col("class").alias("q"), "n"), "q")
+        own = own.select("key", "p", "q", F.col("n").alias("n_p"), F.col("n").alias("n_q"), F.col("n").alias("both"))
+        known = entries.join(compared.select("p", "q", "n_p", "n_q", "both"), ["p", "q"]).select("key", "p", "q", "n_p", "n_q", "both")
+        known = known.unionByName(own).join(parts, "q", "left").withColumn("part", F.coalesce("part", "q"))
+        known = materialize(known, "known")
+        mixed = known.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
+        known = known.join(mixed, "key")
+        found = _open_pairs(known, percent)
+        loose = found if loose is None else loose.unionByName(found)
+        later = known.select("p", "q", "part").distinct().join(compared.select("p", "q", "both", "extra"), ["p", "q"])
+        later = later.select(F.explode("extra").alias("x"), "p", "q", "part", F.col("both").alias("central"))
+        later = later.select(F.xxhash64("p", "x").alias("key"), "q", "part", "central")
+        several = later.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
+        lists = materialize(later.join(several, "key"), "lists")
+    rest = lists.select("key", "q", "part")
+    rest = rest.alias("a").join(rest.alias("b"), "key").where("a.q < b.q and a.part <> b.part").select(F.col("a.q").alias("p"), F.col("b.q").alias("q"))
+    compared = _compare(loose.unionByName(rest).distinct(), sets)
+    links = links.unionByName(compared.where(_linked(percent)).select("p", "q"))
+    parts = connected_components(links, "p", "q").select(F.col("node").alias("class"), F.col("component").alias("part"))
+
+    of = full.select("doc_id", "n_shingles", "class").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    least = of.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    out = of.join(least, "part").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _open_pairs(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list and different components whose similarity may reach the threshold even if all they share is in
+    the pivot: at most the smaller overlap with it. Only sizes within the threshold's ratio are brought together."""
+    step = F.floor(F.log(F.col("n_q").cast("double")) / F.log(F.lit(100.0 / percent)))
+    side = known.select("key", "q", "n_q", "both", "part", step.alias("step"))
+    left = side.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    a, b = left.alias("a"), side.alias("b")
+    most = F.least(F.col("a.both"), F.col("b.both"))
+    may = 100 * most >= percent * (F.col("a.n_q") + F.col("b.n_q") - most)
+    # sizes of one step meet once, by order of class; those of neighbouring steps once, from the lower step
+    once = (F.floor(F.log(F.col("a.n_q").cast("double")) / F.log(F.lit(100.0 / percent))) < F.col("b.step")) | (F.col("a.q") < F.col("b.q"))
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.part") != F.col("b.part")) & may & once
+    met = a.join(b, on).select(F.least("a.q", "b.q").alias("p"), F.greatest("a.q", "b.q").alias("q"))
+    return met.distinct()
