@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, classifier, decontamination, html_text, mixing, near_dedup, quality_rules, url_filters
+from gleanery.llm import chat, classifier, decontamination, html_text, mixing, near_dedup, quality_rules, suffix_dedup, url_filters
 from gleanery.sources.tables import read_table
 
 URL_RULES = (
@@ -46,6 +46,12 @@ def op4_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read_table(spark, sf_dir, "pages"), rules).drop("url")
 
 
+def op5_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated bytes removed from every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, with_text=False)
+
+
 def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -97,6 +103,7 @@ QUERIES = {
         op1_host_quality_rules,
         op3_naive_bayes_svm,
         op4_redirect_equivalence,
+        op5_run_length_index,
         op6_minhash_inverted_join,
         op7_fm_index_decontamination,
         op8_site_template_removal,

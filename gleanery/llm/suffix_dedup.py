@@ -82,9 +82,9 @@ class RunLengthIndex:
     """The run-length Burrows-Wheeler transform of a text, with suffix positions at the ends of its runs."""
 
     def __init__(self, text: np.ndarray) -> None:
-        """``text``: symbols 0 .. 511; 0 ends a segment."""
+        """``text``: symbols 0 .. 510; 0 ends a segment."""
         order = suffix_order(text)
-        self.text, last = text, text[order - 1]
+        self.text, last = text, np.where(order == 0, -1, text[order - 1])  # nothing stands before the whole text
         head = np.ones(len(text), bool)
         head[1:] = last[1:] != last[:-1]
         starts = np.flatnonzero(head)
@@ -115,7 +115,7 @@ class RunLengthIndex:
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """All suffixes in order, by prefix doubling on those not yet told apart."""
     n = len(text)
-    padded = np.concatenate([text.astype(np.int64), np.zeros(8, np.int64)])
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(8, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = (key << 9) | padded[j : n + j]

@@ -59,7 +59,9 @@ def test_joined_anchors_and_many_shards(spark, monkeypatch):
 def test_text_and_other_columns_stay(spark):
     df = spark.createDataFrame([(1, "é" * 120, "a", 3), (2, "b" + "é" * 120, "b", 4)], "doc_id int, text string, start string, n int")
     got = {r.doc_id: (r.text, r.start, r.n) for r in S.remove_repeats(df).collect()}
-    assert got == {1: ("é", "a", 3), 2: ("b", "b", 4)} or got[2] == ("b", "b", 4)
+    # windows of 100 bytes repeat within the first text: its first 50 letters stay with the cut one's bytes
+    assert got[2] == ("b", "b", 4)
+    assert got[1][1:] == ("a", 3)
 
 
 def test_empty_table(spark):
@@ -68,14 +70,14 @@ def test_empty_table(spark):
 
 def test_index_neighbours_are_those_of_the_suffix_array():
     r = np.random.default_rng(4)
-    for _ in range(20):
-        text = r.integers(1, 3, 200).astype(np.int16)
-        text[r.integers(0, 199, 5)] = 0
+    for n in [200, 90, 40] * 20:
+        text = r.integers(1, 3, n).astype(np.int16)
+        text[r.integers(0, n, 5)] = 0
         text[-1] = 0
         order = sorted(range(len(text)), key=lambda i: list(text[i:]))
         assert list(S.suffix_order(text)) == order
         index = S.RunLengthIndex(text)
         at = np.array(order[1:])
         assert list(index.neighbours(at)) == order[:-1]
-        last = text[np.array(order) - 1]
-        assert list(np.repeat(index.symbols, index.lengths)) == list(last)
+        last = [text[i - 1] if i else -1 for i in order]
+        assert list(np.repeat(index.symbols, index.lengths)) == last
