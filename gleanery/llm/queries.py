@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, classifier, decontamination, html_text, mixing, near_dedup, quality_rules, suffix_dedup, url_filters
+from gleanery.llm import chat, classifier, decontamination, html_text, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, url_filters
 from gleanery.sources.tables import read_table
 
 URL_RULES = (
@@ -23,6 +23,12 @@ def op1_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op2_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those outside the held-out fifth."""
+    docs = read_table(spark, sf_dir, "documents")
+    return lm_scoring.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op3_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document by a model that has not seen the held-out third's labels."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_host_quality_rules,
+        op2_elias_fano_trie,
         op3_naive_bayes_svm,
         op4_redirect_equivalence,
         op5_run_length_index,
