@@ -1 +1,12 @@
+"""Registered queries over the shared tables, and the SQL that gives the same rows."""
 
+from gleanery.plans import score_queries  # noqa: F401  registers
+from gleanery.plans.registry import QUERIES, SQL
+
+
+def all_queries() -> dict:
+    return dict(QUERIES)
+
+
+def all_sql() -> dict:
+    return dict(SQL)
