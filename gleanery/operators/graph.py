@@ -6,15 +6,17 @@ execution splits, never a collected group. Each round is written to the shared f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleanery.sources.shared import materialize, release
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, with their number and a checksum, both seen while writing."""
+    seen = Observation()
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return table, (seen.get["n"], seen.get["sum"])
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -25,8 +27,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialize(now, "edges")
-    state = _state(now)
+    now, state = _written(now)
     for _ in range(max_rounds):
         if state[0] == 0:
             break
@@ -37,8 +38,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        after = materialize(small, "edges")
-        seen = _state(after)
+        after, seen = _written(small)
         release(now)
         now, done, state = after, seen == state, seen
         if done:
