@@ -8,8 +8,8 @@ share a posting list (prefix filter).
 A posting list is never paired with itself as a whole. Each list has a pivot, its most central member, and all members
 are compared with it on the full sets. What that leaves open of the list is settled by what the comparison showed:
 two members of different components can only be linked if their overlaps with the pivot and their sizes allow it
-(those few pairs are compared), or if they share a shingle that the pivot lacks (such shingles make the posting lists of
-the next round, which are far shorter). After the last round the pairs still open are compared one by one.
+(those few pairs are compared), or if they share enough shingles that the pivot lacks (these make the posting lists of
+the next round, under the same count and prefix filters, and far shorter). After the last round the pairs still open are compared one by one.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from gleanery.operators.graph import connected_components
 from gleanery.sources.shared import materialize
 
 COORDINATES = 64
+#: A missing id is the smallest.
+NO_ID = -(2**63)
 _rng = np.random.default_rng(64)
 FACTORS = _rng.integers(0, 2**63, COORDINATES, dtype=U64) * U64(2) + U64(1)
 SHIFTS = _rng.integers(0, 2**63, COORDINATES, dtype=U64)
@@ -122,7 +124,7 @@ def _linked(percent: int):
     return 100 * F.col("both") >= percent * (F.col("n_p") + F.col("n_q") - F.col("both"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int = 42, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int = 42, rounds: int = 2) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
     Two documents are linked if their sets of ``k``-word shingles have a Jaccard similarity of ``percent`` / 100 or more,
@@ -131,12 +133,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     about 3 in a million; links more similar than that are found all the more surely.
 
     Null texts and texts without words have an empty set and no links: their component is their own id. Rows with the same
-    ``doc_id`` are rows of one component if their sets are linked, else of several. Ids must not be null. An empty
+    ``doc_id`` are rows of one component if their sets are linked, else of several. Ids are integers; a null id is the
+    smallest, and a component named by it has a null name. An empty
     table gives no rows; other columns are ignored.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    signed = texts.mapInArrow(_sign(k), f"doc_id {kind}, n_shingles long, class long, posted array<long>")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = texts.mapInArrow(_sign(k), f"doc_id long, n_shingles long, class long, posted array<long>")
     signed = materialize(signed, "signed")
     full = signed.where("n_shingles > 0")
 
@@ -154,30 +156,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     sets = texts.join(picked, "doc_id").select("class", "text").mapInArrow(_sets(k), "class long, n long, members array<long>")
     sets = materialize(sets.dropDuplicates(["class"]), "sets")
 
-    links = None  # confirmed
-    loose = None  # pairs that sizes and overlaps with a pivot leave open
+    links = loose = parts = None  # confirmed links; pairs that sizes and overlaps leave open; components of the first round
     for _ in range(rounds):
         size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("q", F.struct("central", "q")).alias("p"))
         entries = materialize(lists.join(size.where("size > 1").drop("size"), "key").select("key", "p", "q"), "entries")
-        pairs = entries.select("p", "q").where("p <> q").distinct()
-        compared = materialize(_compare(pairs, sets), "compared")
-        new = compared.where(_linked(percent)).select("p", "q")
-        links = materialize(new if links is None else links.unionByName(new).distinct(), "links")
-        parts = connected_components(links, "p", "q").select(F.col("node").alias("q"), F.col("component").alias("part"))
+        compared = materialize(_compare(entries.select("p", "q").where("p <> q").distinct(), sets), "compared")
+        compared = compared.withColumn("linked", _linked(percent))
+        new = compared.where("linked").select("p", "q")
+        links = new if links is None else links.unionByName(new)
+        if parts is None:
+            parts = connected_components(new, "p", "q").select(F.col("node").alias("q"), F.col("component").alias("part"))
         own = entries.where("p = q").join(sets.select(F.col("class").alias("q"), "n"), "q")
-        own = own.select("key", "p", "q", F.col("n").alias("n_p"), F.col("n").alias("n_q"), F.col("n").alias("both"))
-        known = entries.join(compared.select("p", "q", "n_p", "n_q", "both"), ["p", "q"]).select("key", "p", "q", "n_p", "n_q", "both")
-        known = known.unionByName(own).join(parts, "q", "left").withColumn("part", F.coalesce("part", "q"))
-        known = materialize(known, "known")
+        own = own.select("key", "p", "q", F.col("n").alias("n_p"), F.col("n").alias("n_q"), F.col("n").alias("both"), F.lit(True).alias("linked"))
+        known = entries.join(compared.drop("extra"), ["p", "q"]).select(*own.columns).unionByName(own)
+        # a member linked to the pivot stands in its component
+        known = known.withColumn("stand", F.when(F.col("linked"), F.col("p")).otherwise(F.col("q")))
+        known = known.join(parts.select(F.col("q").alias("stand"), "part"), "stand", "left").withColumn("part", F.coalesce("part", "stand"))
+        known = materialize(known.drop("linked", "stand"), "known")
         mixed = known.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
         known = known.join(mixed, "key")
         found = _open_pairs(known, percent)
         loose = found if loose is None else loose.unionByName(found)
-        later = known.select("p", "q", "part").distinct().join(compared.select("p", "q", "both", "extra"), ["p", "q"])
-        later = later.select(F.explode("extra").alias("x"), "p", "q", "part", F.col("both").alias("central"))
-        later = later.select(F.xxhash64("p", "x").alias("key"), "q", "part", "central")
-        several = later.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-        lists = materialize(later.join(several, "key"), "lists")
+        later = known.select("p", "q", "part").distinct().join(compared.select("p", "q", "n_q", "both", "extra"), ["p", "q"])
+        need = F.greatest(F.lit(1), F.ceil(F.col("n_q") * percent / 100) - F.col("both")).cast("int")
+        later = later.select("p", "q", "part", need.alias("need"), "both", F.explode("extra").alias("x"))
+        later = later.withColumn("key", F.xxhash64("p", "x")).drop("x")
+        several = later.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
+        later = later.join(several.select("key", "df"), "key").groupBy("p", "q", "part", "need", "both")
+        later = later.agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys")).where("size(keys) >= need")
+        prefix = F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("need") + 1)).alias("x")
+        lists = later.select(prefix, "q", "part", F.col("both").alias("central"))
+        lists = materialize(lists.select(F.col("x.key").alias("key"), "q", "part", "central"), "lists")
     rest = lists.select("key", "q", "part")
     rest = rest.alias("a").join(rest.alias("b"), "key").where("a.q < b.q and a.part <> b.part").select(F.col("a.q").alias("p"), F.col("b.q").alias("q"))
     compared = _compare(loose.unionByName(rest).distinct(), sets)
@@ -188,7 +197,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     least = of.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = of.join(least, "part").select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", "component_id")})
 
 
 def _open_pairs(known: DataFrame, percent: int) -> DataFrame:

@@ -72,6 +72,12 @@ def test_fewer_rounds_leave_the_rest_to_single_pairs(spark):
     assert sorted(map(tuple, N.near_duplicates(df, rounds=1).collect())) == brute(rows)
 
 
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e F"), (4, "x"), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, N.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 2, None, True), (3, 2, None, False), (4, 1, 4, True), (None, 0, None, True)], key=str)
+
+
 def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([], "doc_id long, text string, class long, part string, key int")
     assert N.near_duplicates(df).count() == 0
