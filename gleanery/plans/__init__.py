@@ -1,6 +1,6 @@
 """Registered queries over the shared tables, and the SQL that gives the same rows."""
 
-from gleanery.plans import corpus_queries, score_queries  # noqa: F401  registers
+from gleanery.plans import corpus_queries, evidence_queries, score_queries  # noqa: F401  registers
 from gleanery.plans.registry import QUERIES, SQL
 
 
