@@ -7,6 +7,7 @@ process takes its place.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,11 +31,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gleanery/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,3 +48,11 @@ def release(df: DataFrame) -> None:
         if folder.replace("file:///", "file:/").startswith(base.replace("file:///", "file:/")):
             path = hadoop.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files behind tables that are written by now.
+
+    Its cleaner does so once the driver has collected the plans that made them, which otherwise happens at no set time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
