@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.texts import BASE, BYTE_VALUES, U64, blocks, mix, powers, text_buffer
-from gleanery.sources.shared import new_path
+from gleanery.sources.shared import free_shuffles, materialize
 
-GRAM = 32
+GRAM = 24
+#: Bytes of text that a task works on at once, whole rows always.
+BLOCK_BYTES = 2 << 20
 #: Bytes of distinct segments per shard, about.
 SHARD_BYTES = 2 << 20
 #: So many repeated anchors at most are sent to the tasks whole (8 bytes each); more are joined.
@@ -182,26 +184,41 @@ def repeated_spans(ids: np.ndarray, begins: np.ndarray, texts: list[bytes], leng
 
 
 def _anchor_counts(length: int, gram: int):
+    """Per anchor of a block: its occurrences, and the smallest and largest text hash of its segments."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 4 << 20):
-            anchor, n = np.unique(segments(*text_buffer(b.column("text")), length, gram)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], ["anchor", "n"])
+        for b in blocks(batches, BLOCK_BYTES):
+            *_, anchor, text = segments(*text_buffer(b.column("text")), length, gram)
+            anchor, text = anchor.view(np.int64), text.view(np.int64)
+            order = np.lexsort((text, anchor))
+            anchor, text = anchor[order], text[order]
+            new = np.ones(len(anchor), bool)
+            new[1:] = anchor[1:] != anchor[:-1]
+            first = np.flatnonzero(new)
+            end = np.append(first[1:], len(anchor))
+            cols = [anchor[first], end - first, text[first], text[end - 1]] if len(first) else [anchor] * 4
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["anchor", "n", "least", "most"])
 
     return run
 
 
 def _segments(length: int, gram: int, repeated):
+    """Segments of repeated anchors; the first of each text in a block carries it, if its anchor has several texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 4 << 20):
+        for b in blocks(batches, BLOCK_BYTES):
             data, offsets = text_buffer(b.column("text"))
             row, begin, end, anchor, text = segments(data, offsets, length, gram)
+            several = np.ones(len(row), bool)
             if repeated is not None and len(row):
-                known = repeated.value
+                known, varied = repeated.value
                 k = np.minimum(np.searchsorted(known, anchor), max(0, len(known) - 1))
                 keep = known[k] == anchor if len(known) else np.zeros(len(row), bool)
+                several = varied[k[keep]] if len(known) else several[keep]
                 row, begin, end, anchor, text = row[keep], begin[keep], end[keep], anchor[keep], text[keep]
             once = np.zeros(len(row), bool)
             once[np.unique(text, return_index=True)[1]] = True
+            once &= several
             raw = data.tobytes()
             bodies = [raw[s:e] if o else None for s, e, o in zip(begin.tolist(), end.tolist(), once.tolist())]
             ids = np.asarray(b.column("doc_id"))[row]
@@ -239,7 +256,7 @@ FACTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 def _cut(columns: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 4 << 20):
+        for b in blocks(batches, BLOCK_BYTES):
             facts, texts = [], []
             for text, spans in zip(b.column("text"), b.column("_spans")):
                 data, kept, at = (text.as_buffer().to_pybytes() if text.is_valid else b""), [], 0
@@ -271,28 +288,29 @@ def _runs(spans) -> list[tuple[int, int]]:
 def repeated_ranges(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """``(doc_id, start, stop)`` byte ranges, not yet merged, of all windows that start earlier elsewhere."""
     spark = docs.sparkSession
-    count = docs.mapInArrow(_anchor_counts(length, gram), "anchor long, n long")
-    found = count.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    path = new_path(spark, "anchors")
-    found.write.parquet(path)
-    found = spark.read.schema("anchor long").parquet(path)
-    few = found.count() <= BROADCAST_ANCHORS
-    known = spark.sparkContext.broadcast(np.sort(np.asarray(found.toArrow().column("anchor")).view(U64))) if few else None
+    count = docs.mapInArrow(_anchor_counts(length, gram), "anchor long, n long, least long, most long").groupBy("anchor")
+    count = count.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    found = materialize(count.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("varied")), "anchors")
+    few, known = found.count() <= BROADCAST_ANCHORS, None
+    if few:
+        table = found.toArrow()
+        anchors, varied = np.asarray(table.column("anchor")).view(U64), np.asarray(table.column("varied"))
+        order = np.argsort(anchors)
+        known = spark.sparkContext.broadcast((anchors[order], varied[order]))
     segs = docs.mapInArrow(_segments(length, gram, known), "doc_id long, anchor long, segment long, begin int, size int, body binary")
     if not few:
-        segs = segs.join(found, "anchor", "left_semi")
-    path = new_path(spark, "segments")
-    segs.write.option("compression", "zstd").parquet(path)
-    segs = spark.read.schema(segs.schema).parquet(path)
-
-    first = segs.groupBy("anchor", "segment").agg(
-        F.min(F.struct("doc_id", "begin")).alias("first"), F.max("body").alias("body"), F.min("size").alias("size")
-    )
-    shards = 1 + int(segs.where("body is not null").agg(F.sum("size")).first()[0] or 0) // (2 * SHARD_BYTES)
-    dealt = first.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "first.doc_id", "first.begin", "body")
-    marked = dealt.groupBy("shard").applyInArrow(_mark(length), "doc_id long, start int, stop int")
-
-    places = segs.groupBy("segment").agg(F.min(F.struct("doc_id", "begin")).alias("first"))
+        segs = segs.join(found, "anchor").withColumn("body", F.when(F.col("varied"), F.col("body"))).drop("varied")
+    segs = materialize(segs, "segments", compression="zstd")
+
+    # an anchor whose segments have one text holds no repeat but the later occurrences of the whole segment
+    held = segs.where("body is not null")
+    shards = 1 + int(held.agg(F.sum("size")).first()[0] or 0) // (2 * SHARD_BYTES)
+    places = materialize(segs.groupBy("segment").agg(F.min(F.struct("doc_id", "begin")).alias("first")), "places")
+    texts = held.groupBy("anchor", "segment").agg(F.min("body").alias("body")).join(places, "segment")
+    dealt = texts.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "first.doc_id", "first.begin", "body")
+    marked = materialize(dealt.groupBy("shard").applyInArrow(_mark(length), "doc_id long, start int, stop int"), "marked")
+    free_shuffles(spark)
+
     later = segs.select("segment", "doc_id", "begin", "size").join(places, "segment")
     later = later.where("doc_id <> first.doc_id or begin <> first.begin")
     return later.select("doc_id", F.col("begin").alias("start"), (F.col("begin") + F.col("size")).alias("stop")).unionByName(marked)
