@@ -11,6 +11,7 @@ so no shard grows with one word's frequency.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.ngram_trie import NgramTrie, pack, unpack
 from gleanery.llm.texts import BASE, FOLD, SPACED, U64, blocks, hash_spans, mix, text_buffer, word_spans
-from gleanery.sources.shared import materialize
+from gleanery.sources.shared import free_shuffles, materialize, new_path
 
 BEGIN, END = U64(1), U64(2)
 #: Bytes of text in a block, tokens in a shard, words of a block in a word shard: about.
-BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 8 << 20, 2_000_000, 2_000_000
+BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 6 << 20, 1_500_000, 1_500_000
+#: Steps of the lowest order's quantised log10 probability: 16 bits hold it down to 1e-16.
+CODES = 4096
 #: A context with more than one in so many tokens is divided into classes of about that share.
 CONTEXT_SHARE = 1024
 
@@ -71,18 +74,27 @@ def _tokens(word_shards: int):
             held = np.asarray(b.column("held_out").cast(pa.int8()))
             known = np.asarray(b.column("has_id").cast(pa.int8()))
             body = {"words": words[order], "stream": _small(back[local]), "counts": _small(counts), "ids": ids, "held": held, "known": known}
-            out = [(block, -1, _squeeze(body))]
-            for k in range(word_shards):
-                s = order[bounds[k] : bounds[k + 1]]
-                if len(s):
-                    out.append((block, k, _squeeze({"words": words[s], "n": _small(n[s])})))
+            body |= {"bounds": bounds, "n": _small(n[order])}
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_squeeze(body)], pa.binary())], ["block", "body"])
+
+    return run
+
+
+def _word_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's words and training counts, by word shard."""
+    for batch in batches:
+        for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
+            a = _expand(body)
+            out = [
+                (block, k, _squeeze({"words": a["words"][s:e], "n": a["n"][s:e]}))
+                for k, (s, e) in enumerate(zip(a["bounds"].tolist(), a["bounds"][1:].tolist()))
+                if s < e
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())],
                 ["block", "shard", "body"],
             )
 
-    return run
-
 
 def _count(table: pa.Table) -> pa.Table:
     """Training counts of a word shard, for each block in the order it asked, with the shard's own totals once."""
@@ -119,6 +131,7 @@ def _block_requests(r: dict, tokens: int, types: int, shards: int) -> Iterator[p
     lowest = (c + 0.5) / (tokens + 0.5 * (types + 1))
     base = np.bincount(rows, np.log10(lowest)[stream], len(counts))
     known = np.bincount(rows, c[stream] > 0, len(counts)).astype(np.int64)
+    coded = np.minimum(np.round(-np.log10(lowest) * CODES), 65535).astype(np.uint16)
     facts = {"ids": body["ids"], "known_id": body["known"], "held": body["held"], "tokens": counts, "known": known, "base": base}
     out = [(0, _squeeze(facts), True)]
     # two extra words before each row; the distinct trigrams of each row
@@ -151,7 +164,7 @@ def _block_requests(r: dict, tokens: int, types: int, shards: int) -> Iterator[p
         contexts, of = np.unique(context[s], return_index=True)
         send = {
             "names": w[names],
-            "lowest": np.append(lowest, 0)[names].astype(np.float32),
+            "lowest": np.append(coded, 0)[names],
             "contexts": contexts,
             "of": _small(np.diff(np.append(of, len(s)))),
             "two": _small(at[: len(s)]),
@@ -194,7 +207,7 @@ def _score(table: pa.Table) -> pa.Table:
         take = lambda f: np.concatenate([f(a) for _, a in asked])
         context = take(lambda a: np.repeat(a["contexts"], a["of"]))
         two, word = take(lambda a: a["names"][a["two"]]), take(lambda a: a["names"][a["word"]])
-        lowest, n = take(lambda a: a["lowest"][a["word"]]), take(lambda a: a["n"].astype(np.int64))
+        lowest, n = 10.0 ** -(take(lambda a: a["lowest"][a["word"]]) / CODES), take(lambda a: a["n"].astype(np.int64))
         held = take(lambda a: np.unpackbits(a["held"], count=len(a["n"])).astype(bool))
         order = np.lexsort((word, two, context))
         new = np.ones(len(order), bool)
@@ -240,6 +253,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     Repeated rows and null ids are rows like others; with no training rows every score is the estimate of an empty
     table. An empty table gives no rows; other columns are ignored.
     """
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_shards = 1 + int(size) // (12 * SHARD_WORDS)
     rows = docs.select(
@@ -248,14 +262,20 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
-    table = materialize(rows.mapInArrow(_tokens(word_shards), "block long, shard int, body binary"), "tokens")
-    counts = table.where("shard >= 0").groupBy("shard").applyInArrow(_count, "block long, shard int, counts binary, tokens long, types long")
-    counts = materialize(counts, "counts")
+    # bucketed by block, so that the counts come to the streams and not the streams to the counts
+    name, path = f"tokens_{uuid.uuid4().hex}", new_path(spark, "tokens")
+    buckets = 1 + int(size) // (4 * BLOCK_BYTES)
+    streams = rows.mapInArrow(_tokens(word_shards), "block long, body binary")
+    streams.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
+    table = spark.table(name)
+    asked = table.mapInArrow(_word_tables, "block long, shard int, body binary").groupBy("shard")
+    counts = materialize(asked.applyInArrow(_count, "block long, shard int, counts binary, tokens long, types long"), "counts")
+    free_shuffles(spark)
     tokens, types = counts.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = tokens or 0, types or 0
     shards = 1 + int(size) // (6 * SHARD_TOKENS)
     parts = counts.groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("parts"))
-    asked = table.where("shard = -1").select("block", "body").join(parts, "block")
+    asked = table.join(parts, "block")
     asked = asked.mapInArrow(_requests(tokens, types, shards), "block long, shard int, facts boolean, body binary")
     got = asked.groupBy("shard").applyInArrow(_score, RESULT)
     firsts = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]

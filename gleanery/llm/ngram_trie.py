@@ -46,7 +46,10 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str) -> None:
         self.n, self.low_bits = (int(x) for x in arrays[prefix + "size"])
-        self.low, self.high, self.ones = (arrays[prefix + k] for k in ("low", "high", "ones"))
+        self.low, self.high = arrays[prefix + "low"], arrays[prefix + "high"]
+        # ones, and zeros, before each byte of the high bits; kept beside the mapped level, not in it
+        self.ones = np.concatenate([[0], np.cumsum(ONES[self.high])]).astype(np.int64)
+        self.zeros = np.arange(len(self.ones)) * 8 - self.ones
 
     @staticmethod
     def build(values: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
@@ -65,8 +68,7 @@ class EliasFano:
         high = np.zeros(-(-size // 64) * 64, np.uint8)
         high[set_at] = 1
         high = np.packbits(high, bitorder="little")
-        ones = np.concatenate([[0], np.cumsum(ONES[high].reshape(-1, 8).sum(1))]).astype(np.int64)
-        return {prefix + "size": np.array([n, bits], np.int64), prefix + "low": low, prefix + "high": high, prefix + "ones": ones}
+        return {prefix + "size": np.array([n, bits], np.int64), prefix + "low": low, prefix + "high": high}
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -80,19 +82,11 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, zero: bool) -> np.ndarray:
         """Place of the k-th (from 0) one, or zero, of the high bits; one past the end where there is none."""
-        words = np.arange(len(self.ones)) * 64 - self.ones if zero else self.ones
-        block = np.searchsorted(words, k, "right") - 1
-        end = block >= len(words) - 1
-        block = np.minimum(block, len(words) - 2)
-        left, place = k - words[block], block * 64
-        found = np.full(len(k), -1)
-        for j in range(8):
-            byte = self.high[block * 8 + j]
-            byte = ~byte if zero else byte
-            here = (found < 0) & (left < ONES[byte])
-            found = np.where(here, place + 8 * j + KTH[byte, np.clip(left, 0, 7)], found)
-            left = left - ONES[byte]
-        return np.where(end, len(self.high) * 8, found)
+        before = self.zeros if zero else self.ones
+        byte = np.minimum(np.searchsorted(before, k, "right") - 1, len(self.high) - 1)
+        left = k - before[byte]
+        bits = ~self.high[byte] if zero else self.high[byte]
+        return np.where(left < 8, byte * 8 + KTH[bits, np.minimum(left, 7)], len(self.high) * 8)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, False) - i) << self.low_bits) | self._lows(i)
@@ -103,15 +97,19 @@ class EliasFano:
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), True) - high + 1, 0)
         stop = np.minimum(self._select(high, True) - high, self.n)
         start = np.minimum(start, stop)
-        want, found = x & ((1 << self.low_bits) - 1), np.zeros(len(x), bool)
-        live = np.flatnonzero(start < stop)
-        while len(live):  # the few elements that share the high part
-            low = self._lows(start[live])
-            found[live[low == want[live]]] = True
-            live = live[low < want[live]]
-            start[live] += 1
-            live = live[start[live] < stop[live]]
-        return start, found
+        want = x & ((1 << self.low_bits) - 1)
+        low, high = start, stop.copy()
+        live = np.flatnonzero(low < high)
+        while len(live):  # halve the elements that share the high part
+            middle = (low[live] + high[live]) >> 1
+            less = self._lows(middle) < want[live]
+            low[live[less]] = middle[less] + 1
+            high[live[~less]] = middle[~less]
+            live = live[low[live] < high[live]]
+        found = low < stop
+        at = np.flatnonzero(found)
+        found[at] = self._lows(low[at]) == want[at]
+        return low, found
 
 
 def quantise(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
@@ -173,14 +171,20 @@ class NgramTrie:
 
     def _find(self, name: str, ptr: EliasFano, ids: EliasFano, parent: np.ndarray, child: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, ...]:
         """Index and place in its range of a child of each parent, and whether there is one."""
-        parent = np.where(ok, parent, 0)
-        if not ids.n:
-            return np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64), np.zeros(len(parent), bool)
-        base = EliasFano(self.a, f"{name}_base.").get(parent)
-        start, stop = ptr.get(parent), ptr.get(parent + 1)
-        at, same = ids.successor(base + child + 1)
-        ok = ok & same & (at >= start) & (at < stop)
-        return np.where(ok, at, 0), np.where(ok, at - start, 0), ok
+        at, place, hit = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64), np.zeros(len(parent), bool)
+        some = np.flatnonzero(ok)
+        if not ids.n or not len(some):
+            return at, place, hit
+        mine, child = parent[some], child[some]
+        new = np.ones(len(mine), bool)  # questions come in the order of parents, mostly: each parent is read once
+        new[1:] = mine[1:] != mine[:-1]
+        once, of = mine[new], np.cumsum(new) - 1
+        base = EliasFano(self.a, f"{name}_base.").get(once)[of]
+        start, stop = ptr.get(once)[of], ptr.get(once + 1)[of]
+        found, same = ids.successor(base + child + 1)
+        good = same & (found >= start) & (found < stop)
+        at[some[good]], place[some[good]], hit[some[good]] = found[good], (found - start)[good], True
+        return at, place, hit
 
     def _value(self, name: str, at: np.ndarray) -> np.ndarray:
         return 10.0 ** self.a[name + "book"][self.a[name + "code"][at]].astype(float)
