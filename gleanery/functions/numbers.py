@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def clipped_logit(p: Column, eps: float = 0.01) -> Column:
-    """MTH1: ln(p / (1 - p)) with p kept within [eps, 1 - eps]."""
+    """MTH1: ln(p / (1 - p)) with p kept within [eps, 1 - eps]; null for null."""
     q = F.least(F.lit(1 - eps), F.greatest(F.lit(eps), p))
-    return F.log(q / (1 - q))
+    return F.when(p.isNotNull(), F.log(q / (1 - q)))
 
 
 def platt(p: Column, a: float, b: float) -> Column:

@@ -245,7 +245,7 @@ def sta1_sta6_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{D} SELECT arm, case_id, CASE WHEN verdict IN ('phishing', 'benign') THEN verdict WHEN score >= 0.5 THEN 'phishing' WHEN score IS NOT NULL THEN 'benign' ELSE 'benign' END AS forced,
  CASE WHEN verdict IN ('phishing', 'benign') THEN 'substantive' WHEN score IS NOT NULL THEN 'score' ELSE 'default' END AS origin,
  CASE WHEN score >= 0.5 + 0.2 THEN 'phishing' WHEN score <= 0.5 - 0.2 THEN 'benign' ELSE 'inconclusive' END AS banded,
- round(1 / (1 + exp(-(1.5 * ln(least(0.99, greatest(0.01, score)) / (1 - least(0.99, greatest(0.01, score)))) + 0.25))), 6) AS platt FROM d"""
+ CASE WHEN score IS NOT NULL THEN round(1 / (1 + exp(-(1.5 * ln(least(0.99, greatest(0.01, score)) / (1 - least(0.99, greatest(0.01, score)))) + 0.25))), 6) END AS platt FROM d"""
 )
 def mth1_mth2_mth3_forced_and_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict, origin = numbers.forced_verdict(F.col("verdict"), F.col("score"))
