@@ -119,4 +119,52 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_HOST = "translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FITS = " OR ".join(
+    f"(rule = '{r}' AND (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}'))" for r, _ in URL_RULES
+)
+_RULES = ", ".join(f"('{r}', '{a}')" for r, a in URL_RULES)
+# op4's SQL holds where no page has a canonical link or refresh, as in the shared tables: every alias class is then one url.
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_host_quality_rules": r"""
+WITH w AS (SELECT doc_id, source AS host, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(text, '') AS text FROM documents),
+ g AS (SELECT *, list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]]) AS g, row_number() OVER () AS r FROM w),
+ p AS (SELECT r, unnest(g) AS t, unnest(range(1, len(g) + 1)) AS i FROM g), d AS (SELECT r, t FROM p GROUP BY ALL HAVING count(*) > 1),
+ c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT p.r, unnest([i, i + 1, i + 2]) AS j FROM p JOIN d ON p.r = d.r AND p.t = d.t) GROUP BY r),
+ f AS (SELECT doc_id, host, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM g LEFT JOIN c USING (r)),
+ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+ h AS (SELECT host, count(*) AS n_docs, count(*) FILTER (base_failed) AS n_failed FROM b GROUP BY host),
+ m AS (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v FROM h),
+ k AS (SELECT m, CASE WHEN v > 0 THEN greatest(1, m * (1 - m) / v - 1) ELSE 1 END AS weight FROM m),
+ s AS (SELECT host, n_docs, n_failed, (n_failed + m * weight) / (n_docs + weight) AS rate FROM h, k)
+SELECT doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_docs, n_failed, rate, NOT base_failed AND rate <= 0.5 AS kept
+FROM b JOIN s ON b.host IS NOT DISTINCT FROM s.host""",
+    "op4_redirect_equivalence": f"""
+WITH u AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ r(rule, action) AS (VALUES {_RULES}),
+ f AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(action, len(rule)) AS action FROM u JOIN r ON {_FITS} GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN f ON u.page_id = f.page_id""",
+    "op10_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) x(t)),
+ e AS (SELECT *, len(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + len(role) + 24 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(chars) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op9_weighted_fair_queueing": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+ o AS (SELECT source, sum(size) AS source_size, 2.0::DOUBLE * sum(size) AS lim FROM d GROUP BY source),
+ w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w FROM o),
+ l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+   / sum(w) OVER (ORDER BY lim / w, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+ t AS (SELECT source, source_size, CASE WHEN level * w >= lim OR (SELECT max(level) FROM l WHERE level * w < lim) IS NULL THEN lim ELSE (SELECT max(level) FROM l WHERE level * w < lim) * w END AS target FROM l),
+ b AS (SELECT round(sum(target)) AS budget FROM t),
+ c AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(key, 1, 8))::BIGINT % 1024, key, size ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ e AS (SELECT *, (cum + k * source_size) / target AS finish FROM c, range(2) r(k) WHERE size > 0 AND target > 0),
+ m AS (SELECT *, sum(size) OVER (ORDER BY finish, key, size ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+ x AS (SELECT doc_id, source, key, size, cum, source_size, target, sum(greatest(0, least(size, budget - upto + size))) AS taken FROM m, b GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM x UNION ALL SELECT doc_id, size, source_size, target, 0 FROM c WHERE NOT (size > 0 AND target > 0)""",
+}
