@@ -1,6 +1,13 @@
 """Registered queries over the shared tables, and the SQL that gives the same rows."""
 
-from gleanery.plans import corpus_queries, evidence_queries, learning_queries, score_queries, streaming_queries  # noqa: F401  registers
+from gleanery.plans import (  # noqa: F401  registers
+    corpus_queries,
+    evidence_queries,
+    learning_queries,
+    more_queries,
+    score_queries,
+    streaming_queries,
+)
 from gleanery.plans.registry import QUERIES, SQL
 
 
