@@ -47,6 +47,19 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
 
 
+def _planes(a: np.ndarray) -> dict[str, np.ndarray]:
+    """Non-negative integers as byte planes, low bytes first, as many as the largest needs: what is alike lies together."""
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return {"planes": np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel(), "width": np.array([width], np.uint8)}
+
+
+def _from_planes(a: dict[str, np.ndarray], name: str) -> np.ndarray:
+    width = int(a[name + "width"][0])
+    out = np.zeros((len(a[name + "planes"]) // width, 8), np.uint8)
+    out[:, :width] = a[name + "planes"].reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def _tokens(word_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, BLOCK_BYTES):
@@ -97,35 +110,42 @@ def _word_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Training counts of a word shard, for each block in the order it asked, with the shard's own totals once."""
+    """Training counts and frequency ranks of a word shard, for each block in the order it asked, with the shard's own
+    totals once."""
     asked = [_expand(x) for x in table.column("body").to_pylist()]
     every, at = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
     total = np.bincount(at, np.concatenate([a["n"] for a in asked]), len(every)).astype(np.int64)
-    got = np.split(total[at], np.cumsum([len(a["words"]) for a in asked])[:-1])
+    rank = np.empty(len(every), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(every))
+    cuts = np.cumsum([len(a["words"]) for a in asked])[:-1]
+    got = zip(np.split(total[at], cuts), np.split(rank[at], cuts))
     once = np.arange(len(asked)) == 0
     return pa.table(
         {
             "block": table.column("block"),
             "shard": table.column("shard"),
-            "counts": pa.array([_squeeze({"c": _small(g)}) for g in got], pa.binary()),
+            "counts": pa.array([_squeeze({"c": _small(c), "rank": _small(r)}) for c, r in got], pa.binary()),
             "tokens": pa.array(np.where(once, total.sum(), 0)),
             "types": pa.array(np.where(once, (total > 0).sum(), 0)),
         }
     )
 
 
-def _requests(tokens: int, types: int, shards: int):
+def _requests(tokens: int, types: int, shards: int, word_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield from _block_requests(r, tokens, types, shards)
+                yield from _block_requests(r, tokens, types, shards, word_shards)
 
     return run
 
 
-def _block_requests(r: dict, tokens: int, types: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _block_requests(r: dict, tokens: int, types: int, shards: int, word_shards: int) -> Iterator[pa.RecordBatch]:
     body = _expand(r["body"])
-    c = np.concatenate([_expand(x["counts"])["c"] for x in sorted(r["parts"], key=lambda x: x["shard"])]).astype(np.int64)
+    parts = [(x["shard"], _expand(x["counts"])) for x in sorted(r["parts"], key=lambda x: x["shard"])]
+    c = np.concatenate([p["c"].astype(np.int64) for _, p in parts])
+    # a word's number: small for frequent words; 0 is the place before a text
+    number = np.concatenate([p["rank"].astype(np.int64) * word_shards + k + 1 for k, p in parts] + [[0]])
     words, stream, counts = body["words"], body["stream"].astype(np.int64), body["counts"].astype(np.int64)
     rows = np.repeat(np.arange(len(counts)), counts)
     lowest = (c + 0.5) / (tokens + 0.5 * (types + 1))
@@ -150,29 +170,21 @@ def _block_requests(r: dict, tokens: int, types: int, shards: int) -> Iterator[p
     n = np.diff(np.append(np.flatnonzero(new), len(order)))
     # classes of frequent contexts, by the earlier word
     classes = np.append(c * CONTEXT_SHARE // max(tokens, 1) + 1, 1)[one[pick]]
-    context = mix(w[one[pick]] + BASE * (mix(w[two[pick]]) % classes.astype(U64)))
-    shard = (context % U64(shards)).astype(np.int64)
-    by = np.argsort(shard, kind="stable")
+    one, two, word, row = one[pick], two[pick], stream[pick], rows[pick]
+    kind = (mix(w[two]) % classes.astype(U64)).astype(np.int64)
+    shard = (mix(w[one] + BASE * kind.astype(U64)) % U64(shards)).astype(np.int64)
+    context = number[one] * (CONTEXT_SHARE + 1) + kind
+    by = np.lexsort((context, shard))
     edges = np.searchsorted(shard[by], np.arange(shards + 1))
     for k in range(shards):
         s = by[edges[k] : edges[k + 1]]
         if not len(s):
             continue
-        s = s[np.argsort(context[s], kind="stable")]
-        p = pick[s]
-        names, at = np.unique(np.concatenate([two[p], stream[p]]), return_inverse=True)
-        contexts, of = np.unique(context[s], return_index=True)
-        send = {
-            "names": w[names],
-            "lowest": np.append(coded, 0)[names],
-            "contexts": contexts,
-            "of": _small(np.diff(np.append(of, len(s)))),
-            "two": _small(at[: len(s)]),
-            "word": _small(at[len(s) :]),
-            "row": _small(rows[p]),
-            "n": _small(n[s]),
-            "held": np.packbits(body["held"][rows[p]].astype(bool)),
-        }
+        new = np.flatnonzero(np.append(True, context[s][1:] != context[s][:-1]))
+        send = {"of": _small(np.diff(np.append(new, len(s)))), "n": _small(n[s]), "held": np.packbits(body["held"][row[s]].astype(bool))}
+        columns = {"context.": context[s][new], "two.": number[two[s]], "word.": number[word[s]], "lowest.": coded[word[s]], "row.": row[s]}
+        for name, a in columns.items():
+            send |= {name + x: v for x, v in _planes(a).items()}
         out.append((k, _squeeze(send), False))
     yield pa.RecordBatch.from_arrays(
         [pa.array([r["block"]] * len(out)), pa.array([o[0] for o in out], pa.int32()), pa.array([o[2] for o in out]), pa.array([o[1] for o in out], pa.binary())],
@@ -205,9 +217,9 @@ def _score(table: pa.Table) -> pa.Table:
             asked.append((block, a))
     if asked:
         take = lambda f: np.concatenate([f(a) for _, a in asked])
-        context = take(lambda a: np.repeat(a["contexts"], a["of"]))
-        two, word = take(lambda a: a["names"][a["two"]]), take(lambda a: a["names"][a["word"]])
-        lowest, n = 10.0 ** -(take(lambda a: a["lowest"][a["word"]]) / CODES), take(lambda a: a["n"].astype(np.int64))
+        context = take(lambda a: np.repeat(_from_planes(a, "context."), a["of"]))
+        two, word = take(lambda a: _from_planes(a, "two.")), take(lambda a: _from_planes(a, "word."))
+        lowest, n = 10.0 ** -(take(lambda a: _from_planes(a, "lowest.")) / CODES), take(lambda a: a["n"].astype(np.int64))
         held = take(lambda a: np.unpackbits(a["held"], count=len(a["n"])).astype(bool))
         order = np.lexsort((word, two, context))
         new = np.ones(len(order), bool)
@@ -225,7 +237,7 @@ def _score(table: pa.Table) -> pa.Table:
         at = 0
         for block, a in asked:
             m = len(a["n"])
-            row = a["row"].astype(np.int64)
+            row = _from_planes(a, "row.").astype(np.int64)
             total = np.bincount(row, each[at : at + m])
             rows = np.unique(row)
             at += m
@@ -276,7 +288,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     shards = 1 + int(size) // (6 * SHARD_TOKENS)
     parts = counts.groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("parts"))
     asked = table.join(parts, "block")
-    asked = asked.mapInArrow(_requests(tokens, types, shards), "block long, shard int, facts boolean, body binary")
+    asked = asked.mapInArrow(_requests(tokens, types, shards, word_shards), "block long, shard int, facts boolean, body binary")
     got = asked.groupBy("shard").applyInArrow(_score, RESULT)
     firsts = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
     out = got.groupBy("block", "row").agg(*firsts, F.sum("score").alias("score"))

@@ -137,7 +137,7 @@ class NgramTrie:
 
     @classmethod
     def build(cls, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, count: np.ndarray) -> NgramTrie:
-        """From distinct trigrams and their counts; words are 64-bit hashes."""
+        """From distinct trigrams and their counts; contexts and words are 64-bit numbers."""
         contexts, c = np.unique(context, return_inverse=True)
         olds, e = np.unique(earlier, return_inverse=True)
         words, w = np.unique(word, return_inverse=True)
