@@ -6,17 +6,17 @@ execution splits, never a collected group. Each round is written to the shared f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.sources.shared import materialize, release
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges written, with their number and a checksum, both seen while writing."""
-    seen = Observation()
-    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
-    return table, (seen.get["n"], seen.get["sum"])
+    """The edges written, with their number and a checksum. (An observation would save the second look, but a session
+    that has observed can no longer serialise Spark ML's fitted models with their summaries.)"""
+    table = materialize(edges, "edges")
+    return table, tuple(table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:

@@ -169,3 +169,9 @@ def test_numbers(spark):
     got = d.select(numbers.platt(F.col("p"), 1.0, 0.0).alias("s"), numbers.band_verdict(F.col("p"), 0.1).alias("v"), numbers.forced_verdict(F.lit("inconclusive"), F.col("p"))[1].alias("o")).collect()
     assert [round(r.s, 6) if r.s is not None else None for r in got] == [0.01, 0.5, None]
     assert [r.v for r in got] == ["benign", "inconclusive", "inconclusive"] and [r.o for r in got] == ["score", "score", "default"]
+
+
+def test_models_can_be_applied_after_components(spark):
+    connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a int, b int"), "a", "b").count()
+    df = learning.assemble(spark.createDataFrame([(float(i), float(i % 3 == 0)) for i in range(12)], "a double, y double"), ["a"])
+    assert learning.probability(learning.logistic(df, 0.1), df).count() == 12
