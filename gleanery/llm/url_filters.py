@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators.graph import connected_components
+from gleanery.sources.shared import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A rule table of up to so many rows is broadcast; a larger one is joined by shuffle.
@@ -70,9 +71,8 @@ def canonical_edges(pages: DataFrame) -> DataFrame:
     jump = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), r"(?i)url\s*=\s*[\"']?([^\"'\s>]*)", 1)
     to = F.explode(F.filter(F.array(link, jump), lambda x: x != "")).alias("href")
     with_link = html.contains("canonical") | F.lower(html).contains("refresh") | F.lower(html).contains("canonical")
-    return pages.where(with_link).select("url", to).select(
-        F.col("url").alias("source_url"), resolve(F.trim("href"), F.col("url")).alias("target_url")
-    )
+    found = pages.where(with_link).select("url", to).distinct()
+    return found.select(F.col("url").alias("source_url"), resolve(F.trim("href"), F.col("url")).alias("target_url"))
 
 
 def rule_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -109,6 +109,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
         edges = edges.unionByName(redirects.select("source_url", "target_url"))
     edges = edges.select(F.col("source_url").alias("a"), F.col("target_url").alias("b"))
     edges = edges.select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b")).where("a is not null and b is not null")
+    edges = materialize(edges, "links")  # few and short; keeps the key expressions out of the graph's plans
     classes = connected_components(edges, "a", "b")
     at = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = rule_verdicts(at.where("host <> ''"), rules)
