@@ -3,6 +3,7 @@
 from gleanery.plans import (  # noqa: F401  registers
     corpus_queries,
     evidence_queries,
+    function_queries,
     further_queries,
     learning_queries,
     more_queries,
