@@ -24,9 +24,9 @@ from gleanery.sources.shared import free_shuffles, materialize
 
 GRAM = 24
 #: Bytes of text that a task works on at once, whole rows always.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of distinct segments per shard, about.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: So many repeated anchors at most are sent to the tasks whole (8 bytes each); more are joined.
 BROADCAST_ANCHORS = 4_000_000
 #: A missing id is the smallest.
