@@ -34,12 +34,11 @@ def average_precision(df: DataFrame, by: Sequence[str]) -> DataFrame:
     t = score_table(df, by).select(*by, "score", (F.col("tp") - F.col("pos")).alias("tp0"), (F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")).alias("r0"))
     tie = Window.partitionBy(*by, "score").orderBy("case_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("bad", _bad()).withColumn("i", F.row_number().over(tie)).withColumn("k", F.sum("bad").over(tie))
-    at = [F.col(c) for c in by]
     rows = rows.join(t, [*by, "score"], "left")
     part = F.when(F.col("bad") == 1, (F.col("tp0") + F.col("k")) / (F.col("r0") + F.col("i")))
     missing = F.bool_or(F.col("score").isNull())
     ap = F.when(~missing, F.try_divide(F.sum(part), F.sum("bad").cast("double")))
-    return rows.groupBy(*at).agg(ap.alias("ap"))
+    return rows.groupBy(*by).agg(ap.alias("ap"))
 
 
 def roc_auc(df: DataFrame, by: Sequence[str]) -> DataFrame:

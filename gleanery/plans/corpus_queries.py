@@ -9,7 +9,7 @@ from gleanery.functions import pages as P
 from gleanery.functions import replies, texts, urls
 from gleanery.operators import corpus
 from gleanery.plans.registry import query, rounded
-from gleanery.plans.tables import CASES_SQL, DECISIONS_SQL, cases, decisions
+from gleanery.plans.tables import CASES_SQL, DECISIONS_SQL, cases
 from gleanery.sources.tables import read_table
 
 DM = f"WITH {DECISIONS_SQL}, {CASES_SQL} "

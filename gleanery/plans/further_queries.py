@@ -9,11 +9,11 @@ from gleanery.functions import pages as P
 from gleanery.functions import texts, urls
 from gleanery.operators import corpus, evidence, learning, paired
 from gleanery.operators.graph import connected_components
-from gleanery.plans.corpus_queries import HOST, _suffixes
+from gleanery.plans.corpus_queries import HOST
 from gleanery.plans.evidence_queries import FS, GROUPS, SUPPORT
 from gleanery.plans.learning_queries import COLUMNS, _ready
 from gleanery.plans.registry import query, rounded
-from gleanery.plans.score_queries import D, DM
+from gleanery.plans.score_queries import DM
 from gleanery.plans.tables import cases, decisions, findings
 from gleanery.sources.shared import new_path
 from gleanery.sources.tables import read_table

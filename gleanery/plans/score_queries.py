@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import numbers
-from gleanery.operators import corpus, metrics, paired, ranking
+from gleanery.operators import metrics, paired, ranking
 from gleanery.plans.registry import query, rounded
 from gleanery.plans.tables import CASES_SQL, DECISIONS_SQL, cases, decisions
 
