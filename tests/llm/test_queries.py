@@ -5,7 +5,7 @@ import os
 
 import compare
 import pytest
-from gleanery.llm import chat, classifier, mixing, quality_rules, url_filters
+from gleanery.llm import chat, mixing, quality_rules, url_filters
 from gleanery.llm.queries import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 
