@@ -276,7 +276,8 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     )
     # bucketed by block, so that the counts come to the streams and not the streams to the counts
     name, path = f"tokens_{uuid.uuid4().hex}", new_path(spark, "tokens")
-    buckets = 1 + int(size) // (4 * BLOCK_BYTES)
+    # (with fewer buckets than shuffle partitions Spark would deal both anew)
+    buckets = max(1 + int(size) // (4 * BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     streams = rows.mapInArrow(_tokens(word_shards), "block long, body binary")
     streams.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
     table = spark.table(name)
