@@ -26,7 +26,7 @@ from gleanery.sources.shared import free_shuffles, materialize, new_path
 
 BEGIN, END = U64(1), U64(2)
 #: Bytes of text in a block, tokens in a shard, words of a block in a word shard: about.
-BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 6 << 20, 1_500_000, 1_500_000
+BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 6 << 20, 800_000, 1_500_000
 #: Steps of the lowest order's quantised log10 probability: 16 bits hold it down to 1e-16.
 CODES = 4096
 #: A context with more than one in so many tokens is divided into classes of about that share.
@@ -34,7 +34,7 @@ CONTEXT_SHARE = 1024
 
 
 def _squeeze(arrays: dict[str, np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pack(arrays))
+    return zstandard.ZstdCompressor(level=3).compress(pack(arrays))
 
 
 def _expand(raw: bytes) -> dict[str, np.ndarray]:
