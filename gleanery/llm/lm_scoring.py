@@ -192,29 +192,17 @@ def _block_requests(r: dict, tokens: int, types: int, shards: int, word_shards:
     )
 
 
-RESULT = "block long, row int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(table: pa.Table) -> pa.Table:
-    """A shard's trie from its training trigrams, and the log probabilities of all, summed by block and row."""
-    blocks_, facts = np.asarray(table.column("block")), table.column("facts").to_pylist()
-    bodies = table.column("body").to_pylist()
+    """A shard's trie from its training trigrams, and the log probabilities of all, summed by row and packed by block."""
     out, asked = [], []
-    for block, is_fact, body in zip(blocks_.tolist(), facts, bodies):
-        a = _expand(body)
+    for block, is_fact, body in zip(*(table.column(c).to_pylist() for c in ("block", "facts", "body"))):
         if is_fact:
-            n = len(a["ids"])
-            out.append(
-                pa.table(
-                    [
-                        pa.array(np.full(n, block)), pa.array(np.arange(n), pa.int32()), pa.array(a["ids"], mask=a["known_id"] == 0),
-                        pa.array(a["held"].astype(bool)), pa.array(a["tokens"]), pa.array(a["known"]), pa.array(a["base"]), pa.array(np.zeros(n)),
-                    ],
-                    _names(),
-                )
-            )
+            out.append((block, True, body))
         else:
-            asked.append((block, a))
+            asked.append((block, _expand(body)))
     if asked:
         take = lambda f: np.concatenate([f(a) for _, a in asked])
         context = take(lambda a: np.repeat(_from_planes(a, "context."), a["of"]))
@@ -241,18 +229,21 @@ def _score(table: pa.Table) -> pa.Table:
             total = np.bincount(row, each[at : at + m])
             rows = np.unique(row)
             at += m
-            z = pa.nulls(len(rows), pa.int64())
-            out.append(
-                pa.table(
-                    [pa.array(np.full(len(rows), block)), pa.array(rows, pa.int32()), z, z.cast(pa.bool_()), z, z, z.cast(pa.float64()), pa.array(total[rows])],
-                    _names(),
-                )
-            )
-    return pa.concat_tables(out)
+            out.append((block, False, _squeeze({"total": total[rows].astype(np.float32), **_planes(rows)})))
+    cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.binary())]
+    return pa.table(cols, ["block", "facts", "body"])
 
 
-def _names() -> list[str]:
-    return [x.split()[0] for x in RESULT.split(", ")]
+def _gather(table: pa.Table) -> pa.Table:
+    """A block's rows: its facts, and its sums from all shards."""
+    parts = [(is_fact, _expand(body)) for is_fact, body in zip(table.column("facts").to_pylist(), table.column("body").to_pylist())]
+    a = next(x for is_fact, x in parts if is_fact)
+    score = np.zeros(len(a["ids"]))
+    for is_fact, x in parts:
+        if not is_fact:
+            score[_from_planes(x, "").astype(np.int64)] += x["total"]
+    cols = [pa.array(a["ids"], mask=a["known_id"] == 0), pa.array(a["held"].astype(bool)), *map(pa.array, (a["tokens"], a["known"], a["base"], score))]
+    return pa.table(cols, [x.split()[0] for x in RESULT.split(", ")])
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -290,7 +281,6 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     parts = counts.groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("parts"))
     asked = table.join(parts, "block")
     asked = asked.mapInArrow(_requests(tokens, types, shards, word_shards), "block long, shard int, facts boolean, body binary")
-    got = asked.groupBy("shard").applyInArrow(_score, RESULT)
-    firsts = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
-    out = got.groupBy("block", "row").agg(*firsts, F.sum("score").alias("score"))
+    got = asked.groupBy("shard").applyInArrow(_score, "block long, facts boolean, body binary")
+    out = got.groupBy("block").applyInArrow(_gather, RESULT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
