@@ -14,6 +14,7 @@ the next round, under the same count and prefix filters, and far shorter). After
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from gleanery.operators.graph import connected_components
 from gleanery.sources.shared import materialize
 
 COORDINATES = 64
+#: The chance at most that a pair at the threshold has too few equal coordinates to be compared.
+MISS = 5e-5
 #: A missing id is the smallest.
 NO_ID = -(2**63)
 _rng = np.random.default_rng(64)
@@ -124,19 +127,32 @@ def _linked(percent: int):
     return 100 * F.col("both") >= percent * (F.col("n_p") + F.col("n_q") - F.col("both"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int = 42, rounds: int = 2) -> DataFrame:
+def least_matches(percent: int, miss: float = MISS) -> int:
+    """The most equal coordinates that can be asked of a pair whose similarity is ``percent`` / 100, so that it has fewer with a
+    chance of ``miss`` at most (binomial); 1 at least."""
+    p, below = percent / 100, 0.0
+    for m in range(COORDINATES):
+        below += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if below > miss:
+            return max(1, m)
+    return COORDINATES
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int | None = None, rounds: int = 2) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
     Two documents are linked if their sets of ``k``-word shingles have a Jaccard similarity of ``percent`` / 100 or more,
     confirmed on the full sets; ``component_id`` is the smallest ``doc_id`` reachable over links and ``kept`` marks the
-    document that has it. At a similarity of 0.85, a pair has fewer than 42 of 64 equal coordinates with a chance of
-    about 3 in a million; links more similar than that are found all the more surely.
+    document that has it. Pairs are compared if ``matches`` of 64 coordinates are equal, by default :func:`least_matches` of
+    ``percent``: 42 at 85, where a pair at the threshold has fewer with a chance of 3.0e-5, and 38 at 80, where it is 4.4e-5;
+    links more similar than that are found all the more surely.
 
     Null texts and texts without words have an empty set and no links: their component is their own id. Rows with the same
     ``doc_id`` are rows of one component if their sets are linked, else of several. Ids are integers; a null id is the
     smallest, and a component named by it has a null name. An empty
     table gives no rows; other columns are ignored.
     """
+    matches = least_matches(percent) if matches is None else matches
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = texts.mapInArrow(_sign(k), f"doc_id long, n_shingles long, class long, posted array<long>")
     signed = materialize(signed, "signed")
