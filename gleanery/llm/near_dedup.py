@@ -87,7 +87,7 @@ def _sign(k: int):
             ends = np.arange(0, posted.size + 1, COORDINATES)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(posted.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n), _signed(set_hash(h, bounds)), lists], ["doc_id", "n_shingles", "class", "posted"]
+                [b.column("doc_id"), b.column("row"), pa.array(n), _signed(set_hash(h, bounds)), lists], ["doc_id", "row", "n_shingles", "class", "posted"]
             )
 
     return run
@@ -138,7 +138,7 @@ def least_matches(percent: int, miss: float = MISS) -> int:
     return COORDINATES
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int | None = None, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int | None = None, rounds: int = 2, row: str | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
     Two documents are linked if their sets of ``k``-word shingles have a Jaccard similarity of ``percent`` / 100 or more,
@@ -151,10 +151,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     ``doc_id`` are rows of one component if their sets are linked, else of several. Ids are integers; a null id is the
     smallest, and a component named by it has a null name. An empty
     table gives no rows; other columns are ignored.
+
+    ``row`` names a column of unique integers, the same at each reading. It is then a column of the result too, and ``kept``
+    marks one row of each component, of those with its id the one with the smallest ``row``; rows with an empty set are all kept.
     """
     matches = least_matches(percent) if matches is None else matches
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = texts.mapInArrow(_sign(k), f"doc_id long, n_shingles long, class long, posted array<long>")
+    number = F.lit(0).cast("long") if row is None else F.col(row).cast("long")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), number.alias("row"), F.col("text").cast("string").alias("text"))
+    signed = texts.mapInArrow(_sign(k), "doc_id long, row long, n_shingles long, class long, posted array<long>")
     signed = materialize(signed, "signed")
     full = signed.where("n_shingles > 0")
 
@@ -209,12 +213,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     links = links.unionByName(compared.where(_linked(percent)).select("p", "q"))
     parts = connected_components(links, "p", "q").select(F.col("node").alias("class"), F.col("component").alias("part"))
 
-    of = full.select("doc_id", "n_shingles", "class").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
-    least = of.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    out = of.join(least, "part").select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return out.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", "component_id")})
+    of = full.select("doc_id", "row", "n_shingles", "class").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    least = of.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    out = of.join(least, "part").select("doc_id", "row", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
+    empty = signed.where("n_shingles = 0")
+    out = out.unionByName(empty.select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+    out = out.withColumn("kept", (F.col("doc_id") == F.col("component_id")) & F.col("kept"))
+    out = out.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", "component_id")})
+    return out.drop("row") if row is None else out.withColumnRenamed("row", row)
 
 
 def _open_pairs(known: DataFrame, percent: int) -> DataFrame:
