@@ -111,7 +111,7 @@ def parse(page: str) -> Node:
             stack.pop()
         if len(stack) > 1 and stack[-1].tag in CLOSES.get(tag, ()):
             stack.pop()
-        node = Node(tag, chrome or stack[-1].chrome, stack[-1].prose or tag in ("article", "main"))
+        node = Node(tag, chrome or stack[-1].chrome, stack[-1].prose or tag == "article")
         stack[-1].parts.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -126,29 +126,37 @@ def clean(text: str) -> str:
     return SPACE.sub(" ", html.unescape(text)).strip(" ")
 
 
-def hash_subtrees(node: Node, found: dict[int, None]) -> int:
+def hash_subtrees(root: Node, found: dict[int, None]) -> int:
     """Sets each node's key, from its tag, texts and children, and collects the keys of those that may be template."""
-    h = blake2b(node.tag.encode(), digest_size=8)
-    for p in node.parts:
-        h.update(b"\0" + (hash_subtrees(p, found).to_bytes(8, "big", signed=True) if isinstance(p, Node) else clean(p).encode()))
-    node.key = int.from_bytes(h.digest(), "big", signed=True)
-    if node.parts and node.tag not in ("#", "html", "body") and not node.chrome and not (node.prose and node.tag in PROSE):
-        found[node.key] = None
-    return node.key
+    order, stack = [], [root]
+    while stack:
+        order.append(node := stack.pop())
+        stack.extend(p for p in node.parts if isinstance(p, Node))
+    for node in reversed(order):  # children before parents
+        h = blake2b(node.tag.encode(), digest_size=8)
+        for p in node.parts:
+            h.update(b"\0" + (p.key.to_bytes(8, "big", signed=True) if isinstance(p, Node) else clean(p).encode()))
+        node.key = int.from_bytes(h.digest(), "big", signed=True)
+        if node.parts and node.tag not in ("#", "html", "body") and not node.chrome and not (node.prose and node.tag in PROSE):
+            found[node.key] = None
+    return root.key
 
 
 def main_nodes(root: Node) -> list[Node]:
     """The outermost articles, or else the outermost mains, or else the whole tree."""
 
-    def outermost(node: Node, tag: str) -> Iterator[Node]:
-        for p in node.parts:
+    def outermost(tag: str) -> list[Node]:
+        out, stack = [], root.parts[::-1]
+        while stack:
+            p = stack.pop()
             if isinstance(p, Node) and not p.chrome:
                 if p.tag == tag:
-                    yield p
+                    out.append(p)
                 else:
-                    yield from outermost(p, tag)
+                    stack.extend(reversed(p.parts))
+        return out
 
-    return list(outermost(root, "article")) or list(outermost(root, "main")) or [root]
+    return outermost("article") or outermost("main") or [root]
 
 
 def extract(page: str | None, templates: set[int] | frozenset = frozenset()) -> str:
@@ -159,18 +167,23 @@ def extract(page: str | None, templates: set[int] | frozenset = frozenset()) ->
     out: list[str] = []
 
     def walk(node: Node) -> None:
-        held: list[str] = []
-        for p in [*node.parts, None]:
-            if isinstance(p, str):
-                held.append(p)
-                continue
-            if p is not None and p.tag[0] == "#":  # inline and removed: no end of a block
-                continue
-            if block := clean("".join(held)):
-                out.append(block)
-            held = []
-            if p is not None and not p.chrome and p.key not in templates:
-                walk(p)
+        open_: list[tuple[Iterator, list[str]]] = [(iter([*node.parts, None]), [])]
+        while open_:
+            parts, held = open_[-1]
+            for p in parts:
+                if isinstance(p, str):
+                    held.append(p)
+                    continue
+                if p is not None and p.tag[0] == "#":  # inline and removed: no end of a block
+                    continue
+                if block := clean("".join(held)):
+                    out.append(block)
+                held.clear()
+                if p is not None and not p.chrome and p.key not in templates:
+                    open_.append((iter([*p.parts, None]), []))
+                    break
+            else:
+                open_.pop()
 
     for n in main_nodes(root):
         walk(n)
@@ -196,23 +209,24 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BROADCAST_TEMPLATES = 200_000
 
 
-def site_templates(pages: DataFrame, least_pages: int = 10, least_share: float = 0.1) -> DataFrame:
-    """``(host, subtree)``: subtrees on at least ``least_pages`` pages of a host and ``least_share`` of them."""
+def site_templates(pages: DataFrame, least_pages: int = 10) -> DataFrame:
+    """``(host, subtree)``: subtrees on at least ``least_pages`` pages of a host and on the square root of their number. The
+    root grows slower than the host, but keeps a host's templates few beside its pages."""
     at = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     counts = at.mapInArrow(_subtrees, "host string, subtree long, pages long")
     counts = counts.groupBy("host", "subtree").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least_pages)
     hosts = at.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    return counts.join(hosts, "host").where(F.col("pages") >= least_share * F.col("of")).select("host", "subtree")
+    return counts.join(hosts, "host").where(F.col("pages") * F.col("pages") >= F.col("of")).select("host", "subtree")
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = 10, least_share: float = 0.1) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = 10) -> DataFrame:
     """``pages`` with ``text``, one row per row; null and empty pages have empty text; all other columns stay.
 
-    Inside an article or main element running text stays even where it recurs; elsewhere any recurring subtree goes.
+    Inside an article element running text stays even where it recurs; elsewhere any recurring subtree goes.
     Pages with a null url share the empty host. Repeated rows count as pages each.
     """
     names = pages.columns
-    found = materialize(site_templates(pages, least_pages, least_share), "templates")
+    found = materialize(site_templates(pages, least_pages), "templates")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
     at = pages.withColumn("_host", host_of(F.col("url")))
     if found.count() <= BROADCAST_TEMPLATES:
