@@ -39,15 +39,19 @@ def materialize(df: DataFrame, label: str, compression: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that will not be read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize`, once nothing will read it again."""
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/gleanery/"
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.replace("file:///", "file:/").startswith(base.replace("file:///", "file:/")):
-            path = hadoop.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
 
 
 def free_shuffles(spark: SparkSession) -> None:
