@@ -1,18 +1,24 @@
 """Language-model scores of documents by n-gram tries that are sharded by context.
 
-Documents are read once, in blocks: a block's token stream and word table are written to the shared folder. Word counts
-come from a pass over the word tables alone, dealt by word hash. Then each block sends its distinct trigrams, with the
-lowest order's probability of each word, to the shards of their contexts. A shard counts the training trigrams, builds its
-trie, looks all trigrams up and returns log probabilities summed per document. All that moves is packed arrays.
-
-Contexts that take a large share of all tokens are divided into classes by the word before, each a context of its own,
-so no shard grows with one word's frequency.
+Documents are read once, in blocks: a block's token stream and its word table are written to the shared folder. Word counts
+come from the word tables alone, dealt by word hash. Then each block sends its distinct trigrams, with the training count of
+each word, to the shards of their contexts. A shard counts the training trigrams, builds its trie, maps it from a scratch
+file, looks all trigrams up and returns log probabilities summed per document. All that moves is packed arrays.
+
+The model is one trigram model, whatever the shards. A context with more tokens than a shard should hold is spread over
+several shards by the word before it: that divides its trigrams, but not its bigrams. So the bigrams after such contexts
+are counted beforehand, dealt by their own hash, and the blocks send their finished probability in place of the word's
+count. Pairs of words that are still too frequent have their trigrams counted the same way, and the block settles those
+by itself. Only the numbers of distinct successors of these contexts go through the driver, of two million contexts at most.
 """
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +28,17 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.ngram_trie import NgramTrie, pack, unpack
 from gleanery.llm.texts import BASE, FOLD, SPACED, U64, blocks, hash_spans, mix, text_buffer, word_spans
-from gleanery.sources.shared import free_shuffles, materialize, new_path
+from gleanery.sources.shared import delete, free_shuffles, materialize, new_path
 
-BEGIN, END = U64(1), U64(2)
+END = U64(2)
 #: Bytes of text in a block, tokens in a shard, words of a block in a word shard: about.
 BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 6 << 20, 800_000, 1_500_000
-#: Steps of the lowest order's quantised log10 probability: 16 bits hold it down to 1e-16.
+#: Steps of a finished bigram's quantised log10 probability: 16 bits hold it down to 1e-16.
 CODES = 4096
-#: A context with more than one in so many tokens is divided into classes of about that share.
-CONTEXT_SHARE = 1024
+#: Contexts that are spread number this at most: their least number of tokens grows where SHARD_TOKENS would make more of them.
+MOST_SPREAD = 2_000_000
+#: Word counts as sent to the shards, in 8 bits: exact to 64, then eight steps an octave.
+LEVELS = np.concatenate([np.arange(64.0), 64 * 2 ** (np.arange(192) / 8)])
 
 
 def _squeeze(arrays: dict[str, np.ndarray]) -> bytes:
@@ -44,23 +52,49 @@ def _expand(raw: bytes) -> dict[str, np.ndarray]:
 def _small(a: np.ndarray) -> np.ndarray:
     """Non-negative integers in the fewest whole bytes."""
     top = int(a.max(initial=0))
-    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _planes(a: np.ndarray) -> dict[str, np.ndarray]:
+def _planes(a: np.ndarray, name: str = "") -> dict[str, np.ndarray]:
     """Non-negative integers as byte planes, low bytes first, as many as the largest needs: what is alike lies together."""
     width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
-    return {"planes": np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel(), "width": np.array([width], np.uint8)}
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).ravel()
+    return {name + "planes": planes, name + "width": np.array([width], np.uint8)}
 
 
-def _from_planes(a: dict[str, np.ndarray], name: str) -> np.ndarray:
+def _from_planes(a: dict[str, np.ndarray], name: str = "") -> np.ndarray:
     width = int(a[name + "width"][0])
     out = np.zeros((len(a[name + "planes"]) // width, 8), np.uint8)
     out[:, :width] = a[name + "planes"].reshape(width, -1).T
     return out.view("<u8").ravel()
 
 
+def _sorted_planes(a: np.ndarray, name: str = "") -> dict[str, np.ndarray]:
+    """Ascending 64-bit numbers, as differences."""
+    return _planes(np.diff(a, prepend=U64(0)), name)
+
+
+def _from_sorted_planes(a: dict[str, np.ndarray], name: str = "") -> np.ndarray:
+    return np.cumsum(_from_planes(a, name), dtype=U64)
+
+
+def _range_shards(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of ascending hashes begins and ends; shards are equal ranges of hashes."""
+    top = (keys >> U64(32)) * U64(shards) >> U64(32)
+    return np.searchsorted(top, np.arange(shards + 1, dtype=U64))
+
+
+def _level(c: np.ndarray) -> np.ndarray:
+    return np.searchsorted((LEVELS[1:] + LEVELS[:-1]) / 2, c).astype(np.uint8)
+
+
+def _batch(columns: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for _, kind, values in columns], [name for name, _, _ in columns])
+
+
 def _tokens(word_shards: int):
+    """Of each block its token stream (``kind`` stream), and its words and training counts by word shard (``kind`` words)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, BLOCK_BYTES):
             data, offsets = text_buffer(b.column("text"))
@@ -74,50 +108,32 @@ def _tokens(word_shards: int):
             inner[last] = False
             stream[inner] = np.maximum(hash_spans(data, starts, ends), U64(3))
             words, local = np.unique(stream, return_inverse=True)
-            train = np.repeat(~np.asarray(b.column("held_out").cast(pa.int8())).astype(bool), counts)
-            n = np.bincount(local, train, len(words)).astype(np.int64)
-            # words by shard, each shard's in order; the stream names them by that order
-            shard = (words % U64(word_shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            back = np.empty(len(words), np.int64)
-            back[order] = np.arange(len(words))
-            bounds = np.searchsorted(shard[order], np.arange(word_shards + 1))
-            block = int(np.random.default_rng().integers(1 << 62))
-            ids = np.asarray(b.column("doc_id"))
             held = np.asarray(b.column("held_out").cast(pa.int8()))
-            known = np.asarray(b.column("has_id").cast(pa.int8()))
-            body = {"words": words[order], "stream": _small(back[local]), "counts": _small(counts), "ids": ids, "held": held, "known": known}
-            body |= {"bounds": bounds, "n": _small(n[order])}
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_squeeze(body)], pa.binary())], ["block", "body"])
+            n = np.bincount(local, np.repeat(held == 0, counts), len(words)).astype(np.int64)
+            block = int(np.random.default_rng().integers(1 << 62))
+            body = {"stream": _small(local), "counts": _small(counts), "ids": np.asarray(b.column("doc_id")), "held": held}
+            body["known"] = np.asarray(b.column("has_id").cast(pa.int8()))
+            out = [(-1, _squeeze(body), "stream")]
+            cut = _range_shards(words, word_shards).tolist()
+            for k, (s, e) in enumerate(zip(cut, cut[1:])):
+                if s < e:
+                    out.append((k, _squeeze({**_sorted_planes(words[s:e]), "n": _small(n[s:e])}), "words"))
+            shard, body, kind = zip(*out)
+            yield _batch([("block", pa.int64(), [block] * len(out)), ("shard", pa.int32(), shard), ("body", pa.binary(), body), ("kind", pa.string(), kind)])
 
     return run
 
 
-def _word_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's words and training counts, by word shard."""
-    for batch in batches:
-        for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
-            a = _expand(body)
-            out = [
-                (block, k, _squeeze({"words": a["words"][s:e], "n": a["n"][s:e]}))
-                for k, (s, e) in enumerate(zip(a["bounds"].tolist(), a["bounds"][1:].tolist()))
-                if s < e
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())],
-                ["block", "shard", "body"],
-            )
-
-
 def _count(table: pa.Table) -> pa.Table:
     """Training counts and frequency ranks of a word shard, for each block in the order it asked, with the shard's own
     totals once."""
     asked = [_expand(x) for x in table.column("body").to_pylist()]
-    every, at = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
+    words = [_from_sorted_planes(a) for a in asked]
+    every, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, np.concatenate([a["n"] for a in asked]), len(every)).astype(np.int64)
     rank = np.empty(len(every), np.int64)
     rank[np.argsort(-total, kind="stable")] = np.arange(len(every))
-    cuts = np.cumsum([len(a["words"]) for a in asked])[:-1]
+    cuts = np.cumsum([len(w) for w in words])[:-1]
     got = zip(np.split(total[at], cuts), np.split(rank[at], cuts))
     once = np.arange(len(asked)) == 0
     return pa.table(
@@ -127,138 +143,284 @@ def _count(table: pa.Table) -> pa.Table:
             "counts": pa.array([_squeeze({"c": _small(c), "rank": _small(r)}) for c, r in got], pa.binary()),
             "tokens": pa.array(np.where(once, total.sum(), 0)),
             "types": pa.array(np.where(once, (total > 0).sum(), 0)),
+            "most": pa.array(np.where(once, total.max(initial=0), 0)),
         }
     )
 
 
-def _requests(tokens: int, types: int, shards: int, word_shards: int):
+@dataclass
+class Corpus:
+    """What the whole corpus says of itself: totals, and the spread contexts' numbers of distinct successors."""
+
+    tokens: int
+    types: int
+    docs: int
+    word_shards: int
+    gram_shards: int
+    shards: int
+    #: Contexts with more training tokens than this are spread.
+    limit: int
+    successors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def lowest(self, c: np.ndarray) -> np.ndarray:
+        return (c + 0.5) / (self.tokens + 0.5 * (self.types + 1))
+
+
+class Block:
+    """A block's tokens with their words' numbers and counts, and what is known of its spread contexts."""
+
+    def __init__(self, r: dict, corpus: Corpus) -> None:
+        self.id, self.corpus, self.body = r["block"], corpus, _expand(r["body"])
+        parts = [(x["shard"], _expand(x["body"])) for x in sorted(r["parts"], key=lambda x: x["shard"])]
+        # a word's number is small for frequent words; 0 is the place before a text, the last of both arrays
+        self.c = np.concatenate([*(p["c"].astype(np.int64) for _, p in parts), [corpus.docs]])
+        self.number = np.concatenate([*(p["rank"].astype(np.int64) * corpus.word_shards + k + 1 for k, p in parts), [0]])
+        self.word, self.counts = self.body["stream"].astype(np.int64), self.body["counts"].astype(np.int64)
+        self.rows, begin = np.repeat(np.arange(len(self.counts)), self.counts), len(self.c) - 1
+        self.one, self.two = np.empty(len(self.word), np.int64), np.empty(len(self.word), np.int64)
+        self.one[1:], self.two[2:] = self.word[:-1], self.word[:-2]
+        first = np.cumsum(self.counts) - self.counts
+        self.one[first] = self.two[first] = begin
+        self.two[first[self.counts > 1] + 1] = begin
+        self.train = self.body["held"][self.rows] == 0
+        #: Tokens after spread contexts, the trigram's context among them, and each level's probability there.
+        self.spread = np.flatnonzero(self.c[self.one] > corpus.limit)
+        self.p2, self.pair, self.p3 = np.zeros(0), np.zeros(0, np.int64), np.zeros(0)
+        if r.get("pairs") is not None and len(self.spread):
+            self._know_pairs(r["pairs"], r.get("triples"))
+
+    def _keys(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the contexts of ``size`` words and of the whole n-grams, of the tokens ``at``."""
+        context = mix(self.number[self.one[at]].astype(U64) + U64(1))
+        if size == 2:
+            context = mix(context * BASE + self.number[self.two[at]].astype(U64))
+        return context, mix(context * BASE + self.number[self.word[at]].astype(U64))
+
+    def grams(self, at: np.ndarray, size: int) -> Iterator[tuple[int, bytes]]:
+        """The distinct n-grams of the tokens ``at``, with their contexts and training counts, by shard."""
+        context, key = self._keys(at, size)
+        keys, first, of = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(of, self.train[at], len(keys)).astype(np.int64)
+        contexts, which = np.unique(context[first], return_inverse=True)
+        cut = _range_shards(keys, self.corpus.gram_shards).tolist()
+        for k, (s, e) in enumerate(zip(cut, cut[1:])):
+            if s < e:
+                mine, index = np.unique(which[s:e], return_inverse=True)
+                yield k, _squeeze({**_sorted_planes(keys[s:e]), "n": _small(n[s:e]), "context": _small(index), "contexts": contexts[mine]})
+
+    def _smooth(self, at: np.ndarray, size: int, replies: list, total: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of the tokens ``at`` and the training count of their n-grams."""
+        context, key = self._keys(at, size)
+        _, of = np.unique(key, return_inverse=True)
+        c = np.concatenate([_expand(x["body"])["c"].astype(np.int64) for x in sorted(replies, key=lambda x: x["shard"])])[of]
+        known, types = self.corpus.successors[size - 1]
+        k = np.minimum(np.searchsorted(known, context), len(known) - 1)
+        types = np.where(known[k] == context, types[k], 0)
+        return np.maximum(c - NgramTrie.DISCOUNT, 0) / total + NgramTrie.DISCOUNT * types / total * below, c
+
+    def _know_pairs(self, pairs: list, triples: list | None) -> None:
+        at, limit = self.spread, self.corpus.limit
+        self.p2, c = self._smooth(at, 1, pairs, self.c[self.one[at]], self.corpus.lowest(self.c[self.word[at]]))
+        # how often the context's two words follow each other: the count of the pair that ends one token before
+        count = np.zeros(len(self.word), np.int64)
+        count[at] = c
+        begin = len(self.c) - 1
+        before = np.where(self.one[at] == begin, self.corpus.docs, count[at - 1])
+        self.pair = np.flatnonzero(before > limit)
+        if triples is not None and len(self.pair):
+            self.p3, _ = self._smooth(at[self.pair], 2, triples, before[self.pair], self.p2[self.pair])
+
+
+def _grams(shared, size: int):
+    """The n-grams after the spread contexts of ``size`` words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield from _block_requests(r, tokens, types, shards, word_shards)
+                b = Block(r, shared.value)
+                at = b.spread if size == 1 else b.spread[b.pair]
+                if len(at):
+                    out = list(b.grams(at, size))
+                    yield _batch([("block", pa.int64(), [b.id] * len(out)), ("shard", pa.int32(), [o[0] for o in out]), ("body", pa.binary(), [o[1] for o in out])])
 
     return run
 
 
-def _block_requests(r: dict, tokens: int, types: int, shards: int, word_shards: int) -> Iterator[pa.RecordBatch]:
-    body = _expand(r["body"])
-    parts = [(x["shard"], _expand(x["counts"])) for x in sorted(r["parts"], key=lambda x: x["shard"])]
-    c = np.concatenate([p["c"].astype(np.int64) for _, p in parts])
-    # a word's number: small for frequent words; 0 is the place before a text
-    number = np.concatenate([p["rank"].astype(np.int64) * word_shards + k + 1 for k, p in parts] + [[0]])
-    words, stream, counts = body["words"], body["stream"].astype(np.int64), body["counts"].astype(np.int64)
-    rows = np.repeat(np.arange(len(counts)), counts)
-    lowest = (c + 0.5) / (tokens + 0.5 * (types + 1))
-    base = np.bincount(rows, np.log10(lowest)[stream], len(counts))
-    known = np.bincount(rows, c[stream] > 0, len(counts)).astype(np.int64)
-    coded = np.minimum(np.round(-np.log10(lowest) * CODES), 65535).astype(np.uint16)
-    facts = {"ids": body["ids"], "known_id": body["known"], "held": body["held"], "tokens": counts, "known": known, "base": base}
-    out = [(0, _squeeze(facts), True)]
-    # two extra words before each row; the distinct trigrams of each row
-    w = np.concatenate([words, [BEGIN]])
-    begin, first = len(words), np.cumsum(counts) - counts
-    one, two = np.empty(len(stream), np.int64), np.empty(len(stream), np.int64)
-    one[1:], two[2:] = stream[:-1], stream[:-2]
-    one[first] = two[first] = begin
-    second = first[counts > 1] + 1
-    two[second] = begin
-    key = mix(mix(w[two] + BASE) * BASE + mix(w[one]) * U64(3) + w[stream])
-    order = np.lexsort((key, rows))
+GRAMS = "block long, shard int, body binary, most long, context long, successors long"
+
+
+def _count_grams(table: pa.Table) -> pa.Table:
+    """Training counts of a shard's n-grams for each block in the order it asked, and the distinct successors that this shard
+    has of each context, in rows without a block."""
+    asked = [_expand(x) for x in table.column("body").to_pylist()]
+    keys = [_from_sorted_planes(a) for a in asked]
+    every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    total = np.bincount(at, np.concatenate([a["n"] for a in asked]), len(every)).astype(np.int64)
+    context = np.concatenate([a["contexts"][a["context"]] for a in asked])[first]
+    contexts, of = np.unique(context, return_inverse=True)
+    types = np.bincount(of, total > 0, len(contexts)).astype(np.int64)
+    got = [_squeeze({"c": _small(x)}) for x in np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])]
+    none = [None] * len(contexts)
+    return pa.table(
+        [
+            pa.array([*table.column("block").to_pylist(), *none], pa.int64()),
+            pa.array([*table.column("shard").to_pylist(), *none], pa.int32()),
+            pa.array([*got, *none], pa.binary()),
+            pa.array([int(total.max(initial=0))] * len(got) + none, pa.int64()),
+            pa.array([None] * len(got) + contexts.view(np.int64).tolist(), pa.int64()),
+            pa.array([None] * len(got) + types.tolist(), pa.int64()),
+        ],
+        [x.split()[0] for x in GRAMS.split(", ")],
+    )
+
+
+def _requests(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = Block(r, shared.value)
+                out = list(_block_requests(b))
+                cols = [("block", pa.int64(), [b.id] * len(out)), ("shard", pa.int32(), [o[0] for o in out])]
+                yield _batch([*cols, ("facts", pa.bool_(), [o[2] for o in out]), ("body", pa.binary(), [o[1] for o in out])])
+
+    return run
+
+
+def _block_requests(b: Block) -> Iterator[tuple[int, bytes, bool]]:
+    corpus = b.corpus
+    base = np.bincount(b.rows, np.log10(corpus.lowest(b.c))[b.word], len(b.counts))
+    known = np.bincount(b.rows, b.c[b.word] > 0, len(b.counts)).astype(np.int64)
+    settled = b.spread[b.pair[: len(b.p3)]]
+    own = np.bincount(b.rows[settled], np.log10(b.p3), len(b.counts)) if len(settled) else np.zeros(len(b.counts))
+    facts = {"ids": b.body["ids"], "known_id": b.body["known"], "held": b.body["held"], "tokens": b.counts, "known": known, "base": base, "own": own}
+    yield b.id % corpus.shards, _squeeze(facts), True
+    # the distinct trigrams of each row, but for those that are settled
+    open_ = np.ones(len(b.word), bool)
+    open_[settled] = False
+    at = np.flatnonzero(open_)
+    key = b._keys(at, 2)[1]
+    order = np.lexsort((key, b.rows[at]))
     new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (rows[order][1:] != rows[order][:-1])
-    pick = order[new]
+    new[1:] = (key[order][1:] != key[order][:-1]) | (b.rows[at[order]][1:] != b.rows[at[order]][:-1])
+    pick = at[order[new]]
     n = np.diff(np.append(np.flatnonzero(new), len(order)))
-    # classes of frequent contexts, by the earlier word
-    classes = np.append(c * CONTEXT_SHARE // max(tokens, 1) + 1, 1)[one[pick]]
-    one, two, word, row = one[pick], two[pick], stream[pick], rows[pick]
-    kind = (mix(w[two]) % classes.astype(U64)).astype(np.int64)
-    shard = (mix(w[one] + BASE * kind.astype(U64)) % U64(shards)).astype(np.int64)
-    context = number[one] * (CONTEXT_SHARE + 1) + kind
+    finished = np.full(len(b.word), -1.0)
+    if len(b.p2):
+        finished[b.spread] = b.p2
+    one, two, word, row, finished = b.one[pick], b.two[pick], b.word[pick], b.rows[pick], finished[pick]
+    # a spread context's place depends on the word before, too
+    classes = np.where(b.c > corpus.limit, b.c // corpus.limit + 1, 1)[one]
+    kind = (mix(b.number[two].astype(U64) + BASE) % classes.astype(U64)).astype(np.int64)
+    context = b.number[one] * (max(corpus.tokens, corpus.docs) // corpus.limit + 2) + kind
+    shard = (mix(context.astype(U64)) % U64(corpus.shards)).astype(np.int64)
+    level = _level(b.c)
     by = np.lexsort((context, shard))
-    edges = np.searchsorted(shard[by], np.arange(shards + 1))
-    for k in range(shards):
+    edges = np.searchsorted(shard[by], np.arange(corpus.shards + 1))
+    for k in range(corpus.shards):
         s = by[edges[k] : edges[k + 1]]
         if not len(s):
             continue
         new = np.flatnonzero(np.append(True, context[s][1:] != context[s][:-1]))
-        send = {"of": _small(np.diff(np.append(new, len(s)))), "n": _small(n[s]), "held": np.packbits(body["held"][row[s]].astype(bool))}
-        columns = {"context.": context[s][new], "two.": number[two[s]], "word.": number[word[s]], "lowest.": coded[word[s]], "row.": row[s]}
+        p = finished[s]
+        send = {"of": _small(np.diff(np.append(new, len(s)))), "n": _small(n[s]), "held": np.packbits(b.body["held"][row[s]].astype(bool))}
+        send |= {"spread": np.packbits(p[new] >= 0), "level": level[word[s]][p < 0]}
+        send |= _planes(np.minimum(np.round(-np.log10(p[p >= 0]) * CODES), 65535).astype(np.int64), "finished.")
+        columns = {"context.": np.diff(context[s][new], prepend=0), "two.": b.number[two[s]], "word.": b.number[word[s]], "row.": row[s]}
         for name, a in columns.items():
-            send |= {name + x: v for x, v in _planes(a).items()}
-        out.append((k, _squeeze(send), False))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r["block"]] * len(out)), pa.array([o[0] for o in out], pa.int32()), pa.array([o[2] for o in out]), pa.array([o[1] for o in out], pa.binary())],
-        ["block", "shard", "facts", "body"],
-    )
+            send |= _planes(a, name)
+        yield k, _squeeze(send), False
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(table: pa.Table) -> pa.Table:
+def _score(shared):
     """A shard's trie from its training trigrams, and the log probabilities of all, summed by row and packed by block."""
-    out, asked = [], []
-    for block, is_fact, body in zip(*(table.column(c).to_pylist() for c in ("block", "facts", "body"))):
-        if is_fact:
-            out.append((block, True, body))
-        else:
-            asked.append((block, _expand(body)))
-    if asked:
-        take = lambda f: np.concatenate([f(a) for _, a in asked])
-        context = take(lambda a: np.repeat(_from_planes(a, "context."), a["of"]))
-        two, word = take(lambda a: _from_planes(a, "two.")), take(lambda a: _from_planes(a, "word."))
-        lowest, n = 10.0 ** -(take(lambda a: _from_planes(a, "lowest.")) / CODES), take(lambda a: a["n"].astype(np.int64))
-        held = take(lambda a: np.unpackbits(a["held"], count=len(a["n"])).astype(bool))
-        order = np.lexsort((word, two, context))
-        new = np.ones(len(order), bool)
-        a, b, c = context[order], two[order], word[order]
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-        which = np.cumsum(new) - 1
-        first = order[new]
-        count = np.bincount(which, np.where(held, 0, n)[order], len(first))
-        seen = count > 0
-        trie = NgramTrie.build(context[first[seen]], two[first[seen]], word[first[seen]], count[seen])
-        p = np.log10(trie.probability(context[first], two[first], word[first], lowest[first]))
-        each = np.empty(len(order))
-        each[order] = p[which]
-        each *= n
-        at = 0
-        for block, a in asked:
-            m = len(a["n"])
-            row = _from_planes(a, "row.").astype(np.int64)
-            total = np.bincount(row, each[at : at + m])
-            rows = np.unique(row)
-            at += m
-            out.append((block, False, _squeeze({"total": total[rows].astype(np.float32), **_planes(rows)})))
-    cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.binary())]
-    return pa.table(cols, ["block", "facts", "body"])
+
+    def run(table: pa.Table) -> pa.Table:
+        out, asked = [], []
+        for block, is_fact, body in zip(*(table.column(c).to_pylist() for c in ("block", "facts", "body"))):
+            if is_fact:
+                out.append((block, True, body))
+            else:
+                asked.append((block, _expand(body)))
+        if asked:
+            each = _log_probabilities([a for _, a in asked], shared.value)
+            at = 0
+            for block, a in asked:
+                row = _from_planes(a, "row.").astype(np.int64)
+                total = np.bincount(row, each[at : at + len(row)])
+                rows = np.unique(row)
+                at += len(row)
+                out.append((block, False, _squeeze({"total": total[rows].astype(np.float32), **_planes(rows)})))
+        return pa.table(_batch([("block", pa.int64(), [o[0] for o in out]), ("facts", pa.bool_(), [o[1] for o in out]), ("body", pa.binary(), [o[2] for o in out])]))
+
+    return run
+
+
+def _log_probabilities(asked: list[dict[str, np.ndarray]], corpus: Corpus) -> np.ndarray:
+    """The log10 probability of each trigram sent, times how often its row has it, in the order sent."""
+    take = lambda f: np.concatenate([f(a) for a in asked])
+    n = take(lambda a: a["n"].astype(np.int64))
+    held = take(lambda a: np.unpackbits(a["held"], count=len(a["n"])).astype(bool))
+    spread = take(lambda a: np.repeat(np.unpackbits(a["spread"], count=len(a["of"])).astype(bool), a["of"]))
+    lowest = np.empty(len(n))
+    lowest[~spread] = corpus.lowest(LEVELS)[take(lambda a: a["level"])]
+    lowest[spread] = 10.0 ** -(take(lambda a: _from_planes(a, "finished.")) / CODES)
+    context = take(lambda a: np.repeat(_from_sorted_planes(a, "context."), a["of"]))
+    two, word = take(lambda a: _from_planes(a, "two.")), take(lambda a: _from_planes(a, "word."))
+    order = np.lexsort((word, two, context))
+    new = np.ones(len(order), bool)
+    a, b, c = context[order], two[order], word[order]
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    which = np.cumsum(new) - 1
+    first = order[new]
+    count = np.bincount(which, np.where(held, 0, n)[order], len(first))
+    seen = count > 0
+    # the levels are mapped from a scratch file of this task, which has no name and goes with it
+    with tempfile.TemporaryFile() as file:
+        NgramTrie.write(file, context[first[seen]], two[first[seen]], word[first[seen]], count[seen])
+        with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as levels:
+            trie = NgramTrie(unpack(levels))
+            p = np.log10(trie.probability(context[first], two[first], word[first], lowest[first], spread[first]))
+            del trie
+    each = np.empty(len(order))
+    each[order] = p[which]
+    return each * n
 
 
 def _gather(table: pa.Table) -> pa.Table:
     """A block's rows: its facts, and its sums from all shards."""
     parts = [(is_fact, _expand(body)) for is_fact, body in zip(table.column("facts").to_pylist(), table.column("body").to_pylist())]
     a = next(x for is_fact, x in parts if is_fact)
-    score = np.zeros(len(a["ids"]))
+    score = a["own"].copy()
     for is_fact, x in parts:
         if not is_fact:
-            score[_from_planes(x, "").astype(np.int64)] += x["total"]
+            score[_from_planes(x).astype(np.int64)] += x["total"]
     cols = [pa.array(a["ids"], mask=a["known_id"] == 0), pa.array(a["held"].astype(bool)), *map(pa.array, (a["tokens"], a["known"], a["base"], score))]
     return pa.table(cols, [x.split()[0] for x in RESULT.split(", ")])
 
 
+def _replies(counts: DataFrame, name: str) -> DataFrame:
+    return counts.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "body")).alias(name))
+
+
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
     The model learns from the rows where ``held_out`` is false (null counts as false) and scores all. Tokens are the words
     of the whole text, A-Z lowered, and one end. ``base_score`` is the unigram estimate with half a count added to each
     training type and to one unknown; ``score`` the trigram model's log10 probability, interpolated by absolute
-    discounting down to that estimate, its stored values quantised to 8 bits. Null and empty texts are an end alone.
-    Repeated rows and null ids are rows like others; with no training rows every score is the estimate of an empty
-    table. An empty table gives no rows; other columns are ignored.
+    discounting down to that estimate. Stored values are quantised to 8 bits, and so are counts above 64 in the estimate that
+    ``score`` falls back to. How contexts are dealt or spread changes nothing else.
+
+    Null and empty texts are an end alone. Repeated rows and null ids are rows like others; with no training rows every score
+    is the estimate of an empty table. An empty table gives no rows; other columns are ignored. The scores are computed at
+    once and written to the shared folder; the tables in between are deleted.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    word_shards = 1 + int(size) // (12 * SHARD_WORDS)
+    size = int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+    word_shards = 1 + size // (12 * SHARD_WORDS)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
         F.col("doc_id").isNotNull().alias("has_id"),
@@ -268,19 +430,41 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     # bucketed by block, so that the counts come to the streams and not the streams to the counts
     name, path = f"tokens_{uuid.uuid4().hex}", new_path(spark, "tokens")
     # (with fewer buckets than shuffle partitions Spark would deal both anew)
-    buckets = max(1 + int(size) // (4 * BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    streams = rows.mapInArrow(_tokens(word_shards), "block long, body binary")
-    streams.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
-    table = spark.table(name)
-    asked = table.mapInArrow(_word_tables, "block long, shard int, body binary").groupBy("shard")
-    counts = materialize(asked.applyInArrow(_count, "block long, shard int, counts binary, tokens long, types long"), "counts")
+    buckets = max(1 + size // (4 * BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    written = rows.mapInArrow(_tokens(word_shards), "block long, shard int, body binary, kind string")
+    written.write.partitionBy("kind").bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
+    words = spark.table(name).where("kind = 'words'").groupBy("shard")
+    counts = materialize(words.applyInArrow(_count, "block long, shard int, counts binary, tokens long, types long, most long"), "counts")
+    tokens, types, most = (x or 0 for x in counts.agg(F.sum("tokens"), F.sum("types"), F.max("most")).first())
+    n_docs = rows.where("not held_out").count()
+    corpus = Corpus(tokens, types, n_docs, word_shards, 1 + size // (6 * SHARD_TOKENS), 1 + size // (6 * SHARD_TOKENS), max(SHARD_TOKENS, tokens // MOST_SPREAD))
+    delete(spark, f"{path}/kind=words")
+    del words
     free_shuffles(spark)
-    tokens, types = counts.agg(F.sum("tokens"), F.sum("types")).first()
-    tokens, types = tokens or 0, types or 0
-    shards = 1 + int(size) // (6 * SHARD_TOKENS)
-    parts = counts.groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("parts"))
-    asked = table.join(parts, "block")
-    asked = asked.mapInArrow(_requests(tokens, types, shards, word_shards), "block long, shard int, facts boolean, body binary")
-    got = asked.groupBy("shard").applyInArrow(_score, "block long, facts boolean, body binary")
+
+    streams = spark.table(name).where("kind = 'stream'").select("block", "body")
+    streams = streams.join(_replies(counts.withColumnRenamed("counts", "body"), "parts"), "block")
+    used, most = [counts], max(most, n_docs)
+    for size, replies in ((1, "pairs"), (2, "triples")):
+        if most <= corpus.limit:  # no context of this size is spread
+            break
+        shared = spark.sparkContext.broadcast(corpus)
+        asked = streams.mapInArrow(_grams(shared, size), "block long, shard int, body binary").groupBy("shard")
+        grams = materialize(asked.applyInArrow(_count_grams, GRAMS), replies)
+        most = max(grams.agg(F.max("most")).first()[0] or 0, n_docs)
+        found = grams.where("context is not null").groupBy("context").agg(F.sum("successors").alias("n")).toArrow()
+        contexts, n = (np.asarray(c.combine_chunks()) for c in (found.column("context"), found.column("n")))
+        order = np.argsort(contexts.view(U64))
+        corpus.successors.append((contexts.view(U64)[order], n[order]))
+        streams = streams.join(_replies(grams, replies), "block", "left")
+        used.append(grams)
+    shared = spark.sparkContext.broadcast(corpus)
+    asked = streams.mapInArrow(_requests(shared), "block long, shard int, facts boolean, body binary")
+    got = asked.groupBy("shard").applyInArrow(_score(shared), "block long, facts boolean, body binary")
     out = got.groupBy("block").applyInArrow(_gather, RESULT)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = materialize(out, "scores")
+    spark.sql(f"DROP TABLE {name}")
+    for x in (path, *(f for t in used for f in {p.rsplit("/", 1)[0] for p in t.inputFiles()})):
+        delete(spark, x)
+    return out

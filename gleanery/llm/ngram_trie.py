@@ -113,13 +113,13 @@ class EliasFano:
 
 
 def quantise(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """Codes of 8 bits and their codebook: the distinct values if few, else means of equally filled bins."""
+    """Codes of 8 bits and their codebook: the distinct values if few, else the means of bins of equal width, so that no
+    value is off by more than a 256th of the range."""
     book, code = np.unique(values, return_inverse=True)
     if len(book) > 256:
-        edges = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1]))
-        code = np.searchsorted(edges, values)
-        total = np.bincount(code, values, len(edges) + 1)
-        book = total / np.maximum(1, np.bincount(code, minlength=len(edges) + 1))
+        width = (book[-1] - book[0]) / 256
+        code = np.minimum(((values - book[0]) / width).astype(np.int64), 255)
+        book = np.bincount(code, values, 256) / np.maximum(1, np.bincount(code, minlength=256))
     return {name + "code": code.astype(np.uint8), name + "book": book.astype(np.float32)}
 
 
@@ -130,18 +130,24 @@ class NgramTrie:
 
     def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         self.a = arrays
-        self.contexts, self.earlier, self.words = arrays["contexts"], arrays["earlier"], arrays["words"]
+        self.contexts, self.earlier, self.words = (EliasFano(arrays, f"{x}.") for x in ("contexts", "earlier", "words"))
         self.two_ptr, self.two = EliasFano(arrays, "two_ptr."), EliasFano(arrays, "two.")
         self.ctx_ptr, self.ctx = EliasFano(arrays, "ctx_ptr."), EliasFano(arrays, "ctx.")
         self.three_ptr, self.three = EliasFano(arrays, "three_ptr."), EliasFano(arrays, "three.")
 
     @classmethod
-    def build(cls, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, count: np.ndarray) -> NgramTrie:
-        """From distinct trigrams and their counts; contexts and words are 64-bit numbers."""
+    def write(cls, file, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, count: np.ndarray) -> None:
+        """The levels as one buffer in an open file, to be mapped and read by :func:`unpack`."""
+        file.write(pack(cls.levels(context, earlier, word, count)))
+        file.flush()
+
+    @classmethod
+    def levels(cls, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+        """From distinct trigrams and their counts; contexts and words are numbers below 2 ** 63."""
         contexts, c = np.unique(context, return_inverse=True)
         olds, e = np.unique(earlier, return_inverse=True)
         words, w = np.unique(word, return_inverse=True)
-        arrays = {"contexts": contexts, "earlier": olds, "words": words}
+        arrays = EliasFano.build(contexts, "contexts.") | EliasFano.build(olds, "earlier.") | EliasFano.build(words, "words.")
         two, first = np.unique(c * len(words) + w, return_inverse=True)
         n2 = np.bincount(first, count)
         of2 = two // max(1, len(words))
@@ -152,8 +158,7 @@ class NgramTrie:
         place = first - start2[c]  # of the word among the context's successors
         width = int(place.max(initial=0)) + 1
         order = np.argsort(second * width + place)
-        arrays |= cls._level("three", second[order], place[order], len(ctx), count[order].astype(float))
-        return cls(unpack(pack(arrays)))
+        return arrays | cls._level("three", second[order], place[order], len(ctx), count[order].astype(float))
 
     @classmethod
     def _level(cls, name: str, parent: np.ndarray, child: np.ndarray, parents: int, count: np.ndarray | None) -> dict[str, np.ndarray]:
@@ -189,16 +194,20 @@ class NgramTrie:
     def _value(self, name: str, at: np.ndarray) -> np.ndarray:
         return 10.0 ** self.a[name + "book"][self.a[name + "code"][at]].astype(float)
 
-    def probability(self, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, lowest: np.ndarray) -> np.ndarray:
-        """Of each word after its context, interpolated down to the ``lowest`` order's probability."""
+    def probability(
+        self, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, lowest: np.ndarray, finished: np.ndarray | None = None
+    ) -> np.ndarray:
+        """Of each word after its context, interpolated down to the ``lowest`` order's probability. Where ``finished`` is set,
+        ``lowest`` is the bigram's probability already, counted elsewhere."""
         p = lowest.astype(float)
-        if not len(self.contexts):
+        if not self.contexts.n:
             return p
         c, known = _index(self.contexts, context)
         w, has_word = _index(self.words, word)
         at2, place, hit2 = self._find("two", self.two_ptr, self.two, c, w, known & has_word)
-        p = np.where(known, self._value("two_b.", c) * p, p)
-        p[hit2] += self._value("two_p.", at2[hit2])
+        add = np.ones(len(p), bool) if finished is None else ~finished
+        p = np.where(known & add, self._value("two_b.", c) * p, p)
+        p[hit2 & add] += self._value("two_p.", at2[hit2 & add])
         e, has_old = _index(self.earlier, earlier)
         ctx, _, known = self._find("ctx", self.ctx_ptr, self.ctx, c, e, known & has_old)
         at3, _, hit3 = self._find("three", self.three_ptr, self.three, ctx, place, known & hit2)
@@ -207,9 +216,7 @@ class NgramTrie:
         return p
 
 
-def _index(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    ok = sorted_keys[at] == keys
+def _index(level: EliasFano, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys in a level of distinct numbers, and whether they are there."""
+    at, ok = level.successor(keys.astype(np.int64))
     return np.where(ok, at, 0), ok

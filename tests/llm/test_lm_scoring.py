@@ -25,6 +25,30 @@ def test_elias_fano(top):
     assert (v[at[found]] == x[found]).all()
 
 
+def test_trie_from_a_mapped_file(tmp_path):
+    r = np.random.default_rng(3)
+    grams = np.unique(r.integers(0, [40, 30, 50], (900, 3)), axis=0)
+    n = r.integers(1, 9, len(grams))
+    with open(tmp_path / "trie", "w+b") as file:
+        T.NgramTrie.write(file, *grams.T, n)
+    levels = np.memmap(tmp_path / "trie", mode="r")
+    trie = T.NgramTrie(T.unpack(levels))
+    assert np.shares_memory(trie.three.high, levels)
+    two, three = defaultdict(Counter), defaultdict(Counter)
+    for (c, e, w), k in zip(grams.tolist(), n.tolist()):
+        two[c][w] += k
+        three[c, e][w] += k
+    ask = r.integers(0, [45, 35, 55], (2000, 3))
+    finished = r.integers(0, 2, len(ask)).astype(bool)
+    got = trie.probability(*ask.T, np.full(len(ask), 0.01), finished)
+    for (c, e, w), done, p in zip(ask.tolist(), finished, got):
+        want = 0.01
+        for m in ([] if done else [two.get(c)]) + [three.get((c, e))]:
+            if m:
+                want = max(m[w] - 0.75, 0) / sum(m.values()) + 0.75 * len(m) / sum(m.values()) * want
+        assert p == pytest.approx(want, rel=0.05)
+
+
 def docs():
     r = random.Random(8)
     words = ["the", "of", "a", "É", "x-y", "Cat", "dog."] + [f"w{i}" for i in range(60)]
@@ -33,31 +57,26 @@ def docs():
     return [*rows, (70, None), (71, ""), (72, rows[5][1]), (72, rows[5][1]), (None, "the of zzz")]
 
 
-def brute(rows, share=L.CONTEXT_SHARE):
+def brute(rows):
+    """One undivided trigram model over plain dictionaries."""
     held = {d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
     split = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "").split() + [None]
     c = Counter(w for d, t in rows if not held[d] for w in split(t))
     n, v = sum(c.values()), len(c)
-    code = lambda w: T.U64(2) if w is None else T.U64(1) if w == 0 else _hash(w)
-
-    def context(a, b):
-        k = c[b] * share // n + 1 if b != 0 else 1
-        return b, int(L.mix(np.array([code(a)], T.U64))[0]) % k
-
     two, three = defaultdict(Counter), defaultdict(Counter)
     for d, t in rows:
         s = [0, 0, *split(t)]
         for x, y, z in zip(s, s[1:], s[2:]):
             if not held[d]:
-                two[context(x, y)][z] += 1
-                three[context(x, y), x][z] += 1
+                two[y][z] += 1
+                three[x, y][z] += 1
     out = []
     for d, t in rows:
         s, base, score = [0, 0, *split(t)], 0.0, 0.0
         for x, y, z in zip(s, s[1:], s[2:]):
             p = (c[z] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
-            for m in (two.get(context(x, y)), three.get((context(x, y), x))):
+            for m in (two.get(y), three.get((x, y))):
                 if m:
                     p = max(m[z] - 0.75, 0) / sum(m.values()) + 0.75 * len(m) / sum(m.values()) * p
             score += math.log10(p)
@@ -65,21 +84,17 @@ def brute(rows, share=L.CONTEXT_SHARE):
     return out
 
 
-def _hash(w):
-    raw = np.frombuffer(w.encode(), np.uint8)
-    return L.hash_spans(raw, np.array([0]), np.array([len(raw)]))[0]
-
-
 def run(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     return [tuple(r) for r in L.score_documents(df, F.crc32(F.col("doc_id").cast("string")) % 5 == 1).collect()]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_brute_force(spark, monkeypatch, small):
-    if small:  # many shards and blocks
-        for k in ("BLOCK_BYTES", "SHARD_TOKENS", "SHARD_WORDS"):
-            monkeypatch.setattr(L, k, 100)
+@pytest.mark.parametrize("tokens", [None, 10_000, 150, 20])
+def test_against_brute_force(spark, monkeypatch, tokens):
+    if tokens:  # many blocks; with few tokens a shard, contexts are spread, and in the last case pairs and the texts' starts too
+        monkeypatch.setattr(L, "BLOCK_BYTES", 100)
+        monkeypatch.setattr(L, "SHARD_WORDS", 100)
+        monkeypatch.setattr(L, "SHARD_TOKENS", tokens)
     got, want = (sorted(x, key=lambda t: (str(t[0]), t[5])) for x in (run(spark, docs()), brute(docs())))
     assert [t[:5] for t in got] == [t[:5] for t in want]
     assert np.allclose([t[5] for t in got], [t[5] for t in want], rtol=1e-9)
