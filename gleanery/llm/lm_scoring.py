@@ -35,8 +35,8 @@ END = U64(2)
 BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 6 << 20, 800_000, 1_500_000
 #: Steps of a finished bigram's quantised log10 probability: 16 bits hold it down to 1e-16.
 CODES = 4096
-#: Contexts that are spread number this at most: their least number of tokens grows where SHARD_TOKENS would make more of them.
-MOST_SPREAD = 2_000_000
+#: A context with more training tokens than this is spread, so that shards even out; but at most so many contexts are.
+SPREAD_TOKENS, MOST_SPREAD = SHARD_TOKENS // 8, 2_000_000
 #: Word counts as sent to the shards, in 8 bits: exact to 64, then eight steps an octave.
 LEVELS = np.concatenate([np.arange(64.0), 64 * 2 ** (np.arange(192) / 8)])
 
@@ -214,8 +214,9 @@ class Block:
         _, of = np.unique(key, return_inverse=True)
         c = np.concatenate([_expand(x["body"])["c"].astype(np.int64) for x in sorted(replies, key=lambda x: x["shard"])])[of]
         known, types = self.corpus.successors[size - 1]
-        k = np.minimum(np.searchsorted(known, context), len(known) - 1)
-        types = np.where(known[k] == context, types[k], 0)
+        distinct, which = np.unique(context, return_inverse=True)
+        k = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        types = np.where(known[k] == distinct, types[k], 0)[which]
         return np.maximum(c - NgramTrie.DISCOUNT, 0) / total + NgramTrie.DISCOUNT * types / total * below, c
 
     def _know_pairs(self, pairs: list, triples: list | None) -> None:
@@ -299,7 +300,8 @@ def _block_requests(b: Block) -> Iterator[tuple[int, bytes, bool]]:
     open_[settled] = False
     at = np.flatnonzero(open_)
     key = b._keys(at, 2)[1]
-    order = np.lexsort((key, b.rows[at]))
+    # one sort by row and the key's upper bits: a trigram between whose tokens another with these bits falls is sent in parts
+    order = np.argsort((b.rows[at].astype(U64) << U64(40)) | (key >> U64(24)))
     new = np.ones(len(order), bool)
     new[1:] = (key[order][1:] != key[order][:-1]) | (b.rows[at[order]][1:] != b.rows[at[order]][:-1])
     pick = at[order[new]]
@@ -312,10 +314,14 @@ def _block_requests(b: Block) -> Iterator[tuple[int, bytes, bool]]:
     classes = np.where(b.c > corpus.limit, b.c // corpus.limit + 1, 1)[one]
     kind = (mix(b.number[two].astype(U64) + BASE) % classes.astype(U64)).astype(np.int64)
     context = b.number[one] * (max(corpus.tokens, corpus.docs) // corpus.limit + 2) + kind
-    shard = (mix(context.astype(U64)) % U64(corpus.shards)).astype(np.int64)
+    distinct, which = np.unique(context, return_inverse=True)
+    shard = (mix(distinct.astype(U64)) % U64(corpus.shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by = np.argsort(place[which] * len(which) + np.arange(len(which)))
+    edges = np.searchsorted(shard[which[by]], np.arange(corpus.shards + 1))
     level = _level(b.c)
-    by = np.lexsort((context, shard))
-    edges = np.searchsorted(shard[by], np.arange(corpus.shards + 1))
     for k in range(corpus.shards):
         s = by[edges[k] : edges[k + 1]]
         if not len(s):
@@ -369,26 +375,38 @@ def _log_probabilities(asked: list[dict[str, np.ndarray]], corpus: Corpus) -> np
     lowest[spread] = 10.0 ** -(take(lambda a: _from_planes(a, "finished.")) / CODES)
     context = take(lambda a: np.repeat(_from_sorted_planes(a, "context."), a["of"]))
     two, word = take(lambda a: _from_planes(a, "two.")), take(lambda a: _from_planes(a, "word."))
-    order = np.lexsort((word, two, context))
+    grams = [np.unique(x, return_inverse=True) for x in (context, two, word)]
+    (_, c), (olds, e), (words, w) = grams
+    if len(grams[0][0]) * len(olds) * len(words) < 1 << 63:
+        order = np.argsort((c * len(olds) + e) * len(words) + w)
+    else:
+        order = np.lexsort((w, e, c))
     new = np.ones(len(order), bool)
-    a, b, c = context[order], two[order], word[order]
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    c1, e1, w1 = c[order], e[order], w[order]
+    new[1:] = (c1[1:] != c1[:-1]) | (e1[1:] != e1[:-1]) | (w1[1:] != w1[:-1])
     which = np.cumsum(new) - 1
     first = order[new]
     count = np.bincount(which, np.where(held, 0, n)[order], len(first))
     seen = count > 0
+    every = [(distinct, x[first]) for distinct, x in grams]
     # the levels are mapped from a scratch file of this task, which has no name and goes with it
     with tempfile.TemporaryFile() as file:
-        NgramTrie.write(file, context[first[seen]], two[first[seen]], word[first[seen]], count[seen])
+        NgramTrie.write(file, *(_used(distinct, x[seen]) for distinct, x in every), count[seen])
         with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as levels:
             trie = NgramTrie(unpack(levels))
-            p = np.log10(trie.probability(context[first], two[first], word[first], lowest[first], spread[first]))
+            p = np.log10(trie.probability(*every, lowest[first], spread[first]))
             del trie
     each = np.empty(len(order))
     each[order] = p[which]
     return each * n
 
 
+def _used(distinct: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values that are used, and the places among them."""
+    used = np.bincount(which, minlength=len(distinct)) > 0
+    return distinct[used], (np.cumsum(used) - 1)[which]
+
+
 def _gather(table: pa.Table) -> pa.Table:
     """A block's rows: its facts, and its sums from all shards."""
     parts = [(is_fact, _expand(body)) for is_fact, body in zip(table.column("facts").to_pylist(), table.column("body").to_pylist())]
@@ -437,7 +455,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     counts = materialize(words.applyInArrow(_count, "block long, shard int, counts binary, tokens long, types long, most long"), "counts")
     tokens, types, most = (x or 0 for x in counts.agg(F.sum("tokens"), F.sum("types"), F.max("most")).first())
     n_docs = rows.where("not held_out").count()
-    corpus = Corpus(tokens, types, n_docs, word_shards, 1 + size // (6 * SHARD_TOKENS), 1 + size // (6 * SHARD_TOKENS), max(SHARD_TOKENS, tokens // MOST_SPREAD))
+    corpus = Corpus(tokens, types, n_docs, word_shards, 1 + size // (6 * SHARD_TOKENS), 1 + size // (6 * SHARD_TOKENS), max(SPREAD_TOKENS, tokens // MOST_SPREAD))
     delete(spark, f"{path}/kind=words")
     del words
     free_shuffles(spark)

@@ -12,6 +12,8 @@ import json
 import numpy as np
 
 U64 = np.uint64
+#: Numbers, or distinct numbers in order with places among them.
+Keys = np.ndarray | tuple[np.ndarray, np.ndarray]
 _bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Ones in each byte value, and the place of its k-th one.
 ONES = _bits.sum(1)
@@ -136,17 +138,16 @@ class NgramTrie:
         self.three_ptr, self.three = EliasFano(arrays, "three_ptr."), EliasFano(arrays, "three.")
 
     @classmethod
-    def write(cls, file, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, count: np.ndarray) -> None:
+    def write(cls, file, context: Keys, earlier: Keys, word: Keys, count: np.ndarray) -> None:
         """The levels as one buffer in an open file, to be mapped and read by :func:`unpack`."""
         file.write(pack(cls.levels(context, earlier, word, count)))
         file.flush()
 
     @classmethod
-    def levels(cls, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
-        """From distinct trigrams and their counts; contexts and words are numbers below 2 ** 63."""
-        contexts, c = np.unique(context, return_inverse=True)
-        olds, e = np.unique(earlier, return_inverse=True)
-        words, w = np.unique(word, return_inverse=True)
+    def levels(cls, context: Keys, earlier: Keys, word: Keys, count: np.ndarray) -> dict[str, np.ndarray]:
+        """From distinct trigrams and their counts; contexts and words are numbers below 2 ** 63, each as one array or as
+        distinct values in order and each trigram's place among them."""
+        (contexts, c), (olds, e), (words, w) = map(_distinct, (context, earlier, word))
         arrays = EliasFano.build(contexts, "contexts.") | EliasFano.build(olds, "earlier.") | EliasFano.build(words, "words.")
         two, first = np.unique(c * len(words) + w, return_inverse=True)
         n2 = np.bincount(first, count)
@@ -195,7 +196,7 @@ class NgramTrie:
         return 10.0 ** self.a[name + "book"][self.a[name + "code"][at]].astype(float)
 
     def probability(
-        self, context: np.ndarray, earlier: np.ndarray, word: np.ndarray, lowest: np.ndarray, finished: np.ndarray | None = None
+        self, context: Keys, earlier: Keys, word: Keys, lowest: np.ndarray, finished: np.ndarray | None = None
     ) -> np.ndarray:
         """Of each word after its context, interpolated down to the ``lowest`` order's probability. Where ``finished`` is set,
         ``lowest`` is the bigram's probability already, counted elsewhere."""
@@ -216,7 +217,12 @@ class NgramTrie:
         return p
 
 
-def _index(level: EliasFano, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the keys in a level of distinct numbers, and whether they are there."""
-    at, ok = level.successor(keys.astype(np.int64))
-    return np.where(ok, at, 0), ok
+def _distinct(keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    return keys if isinstance(keys, tuple) else np.unique(keys, return_inverse=True)
+
+
+def _index(level: EliasFano, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys in a level of distinct numbers, and whether they are there; each distinct key is sought once."""
+    distinct, which = _distinct(keys)
+    at, ok = level.successor(distinct.astype(np.int64))
+    return np.where(ok, at, 0)[which], ok[which]
