@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -19,18 +21,26 @@ from gleanery.llm.texts import blocks
 from gleanery.llm.url_filters import host_of
 from gleanery.sources.shared import materialize
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*)>", re.S
-)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-LABEL = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adbox|banner|promo|sponsor|sponsored|cookie|cookies|consent|notice|alert|"
-    r"popup|modal|newsletter|subscribe|signup|login|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|"
-    r"comment|comments|disqus|replies|share|sharing|social|related|recommended|pagination|pager|toolbar|widget|skip)(?:$|[\s_-])"
-)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile(r"""=\s*(["'])|>""")
+#: Words of a class or id that name chrome, and those that may stand beside them in one name: ``cookie-box`` is chrome,
+#: ``related-work`` is not.
+CHROME_WORDS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adsbygoogle", "banner", "promo", "promotion", "sponsor", "sponsored",
+    "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
+    "sidebar", "menu", "menubar", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "topbar", "comment",
+    "comments", "disqus", "replies", "reply", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "toolbar", "widget", "widgets",
+    "skip", "skiplink",
+}
+BESIDE = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "desktop", "form", "global", "google", "group", "icons",
+    "inner", "item", "items", "left", "link", "links", "list", "main", "media", "mobile", "module", "outer", "page", "panel", "posts", "primary", "reader",
+    "right", "row", "secondary", "section", "site", "slot", "stories", "sub", "thread", "top", "unit", "user", "wrap", "wrapper", "js", "text",
+}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
-RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CHROME = {
     "head", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "input",
@@ -50,74 +60,164 @@ SPACE = re.compile(r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]")
 
 
 class Node:
-    __slots__ = ("tag", "chrome", "parts", "prose", "key")
-
-    def __init__(self, tag: str, chrome: bool, prose: bool) -> None:
-        self.tag, self.chrome, self.prose, self.parts, self.key = tag, chrome, prose, [], 0
+    """``chrome``: by tag, role or state; ``label``: by a word of its class or id alone. ``prose``: inside an article."""
+
+    __slots__ = ("tag", "chrome", "label", "parts", "prose", "key")
+
+    def __init__(self, tag: str, chrome: bool, label: bool, prose: bool) -> None:
+        self.tag, self.chrome, self.label, self.prose, self.parts, self.key = tag, chrome, label, prose, [], 0
+
+
+class Scanner:
+    """Markup of a page from left to right, in time linear in the page."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'>"}
+        #: Quotes that open a value from which no end of a tag is reached.
+        self.bad: set[int] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: at the first ``>`` outside quoted values or, if the quotes never close,
+        at the first ``>`` of all; -1 if there is none."""
+        opened, i = [], at
+        while i <= self.last[">"]:
+            m = STOP.search(self.page, i)
+            if m is None:
+                break
+            if m[1] is None:
+                return m.start()
+            q = m.end() - 1
+            if q in self.bad or q >= self.last[m[1]]:
+                break
+            opened.append(q)
+            i = self.page.find(m[1], q + 1) + 1
+        self.bad.update(opened)
+        return self.page.find(">", at) if at <= self.last[">"] else -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """Start and end of the next piece of markup, with ``/`` if it ends an element, the tag's name and its attributes. A
+        comment or declaration has no name; without further markup all is text."""
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 2)
+                return i, len(page) if end < 0 else end + 3, "", "", ""
+            slash = "/" if page.startswith("/", i + 1) else ""
+            m = NAME.match(page, i + 1 + len(slash))
+            if m:
+                end = self.tag_end(m.end())
+                return i, len(page) if end < 0 else end + 1, slash, m[0].lower(), page[m.end() : max(end, m.end())]
+            if slash or page[i + 1 : i + 2] in ("!", "?"):
+                end = page.find(">", i) if i <= self.last[">"] else -1
+                return i, len(page) if end < 0 else end + 1, "", "", ""
+            at = i + 1
+        return len(page), len(page), "", "", ""
+
+
+@lru_cache(8192)
+def _labelled(names: str) -> bool:
+    """Whether a class or id names chrome: every part of one of the names does, or may stand beside such a part."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+|\d+", name) if p]
+        if any(p in CHROME_WORDS for p in parts) and all(p in CHROME_WORDS or p in BESIDE for p in parts):
+            return True
+    return False
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; inline tags vanish, their text stays with the block around them. ``parts`` are texts and nodes."""
-    root = Node("#", False, False)
-    stack, at, raw = [root], 0, ""
+    root = Node("#", False, False, False)
+    scan, stack, open_, at, plain = Scanner(page), [root], Counter(), 0, 0
 
-    def text(piece: str) -> None:
-        if piece and not stack[-1].chrome:
-            stack[-1].parts.append(piece)
+    def leave(i: int) -> None:
+        for node in stack[i:]:
+            open_[node.tag] -= 1
+        del stack[i:]
 
     while at < len(page):
-        if raw:  # text of an element that holds no markup
-            m = RAW_ENDS[raw].search(page, at)
-            at, raw = m.end() if m else len(page), ""
-            continue
-        m = TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        start, at, slash, tag, source = scan.next(at)
+        if start > plain:
+            stack[-1].parts.append(page[plain:start])
+        plain = at
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if slash:
             tag = tag if tag in BLOCKS else "#" + tag
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    leave(i)
                     break
                 if tag[0] == "#" and stack[i].tag[0] != "#":  # an inline end tag ends no block
                     break
             continue
         if tag == "br":
-            text(" ")
+            stack[-1].parts.append(" ")
             continue
-        if tag in RAW:
-            raw = tag
+        if tag in RAW:  # text that holds no markup
+            m = RAW_ENDS[tag].search(page, at)
+            at = page.find(">", m.end()) + 1 if m else 0
+            at = plain = at or len(page)
             continue
         if tag in VOID and tag != "hr":
             continue
-        known = _attributes(m[3]) if m[3].strip(" /") else {}
-        labels = f"{known.get('class', '')} {known.get('id', '')}".lower()
+        known = _attributes(source) if source.strip(" /") else {}
+        names = f"{known.get('class', '')} {known.get('id', '')}"
         chrome = tag in CHROME or "hidden" in known or known.get("role", "").lower() in ROLES
-        chrome = chrome or bool(tag not in HEADINGS and LABEL.search(labels))
-        if tag not in BLOCKS and not chrome:
-            continue
-        if tag in ("article", "main", "body", "html"):
-            chrome = chrome and tag in ("article", "main") and bool(re.search("comment|repl", labels))
-        if tag not in BLOCKS:  # an inline advert or menu: its text goes with it
-            tag = "#" + tag
+        label = tag not in HEADINGS and names != " " and _labelled(names)
+        if tag in ("article", "main"):
+            chrome, label = label and bool(re.search("comment|repl", names.lower())), False
+        if tag in ("body", "html"):
+            chrome = label = False
+        if tag not in BLOCKS:
+            if not chrome and not label:
+                continue
+            tag = "#" + tag  # an inline advert or menu: its text goes with it
         closes = CLOSES.get(tag, {"p"}) if tag in BLOCKS else set()
         if stack[-1].tag in closes or stack[-1].tag == "p" and tag in BLOCKS:
-            stack.pop()
+            leave(len(stack) - 1)
         if len(stack) > 1 and stack[-1].tag in CLOSES.get(tag, ()):
-            stack.pop()
-        node = Node(tag, chrome or stack[-1].chrome, stack[-1].prose or tag == "article")
+            leave(len(stack) - 1)
+        node = Node(tag, chrome, label, stack[-1].prose or tag == "article")
         stack[-1].parts.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not source.endswith("/"):
             stack.append(node)
+            open_[tag] += 1
+    return _settle(root)
+
+
+def _settle(root: Node) -> Node:
+    """Labels make chrome, but not of what holds the first heading of an article, nor of what holds every article (or else
+    every main) of the page."""
+    nodes = _nodes(root)
+    free, open_ = {"article": False, "main": False}, {id(root)}
+    for node in nodes:
+        if id(node) in open_ and not node.chrome and not node.label:
+            open_.update(id(p) for p in node.parts if isinstance(p, Node))
+            if node.tag in free:
+                free[node.tag] = True
+    some = {n.tag for n in nodes if n.tag in free and not n.chrome}
+    lost = next((t for t in ("article", "main") if t in some), None)
+    lost = None if lost and free[lost] else lost
+    holds: set[int] = set()
+    for node in reversed(nodes):  # children before parents
+        below = any(isinstance(p, Node) and not p.chrome and id(p) in holds for p in node.parts)
+        if below or lost and node.tag == lost or node.tag == "h1" and node.prose:
+            holds.add(id(node))
+        node.chrome = node.chrome or node.label and not below
+        if node.tag == "article":  # a heading speaks for what is inside its article
+            holds.discard(id(node)) if lost != "article" else None
     return root
 
 
+def _nodes(root: Node) -> list[Node]:
+    """All nodes, parents before their children."""
+    order, stack = [], [root]
+    while stack:
+        order.append(node := stack.pop())
+        stack.extend(p for p in node.parts if isinstance(p, Node))
+    return order
+
+
 def _attributes(source: str) -> dict[str, str]:
     return {a.lower(): html.unescape(v.strip("\"'")) for a, v in ATTRIBUTE.findall(source)}
 
@@ -128,13 +228,13 @@ def clean(text: str) -> str:
 
 def hash_subtrees(root: Node, found: dict[int, None]) -> int:
     """Sets each node's key, from its tag, texts and children, and collects the keys of those that may be template."""
-    order, stack = [], [root]
+    order, stack = [], [root]  # chrome goes anyhow, with all below it: only its tag counts
     while stack:
         order.append(node := stack.pop())
-        stack.extend(p for p in node.parts if isinstance(p, Node))
+        stack.extend(p for p in node.parts if isinstance(p, Node) and not node.chrome)
     for node in reversed(order):  # children before parents
         h = blake2b(node.tag.encode(), digest_size=8)
-        for p in node.parts:
+        for p in () if node.chrome else node.parts:
             h.update(b"\0" + (p.key.to_bytes(8, "big", signed=True) if isinstance(p, Node) else clean(p).encode()))
         node.key = int.from_bytes(h.digest(), "big", signed=True)
         if node.parts and node.tag not in ("#", "html", "body") and not node.chrome and not (node.prose and node.tag in PROSE):
