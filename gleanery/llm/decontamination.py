@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.texts import ALNUM, FOLD, blocks, hash_spans, text_buffer, word_spans
+from gleanery.llm.texts import ALNUM, BASE, FOLD, U64, blocks, hash_spans, mix, text_buffer, word_spans
+from gleanery.sources.shared import materialize
 
 WINDOW = 13
 #: Benchmark text held by one pass over the documents at most; a larger benchmark takes more passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Stands for a missing id.
+NO_ID = -(2**63)
 
 
 class FMIndex:
@@ -98,28 +101,42 @@ class Phrases:
     vocabulary: np.ndarray
     words: np.ndarray
     lengths: np.ndarray
+    #: Of each phrase the word that the benchmark has least often.
+    rarest: np.ndarray
     item_starts: np.ndarray
     items: np.ndarray
 
     @classmethod
-    def of(cls, texts: pa.Array, ids: list, window: int = WINDOW) -> Phrases:
+    def of(cls, texts: pa.Array, ids: np.ndarray, window: int = WINDOW) -> Phrases:
         data, offsets = text_buffer(texts)
         data = FOLD[data]
         starts, ends, rows = word_spans(data, offsets, ALNUM)
-        hashes = hash_spans(data, starts, ends)
-        vocabulary, symbols = np.unique(hashes, return_inverse=True)
-        found: dict[tuple, set] = {}
-        bounds = np.searchsorted(rows, np.arange(len(ids) + 1))
-        for i, item in enumerate(ids):
-            s = (symbols[bounds[i] : bounds[i + 1]] + 1).tolist()
-            for at in range(max(1, len(s) - window + 1)) if s else ():
-                found.setdefault(tuple(s[at : at + window]), set()).add(item)
-        words = np.zeros((len(found), window), np.int64)
-        for i, w in enumerate(found):
-            words[i, : len(w)] = w
-        owners = [sorted(x) for x in found.values()]
-        counts = np.cumsum([0, *map(len, owners)])
-        return cls(vocabulary, words, np.array([len(w) for w in found], np.int64), counts, np.array([x for o in owners for x in o], np.int64))
+        vocabulary, symbols, often = np.unique(hash_spans(data, starts, ends), return_inverse=True, return_counts=True)
+        # one row a window, in 32 bits; an item of fewer words, but not none, is one row, padded with zeros
+        size = np.bincount(rows, minlength=len(ids))
+        first = np.cumsum(size) - size
+        count = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(ids)), count)
+        begin = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + first[item]
+        padded = np.concatenate([symbols + 1, np.zeros(window, np.int64)]).astype(np.int32)
+        words = np.lib.stride_tricks.sliding_window_view(padded, window)[begin]
+        lengths = np.minimum(size[item], window)
+        words[np.arange(window) >= lengths[:, None]] = 0
+        key = np.zeros(len(words), U64)
+        for j in range(window):
+            key = mix(key + words[:, j].astype(U64)) * BASE
+        key, one, which = np.unique(key, return_index=True, return_inverse=True)
+        owners = np.unique(which * max(1, len(ids)) + item)
+        words, lengths = words[one], lengths[one]
+        often = np.concatenate([[len(rows) + 1], often])[words]
+        rarest = words[np.arange(len(words)), often.argmin(1)] if len(words) else lengths
+        starts = np.searchsorted(owners // max(1, len(ids)), np.arange(len(words) + 1))
+        return cls(vocabulary, words, lengths, rarest, starts, np.asarray(ids)[owners % max(1, len(ids))])
+
+    def among(self, seen: np.ndarray) -> np.ndarray:
+        """Numbers of the phrases all of whose words are ``seen`` (by symbol): first by their rarest word, then by all."""
+        pick = np.flatnonzero(seen[self.rarest])
+        return pick[(seen[self.words[pick]] | (self.words[pick] == 0)).all(1)]
 
 
 def occurrences(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, ...]:
@@ -148,23 +165,34 @@ def occurrences(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, ...]:
     stop = np.zeros(len(place), bool)
     stop[to + size] = True
     seq = np.where(stop, 0, at[np.minimum(word, len(at) - 1)] + 1)
-    index = FMIndex(seq, len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.words, phrases.lengths)
+    seen = np.zeros(len(phrases.vocabulary) + 1, bool)
+    seen[seq] = True
+    asked = phrases.among(seen)
+    if not len(asked):
+        return nothing
+    # the alphabet is the words that are there
+    symbol = np.cumsum(seen) - 1 if seen[0] else np.cumsum(seen)
+    index = FMIndex(symbol[seq], int(symbol[-1]) + 1)
+    low, high = index.search(symbol[phrases.words[asked]], phrases.lengths[asked])
     hit = np.flatnonzero(high > low)
     many = high[hit] - low[hit]
-    which = np.repeat(hit, many)
+    which = np.repeat(asked[hit], many)
     suffix = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[hit], many)
     begin = word[index.locate(suffix)] if len(suffix) else none
     return counts, rows[begin] if len(begin) else none, begin, phrases.lengths[which], which, starts - offsets[rows], ends - offsets[rows]
 
 
 OUT = "n_words long, spans array<struct<first:long,last:long,start:long,stop:long>>, items array<long>"
+RESULTS = ("n_words", "spans", "items")
+ROW = "_gleanery_row"
 
 
-def _search(phrases: Phrases):
+def _search(shared, hits_only: bool = False):
+    """The batches' columns with what was found; with ``hits_only`` the rows where something was, without their texts."""
     kind = pa.struct([(n, pa.int64()) for n in ("first", "last", "start", "stop")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value
         for b in blocks(batches, 4 << 20):
             counts, rows, begin, size, which, starts, ends = occurrences(b.column("text"), phrases)
             cover = np.zeros(len(starts) + 1, np.int64)
@@ -174,18 +202,20 @@ def _search(phrases: Phrases):
             bounds = np.concatenate([[0], np.cumsum(counts)])
             edge = np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))
             spans: list[list] = [[] for _ in range(b.num_rows)]
-            items: list[set] = [set() for _ in range(b.num_rows)]
             for s, e in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)):
                 while s < e:  # a run of hit words may pass from one row to the next
                     r = int(np.searchsorted(bounds, s, "right")) - 1
                     to = min(e, bounds[r + 1])
                     spans[r].append({"first": s - bounds[r], "last": to - 1 - bounds[r], "start": starts[s], "stop": ends[to - 1]})
                     s = to
-            for r, p in zip(rows.tolist(), which.tolist()):
+            items: list[set] = [set() for _ in range(b.num_rows)]
+            for r, p in {*zip(rows.tolist(), which.tolist())}:
                 items[r].update(phrases.items[phrases.item_starts[p] : phrases.item_starts[p + 1]].tolist())
-            cols = [*(b.column(n) for n in b.schema.names), pa.array(counts, pa.int64())]
+            names = [n for n in b.schema.names if not hits_only or n != "text"]
+            cols = [*(b.column(n) for n in names), pa.array(counts, pa.int64())]
             cols += [pa.array(spans, pa.list_(kind)), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "n_words", "spans", "items"])
+            out = pa.RecordBatch.from_arrays(cols, [*names, *RESULTS])
+            yield out.filter(pa.array([bool(x) for x in items], pa.bool_())) if hits_only else out
 
     return run
 
@@ -195,35 +225,49 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     A phrase is a run of ``window`` words of an item, or the whole of a shorter one; words are runs of ASCII letters,
     digits and characters beyond ASCII, A-Z lowered. Null texts have no words. One row per row of ``docs``; repeated
-    rows and null ids are rows like others; an empty benchmark finds nothing. A benchmark beyond ``BLOCK_BYTES`` is dealt
-    into blocks of that size, each searched in a pass of its own, and the passes' spans and items are merged.
+    rows and null ids are rows like others; an empty benchmark finds nothing. Items are named by their ids, so items that
+    share one count once; those without an id are one item whose name is null. Other columns stay, but for those that have a
+    result's name, which the result replaces.
+
+    A benchmark beyond ``BLOCK_BYTES`` is dealt into blocks of that size. The driver holds one block at a time; each is searched
+    in a pass of its own over the documents, numbered and written for that, and the passes' spans and items are merged.
     """
-    spark, names = docs.sparkSession, docs.columns
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    names = [c for c in docs.columns if c.lower() not in RESULTS]
+    docs = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names))
+    items = benchmark.where("text is not null")
+    items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(total) // BLOCK_BYTES
-    passes = []
-    for k in range(parts):
+
+    def block(k: int):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         got = mine.toArrow().combine_chunks()
-        texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
-        passes.append(Phrases.of(texts, got.column("item_id").to_pylist(), window))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + OUT
-    if parts == 1:
-        return docs.mapInArrow(_search(passes[0]), schema)
-    row = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    found = None
-    for phrases in passes:
-        one = row.mapInArrow(_search(phrases), schema.replace(", " + OUT, ", _row long, " + OUT))
-        found = one if found is None else found.unionByName(one)
-    # rows that are alike in every column merge to one and are counted to be repeated
-    times = F.count(F.lit(1)) / F.lit(parts)
-    merged = found.groupBy(*[f"`{c}`" for c in names], "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.sequence(F.lit(1), times.cast("int")).alias("_times"),
-    )
-    return merged.withColumn("_t", F.explode("_times")).withColumn("spans", merge_spans(F.col("spans"))).select(*names, "n_words", "spans", "items")
+        texts, ids = (got.column(c).combine_chunks() if got.num_rows else pa.array([], t) for c, t in (("text", pa.string()), ("item_id", pa.int64())))
+        return spark.sparkContext.broadcast(Phrases.of(texts, np.asarray(ids), window))
+
+    kept, hits = docs, None
+    if parts > 1:
+        kept = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered", compression="zstd")
+        for k in range(1, parts):
+            shared = block(k)
+            found = kept.select(ROW, "text").mapInArrow(_search(shared, True), f"{ROW} long, {OUT}")
+            found = materialize(found.select(ROW, "spans", "items"), "hits")
+            shared.destroy()
+            hits = found if hits is None else hits.unionByName(found)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    out = kept.mapInArrow(_search(block(0)), f"{schema}, {OUT}")
+    if hits is not None:
+        more = hits.groupBy(ROW).agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+        none = F.array().cast("array<long>")
+        out = out.join(more, ROW, "left").withColumns(
+            {
+                "spans": F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(merge_spans(F.concat("spans", "_spans"))),
+                "items": F.array_sort(F.array_distinct(F.concat("items", F.coalesce("_items", none)))),
+            }
+        )
+    named = F.transform("items", lambda i: F.when(i != NO_ID, i)).alias("items")
+    return out.select(*(F.col(f"`{c}`") for c in names), "n_words", "spans", named)
 
 
 def merge_spans(spans):
@@ -250,7 +294,8 @@ def merge_spans(spans):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """:func:`find_contamination` with ``n_hit``, ``n_items`` and ``contaminated`` (a twentieth of the words, or more, hit)."""
+    """:func:`find_contamination` with ``n_hit``, ``n_items`` and ``contaminated`` (a twentieth of the words, or more, hit);
+    these replace columns of their names, too."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     out = find_contamination(docs, benchmark, window).withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -85,3 +85,28 @@ def test_index_ranges_are_those_of_all_suffixes():
         for p, a, b in zip(pats, low, high):
             want = [i for i in range(len(seq)) if list(seq[i : i + n]) == list(p)]
             assert sorted(index.locate(np.arange(a, b))) == want
+
+
+def test_null_item_ids_and_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a b c", 7, "s", 1, 2)], "doc_id long, text string, N_Words int, spans string, items int, n_hit int")
+    b = spark.createDataFrame([(None, "b c"), (None, "a"), (4, "c")], "item_id long, text string")
+    row = D.contamination(d, b).first()
+    assert (row.n_words, row.n_hit, row.n_items, row["items"], row.contaminated) == (3, 3, 2, [None, 4], True)
+    assert sorted(D.contamination(d, b).columns) == ["contaminated", "doc_id", "items", "n_hit", "n_items", "n_words", "spans", "text"]
+
+
+def test_fifty_megabytes_of_benchmark(spark, monkeypatch):
+    """Blocks bound what the driver holds, for any benchmark."""
+    import resource
+
+    r = np.random.default_rng(6)
+    words = np.array([f"w{i:x}" for i in range(300_000)])
+    texts = [" ".join(words[r.integers(0, len(words), 3000)]) for _ in range(2500)]
+    assert sum(map(len, texts)) > 45e6
+    b = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string").repartition(8)
+    pick = [(i, "x y " + " ".join(texts[i].split()[100 : 100 + 13 + i % 3]) + " z") for i in range(0, 2500, 50)]
+    d = spark.createDataFrame([*pick, (-1, "nothing of it")], "doc_id long, text string").repartition(4)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = {x.doc_id: (x.n_hit, list(x["items"])) for x in D.contamination(d, b).collect()}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000  # KB: peaks of one block of 8 MB
+    assert got == {i: (13 + i % 3, [i]) for i, _ in pick} | {-1: (0, [])}
