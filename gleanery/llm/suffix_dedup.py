@@ -7,6 +7,10 @@ whole. Distinct segments are dealt to shards by anchor, so equal windows meet in
 run-length Burrows-Wheeler transform of its segments, with suffix positions sampled at the run ends. The positions are
 then streamed through it: each one's lexicographic neighbour comes from the samples, the matching length from the text,
 and windows that match an earlier one over their whole length are marked.
+
+An anchor with very many distinct segments, like the edge of a passage that many documents share, is split: its segments
+are cut into pieces of a few windows at the same places beside the anchor, and the pieces take the part of segments. They are
+dealt by what all their windows have in common, so that one anchor fills many shards, and equal pieces meet once.
 """
 
 from __future__ import annotations
@@ -20,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.texts import BASE, BYTE_VALUES, U64, blocks, mix, powers, text_buffer
-from gleanery.sources.shared import free_shuffles, materialize
+from gleanery.sources.shared import free_shuffles, materialize, release
 
 GRAM = 24
 #: Bytes of text that a task works on at once, whole rows always.
 BLOCK_BYTES = 1 << 20
 #: Bytes of distinct segments per shard, about.
 SHARD_BYTES = 1 << 20
-#: So many repeated anchors at most are sent to the tasks whole (8 bytes each); more are joined.
-BROADCAST_ANCHORS = 4_000_000
+#: Bits at most of each of the two filters of repeated anchors that are sent to the tasks, and of one part of them.
+FILTER_BITS, PART_BITS = 1 << 28, 1 << 22
+#: An anchor with more segments than this, counted once a block, is split into pieces of so many windows.
+HOT_SEGMENTS, PIECE_WINDOWS = 4096, 4
 #: A missing id is the smallest.
 NO_ID = -(2**63)
 
@@ -202,29 +208,96 @@ def _anchor_counts(length: int, gram: int):
     return run
 
 
-def _segments(length: int, gram: int, repeated):
+def _filter_part(size: int):
+    """A part of the filters: the bits of its repeated anchors, and of those with several texts."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        at = np.asarray(table.column("bit").combine_chunks())
+        both = []
+        for places in (at, at[np.asarray(table.column("varied").combine_chunks().cast(pa.int8())) > 0]):
+            bits = np.zeros(size, np.uint8)
+            bits[places % size] = 1
+            both.append(np.packbits(bits, bitorder="little").tobytes())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "repeated": pa.array([both[0]], pa.binary()), "varied": pa.array([both[1]], pa.binary())})
+
+    return run
+
+
+def anchor_filters(found: DataFrame, anchors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit maps of the anchors' low bits, of bounded size: all repeated anchors, and those with several texts. The bits are
+    set in Spark, part by part; other anchors with such low bits pass, too, which costs work but changes no result."""
+    bits = PART_BITS
+    while bits < min(16 * anchors, FILTER_BITS):
+        bits *= 2
+    at = found.groupBy(F.col("anchor").bitwiseAND(F.lit(bits - 1)).alias("bit")).agg(F.max("varied").alias("varied"))
+    parts = at.withColumn("part", (F.col("bit") / PART_BITS).cast("int")).groupBy("part")
+    rows = parts.applyInArrow(_filter_part(PART_BITS), "part int, repeated binary, varied binary").collect()
+    out = np.zeros((2, bits // PART_BITS, PART_BITS // 8), np.uint8)
+    for r in rows:
+        out[0, r.part], out[1, r.part] = np.frombuffer(r.repeated, np.uint8), np.frombuffer(r.varied, np.uint8)
+    return out[0].ravel(), out[1].ravel()
+
+
+def _passes(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    at = (anchor & U64(len(bits) * 8 - 1)).astype(np.int64)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+SEGMENT = "doc_id long, anchor long, segment long, begin int, size int, body binary"
+
+
+def _segments(length: int, gram: int, filters):
     """Segments of repeated anchors; the first of each text in a block carries it, if its anchor has several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated, varied = filters.value
         for b in blocks(batches, BLOCK_BYTES):
             data, offsets = text_buffer(b.column("text"))
             row, begin, end, anchor, text = segments(data, offsets, length, gram)
-            several = np.ones(len(row), bool)
-            if repeated is not None and len(row):
-                known, varied = repeated.value
-                k = np.minimum(np.searchsorted(known, anchor), max(0, len(known) - 1))
-                keep = known[k] == anchor if len(known) else np.zeros(len(row), bool)
-                several = varied[k[keep]] if len(known) else several[keep]
-                row, begin, end, anchor, text = row[keep], begin[keep], end[keep], anchor[keep], text[keep]
+            keep = _passes(repeated, anchor)
+            row, begin, end, anchor, text = row[keep], begin[keep], end[keep], anchor[keep], text[keep]
             once = np.zeros(len(row), bool)
             once[np.unique(text, return_index=True)[1]] = True
-            once &= several
+            once &= _passes(varied, anchor)
             raw = data.tobytes()
             bodies = [raw[s:e] if o else None for s, e, o in zip(begin.tolist(), end.tolist(), once.tolist())]
             ids = np.asarray(b.column("doc_id"))[row]
             cols = [ids, anchor.view(np.int64), text.view(np.int64), (begin - offsets[row]).astype(np.int32), (end - begin).astype(np.int32)]
-            names = ["doc_id", "anchor", "segment", "begin", "size", "body"]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(bodies, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(bodies, pa.binary())], [x.split()[0] for x in SEGMENT.split(", ")])
+
+    return run
+
+
+def pieces(body: bytes, anchor: int, length: int, gram: int, windows: int = PIECE_WINDOWS) -> list[tuple[int, int, int, int]]:
+    """Start, end, key and text hash of a segment's pieces: its windows by their places beside the anchor, ``windows`` places
+    a piece. Equal windows lie in pieces of one key, which hashes the anchor, the places and the bytes common to them."""
+    data = np.frombuffer(body, np.uint8)
+    n = len(data)
+    prefix, inverse = prefix_hashes(data), inverse_powers(n + 1)
+    grams = mix((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
+    at = n - length + int(np.argmax(grams[n - length :] == U64(anchor)))  # the leftmost in the last window
+    first, last = at // windows, (at - (n - length)) // windows
+    block = np.arange(last, first + 1)
+    start, stop = np.maximum(at - block * windows - windows + 1, 0), np.minimum(at - block * windows, n - length) + length
+    low, high = at - block * windows, at - (block + 1) * windows + 1 + length
+    common = (prefix[high] - prefix[low]) * inverse[low]
+    key = mix(mix(common + U64(anchor)) + block.astype(U64))
+    text = mix(mix((prefix[stop] - prefix[start]) * inverse[start] + (stop - start).astype(U64)) + key)
+    return list(zip(start.tolist(), stop.tolist(), key.view(np.int64).tolist(), text.view(np.int64).tolist()))
+
+
+def _pieces(length: int, gram: int):
+    """The pieces of segments, as segments whose anchor is the pieces' key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, anchor, begin, body in zip(*(b.column(c).to_pylist() for c in ("doc_id", "anchor", "begin", "body"))):
+                for s, e, key, text in pieces(body, anchor % 2**64, length, gram):
+                    out.append((doc, key, text, begin + s, e - s, body[s:e]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            cols = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SEGMENT.split(", ")])
 
     return run
 
@@ -251,6 +324,8 @@ def merge(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+#: Columns of the work in between.
+ID, SPANS = "_gleanery_id", "_gleanery_spans"
 FACTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -258,7 +333,7 @@ def _cut(columns: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, BLOCK_BYTES):
             facts, texts = [], []
-            for text, spans in zip(b.column("text"), b.column("_spans")):
+            for text, spans in zip(b.column("text"), b.column(SPANS)):
                 data, kept, at = (text.as_buffer().to_pybytes() if text.is_valid else b""), [], 0
                 runs = _runs(spans)
                 for s, e in runs:
@@ -291,19 +366,31 @@ def repeated_ranges(docs: DataFrame, length: int = 100, gram: int = GRAM) -> Dat
     count = docs.mapInArrow(_anchor_counts(length, gram), "anchor long, n long, least long, most long").groupBy("anchor")
     count = count.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     found = materialize(count.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("varied")), "anchors")
-    few, known = found.count() <= BROADCAST_ANCHORS, None
-    if few:
-        table = found.toArrow()
-        anchors, varied = np.asarray(table.column("anchor")).view(U64), np.asarray(table.column("varied"))
-        order = np.argsort(anchors)
-        known = spark.sparkContext.broadcast((anchors[order], varied[order]))
-    segs = docs.mapInArrow(_segments(length, gram, known), "doc_id long, anchor long, segment long, begin int, size int, body binary")
-    if not few:
-        segs = segs.join(found, "anchor").withColumn("body", F.when(F.col("varied"), F.col("body"))).drop("varied")
-    segs = materialize(segs, "segments", compression="zstd")
+    free_shuffles(spark)
+    filters = spark.sparkContext.broadcast(anchor_filters(found, found.count()))
+    release(found)
+    segs = materialize(docs.mapInArrow(_segments(length, gram, filters), SEGMENT), "segments", compression="zstd")
 
     # an anchor whose segments have one text holds no repeat but the later occurrences of the whole segment
     held = segs.where("body is not null")
+    hot = materialize(held.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot")
+    if not hot.count():
+        return _repeats(segs, held, length)
+    hot_texts = _first(segs, held.join(hot, "anchor", "left_semi")).select("doc_id", "anchor", "begin", "body")
+    cut = materialize(hot_texts.mapInArrow(_pieces(length, gram), SEGMENT), "pieces", compression="zstd")
+    return _repeats(segs, held.join(hot, "anchor", "left_anti"), length).unionByName(_repeats(cut, cut, length))
+
+
+def _first(segs: DataFrame, held: DataFrame) -> DataFrame:
+    """``(anchor, segment, doc_id, begin, body)``: each distinct segment that ``held`` has a text of, at its first place."""
+    places = segs.groupBy("segment").agg(F.min(F.struct("doc_id", "begin")).alias("first"))
+    texts = held.groupBy("anchor", "segment").agg(F.min("body").alias("body"))
+    return texts.join(places, "segment").select("anchor", "segment", "first.doc_id", "first.begin", "body")
+
+
+def _repeats(segs: DataFrame, held: DataFrame, length: int) -> DataFrame:
+    """Ranges of the later occurrences of segments, and of windows inside ``held`` ones that an earlier segment has."""
+    spark = segs.sparkSession
     shards = 1 + int(held.agg(F.sum("size")).first()[0] or 0) // (2 * SHARD_BYTES)
     places = materialize(segs.groupBy("segment").agg(F.min(F.struct("doc_id", "begin")).alias("first")), "places")
     texts = held.groupBy("anchor", "segment").agg(F.min("body").alias("body")).join(places, "segment")
@@ -324,13 +411,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, with_te
     text has none. What remains as text leaves out characters cut in two; the facts count all bytes. Ids are integers; a
     null id is the smallest. Ids should be unique: rows that are alike get the same result, as one document, and
     texts that share an id are judged as one document's. An empty table gives no rows. Without ``with_text`` the text
-    column is left out.
+    column is left out. Other columns stay, but for those that have a result's name, which the result replaces.
     """
-    names = [c for c in docs.columns if c != "text"]
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    ranges = repeated_ranges(keyed.select(F.col("_id").alias("doc_id"), F.col("text").cast("string").alias("text")), length, gram)
-    spans = ranges.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    results = {f.split()[0] for f in FACTS.split(", ")}
+    names = [c for c in docs.columns if c.lower() != "text" and c.lower() not in results]
+    keyed = docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").cast("string").alias("text")).withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    ranges = repeated_ranges(keyed.select(F.col(ID).alias("doc_id"), "text"), length, gram)
+    spans = ranges.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_list(F.struct("start", "stop")).alias(SPANS))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = [f"`{c}` {kinds[c]}" for c in names] + ["text string"] * with_text + [FACTS]
-    joined = keyed.join(spans, "_id", "left").select(*names, F.col("text").cast("string").alias("text"), "_spans")
+    joined = keyed.join(spans, ID, "left").select(*(F.col(f"`{c}`") for c in names), "text", SPANS)
     return joined.mapInArrow(_cut(names, with_text), ", ".join(schema))

@@ -49,13 +49,38 @@ def test_against_brute_force(spark, length, gram):
     assert run(spark, rows, length=length, gram=gram) == brute(rows, length)
 
 
-def test_joined_anchors_and_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(S, "BROADCAST_ANCHORS", 0)
+@pytest.mark.parametrize(("hot", "windows"), [(10**6, 4), (1, 1), (1, 4), (3, 9)])
+def test_split_anchors_full_filters_and_many_shards(spark, monkeypatch, hot, windows):
+    monkeypatch.setattr(S, "PART_BITS", 8)
+    monkeypatch.setattr(S, "FILTER_BITS", 64)  # most anchors pass
     monkeypatch.setattr(S, "SHARD_BYTES", 500)
+    monkeypatch.setattr(S, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(S, "PIECE_WINDOWS", windows)
+    monkeypatch.setattr(S.pieces, "__defaults__", (windows,))
     rows = cases()
     assert run(spark, rows) == brute(rows, 100)
 
 
+def test_the_edge_of_a_common_passage_fills_many_keys():
+    """Segments at the edge of a passage: their pieces inside it are the same, those beside it are told apart by key."""
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefghij") for _ in range(n)).encode()
+    passage, found = text(100), {}
+    for i in range(300):
+        data = np.frombuffer(text(200) + passage, np.uint8)
+        row, begin, end, anchor, _ = S.segments(data, np.array([0, len(data)]), 100, 24)
+        for s, e, a in zip(begin, end, anchor):
+            for ps, pe, key, piece in S.pieces(data[s:e].tobytes(), int(a), 100, 24):
+                found.setdefault(key, set()).add(piece)
+    assert len(found) > 5000 and max(map(len, found.values())) < 300
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x" * 300, 1, "a", 5)], "doc_id long, text string, n_bytes int, N_SPANS string, _spans int")
+    row = S.remove_repeats(df).first()
+    assert (row.n_bytes, row.n_spans, row.n_removed, row._spans) == (300, 1, 299, 5)
+
+
 def test_text_and_other_columns_stay(spark):
     df = spark.createDataFrame([(1, "é" * 120, "a", 3), (2, "b" + "é" * 120, "b", 4)], "doc_id int, text string, start string, n int")
     got = {r.doc_id: (r.text, r.start, r.n) for r in S.remove_repeats(df).collect()}
