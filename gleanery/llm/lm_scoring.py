@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.ngram_trie import NgramTrie, pack, unpack
@@ -31,12 +31,14 @@ from gleanery.llm.texts import BASE, FOLD, SPACED, U64, blocks, hash_spans, mix,
 from gleanery.sources.shared import delete, free_shuffles, materialize, new_path
 
 END = U64(2)
-#: Bytes of text in a block, tokens in a shard, words of a block in a word shard: about.
-BLOCK_BYTES, SHARD_TOKENS, SHARD_WORDS = 6 << 20, 800_000, 1_500_000
+#: Bytes of text in a block, tokens in a part of a shard, parts of a shard (each a trie, one after another), words of a block in
+#: a word shard: about.
+BLOCK_BYTES, PART_TOKENS, PARTS, SHARD_WORDS = 6 << 20, 800_000, 4, 1_500_000
 #: Steps of a finished bigram's quantised log10 probability: 16 bits hold it down to 1e-16.
 CODES = 4096
-#: A context with more training tokens than this is spread, so that shards even out; but at most so many contexts are.
-SPREAD_TOKENS, MOST_SPREAD = SHARD_TOKENS // 8, 2_000_000
+#: A context of one word with more training tokens than this is spread, so that shards even out, and one of two words with more
+#: than the second number is settled by the blocks; but at most so many contexts are.
+SPREAD_TOKENS, SETTLED_TOKENS, MOST_SPREAD = PART_TOKENS // 8, PART_TOKENS, 2_000_000
 #: Word counts as sent to the shards, in 8 bits: exact to 64, then eight steps an octave.
 LEVELS = np.concatenate([np.arange(64.0), 64 * 2 ** (np.arange(192) / 8)])
 
@@ -49,6 +51,24 @@ def _expand(raw: bytes) -> dict[str, np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(raw))
 
 
+#: The arrays of a request, in order; their lengths and bytes an item are its head.
+REQUEST = ("parts", "of", "n", "held", "spread", "level", *(f"{x}.{y}" for x in ("finished", "context", "two", "word", "row") for y in ("planes", "width")))
+
+
+def _squeeze_request(arrays: dict[str, np.ndarray]) -> bytes:
+    head = np.array([[len(arrays[k]), arrays[k].itemsize] for k in REQUEST], np.uint32)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(arrays[k]).tobytes() for k in REQUEST)]))
+
+
+def _expand_request(raw: bytes) -> dict[str, np.ndarray]:
+    data, out = zstandard.ZstdDecompressor().decompress(raw), {}
+    head, at = np.frombuffer(data, np.uint32, 2 * len(REQUEST)).reshape(-1, 2).tolist(), 8 * len(REQUEST)
+    for k, (n, width) in zip(REQUEST, head):
+        out[k] = np.frombuffer(data, f"<u{width}", n, at)
+        at += n * width
+    return out
+
+
 def _small(a: np.ndarray) -> np.ndarray:
     """Non-negative integers in the fewest whole bytes."""
     top = int(a.max(initial=0))
@@ -140,7 +160,7 @@ def _count(table: pa.Table) -> pa.Table:
         {
             "block": table.column("block"),
             "shard": table.column("shard"),
-            "counts": pa.array([_squeeze({"c": _small(c), "rank": _small(r)}) for c, r in got], pa.binary()),
+            "body": pa.array([_squeeze({"c": _small(c), "rank": _small(r)}) for c, r in got], pa.binary()),
             "tokens": pa.array(np.where(once, total.sum(), 0)),
             "types": pa.array(np.where(once, (total > 0).sum(), 0)),
             "most": pa.array(np.where(once, total.max(initial=0), 0)),
@@ -158,8 +178,9 @@ class Corpus:
     word_shards: int
     gram_shards: int
     shards: int
-    #: Contexts with more training tokens than this are spread.
+    #: Contexts of one word with more training tokens than the first are spread, of two with more than the second settled.
     limit: int
+    settled: int
     successors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def lowest(self, c: np.ndarray) -> np.ndarray:
@@ -220,14 +241,14 @@ class Block:
         return np.maximum(c - NgramTrie.DISCOUNT, 0) / total + NgramTrie.DISCOUNT * types / total * below, c
 
     def _know_pairs(self, pairs: list, triples: list | None) -> None:
-        at, limit = self.spread, self.corpus.limit
+        at = self.spread
         self.p2, c = self._smooth(at, 1, pairs, self.c[self.one[at]], self.corpus.lowest(self.c[self.word[at]]))
         # how often the context's two words follow each other: the count of the pair that ends one token before
         count = np.zeros(len(self.word), np.int64)
         count[at] = c
         begin = len(self.c) - 1
         before = np.where(self.one[at] == begin, self.corpus.docs, count[at - 1])
-        self.pair = np.flatnonzero(before > limit)
+        self.pair = np.flatnonzero(before > self.corpus.settled)
         if triples is not None and len(self.pair):
             self.p3, _ = self._smooth(at[self.pair], 2, triples, before[self.pair], self.p2[self.pair])
 
@@ -252,7 +273,7 @@ GRAMS = "block long, shard int, body binary, most long, context long, successors
 
 def _count_grams(table: pa.Table) -> pa.Table:
     """Training counts of a shard's n-grams for each block in the order it asked, and the distinct successors that this shard
-    has of each context, in rows without a block."""
+    has of each context, in rows without a body."""
     asked = [_expand(x) for x in table.column("body").to_pylist()]
     keys = [_from_sorted_planes(a) for a in asked]
     every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
@@ -261,10 +282,10 @@ def _count_grams(table: pa.Table) -> pa.Table:
     contexts, of = np.unique(context, return_inverse=True)
     types = np.bincount(of, total > 0, len(contexts)).astype(np.int64)
     got = [_squeeze({"c": _small(x)}) for x in np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])]
-    none = [None] * len(contexts)
+    none, blocks_ = [None] * len(contexts), table.column("block").to_pylist()
     return pa.table(
         [
-            pa.array([*table.column("block").to_pylist(), *none], pa.int64()),
+            pa.array([*blocks_, *(blocks_[i % len(blocks_)] for i in range(len(contexts)))], pa.int64()),
             pa.array([*table.column("shard").to_pylist(), *none], pa.int32()),
             pa.array([*got, *none], pa.binary()),
             pa.array([int(total.max(initial=0))] * len(got) + none, pa.int64()),
@@ -315,8 +336,9 @@ def _block_requests(b: Block) -> Iterator[tuple[int, bytes, bool]]:
     kind = (mix(b.number[two].astype(U64) + BASE) % classes.astype(U64)).astype(np.int64)
     context = b.number[one] * (max(corpus.tokens, corpus.docs) // corpus.limit + 2) + kind
     distinct, which = np.unique(context, return_inverse=True)
-    shard = (mix(distinct.astype(U64)) % U64(corpus.shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    part = (mix(distinct.astype(U64)) % U64(corpus.shards * PARTS)).astype(np.int64)
+    shard = part // PARTS
+    order = np.argsort(part, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     by = np.argsort(place[which] * len(which) + np.arange(len(which)))
@@ -328,20 +350,21 @@ def _block_requests(b: Block) -> Iterator[tuple[int, bytes, bool]]:
             continue
         new = np.flatnonzero(np.append(True, context[s][1:] != context[s][:-1]))
         p = finished[s]
-        send = {"of": _small(np.diff(np.append(new, len(s)))), "n": _small(n[s]), "held": np.packbits(b.body["held"][row[s]].astype(bool))}
+        send = {"parts": np.bincount(part[which[s]] % PARTS, minlength=PARTS).astype(np.uint32)}
+        send |= {"of": _small(np.diff(np.append(new, len(s)))), "n": _small(n[s]), "held": np.packbits(b.body["held"][row[s]].astype(bool))}
         send |= {"spread": np.packbits(p[new] >= 0), "level": level[word[s]][p < 0]}
         send |= _planes(np.minimum(np.round(-np.log10(p[p >= 0]) * CODES), 65535).astype(np.int64), "finished.")
-        columns = {"context.": np.diff(context[s][new], prepend=0), "two.": b.number[two[s]], "word.": b.number[word[s]], "row.": row[s]}
+        columns = {"context.": np.diff(context[s][new].astype(U64), prepend=U64(0)), "two.": b.number[two[s]], "word.": b.number[word[s]], "row.": row[s]}
         for name, a in columns.items():
             send |= _planes(a, name)
-        yield k, _squeeze(send), False
+        yield k, _squeeze_request(send), False
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(shared):
-    """A shard's trie from its training trigrams, and the log probabilities of all, summed by row and packed by block."""
+    """Log probabilities of a shard's trigrams, part by part, summed by row and packed by block."""
 
     def run(table: pa.Table) -> pa.Table:
         out, asked = [], []
@@ -349,32 +372,47 @@ def _score(shared):
             if is_fact:
                 out.append((block, True, body))
             else:
-                asked.append((block, _expand(body)))
-        if asked:
-            each = _log_probabilities([a for _, a in asked], shared.value)
-            at = 0
-            for block, a in asked:
-                row = _from_planes(a, "row.").astype(np.int64)
-                total = np.bincount(row, each[at : at + len(row)])
-                rows = np.unique(row)
-                at += len(row)
-                out.append((block, False, _squeeze({"total": total[rows].astype(np.float32), **_planes(rows)})))
+                asked.append((block, Request(_expand_request(body))))
+        for part in range(PARTS if asked else 0):
+            mine = [a.part(part) for _, a in asked]
+            each = _log_probabilities(mine, shared.value)
+            for (_, a), p in zip(asked, np.split(each, np.cumsum([len(m["n"]) for m in mine])[:-1])):
+                a.take(part, p)
+        for block, a in asked:
+            rows, at = np.unique(a.row, return_inverse=True)
+            out.append((block, False, _squeeze({"total": np.bincount(at, a.score).astype(np.float32), **_sorted_planes(rows.astype(U64))})))
         return pa.table(_batch([("block", pa.int64(), [o[0] for o in out]), ("facts", pa.bool_(), [o[1] for o in out]), ("body", pa.binary(), [o[2] for o in out])]))
 
     return run
 
 
+class Request:
+    """What one block asks of a shard, part by part."""
+
+    def __init__(self, a: dict[str, np.ndarray]) -> None:
+        self.bounds = np.concatenate([[0], np.cumsum(a["parts"].astype(np.int64))])
+        of, n = a["of"].astype(np.int64), len(a["n"])
+        spread = np.repeat(np.unpackbits(a["spread"], count=len(of)).astype(bool), of)
+        lowest = np.empty(n, np.float32)  # a word's count, or a finished bigram's negative logarithm
+        lowest[~spread], lowest[spread] = LEVELS[a["level"]], _from_planes(a, "finished.") / CODES
+        held = np.unpackbits(a["held"], count=n).astype(bool)
+        number = lambda x: (v := _from_planes(a, x)).astype(np.uint32) if int(a[x + "width"][0]) <= 4 else v
+        context = np.repeat(_from_sorted_planes(a, "context."), of)
+        self.columns = {"context": context, "two": number("two."), "word": number("word."), "n": a["n"], "held": held, "spread": spread, "lowest": lowest}
+        self.row, self.score = number("row."), np.empty(n)
+
+    def part(self, k: int) -> dict[str, np.ndarray]:
+        return {c: x[self.bounds[k] : self.bounds[k + 1]] for c, x in self.columns.items()}
+
+    def take(self, k: int, score: np.ndarray) -> None:
+        self.score[self.bounds[k] : self.bounds[k + 1]] = score
+
+
 def _log_probabilities(asked: list[dict[str, np.ndarray]], corpus: Corpus) -> np.ndarray:
     """The log10 probability of each trigram sent, times how often its row has it, in the order sent."""
-    take = lambda f: np.concatenate([f(a) for a in asked])
-    n = take(lambda a: a["n"].astype(np.int64))
-    held = take(lambda a: np.unpackbits(a["held"], count=len(a["n"])).astype(bool))
-    spread = take(lambda a: np.repeat(np.unpackbits(a["spread"], count=len(a["of"])).astype(bool), a["of"]))
-    lowest = np.empty(len(n))
-    lowest[~spread] = corpus.lowest(LEVELS)[take(lambda a: a["level"])]
-    lowest[spread] = 10.0 ** -(take(lambda a: _from_planes(a, "finished.")) / CODES)
-    context = take(lambda a: np.repeat(_from_sorted_planes(a, "context."), a["of"]))
-    two, word = take(lambda a: _from_planes(a, "two.")), take(lambda a: _from_planes(a, "word."))
+    context, two, word, n, held, spread, lowest = (np.concatenate([a[c] for a in asked]) for c in asked[0])
+    n, lowest = n.astype(np.int64), lowest.astype(float)
+    lowest[~spread], lowest[spread] = corpus.lowest(lowest[~spread]), 10.0 ** -lowest[spread]
     grams = [np.unique(x, return_inverse=True) for x in (context, two, word)]
     (_, c), (olds, e), (words, w) = grams
     if len(grams[0][0]) * len(olds) * len(words) < 1 << 63:
@@ -414,13 +452,34 @@ def _gather(table: pa.Table) -> pa.Table:
     score = a["own"].copy()
     for is_fact, x in parts:
         if not is_fact:
-            score[_from_planes(x).astype(np.int64)] += x["total"]
+            score[_from_sorted_planes(x).astype(np.int64)] += x["total"]
     cols = [pa.array(a["ids"], mask=a["known_id"] == 0), pa.array(a["held"].astype(bool)), *map(pa.array, (a["tokens"], a["known"], a["base"], score))]
     return pa.table(cols, [x.split()[0] for x in RESULT.split(", ")])
 
 
+class Tables:
+    """Tables in the shared folder that are bucketed by block, so that they meet without another shuffle."""
+
+    def __init__(self, spark: SparkSession, buckets: int) -> None:
+        self.spark, self.buckets, self.made = spark, buckets, {}
+
+    def write(self, df: DataFrame, dealt: bool = True, *kinds: str) -> DataFrame:
+        """``df`` as a table, partitioned by ``kinds``; with ``dealt`` each bucket is one file."""
+        name, path = f"blocks_{uuid.uuid4().hex}", new_path(self.spark, "blocks")
+        writer = (df.repartition(self.buckets, "block") if dealt else df).write
+        writer = writer.partitionBy(*kinds) if kinds else writer
+        writer.bucketBy(self.buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
+        self.made[name] = path
+        return self.spark.table(name)
+
+    def drop(self) -> None:
+        for name, path in self.made.items():
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, path)
+
+
 def _replies(counts: DataFrame, name: str) -> DataFrame:
-    return counts.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "body")).alias(name))
+    return counts.groupBy("block").agg(F.collect_list(F.struct("shard", "body")).alias(name))
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -445,44 +504,38 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
-    # bucketed by block, so that the counts come to the streams and not the streams to the counts
-    name, path = f"tokens_{uuid.uuid4().hex}", new_path(spark, "tokens")
-    # (with fewer buckets than shuffle partitions Spark would deal both anew)
-    buckets = max(1 + size // (4 * BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    written = rows.mapInArrow(_tokens(word_shards), "block long, shard int, body binary, kind string")
-    written.write.partitionBy("kind").bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
-    words = spark.table(name).where("kind = 'words'").groupBy("shard")
-    counts = materialize(words.applyInArrow(_count, "block long, shard int, counts binary, tokens long, types long, most long"), "counts")
+    # with fewer buckets than shuffle partitions Spark would deal both sides of a join anew
+    tables = Tables(spark, max(1 + size // (4 * BLOCK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    written = tables.write(rows.mapInArrow(_tokens(word_shards), "block long, shard int, body binary, kind string"), False, "kind")
+    words = written.where("kind = 'words'").groupBy("shard")
+    counts = tables.write(words.applyInArrow(_count, "block long, shard int, body binary, tokens long, types long, most long"))
     tokens, types, most = (x or 0 for x in counts.agg(F.sum("tokens"), F.sum("types"), F.max("most")).first())
-    n_docs = rows.where("not held_out").count()
-    corpus = Corpus(tokens, types, n_docs, word_shards, 1 + size // (6 * SHARD_TOKENS), 1 + size // (6 * SHARD_TOKENS), max(SPREAD_TOKENS, tokens // MOST_SPREAD))
-    delete(spark, f"{path}/kind=words")
-    del words
+    n_docs, shards = rows.where("not held_out").count(), 1 + size // (6 * PART_TOKENS * PARTS)
+    limits = (max(x, tokens // MOST_SPREAD) for x in (SPREAD_TOKENS, SETTLED_TOKENS))
+    corpus = Corpus(tokens, types, n_docs, word_shards, shards, shards, *limits)
+    delete(spark, f"{next(iter(tables.made.values()))}/kind=words")
     free_shuffles(spark)
 
-    streams = spark.table(name).where("kind = 'stream'").select("block", "body")
-    streams = streams.join(_replies(counts.withColumnRenamed("counts", "body"), "parts"), "block")
-    used, most = [counts], max(most, n_docs)
-    for size, replies in ((1, "pairs"), (2, "triples")):
-        if most <= corpus.limit:  # no context of this size is spread
+    streams = written.where("kind = 'stream'").select("block", "body").join(_replies(counts, "parts"), "block")
+    most = max(most, n_docs)
+    for size, replies, limit in ((1, "pairs", corpus.limit), (2, "triples", corpus.settled)):
+        if most <= limit:  # no context of this size is spread
             break
         shared = spark.sparkContext.broadcast(corpus)
         asked = streams.mapInArrow(_grams(shared, size), "block long, shard int, body binary").groupBy("shard")
-        grams = materialize(asked.applyInArrow(_count_grams, GRAMS), replies)
+        grams = tables.write(asked.applyInArrow(_count_grams, GRAMS))
         most = max(grams.agg(F.max("most")).first()[0] or 0, n_docs)
         found = grams.where("context is not null").groupBy("context").agg(F.sum("successors").alias("n")).toArrow()
         contexts, n = (np.asarray(c.combine_chunks()) for c in (found.column("context"), found.column("n")))
         order = np.argsort(contexts.view(U64))
         corpus.successors.append((contexts.view(U64)[order], n[order]))
-        streams = streams.join(_replies(grams, replies), "block", "left")
-        used.append(grams)
+        streams = streams.join(_replies(grams.where("body is not null"), replies), "block", "left")
+        free_shuffles(spark)
     shared = spark.sparkContext.broadcast(corpus)
     asked = streams.mapInArrow(_requests(shared), "block long, shard int, facts boolean, body binary")
     got = asked.groupBy("shard").applyInArrow(_score(shared), "block long, facts boolean, body binary")
     out = got.groupBy("block").applyInArrow(_gather, RESULT)
     out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
     out = materialize(out, "scores")
-    spark.sql(f"DROP TABLE {name}")
-    for x in (path, *(f for t in used for f in {p.rsplit("/", 1)[0] for p in t.inputFiles()})):
-        delete(spark, x)
+    tables.drop()
     return out

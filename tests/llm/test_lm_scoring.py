@@ -94,8 +94,8 @@ def test_against_brute_force(spark, monkeypatch, tokens):
     if tokens:  # many blocks; with few tokens a shard, contexts are spread, and in the last case pairs and the texts' starts too
         monkeypatch.setattr(L, "BLOCK_BYTES", 100)
         monkeypatch.setattr(L, "SHARD_WORDS", 100)
-        monkeypatch.setattr(L, "SHARD_TOKENS", tokens)
-        monkeypatch.setattr(L, "SPREAD_TOKENS", tokens)
+        for k in ("PART_TOKENS", "SPREAD_TOKENS", "SETTLED_TOKENS"):
+            monkeypatch.setattr(L, k, tokens)
     got, want = (sorted(x, key=lambda t: (str(t[0]), t[5])) for x in (run(spark, docs()), brute(docs())))
     assert [t[:5] for t in got] == [t[:5] for t in want]
     assert np.allclose([t[5] for t in got], [t[5] for t in want], rtol=1e-9)
