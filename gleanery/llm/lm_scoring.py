@@ -33,7 +33,7 @@ from gleanery.sources.shared import delete, free_shuffles, materialize, new_path
 END = U64(2)
 #: Bytes of text in a block, tokens in a part of a shard, parts of a shard (each a trie, one after another), words of a block in
 #: a word shard: about.
-BLOCK_BYTES, PART_TOKENS, PARTS, SHARD_WORDS = 6 << 20, 800_000, 4, 1_500_000
+BLOCK_BYTES, PART_TOKENS, PARTS, SHARD_WORDS = 6 << 20, 600_000, 2, 1_500_000
 #: Steps of a finished bigram's quantised log10 probability: 16 bits hold it down to 1e-16.
 CODES = 4096
 #: A context of one word with more training tokens than this is spread, so that shards even out, and one of two words with more
@@ -397,12 +397,14 @@ class Request:
         lowest[~spread], lowest[spread] = LEVELS[a["level"]], _from_planes(a, "finished.") / CODES
         held = np.unpackbits(a["held"], count=n).astype(bool)
         number = lambda x: (v := _from_planes(a, x)).astype(np.uint32) if int(a[x + "width"][0]) <= 4 else v
-        context = np.repeat(_from_sorted_planes(a, "context."), of)
-        self.columns = {"context": context, "two": number("two."), "word": number("word."), "n": a["n"], "held": held, "spread": spread, "lowest": lowest}
-        self.row, self.score = number("row."), np.empty(n)
+        self.context, self.of, self.ends = _from_sorted_planes(a, "context."), of, np.concatenate([[0], np.cumsum(of)])
+        self.columns = {"two": number("two."), "word": number("word."), "n": a["n"], "held": held, "spread": spread, "lowest": lowest}
+        self.row, self.score = number("row."), np.empty(n, np.float32)
 
     def part(self, k: int) -> dict[str, np.ndarray]:
-        return {c: x[self.bounds[k] : self.bounds[k + 1]] for c, x in self.columns.items()}
+        from_, to = self.bounds[k : k + 2]
+        mine = slice(*np.searchsorted(self.ends, [from_, to]))
+        return {"context": np.repeat(self.context[mine], self.of[mine]), **{c: x[from_:to] for c, x in self.columns.items()}}
 
     def take(self, k: int, score: np.ndarray) -> None:
         self.score[self.bounds[k] : self.bounds[k + 1]] = score
@@ -410,7 +412,7 @@ class Request:
 
 def _log_probabilities(asked: list[dict[str, np.ndarray]], corpus: Corpus) -> np.ndarray:
     """The log10 probability of each trigram sent, times how often its row has it, in the order sent."""
-    context, two, word, n, held, spread, lowest = (np.concatenate([a[c] for a in asked]) for c in asked[0])
+    context, two, word, n, held, spread, lowest = (np.concatenate([a[c] for a in asked]) for c in ("context", "two", "word", "n", "held", "spread", "lowest"))
     n, lowest = n.astype(np.int64), lowest.astype(float)
     lowest[~spread], lowest[spread] = corpus.lowest(lowest[~spread]), 10.0 ** -lowest[spread]
     grams = [np.unique(x, return_inverse=True) for x in (context, two, word)]
