@@ -139,8 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, cost: float =
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 for each whole text; null and empty texts get the bias alone. All columns stay."""
+    """``docs`` with a score from 0 to 1 for each whole text; null and empty texts get the bias alone. All columns stay, but one
+    of the score's name, which the score replaces. Repeated rows and null ids are rows like others; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == out.lower()))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -305,6 +305,8 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Columns of the work in between.
+HOST, PAGE, KEYS = "_gleanery_host", "_gleanery_page", "_gleanery_keys"
 #: So many template rows at most are sent to the tasks whole; more are joined to the pages by host.
 BROADCAST_TEMPLATES = 200_000
 
@@ -320,29 +322,31 @@ def site_templates(pages: DataFrame, least_pages: int = 10) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame, least_pages: int = 10) -> DataFrame:
-    """``pages`` with ``text``, one row per row; null and empty pages have empty text; all other columns stay.
+    """``pages`` with ``text``, one row per row; null and empty pages have empty text; all other columns stay, but one named
+    like ``text``, which the result replaces.
 
     Inside an article element running text stays even where it recurs; elsewhere any recurring subtree goes.
     Pages with a null url share the empty host. Repeated rows count as pages each.
     """
+    pages = pages.drop(*(c for c in pages.columns if c.lower() == "text"))
     names = pages.columns
     found = materialize(site_templates(pages, least_pages), "templates")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    at = pages.withColumn("_host", host_of(F.col("url")))
+    at = pages.withColumns({HOST: host_of(F.col("url")), PAGE: F.col("html").cast("string")})
     if found.count() <= BROADCAST_TEMPLATES:
         known: dict[str, set[int]] = {}
         for host, key in found.collect():
             known.setdefault(host, set()).add(key)
         shared = pages.sparkSession.sparkContext.broadcast(known)
-        look = lambda b: [shared.value.get(h, frozenset()) for h in b.column("_host").to_pylist()]
+        look = lambda b: [shared.value.get(h, frozenset()) for h in b.column(HOST).to_pylist()]
     else:
-        lists = found.groupBy("host").agg(F.collect_list("subtree").alias("_keys")).withColumnRenamed("host", "_host")
-        at = at.join(lists, "_host", "left")
-        look = lambda b: [frozenset(k or ()) for k in b.column("_keys").to_pylist()]
+        lists = found.groupBy(F.col("host").alias(HOST)).agg(F.collect_list("subtree").alias(KEYS))
+        at = at.join(lists, HOST, "left")
+        look = lambda b: [frozenset(k or ()) for k in b.column(KEYS).to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 8 << 20, "html"):
-            texts = [extract(p, t) for p, t in zip(b.column("html").to_pylist(), look(b))]
+        for b in blocks(batches, 8 << 20, PAGE):
+            texts = [extract(p, t) for p, t in zip(b.column(PAGE).to_pylist(), look(b))]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
     return at.mapInArrow(run, f"{kind}, text string")

@@ -34,7 +34,7 @@ def op3_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return classifier.score(docs, quality_model(spark, docs, sf_dir)).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )

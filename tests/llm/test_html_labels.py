@@ -114,3 +114,14 @@ def test_templates_and_text_against_brute_force(spark):
     got = {x.page_id: x.text for x in H.extract_main_text(df).collect()}
     assert got == want
     assert sum("about" in t for t in got.values()) < 4 and any("syndicated" in t for t in got.values())
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_clashing_columns_and_repeated_rows(spark, monkeypatch, joined):
+    if joined:
+        monkeypatch.setattr(H, "BROADCAST_TEMPLATES", 0)
+    rows = [(1, "http://a.com/", "<p>x", 7, "h", 5)] * 3 + [(None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT int, _host string, _keys int")
+    got = H.extract_main_text(df)
+    assert got.columns == ["page_id", "url", "html", "_host", "_keys", "text"]
+    assert sorted(r.text for r in got.collect()) == ["", "x", "x", "x"]
