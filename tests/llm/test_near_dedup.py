@@ -13,7 +13,7 @@ def shingles(text, k=5):
     return {tuple(w)} - {()} if len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -25,7 +25,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):

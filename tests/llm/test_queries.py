@@ -154,7 +154,7 @@ def test_pipeline_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").collect()]
     good = {r.doc_id for r in QUERIES["op3_naive_bayes_svm"](spark, SF).where("predicted = 1").collect()}
     docs = [d for d in docs if d[0] in good]
-    kept = {r[0] for r in near.brute([(d[0], d[2]) for d in docs]) if r[3]}
+    kept = {r[0] for r in near.brute([(d[0], d[2]) for d in docs], percent=80) if r[3]}
     docs, seen, cut = sorted(d for d in docs if d[0] in kept), set(), []
     for d, s, text in docs:
         raw, gone = text.encode(), set()
