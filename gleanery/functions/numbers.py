@@ -30,10 +30,8 @@ def forced_verdict(verdict: Column, score: Column, default: str = "benign") -> t
     return out, F.when(known, "substantive").when(score.isNotNull(), "score").otherwise("default")
 
 
-def conclusion(has_support: Column, has_opposition: Column, complete: Column, grounded: Column) -> Column:
-    """MTH4: decided needs support without opposition and full, grounded evidence; both sides are contested."""
-    return (
-        F.when(has_support & ~has_opposition & complete & grounded, "decided")
-        .when(has_support & has_opposition, "contested")
-        .otherwise("insufficient")
-    )
+def conclusion(enough_bad: Column, holds_bad: Column, enough_good: Column, holds_good: Column) -> Column:
+    """MTH4: a side that has enough support and holds against its objections decides, if the other one does not; null is false."""
+    no = F.lit(False)
+    bad, good = (F.coalesce(a, no) & F.coalesce(b, no) for a, b in ((enough_bad, holds_bad), (enough_good, holds_good)))
+    return F.when(bad & ~good, "phishing").when(good & ~bad, "benign").otherwise("insufficient")

@@ -12,8 +12,17 @@ SHARED_PLATFORMS = [
     "square.site", "godaddysites.com", "webflow.io", "framer.app", "filesusr.com", "sharepoint.com", "ipfs.io", "r2.dev", "workers.dev",
     "duckdns.org", "ngrok.io", "ngrok-free.app",
 ]
-# Words that name no entity in a url.
-GENERIC_WORDS = ["www", "com", "net", "org", "html", "php", "index", "login", "home", "page", "the", "and"]
+# Words that name no entity in a url, and the pattern of urls in texts.
+GENERIC_WORDS = """
+www com net org gov edu info biz html htm php asp aspx jsp index home page pages login
+signin sign account accounts secure security update verify verification auth web site
+online app apps api mail email support service services help user users id www2 static
+cdn img images assets files file download public http https main default portal
+the and for are not was but its has had can you our who why how all any new now use
+get set one two see what when where your with from this that into about more most news
+blog post posts article articles category tag tags search view item items product
+products shop store en us uk de fr es jp
+""".split()
 URL = r"https?://[^\s<>\"')]+"
 
 
@@ -88,6 +97,17 @@ def destination(link: Column, page_site: Column, link_site: Column) -> Column:
     return F.when(empty, "null").when(bare.startswith("mailto:"), "mailto").when(inside | (page_site == link_site), "same").otherwise("external")
 
 
+def link_host(link: Column, page: Column) -> Column:
+    """Host of a link on a page: its own if it names one, the page's if it is relative, empty for mailto and the like."""
+    bare = F.trim(link)
+    return (
+        F.when(bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), host_of(bare))
+        .when(bare.startswith("//"), host_of(F.concat(F.lit("http:"), bare)))
+        .when(bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(""))
+        .otherwise(host_of(page))
+    )
+
+
 def extract_urls(text: Column) -> Column:
     """URL9: all urls of a text in order."""
     return F.regexp_extract_all(text, F.lit(URL), F.lit(0))

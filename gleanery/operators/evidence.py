@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.urls import extract_urls
+from gleanery.operators.graph import connected_components
+
 SIDES = ("phishing", "benign")
 
 
@@ -112,12 +115,54 @@ def bounded_conclusion(findings: DataFrame, dropped: DataFrame, fields: int, cov
 
 
 def dispatch_within_budget(plan: DataFrame, budget: float) -> DataFrame:
-    """WIN20, EVD10: attempts in order while their running cost stays within the case's budget."""
+    """WIN20: attempts in order while their running cost stays within the case's budget; the first that does not fit ends it."""
     w = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     spent = plan.withColumn("spent", F.sum("cost").over(w))
     return spent.withColumn("status", F.when(F.col("spent") <= budget, "dispatched").otherwise("skipped"))
 
 
+def dispatch_in_order(plan: DataFrame, budget: float) -> DataFrame:
+    """EVD10: agents in order, each dispatched if the case's budget still covers its cost; one that is refused costs nothing, so a
+    cheaper one after it may still go. A case has a handful of agents."""
+    rows = plan.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cost"))).alias("plan"))
+    done = "array<struct<pos:bigint,spent:double,status:string>>"
+    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast(done).alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s["spent"] + x["cost"] <= budget
+        spent = F.when(fits, s["spent"] + x["cost"]).otherwise(s["spent"])
+        one = F.struct(x["pos"].alias("pos"), spent.alias("spent"), F.when(fits, "dispatched").otherwise("not_dispatched").alias("status"))
+        return F.struct(spent.alias("spent"), F.array_append(s["done"], one).alias("done"))
+
+    out = rows.select("case_id", F.inline(F.aggregate("plan", start, step)["done"]))
+    return out.withColumn("spent", F.col("spent").cast("long" if dict(plan.dtypes)["cost"] in ("int", "bigint") else "double"))
+
+
+def support_units(nodes: DataFrame, said: DataFrame, truth: DataFrame) -> DataFrame:
+    """GRA3: per case how many components its nodes form under the predicted edges and under the true ones, and the difference."""
+    out = nodes
+    for name, edges in (("unit", said), ("true_unit", truth)):
+        for end in ("a", "b"):  # edges between nodes only
+            edges = edges.join(nodes.select(F.col("ref").alias(end)), end, "left_semi")
+        parts = connected_components(edges, "a", "b").select(F.col("node").alias("ref"), F.col("component").alias(name))
+        out = out.join(parts, "ref", "left").withColumn(name, F.coalesce(name, "ref"))
+    g = out.groupBy("case_id").agg(F.count_distinct("unit").alias("units"), F.count_distinct("true_unit").alias("true_units"))
+    more = F.col("units") - F.col("true_units")
+    return g.withColumns({"excess": F.greatest(F.lit(0), more).cast("long"), "lost": F.greatest(F.lit(0), -more).cast("long")})
+
+
+def submission_objects(messages: DataFrame, keys: list[str], applicable: dict, metadata: tuple) -> DataFrame:
+    """EVD1: each message as object ``o1`` and its links, in order, as ``o1:page:n`` under it, with the sources that apply to either
+    kind and the instruments these need (a metadata client for ``metadata``, else a browser)."""
+    fields = {k: F.array(*map(F.lit, sorted(v))) for k, v in applicable.items()}
+    links = messages.select(*keys, F.posexplode(extract_urls(F.coalesce("text", F.lit("")))).alias("n", "link"))
+    child = links.select(*keys, F.concat(F.lit("o1:page:"), F.col("n") + 1).alias("object_id"), F.lit("o1").alias("parent_object_id"), "link", fields["link"].alias("s"))
+    parent = messages.select(*keys, F.lit("o1").alias("object_id"), F.lit(None).cast("string").alias("parent_object_id"), F.lit(None).cast("string").alias("link"), fields["message"].alias("s"))
+    tool = F.array_sort(F.array_distinct(F.transform("s", lambda x: F.when(x.isin(*metadata), "metadata_client").otherwise("headless_browser"))))
+    out = parent.unionByName(child)
+    return out.select(*keys, "object_id", "parent_object_id", "link", F.array_join("s", ",").alias("sources"), F.array_join(tool, ",").alias("instruments"))
+
+
 def best_subset(cover: DataFrame, subsets: DataFrame, budget: float, mu: float) -> DataFrame:
     """EVD9: per case, the subset of agents with the best weighted coverage less ``mu`` times its cost, within the budget; ties
     by lower cost, then by subset. ``subsets`` is a fixed small table (a row for each subset and agent)."""
@@ -143,6 +188,13 @@ def serve(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("status", status).withColumn("content", F.when(status == "obtained", F.col("content")))
 
 
+def withholding_violations(served: DataFrame) -> DataFrame:
+    """FIL11: per status, rows that carry content though their evidence was not obtained, and withheld ones that became inapplicable."""
+    leaked = F.count_if((F.col("status") != "obtained") & F.col("content").isNotNull())
+    turned = F.count_if(F.col("withheld") & (F.col("status") == "inapplicable"))
+    return served.groupBy("status").agg(F.count(F.lit(1)).alias("n"), leaked.alias("leaked"), turned.alias("turned"))
+
+
 def latest_attempt(attempts: DataFrame) -> DataFrame:
     """EVD2: the last attempt of each field decides."""
     return attempts.groupBy("case_id", "field").agg(F.max_by(F.struct("status", "content"), "attempt").alias("x")).select("case_id", "field", "x.*")

@@ -142,3 +142,32 @@ def reliability(df: DataFrame, p: str = "score", bins: int = 10) -> DataFrame:
     return df.where(F.col(p).isNotNull()).groupBy(b.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("observed"), F.avg((F.col(p) - y) * (F.col(p) - y)).alias("brier")
     )
+
+
+def citation_support(df: DataFrame, full: str) -> DataFrame:
+    """AGG25: per arm the share of returned findings that were dropped for a citation that does not hold, and the verdicts that
+    differ from the ``full`` arm's on the same case, by who is right."""
+    ref = df.where(F.col("arm") == full).select("case_id", F.col("verdict").alias("ref"))
+    changed = F.col("verdict") != F.col("ref")
+    right = F.col("verdict") == F.col("label")
+    flips = df.join(ref, "case_id").groupBy("arm").agg(_count(changed).alias("changed"), _count(changed & right).alias("changed_right"), _count(changed & ~right).alias("changed_wrong"))
+    own = df.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum("returned").alias("returned"), F.sum("dropped").alias("dropped"))
+    own = own.select("arm", "n", "returned", (F.col("dropped") / F.greatest(F.lit(1), "returned")).alias("unsupported"))
+    return own.join(flips, "arm")
+
+
+def recovery_share(log: DataFrame) -> DataFrame:
+    """AGG26: of the agents that were ready and not chosen at first (``spare`` of selection events), the share dispatched later,
+    with the first choice a page and the shortfalls."""
+    first = log.where("kind = 'selection'").select("arm", "case_id", "chosen", "spare")
+    later = log.where("kind = 'later_dispatch' and outcome = 'dispatched'").groupBy("arm", "case_id").agg(F.count(F.lit(1)).alias("later"))
+    short = log.where("kind = 'dispatch_shortfall'").groupBy("arm").agg(F.count(F.lit(1)).alias("shortfalls"))
+    g = first.join(later, ["arm", "case_id"], "left").fillna(0, ["later"]).groupBy("arm")
+    g = g.agg(F.count(F.lit(1)).alias("pages"), F.avg("chosen").alias("initial"), F.sum("spare").alias("unselected_ready"), F.sum("later").alias("later_dispatched"))
+    return g.withColumn("recovery_share", rate(F.col("later_dispatched"), F.col("unselected_ready"))).join(short, "arm", "left").fillna(0, ["shortfalls"])
+
+
+def case_roll_up(objects: DataFrame) -> DataFrame:
+    """AGG39: objects of a case as one unit: work summed, insufficient if any object is."""
+    sums = [F.sum(c).alias(c) for c in ("cost", "tokens", "dispatched", "eligible")]
+    return objects.groupBy("case_id").agg(F.count(F.lit(1)).alias("objects"), *sums, F.bool_or("insufficient").alias("insufficient"))

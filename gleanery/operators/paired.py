@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,41 +24,82 @@ def discordant(pairs: DataFrame) -> DataFrame:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """STA7: the exact two-sided binomial tail, in logarithms; 1 without discordant pairs."""
-    n, k = b + c, F.least(b, c)
-    terms = F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: F.exp(_log_choose(n, i) - n * F.log(F.lit(2.0))))
-    tail = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
-
+    """STA7: the exact two-sided binomial tail; 1 without discordant pairs.
+
+    Terms are summed from the largest down, each from the one before by their ratio. Below it they fall off within a few
+    square roots of n, so six of those (and fifty terms) hold all that a double can tell; the largest term itself comes from
+    the logarithmic gamma series."""
+    n, k = (b + c).cast("double"), F.least(b, c)
+    last = F.greatest(F.lit(0), k - F.ceil(6 * F.sqrt(n)) - 50).cast("long")
+    top = F.exp(_log_gamma(n + 1) - _log_gamma(k + 1.0) - _log_gamma(n - k + 1) - n * F.log(F.lit(2.0)))
+    start = F.struct(top.alias("term"), top.alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] * i / (n - i + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    below = F.when(k > last, F.sequence(k.cast("long"), last + 1, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(below, start, step)["sum"]))
+
+
+def _log_gamma(x: Column) -> Column:
+    """For x of at least 1, to about 1e-12: Stirling's series eight places up."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    for i in range(8):
+        series = series - F.log(x + i)
+    return series
+
+
+def resample(cases: DataFrame, resamples: int) -> DataFrame:
+    """Cases drawn with replacement: ``b``, the columns of ``cases`` but ``case_id``, and ``k``, how often a case with these values
+    is in resample ``b``. Draw j of a resample is a quarter of the hash of b and j div 4, modulo the number of cases, which
+    are numbered by a two-level count. Draws are counted per case, and cases that are alike together, before anything else."""
+    numbered = number_rows(cases, "case_id").drop("case_id")
+    columns, n = [c for c in numbered.columns if c != "no"], numbered.count()
+    spark = cases.sparkSession
+    groups = spark.range(resamples, numPartitions=max(1, min(resamples, spark.sparkContext.defaultParallelism * 4)))
+    groups = groups.select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // 4))).alias("g"))
+    parts = [F.struct((F.col("g") * 4 + i).alias("j"), F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long").alias("x")) for i in range(4)]
+    draws = groups.withColumn("h", F.md5(F.concat_ws("|", "b", "g"))).select("b", F.inline(F.array(*parts))).where(F.col("j") < n)
+    times = draws.groupBy("b", (F.col("x") % max(n, 1)).alias("no")).agg(F.count(F.lit(1)).alias("k"))
+    times = times.hint("merge")  # the plan takes the draws for as few as the resamples, and would broadcast them
+    return times.join(numbered, "no").groupBy("b", *columns).agg(F.sum("k").alias("k"))
+
+
+def weighted_f1(verdict: str) -> Column:
+    """Forced F1 of a column of verdicts over rows that count ``k`` times."""
+    bad, hit = F.col("label") == PHISHING, F.col(verdict) == PHISHING
+
+    def count(when: Column) -> Column:
+        return F.sum(F.when(when, F.col("k")).otherwise(0))
 
-def _log_choose(n: Column, k: Column) -> Column:
-    factors = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(factors, F.lit(0.0), lambda s, i: s + F.log((n - i + 1).cast("double")) - F.log(i.cast("double")))
+    tp, fp, fn = count(bad & hit), count(~bad & (F.col(verdict) != F.col("label"))), count(bad & ~hit)
+    return F.try_divide(2.0 * tp, (2 * tp + fp + fn).cast("double"))
 
 
 def bootstrap_f1(pairs: DataFrame, resamples: int) -> DataFrame:
-    """STA1: per resample, the difference in forced F1. Draws are hashes: resample b takes case number md5(b|j) mod n as its
-    j-th, for j = 0 .. n - 1. Cases are numbered by a two-level count, and each resample is summed to a few
-    counts where its draws meet the cases."""
-    numbered = number_rows(pairs, "case_id").select("no", "label", "one", "two")
-    n = numbered.count()
-    if not n:
-        return pairs.sparkSession.createDataFrame([], "b long, delta double")
-    draws = pairs.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    no = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "j")), 1, 8), 16, 10).cast("long") % n
-    times = draws.groupBy("b", no.alias("no")).agg(F.count(F.lit(1)).alias("k"))
-    bad = F.col("label") == PHISHING
-
-    def count(arm: str, when: Column) -> Column:
-        return F.sum(F.when(when, F.col("k")).otherwise(0))
-
-    def f1(arm: str) -> Column:
-        hit = F.col(arm) == PHISHING
-        wrong = ~bad & (F.col(arm) != F.col("label"))
-        tp, fp, fn = count(arm, bad & hit), count(arm, wrong), count(arm, bad & ~hit)
-        return F.try_divide(2.0 * tp, (2 * tp + fp + fn).cast("double"))
-
-    return times.join(numbered, "no").groupBy("b").agg((f1("two") - f1("one")).alias("delta"))
+    """STA1: per resample, the difference in forced F1 of two systems on the same cases."""
+    t = resample(pairs.select("case_id", "label", "one", "two"), resamples)
+    return t.groupBy("b").agg((weighted_f1("two") - weighted_f1("one")).alias("delta"))
+
+
+def spread(deltas: DataFrame, value: str) -> DataFrame:
+    """STA4, STA5: interval by the index rule, mean, and number of resamples."""
+    mean = deltas.agg(F.avg(value).alias("mean"), F.count(value).alias("resamples"))
+    return interval(deltas, value).select("low", "high").crossJoin(F.broadcast(mean))  # one row each
+
+
+def adopt(candidates: DataFrame, reference: str, gain: float, loss: float, tie: float) -> DataFrame:
+    """STA9: eligible candidates gain F1 on the reference and lose no more precision than ``loss``; of those within ``tie`` of the
+    best, the cheapest is chosen (then by name), and the reference where none is eligible. Candidates are a handful."""
+    ref = candidates.where(F.col("name") == reference).select(F.col("f1").alias("f0"), F.col("precision").alias("p0"))
+    ok = (F.col("name") != reference) & (F.col("f1") >= F.col("f0") + gain) & (F.col("precision") >= F.col("p0") - loss)
+    t = candidates.crossJoin(F.broadcast(ref)).withColumn("eligible", F.coalesce(ok, F.lit(False))).drop("f0", "p0")
+    best = t.agg(F.max(F.when(F.col("eligible"), F.col("f1"))).alias("best"))
+    t = t.crossJoin(F.broadcast(best)).withColumn("tied", F.col("eligible") & F.coalesce(F.col("f1") >= F.col("best") - tie, F.lit(False))).drop("best")
+    winner = t.agg(F.coalesce(F.min_by("name", F.when(F.col("tied"), F.struct("cost", "name"))), F.lit(reference)).alias("winner"))
+    return t.crossJoin(F.broadcast(winner)).withColumn("chosen", F.col("name") == F.col("winner")).drop("winner")
 
 
 def number_rows(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:

@@ -82,3 +82,22 @@ def grid_rates(df: DataFrame, grid: DataFrame, by: Sequence[str]) -> DataFrame:
     at = counts.crossJoin(F.broadcast(grid)).withColumn("stop", F.col("score") >= F.col("tau"))
     stop, bad = F.sum(F.when(F.col("stop"), F.col("k")).otherwise(0)), F.sum(F.when(F.col("stop"), F.col("bad")).otherwise(0))
     return at.groupBy(*by, "tau").agg((stop / F.sum("k")).alias("stopped"), F.try_divide(bad.cast("double"), stop.cast("double")).alias("error"))
+
+
+def largest_threshold(df: DataFrame, grid: Sequence[float], most: float) -> DataFrame:
+    """WIN23: the largest threshold of a small grid at or below which stopped rows err in at most a share ``most``, and whether
+    there is one; the grid's smallest where there is none. ``df`` has ``score`` and a boolean ``error``."""
+    counts = df.groupBy("score").agg(F.count(F.lit(1)).alias("k"), F.count_if("error").alias("bad"))
+    taus = F.explode(F.array(*map(F.lit, grid))).alias("tau")
+    at = counts.select("*", taus).where("score <= tau").groupBy("tau").agg((F.sum("bad") / F.sum("k")).alias("rate"))
+    ok = F.max(F.when(F.col("rate") <= most, F.col("tau")))
+    return at.agg(F.coalesce(ok, F.lit(min(grid))).alias("tau"), ok.isNotNull().alias("met"))
+
+
+def agent_auc(cases: DataFrame, scores: str, y: str) -> DataFrame:
+    """AGG40: from a map of agents' scores a case: on how many cases each agent ran, how often it returned a score, and the area
+    under its curve; a row ``mean`` averages the agents."""
+    rows = cases.select(F.explode(scores).alias("agent", "score"), F.when(F.col(y) == 1, PHISHING).otherwise("benign").alias("label"))
+    n = rows.groupBy("agent").agg(F.count(F.lit(1)).alias("ran"), (F.count("score") / F.count(F.lit(1))).alias("returned"))
+    each = n.join(roc_auc(rows, ["agent"]), "agent", "left").select("agent", "ran", "returned", "auc")
+    return each.unionByName(each.agg(F.lit("mean").alias("agent"), F.sum("ran").alias("ran"), F.avg("returned").alias("returned"), F.avg("auc").alias("auc")))

@@ -7,6 +7,8 @@ from gleanery.plans import (  # noqa: F401  registers
     further_queries,
     learning_queries,
     more_queries,
+    page_queries,
+    rule_queries,
     score_queries,
     streaming_queries,
 )

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from gleanery.functions import pages as P
 from gleanery.functions import replies, texts, urls
 from gleanery.operators import corpus
+from gleanery.operators.asof import as_of
 from gleanery.plans.registry import query, rounded
 from gleanery.plans.tables import CASES_SQL, DECISIONS_SQL, cases
 from gleanery.sources.tables import read_table
 
 DM = f"WITH {DECISIONS_SQL}, {CASES_SQL} "
 HOST = r"lower(regexp_extract(url, '^[^/]*//([^/?#:]*)', 1))"
-TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'g'), '(?is)<template\b[^>]*>.*?</template\s*>', ' ', 'g'),
- '(?s)<!--.*?-->', ' ', 'g'), '<[a-zA-Z/!?][^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"""
+ '(?s)<!--.*?-->', ' ', 'g'), '<[a-zA-Z/!?][^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g'))"""
+GENERIC = ", ".join(f"'{x}'" for x in urls.GENERIC_WORDS)
 SKEL = r"list_transform(regexp_extract_all(html, '<\s*([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x))"
 
 
@@ -39,7 +41,7 @@ def url1_url2_url3_url5_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH h AS (SELECT page_id, {HOST} AS host, regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1) AS path FROM pages),
  r AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS reg FROM h),
  t AS (SELECT page_id, string_split_regex(lower(substr(host, 1, greatest(0, len(host) - len(reg) - 1)) || ' ' || path), '[^a-z0-9]+') AS w FROM r)
- SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(w, lambda x: len(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ('www', 'com', 'net', 'org', 'html', 'php', 'index', 'login', 'home', 'page', 'the', 'and')))), ' ') AS tokens FROM t"""
+ SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(w, lambda x: len(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ({GENERIC})))), ' ') AS tokens FROM t"""
 )
 def url6_url_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _sited(spark, sf_dir)
@@ -62,7 +64,7 @@ def htm1_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT page_id, CASE WHEN len({TEXT}) >= 200 THEN substr(sha256(regexp_replace(lower({TEXT}), '[0-9]+', '0', 'g')), 1, 20) END AS text_key,
- CASE WHEN len({SKEL}) >= 30 THEN substr(sha256(array_to_string(list_slice({SKEL}, 1, 400), ' ')), 1, 20) END AS skeleton_key, substr(sha256(html), 1, 20) AS html_sha FROM pages"""
+ CASE WHEN len({SKEL}) >= 30 THEN substr(sha256(array_to_string(list_slice({SKEL}, 1, 400), ' ') || '|'), 1, 20) END AS skeleton_key, substr(sha256(html), 1, 20) AS html_sha FROM pages"""
 )
 def htm2_htm3_htm4_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
@@ -87,27 +89,6 @@ def htm7_page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@query(
-    """WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*[^>]*)>', 1)) AS x FROM pages),
- l AS (SELECT page_id, trim(lower(regexp_extract(x, '(?i)\\bhref\\s*=\\s*["'']?([^"''>]*)', 1))) AS href FROM e WHERE lower(x) LIKE 'a %'),
- k AS (SELECT page_id, CASE WHEN href = '' OR href LIKE '#%' OR href LIKE 'javascript:%' THEN 'null' WHEN href LIKE 'mailto:%' THEN 'mailto' ELSE 'same' END AS kind FROM l)
- SELECT page_id, count(*) FILTER (kind = 'null') AS "null", count(*) FILTER (kind = 'mailto') AS mailto, count(*) FILTER (kind = 'same') AS same, 0::BIGINT AS external FROM k GROUP BY page_id"""
-)
-def htm8_url8_link_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _sited(spark, sf_dir)
-    links = P.page_elements(pages).where("tag = 'a'").select("page_id", P.attribute(F.col("attributes"), "href").alias("href"))
-    links = links.withColumn("link_host", urls.host_of(F.col("href")))
-    links = urls.registrable(links, "link_host", _suffixes(spark), "link_site").join(pages.select("page_id", "registrable"), "page_id")
-    kind = urls.destination(F.col("href"), F.col("registrable"), F.col("link_site"))
-    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("null", "mailto", "same", "external")]
-    return links.withColumn("kind", kind).groupBy("page_id").agg(*counts)
-
-
-@query("SELECT 'title' AS place, count(*) AS n FROM pages WHERE regexp_matches(html, '(?is)<title\\b[^>]*>(.*?)</title>') UNION ALL SELECT 'h1', sum(len(regexp_extract_all(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1))) FROM pages")
-def htm9_prominent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.prominent_text(read_table(spark, sf_dir, "pages")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT doc_id, CAST(ceil(len(text) / 4) AS BIGINT) AS tokens, greatest(1, CAST(ceil(len(text) / 500) AS INTEGER)) AS chunks FROM documents")
 def txt11_htm12_tokens_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -156,13 +137,23 @@ def jsn1_tolerant_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", F.try_variant_get(replies.json_object(reply), "$.k", "bigint").alias("k"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'signup') THEN 'phishing' WHEN event_type = 'error' THEN 'inconclusive' ELSE 'benign' END AS label,
- CASE WHEN event_type IN ('click', 'signup') OR value > 100 THEN 'phishing' ELSE 'benign' END AS flags FROM events""")
+REPLIES = (
+    ("click", "PHISHING: the page mimics a legitimate login"), ("signup", "<thought>LEGITIMATE</thought>Surely PHISHING. " + "x" * 90 + " LEGITIMATE"), ("error", "PHISHING or LEGITIMATE, hard to say"),
+    ("view", "legitimate - no sign of fraud"), ("purchase", "Some words. Verdict: **[ legitimate ] not PHISHING"),
+)
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'phishing' WHEN 'signup' THEN 'phishing' WHEN 'view' THEN 'benign' WHEN 'purchase' THEN 'phishing' ELSE 'inconclusive' END AS label,
+ CASE event_type WHEN 'click' THEN 'phishing' WHEN 'signup' THEN 'phishing' WHEN 'view' THEN 'benign' WHEN 'purchase' THEN 'benign' ELSE 'inconclusive' END AS marked, CASE WHEN event_type IN ('click', 'signup') OR value > 100 THEN 'phishing' ELSE 'benign' END AS flags FROM events""")
 def jsn2_jsn3_reply_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in free text, with and without a marker, and from two flags. A reply belongs to each kind of event."""
     e = read_table(spark, sf_dir, "events")
-    bad = F.col("event_type").isin("click", "signup")
-    reply = F.when(bad, "Surely PHISHING, not BENIGN").when(F.col("event_type") == "error", "It is unclear, maybe PHISHING").otherwise("Looks BENIGN to me")
-    return e.select("event_id", replies.free_text_label(reply).alias("label"), replies.two_flags(bad, F.col("value") > 100).alias("flags"))
+    reply = F.lit(None)
+    for kind, said in REPLIES:
+        reply = F.when(F.col("event_type") == kind, said).otherwise(reply)
+    e = e.withColumn("reply", reply)
+    flags = replies.two_flags(F.col("event_type").isin("click", "signup"), F.col("value") > 100)
+    return e.select("event_id", replies.free_text_label(F.col("reply")).alias("label"), replies.free_text_label(F.col("reply"), "Verdict").alias("marked"), flags.alias("flags"))
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days, strftime(ts, '%Y-%m') > '2023-12' AS after_a, strftime(ts, '%Y-%m') > '2024-01' AS after_b, event_id FROM events")
@@ -327,15 +318,14 @@ def win19_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, max(o_orderkey) AS latest FROM lineitem JOIN orders o ON l_suppkey = o_custkey AND o_orderdate <= l_shipdate + INTERVAL 1 DAY GROUP BY ALL"""
+    """WITH l AS (SELECT *, row_number() OVER () AS r FROM lineitem), x AS (SELECT r, l_orderkey, l_linenumber, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM l JOIN orders o ON l_suppkey = o_custkey AND o_orderdate <= l_shipdate + INTERVAL 1 DAY GROUP BY ALL)
+ SELECT l_orderkey, l_linenumber, latest FROM x"""
 )
 def join14_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of by key and time: per key the right rows are put in the left rows' order and carried forward, in one pass."""
-    left = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.expr("l_shipdate + INTERVAL 1 DAY").alias("t"), "l_orderkey", "l_linenumber", F.lit(1).alias("side"), F.lit(None).cast("long").alias("o_orderkey"))
-    right = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("t"), F.lit(None).cast("long").alias("l_orderkey"), F.lit(None).cast("int").alias("l_linenumber"), F.lit(0).alias("side"), "o_orderkey")
-    w = Window.partitionBy("key").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("latest", F.max("o_orderkey").over(w))
-    return both.where("side = 1 and latest is not null").groupBy("l_orderkey", "l_linenumber").agg(F.max("latest").alias("latest"))
+    """As-of by key and time: the latest order of the key on or before the day after shipping."""
+    left = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.expr("cast(l_shipdate + INTERVAL 1 DAY as date)").alias("t"), "l_orderkey", "l_linenumber")
+    right = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("date").alias("t"), F.col("o_orderkey").alias("latest"))
+    return as_of(left, right, "key", "t", "latest").where("latest is not null").select("l_orderkey", "l_linenumber", "latest")
 
 
 @query("SELECT p_partkey, p_brand, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40 GROUP BY ALL")
@@ -352,8 +342,11 @@ def src9_unmatched_on_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.agg(F.count_if(F.col("d").isNull()).alias("labels_only"), F.count_if(F.col("l").isNull()).alias("documents_only"), F.count_if(F.col("d") == F.col("l")).alias("both"))
 
 
-@query("WITH f AS (SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS version, count(*) AS n FROM documents GROUP BY source) SELECT source, substr(version, 1, 16) AS version, n FROM f")
+@query("WITH f AS (SELECT source, doc_id // 1000 AS r, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS v, count(*) AS n FROM documents GROUP BY ALL) SELECT source, substr(sha256(string_agg(r || ':' || v, chr(10) ORDER BY r)), 1, 16) AS version, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY source")
 def snk5_content_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version per source: its lines are hashed by ranges of a thousand ids, then the ranges' hashes in order."""
     line = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
-    g = read_table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("v"), F.count(F.lit(1)).alias("n"))
-    return g.select("source", F.substring(F.sha2("v", 256), 1, 16).alias("version"), "n")
+    part = read_table(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id div 1000").alias("r"))
+    part = part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("v"), F.count(F.lit(1)).alias("n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: F.concat_ws(":", x["r"].cast("string"), x["v"]))
+    return part.groupBy("source").agg(F.substring(F.sha2(F.array_join(lines, "\n"), 256), 1, 16).alias("version"), F.sum("n").alias("n"))

@@ -60,7 +60,7 @@ def evd15_join8_common_cause_links(spark: SparkSession, sf_dir: str) -> DataFram
     f"""WITH RECURSIVE {FINDINGS_SQL}, {LINKS}, e AS (SELECT a AS x, b AS y FROM lk UNION SELECT b, a FROM lk), r(node, reach) AS (SELECT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x)
  SELECT node, min(reach) AS component FROM r GROUP BY node"""
 )
-def gra2_gra3_components_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gra2_components_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = E.common_cause_links(findings(spark, sf_dir), [f"f{i}" for i in range(9)])
     return connected_components(links, "a", "b")
 
@@ -112,7 +112,7 @@ def evd27_evd28_evd29_bounded_conclusion(spark: SparkSession, sf_dir: str) -> Da
 
 
 @query(f"{FS}, s AS (SELECT case_id, pos, strength, sum(strength) OVER (PARTITION BY case_id ORDER BY pos) AS spent FROM f) SELECT case_id, pos, spent, CASE WHEN spent <= 9 THEN 'dispatched' ELSE 'skipped' END AS status FROM s")
-def win20_evd10_budgeted_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win20_budgeted_acquisition(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = findings(spark, sf_dir).select("case_id", "pos", F.col("strength").alias("cost"))
     return E.dispatch_within_budget(plan, 9).select("case_id", "pos", "spent", "status")
 
@@ -159,10 +159,17 @@ def evd2_latest_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.latest_attempt(_served(spark, sf_dir))
 
 
-@query(f"{FS}, {SERVE} SELECT status, count(*) AS n, count(*) FILTER (status <> 'obtained' AND false) AS violations FROM sv GROUP BY status")
+@query(
+    f"""{FS}, {SERVE}, st AS (SELECT *, CASE WHEN status = 'obtained' OR attempt = 3 THEN content END AS stored FROM sv)
+ SELECT status, count(*) AS n, count(*) FILTER (status <> 'obtained' AND stored IS NOT NULL) AS leaked, count(*) FILTER (withheld AND status = 'inapplicable') AS turned FROM st GROUP BY status"""
+)
 def fil11_withholding_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.count_if((F.col("status") != "obtained") & F.col("content").isNotNull())
-    return _served(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"), bad.alias("violations"))
+    """Violations in a store that served too much on its third attempts: content beside a status that has none, and withheld
+    fields that count as inapplicable."""
+    served = _served(spark, sf_dir)
+    raw = findings(spark, sf_dir).select("case_id", F.col("pos").alias("attempt"), F.when(F.col("artifact") != "art0", F.col("entity")).alias("kept"))
+    stored = served.join(raw, ["case_id", "attempt"]).withColumn("content", F.when(F.col("attempt") == 3, F.col("kept")).otherwise(F.col("content")))
+    return E.withholding_violations(stored)
 
 
 CONDITIONS = "c(name, withheld) AS (VALUES ('base', []), ('no html', ['f1', 'f2']), ('url only', ['f1', 'f2', 'f3', 'f4', 'f5', 'f6', 'f7', 'f8']))"
@@ -220,15 +227,3 @@ def fil14_mld11_complete_evidence_route(spark: SparkSession, sf_dir: str) -> Dat
     return have.select("case_id", full.alias("complete"), F.when(full, "A").otherwise("B").alias("route"))
 
 
-@query(f"{FS}, s AS (SELECT agent, capture_id, count(*) AS n, count(*) FILTER (direction = 'neutral') AS rejected FROM f GROUP BY ALL) SELECT agent, sum(n) AS n, sum(rejected) AS rejected, round(sum(rejected) / sum(n), 6) AS share FROM s GROUP BY agent")
-def agg40_agent_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = findings(spark, sf_dir).groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("direction") == "neutral").alias("rejected"))
-    return rounded(g.withColumn("share", F.col("rejected") / F.col("n")))
-
-
-@query("SELECT conv_id, count(*) AS objects, sum(len(regexp_extract_all(text, 'https?://[^\\s<>\"'')]+'))) AS links FROM conversations GROUP BY conv_id")
-def evd1_url9_submission_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleanery.functions.urls import extract_urls
-
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", F.size(extract_urls(F.col("text"))).alias("k"))
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("objects"), F.sum("k").alias("links"))

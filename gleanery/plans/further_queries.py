@@ -100,28 +100,14 @@ def agg20_evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(sides[0], "case_id", "left").join(sides[1], "case_id", "left").fillna(0)
 
 
-@query("WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT event_type, count(*) AS n, round(avg((i > 3)::INT), 6) AS later_share FROM e GROUP BY event_type")
-def agg26_later_dispatch_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    e = read_table(spark, sf_dir, "events").withColumn("i", i)
-    return rounded(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("i") > 3).cast("int")).alias("later_share")))
-
-
 @query(f"{DM}, c AS (SELECT case_id, label, stratum, row_number() OVER (PARTITION BY label, stratum ORDER BY case_id) AS i FROM m WHERE split = 'train') SELECT case_id, label, stratum FROM c WHERE i <= 5")
 def win24_stratified_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.row_number().over(Window.partitionBy("label", "stratum").orderBy("case_id"))
     return cases(spark, sf_dir).where("split = 'train'").withColumn("i", i).where("i <= 5").select("case_id", "label", "stratum")
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '(?is)<(?:form|iframe)\b[^>]*>')) AS refs, len(regexp_extract_all(html, '(?is)<meta\b[^>]*http-equiv[^>]*>')) AS refreshes FROM pages")
-def htm10_cross_origin_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("html")
-    count = [F.regexp_count(h, F.lit(p)).cast("long") for p in (r"(?is)<(?:form|iframe)\b[^>]*>", r"(?is)<meta\b[^>]*http-equiv[^>]*>")]
-    return read_table(spark, sf_dir, "pages").select("page_id", count[0].alias("refs"), count[1].alias("refreshes"))
-
-
 @query("SELECT page_id, len(CASE WHEN len(html) > 1000 THEN substr(html, 1, 1000 - strpos(reverse(substr(html, 1, 1000)), '>') + 1) || '[cut]' ELSE html END) AS kept FROM pages")
-def htm6_htm11_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+def htm6_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages shortened at a tag end, with a notice, to a budget of characters."""
     return read_table(spark, sf_dir, "pages").select("page_id", F.length(P.truncate_html(F.col("html"), 1000)).cast("long").alias("kept"))
 
@@ -142,20 +128,6 @@ def txt5_canonical_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.trim(t), 256).alias("sha"))
 
 
-@query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, json_extract_string(props, '$.missing') IS NULL AS missing, NOT json_valid(props) AS malformed FROM events")
-def jsn6_jsn7_reply_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.from_json("props", "map<string, bigint>")
-    e = read_table(spark, sf_dir, "events").select("event_id", v.alias("m"))
-    return e.select("event_id", F.coalesce(F.col("m")["k"], F.lit(0)).alias("k"), F.col("m")["missing"].isNull().alias("missing"), F.col("m").isNull().alias("malformed"))
-
-
-@query("SELECT o_custkey, 'orders ' || count(*) || ', first ' || strftime(min(o_orderdate), '%Y-%m-%d') || ', last ' || strftime(max(o_orderdate), '%Y-%m-%d') AS summary FROM orders GROUP BY o_custkey")
-def crt1_record_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = [F.date_format(f("o_orderdate"), "yyyy-MM-dd") for f in (F.min, F.max)]
-    g = read_table(spark, sf_dir, "orders").groupBy("o_custkey")
-    return g.agg(F.concat(F.lit("orders "), F.count(F.lit(1)), F.lit(", first "), days[0], F.lit(", last "), days[1]).alias("summary"))
-
-
 COSINE = r"""w AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
  c AS (SELECT item_id, term, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY item_id),
  l AS (SELECT a.item_id AS a, b.item_id AS b FROM c a JOIN c b ON a.term = b.term AND a.item_id < b.item_id JOIN m x ON x.item_id = a.item_id JOIN m y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id, x.norm, y.norm HAVING sum(a.n * b.n) / (x.norm * y.norm) >= 0.5)"""
@@ -187,13 +159,6 @@ def evd31_evidence_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(cited).distinct().groupBy("case_id", "agent").agg(F.count(F.lit(1)).alias("shown"))
 
 
-@query(f"{FS}, t AS (SELECT case_id, count(*) AS n, count(*) FILTER (direction = 'neutral') AS quiet FROM f GROUP BY case_id) SELECT case_id, round(least(1, quiet / (1 + n - quiet)), 6) AS stopping_error FROM t")
-def evd25_stopping_error_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quiet = F.count_if(F.col("direction") == "neutral")
-    g = findings(spark, sf_dir).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), quiet.alias("quiet"))
-    return rounded(g.select("case_id", F.least(F.lit(1.0), F.col("quiet") / (1 + F.col("n") - F.col("quiet"))).alias("stopping_error")))
-
-
 @query()
 def mld10_mld13_feature_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold log loss of three feature subsets, with rows added whose symbol features are withheld."""

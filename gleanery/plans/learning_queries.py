@@ -77,11 +77,3 @@ def mld16_frozen_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.linear_apply(features(spark, sf_dir), WEIGHTS, -2.0).select("doc_id", "p"))
 
 
-@query(
-    """WITH v AS (SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings), s AS (SELECT label, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM v GROUP BY label)
- SELECT label, n, round(ma, 5) AS ma, round(mb, 5) AS mb, round(mc, 5) AS mc FROM s"""
-)
-def mld14_class_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "embeddings")
-    means = [F.avg(F.col("embedding")[i].cast("double")).alias(n) for i, n in enumerate(("ma", "mb", "mc"))]
-    return rounded(e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *means), 5)

@@ -36,20 +36,11 @@ def _brands(spark: SparkSession) -> DataFrame:
     f"""WITH b(word, domains) AS {BRANDS}, p AS (SELECT page_id, {HOST} AS host FROM pages), q AS (SELECT page_id, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS own,
  unnest(list_distinct(string_split_regex(host, '[^a-z0-9]+'))) AS word FROM p) SELECT page_id, own, word FROM q JOIN b USING (word) WHERE NOT list_contains(domains, own)"""
 )
-def join12_url10_brand_in_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+def join12_brand_in_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _sited(spark, sf_dir).select("page_id", F.col("registrable").alias("own"), F.array_distinct(F.split("host", "[^a-z0-9]+")).alias("tokens"))
     return brands.named_elsewhere(p, "tokens", "own", F.broadcast(_brands(spark))).select("page_id", "own", "word")  # four brands
 
 
-@query(
-    r"""WITH t AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(string_split(text, chr(10))[1]), '[^\p{L}\p{N}]+'))) AS word FROM documents) SELECT doc_id, word FROM t WHERE word IN ('the', 'clown', 'casino')"""
-)
-def join11_brand_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.sql("SELECT col1 AS word, array('x.com') AS domains FROM VALUES ('the'), ('clown'), ('casino')")
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("head"))
-    return brands.named_in_text(d, "head", F.broadcast(b)).select("doc_id", "word")  # three names
-
-
 @query(
     f"""{DM}, x AS (SELECT b.case_id, n.case_id AS donor, row_number() OVER (PARTITION BY b.case_id ORDER BY md5('5|' || b.case_id || '|' || n.case_id)) AS i FROM m b JOIN m n ON b.stratum = n.stratum AND b.grp = n.grp AND b.label <> n.label)
  SELECT case_id, donor FROM x WHERE i = 1"""
@@ -64,13 +55,6 @@ def join7_opposite_label_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("case_id").agg(F.min_by("donor", key).alias("donor"))
 
 
-@query(f"{FS}, b AS (SELECT case_id, entity, arg_min(ref, ref) AS original, list_sort(list(ref)) AS refs FROM f GROUP BY ALL HAVING count(*) > 1) SELECT case_id, entity, original, len(refs) - 1 AS copies FROM b")
-def join18_evd16_borrowed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations that repeat an earlier one's entity in their case; the original first."""
-    g = findings(spark, sf_dir).groupBy("case_id", "entity").agg(F.min("ref").alias("original"), (F.count(F.lit(1)) - 1).alias("copies"))
-    return g.where("copies > 0")
-
-
 @query("SELECT source, arg_min(doc_id, (coalesce(l.quality, 2), -d.doc_id)) AS doc_id FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
 def join21_prefer_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source").join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
@@ -93,22 +77,13 @@ def agg27_duplicate_support_share(spark: SparkSession, sf_dir: str) -> DataFrame
  SELECT case_id, len(coalesce(cited, [])) AS cited, len(list_filter(coalesce(cited, []), lambda x: NOT list_contains(coalesce(eligible, []), x))) AS outside,
  len(list_filter(coalesce(cited, []), lambda x: NOT list_contains(coalesce(eligible, []), x))) = 0 AND len(coalesce(cited, [])) > 0 AS valid FROM c"""
 )
-def fil18_agg24_agg25_citation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fil18_agg24_citation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = [F.collect_set(F.when(w, F.col("ref"))).alias(n) for n, w in (("c", F.col("strength") >= 2), ("e", F.col("direction") != "neutral"))]
     g = findings(spark, sf_dir).groupBy("case_id").agg(*ok)
     outside = F.size(F.array_except("c", "e")).cast("long")
     return g.select("case_id", F.size("c").cast("long").alias("cited"), outside.alias("outside"), ((outside == 0) & (F.size("c") > 0)).alias("valid"))
 
 
-@query(f"{FS}, r AS (SELECT case_id, agent, count(*) AS n, count(*) FILTER (direction = 'neutral') AS silent, count(DISTINCT field) AS fields FROM f GROUP BY ALL) SELECT case_id, agent, CASE WHEN silent = n THEN 'no data' WHEN fields < 2 AND silent > 0 THEN 'rejected' ELSE 'ran' END AS status FROM r")
-def fil15_evd12_evd21_record_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An agent without a substantive finding has no data; one field with silent findings is rejected."""
-    silent = F.count_if(F.col("direction") == "neutral")
-    r = findings(spark, sf_dir).groupBy("case_id", "agent").agg(F.count(F.lit(1)).alias("n"), silent.alias("silent"), F.count_distinct("field").alias("k"))
-    status = F.when(F.col("silent") == F.col("n"), "no data").when((F.col("k") < 2) & (F.col("silent") > 0), "rejected").otherwise("ran")
-    return r.select("case_id", "agent", status.alias("status"))
-
-
 @query(f"{FS}, a AS (SELECT unnest(['agent0', 'agent1', 'agent2', 'agent3', 'agent4']) AS agent), w AS (SELECT DISTINCT case_id, agent FROM (SELECT DISTINCT case_id FROM f), a), l AS (SELECT w.case_id, w.agent FROM w ANTI JOIN f ON w.case_id = f.case_id AND w.agent = f.agent), o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY agent) AS i FROM l) SELECT case_id, string_agg(agent, ',' ORDER BY agent) AS never, string_agg(agent, ',' ORDER BY agent) FILTER (i <= 2) AS targets FROM o GROUP BY case_id")
 def evd7_evd22_evd23_never_dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agents that never ran on a case, and the first two as the next round's targets."""
@@ -118,25 +93,6 @@ def evd7_evd22_evd23_never_dispatched(spark: SparkSession, sf_dir: str) -> DataF
     return g.where(F.size(never) > 0).select("case_id", F.array_join(never, ",").alias("never"), F.array_join(F.slice(never, 1, 2), ",").alias("targets"))
 
 
-@query(f"{FS}, {LINKS}, t AS (SELECT case_id, count(*) AS shared FROM lk GROUP BY case_id), c AS (SELECT case_id, count(DISTINCT capture_id) AS captures, count(DISTINCT artifact) AS artifacts, max(strength) AS top FROM f GROUP BY case_id) SELECT c.case_id, coalesce(shared, 0) > 0 AS shared_entity, captures > 1 AS many_captures, artifacts >= 4 AS crossed, (coalesce(shared, 0) > 0)::INT + (captures > 1)::INT + (artifacts >= 4)::INT AS n FROM c LEFT JOIN t USING (case_id)")
-def evd3_evd4_evd5_evd6_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleanery.operators import evidence as E
-
-    f = findings(spark, sf_dir)
-    shared = E.common_cause_links(f, [f"f{i}" for i in range(9)]).groupBy("case_id").agg(F.count(F.lit(1)).alias("shared"))
-    c = f.groupBy("case_id").agg(F.count_distinct("capture_id").alias("k"), F.count_distinct("artifact").alias("m")).join(shared, "case_id", "left")
-    t = [F.coalesce("shared", F.lit(0)) > 0, F.col("k") > 1, F.col("m") >= 4]
-    return c.select("case_id", *[x.alias(n) for x, n in zip(t, ("shared_entity", "many_captures", "crossed"))], sum((x.cast("int") for x in t[1:]), t[0].cast("int")).alias("n"))
-
-
-@query(f"{FS}, p AS (SELECT *, lag(strength) OVER (PARTITION BY case_id, field ORDER BY pos) AS was, lag(direction) OVER (PARTITION BY case_id, field ORDER BY pos) AS said FROM f) SELECT case_id, field, pos, strength > was AND direction <> 'neutral' AS accepted, direction <> said AS turned FROM p WHERE was IS NOT NULL")
-def evd26_revision_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("case_id", "field").orderBy("pos")
-    p = findings(spark, sf_dir).withColumns({"was": F.lag("strength").over(w), "said": F.lag("direction").over(w)}).where("was is not null")
-    ok = (F.col("strength") > F.col("was")) & (F.col("direction") != "neutral")
-    return p.select("case_id", "field", "pos", ok.alias("accepted"), (F.col("direction") != F.col("said")).alias("turned"))
-
-
 @query(f"{FS}, c AS (SELECT case_id, list(DISTINCT agent) AS ran, list(DISTINCT field) AS fields FROM f GROUP BY case_id) SELECT case_id, len(ran) AS analysable, len(fields) AS readable, len(ran) >= 2 AND len(fields) >= 2 AS verdict_possible, 9 - len(fields) AS gaps FROM c")
 def evd32_coverage_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = findings(spark, sf_dir).groupBy("case_id").agg(F.count_distinct("agent").alias("analysable"), F.count_distinct("field").alias("readable"))
@@ -165,17 +121,11 @@ def set2_extend_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.unionByName(new).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{D}, {BOOT}, h AS (SELECT b, delta FROM dl) SELECT round(avg(delta), 6) AS mean_delta, round(stddev_samp(delta), 6) AS spread, count(*) AS resamples FROM h")
-def sta4_sta5_bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = paired.bootstrap_f1(paired.pair(decisions(spark, sf_dir), "a0", "a1"), 20)
-    return rounded(d.agg(F.avg("delta").alias("mean_delta"), F.stddev_samp("delta").alias("spread"), F.count(F.lit(1)).alias("resamples")))
-
-
 @query(
     f"""{D}, c AS (SELECT arm, {COUNTS} FROM d GROUP BY arm), r AS (SELECT arm, 2 * tp / (2 * tp + fp + fn) AS f1, (tp + fp + tn + fn) / n AS coverage FROM c), z AS (SELECT f1 AS base FROM r WHERE arm = 'a0')
  SELECT arm, round(f1 - base, 6) AS delta, f1 - base > -0.03 AS within_margin, coverage >= 0.5 AS covers, CASE WHEN f1 - base > 0.001 THEN 'WIN' WHEN f1 - base < -0.001 THEN 'LOSS' ELSE 'TIE' END AS reading FROM r, z"""
 )
-def sta8_sta9_sta10_sta12_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sta8_sta10_sta12_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each arm against the full one: margins, coverage and the reading, one row an arm."""
     r = metrics.rates(metrics.confusion(decisions(spark, sf_dir), ["arm"]))
     base = r.where("arm = 'a0'").select(F.col("f1").alias("base"))
@@ -185,12 +135,6 @@ def sta8_sta9_sta10_sta12_adoption(spark: SparkSession, sf_dir: str) -> DataFram
     return rounded(j.select("arm", d.alias("delta"), (d > -0.03).alias("within_margin"), (F.col("coverage") >= 0.5).alias("covers"), reading.alias("reading")))
 
 
-@query(f"{D}, o AS (SELECT arm, max(CAST(ts AS DATE)) AS last FROM d GROUP BY arm) SELECT d.arm, count(*) AS n, count(*) FILTER (score IS NULL) AS missing, count(*) FILTER (grp = 'g1') AS in_group FROM d JOIN o ON d.arm = o.arm AND CAST(d.ts AS DATE) <= o.last GROUP BY d.arm")
-def fil3_fil6_split_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decisions(spark, sf_dir)
-    return d.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score").isNull()).alias("missing"), F.count_if(F.col("grp") == "g1").alias("in_group"))
-
-
 @query("SELECT doc_id, contains(text, 'é') AS accents, CAST(length(text) - length(replace(text, chr(8203), '')) AS BIGINT) AS zero_width, 'c-' || substr(sha256(text), 1, 12) AS id FROM documents")
 def txt2_hsh1_obfuscation_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")

@@ -130,7 +130,7 @@ def agg33_tie_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{D}, g(tau) AS (VALUES (0.01), (0.02), (0.05), (0.1)), x AS (SELECT arm, score, verdict <> label AS wrong FROM d WHERE score IS NOT NULL)
  SELECT arm, tau, round(avg((score >= tau)::INT), 6) AS stopped, round(avg(wrong::INT) FILTER (score >= tau), 6) AS error FROM x, g GROUP BY ALL"""
 )
-def agg35_win23_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg35_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.sql("SELECT CAST(col1 AS DOUBLE) AS tau FROM VALUES (0.01), (0.02), (0.05), (0.1)")
     d = decisions(spark, sf_dir).withColumn("wrong", F.col("verdict") != F.col("label"))
     out = rounded(ranking.grid_rates(d, grid, ["arm"]))
@@ -214,10 +214,12 @@ def sta11_join2_verdict_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.flips(paired.pair(decisions(spark, sf_dir), "a0", "a1"))
 
 
-B = 20
+#: As many resamples as the reference draws.
+B = 2000
 BOOT = f"""pr AS (SELECT x.case_id, x.label, x.verdict AS one, y.verdict AS two FROM d x JOIN d y USING (case_id) WHERE x.arm = 'a0' AND y.arm = 'a1'),
  nb AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(CAST(case_id AS VARCHAR)), 1, 4))::BIGINT % 256, case_id) - 1 AS no FROM pr),
- dr AS (SELECT b, j, ('0x' || substr(md5(b || '|' || j), 1, 8))::BIGINT % (SELECT count(*) FROM nb) AS no FROM range(0, {B}) t(b), (SELECT no AS j FROM nb)),
+ gr AS (SELECT b, g, md5(b || '|' || g) AS h FROM range(0, {B}) t(b), range(0, (SELECT (count(*) + 3) // 4 FROM nb)) s(g)),
+ dr AS (SELECT b, ('0x' || substr(h, CAST(1 + 8 * i AS INTEGER), 8))::BIGINT % (SELECT count(*) FROM nb) AS no FROM gr, range(0, 4) q(i) WHERE 4 * g + i < (SELECT count(*) FROM nb)),
  fs AS (SELECT b, count(*) FILTER (label = 'phishing' AND one = 'phishing') AS tp1, count(*) FILTER (label = 'benign' AND one <> label) AS fp1, count(*) FILTER (label = 'phishing' AND one <> 'phishing') AS fn1,
  count(*) FILTER (label = 'phishing' AND two = 'phishing') AS tp2, count(*) FILTER (label = 'benign' AND two <> label) AS fp2, count(*) FILTER (label = 'phishing' AND two <> 'phishing') AS fn2 FROM dr JOIN nb USING (no) GROUP BY b),
  dl AS (SELECT b, 2 * tp2 / (2 * tp2 + fp2 + fn2) - 2 * tp1 / (2 * tp1 + fp1 + fn1) AS delta FROM fs)"""
@@ -301,7 +303,7 @@ def set1_union_of_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{D} SELECT arm, count(*) FILTER (verdict NOT IN ('phishing', 'benign', 'inconclusive')) AS bad_verdicts, count(*) - count(DISTINCT case_id) AS repeats, count(DISTINCT model) AS models FROM d GROUP BY arm")
-def fil4_fil19_ledger_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fil4_fil19_ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.count_if(~F.col("verdict").isin("phishing", "benign", "inconclusive"))
     return decisions(spark, sf_dir).groupBy("arm").agg(bad.alias("bad_verdicts"), (F.count(F.lit(1)) - F.count_distinct("case_id")).alias("repeats"), F.count_distinct("model").alias("models"))
 
@@ -342,7 +344,7 @@ def win22_smallest_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{D}, s AS (SELECT case_id, string_agg(arm, '+' ORDER BY arm) FILTER (verdict <> 'inconclusive') AS chosen, any_value(label) AS label FROM d GROUP BY case_id)
  SELECT coalesce(chosen, '') AS chosen, label, count(*) AS n FROM s GROUP BY ALL"""
 )
-def agg22_agg39_selection_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg22_selection_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(spark, sf_dir)
     chosen = F.array_join(F.array_sort(F.collect_list(F.when(F.col("verdict") != "inconclusive", F.col("arm")))), "+")
     s = d.groupBy("case_id").agg(chosen.alias("chosen"), F.first("label").alias("label"))

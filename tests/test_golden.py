@@ -100,8 +100,29 @@ def test_page_and_text_functions(spark):
 def test_replies(spark):
     d = spark.createDataFrame([('```json\n{"a": 1}\n```',), ('so {"a": 2} ok',), ("no json",), (None,)], "r string")
     assert [r[0] for r in d.select(F.try_variant_get(replies.json_object(F.col("r")), "$.a", "int")).collect()] == [1, 2, None, None]
-    d = spark.createDataFrame([("I say PHISHING",), ("It is possibly BENIGN",), ("nothing",)], "r string")
-    assert [r[0] for r in d.select(replies.free_text_label(F.col("r"))).collect()] == ["phishing", "inconclusive", "inconclusive"]
+    said = {
+        "I say PHISHING": "phishing", "It mimics a legitimate page: PHISHING": "phishing", "LEGITIMATE, not PHISHING": "inconclusive", "PHISHING" + " " * 80 + "LEGITIMATE": "phishing",
+        "PHISHING" + " " * 70 + "LEGITIMATE": "inconclusive", "PHISHING or PHISHING": "phishing", "**legitimate** it is": "benign", "nothing": "inconclusive", "so legitimate": "inconclusive",
+        "<thought>PHISHING</thought>LEGITIMATE": "benign", "Final: LEGITIMATE though PHISHING": "inconclusive",
+    }
+    d = spark.createDataFrame([(r,) for r in said], "r string")
+    assert {r.r: r.v for r in d.select("r", replies.free_text_label(F.col("r")).alias("v")).collect()} == said
+    marked = {"Final: [legitimate] though PHISHING": "benign", "final PHISHING, LEGITIMATE": "phishing", "PHISHING": "phishing"}
+    d = spark.createDataFrame([(r,) for r in marked], "r string")
+    assert {r.r: r.v for r in d.select("r", replies.free_text_label(F.col("r"), "Final").alias("v")).collect()} == marked
+
+
+def test_cascade_notes_and_conclusion(spark):
+    d = spark.createDataFrame([(None, None), (None, "benign"), ("benign", None), ("phishing", "benign"), ("benign", "phishing")], "a string, b string")
+    assert [r[0] for r in d.select(replies.cascade(F.col("a"), F.col("b"))).collect()] == [None, "benign", "benign", "phishing", "phishing"]
+    d = spark.createDataFrame([("scope=host ; n=3; empty=",), ("",), (None,)], "t string")
+    assert [r[0] for r in d.select(replies.notes(F.col("t"))).collect()] == [{"scope": "host", "n": "3", "empty": ""}, {"": None}, None]
+    every = (True, False, None)
+    rows = [(s, o, c, g) for s in every for o in every for c in every for g in every]
+    d = spark.createDataFrame(rows, "s boolean, o boolean, c boolean, g boolean")
+    for r in d.select("*", numbers.conclusion(*(F.col(x) for x in "socg")).alias("v")).collect():
+        bad, good = bool(r.s and r.o), bool(r.c and r.g)
+        assert r.v == ("insufficient" if bad == good else "phishing" if bad else "benign")
 
 
 def test_band_is_total(spark):
