@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,3 +170,11 @@ def prominent_text(pages: DataFrame) -> DataFrame:
 
 def _placed(tag: str):
     return lambda x: F.struct(F.lit(tag).alias("place"), x.alias("text"))
+
+
+def offline(text: Column, sentences: Sequence[str]) -> Column:
+    """FIL8: a browser's own page: an error code and one of its sentences."""
+    said = F.lit(False)
+    for s in sentences:
+        said = said | text.contains(s)
+    return text.rlike(r"\bERR_[A-Z_]{4,}\b") & said

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.sql import fold_marks
+
 # The patterns of urls and addresses that template keys mask.
 LOOSE_URL = r"(?i)(https?://\S+|www\.\S+|\b[\w-]+\.(?:com|net|org|ly|co|info|xyz|me|io)/\S*)"
 EMAIL = r"[\w.+-]+\s*@\s*[\w-]+(\s*\.\s*[\w-]+)+"
@@ -23,6 +27,11 @@ def lines(text: Column, most: int = 200) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def sentences(text: Column, most: int = 200) -> Column:
+    """TXT1: lines, cut after the end of each sentence, trimmed, non-empty and clipped."""
+    return lines(F.regexp_replace(text, "([.!?]) +", "$1\n"), most)
+
+
 def token_estimate(text: Column) -> Column:
     """TXT11: a quarter of the characters, rounded up."""
     return F.ceil(F.length(text) / 4).cast("long")
@@ -43,6 +52,14 @@ def span_locator(field: Column, text: Column, quote: Column) -> Column:
     return F.when((at > 0) & (F.length(quote) > 0), F.concat(field, F.lit("@"), at - 1, F.lit(":"), at - 1 + F.length(quote)))
 
 
+def span_locator_at(field: Column, text: Column, quote: Column, n: Column) -> Column:
+    """TXT10: ``field@start:end#n`` of a quote's n-th place, places not overlapping; null where it has fewer."""
+    parts = F.split(text, F.concat(F.lit("\\Q"), quote, F.lit("\\E")))
+    at = F.length(F.array_join(F.slice(parts, F.lit(1), n), "")) + (n - 1) * F.length(quote)
+    ends = F.concat(field, F.lit("@"), at, F.lit(":"), at + F.length(quote), F.lit("#"), n)
+    return F.when((F.length(quote) > 0) & (F.size(parts) > n), ends)
+
+
 def resolve_span(locator: Column, text: Column) -> Column:
     """TXT10: the text a locator points to; null past the end or if malformed."""
     a = F.regexp_extract(locator, r"^[^@]+@([0-9]+):([0-9]+)$", 1)
@@ -58,10 +75,39 @@ def obfuscation(text: Column) -> dict[str, Column]:
     return {"mixed_words": F.size(mixed).cast("long"), "zero_width": F.regexp_count(text, F.lit("[​‌‍⁠﻿]")).cast("long")}
 
 
-def terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """TXT6: word counts per row: ``(key, term, n)``."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+def terms(df: DataFrame, key: str, text: str = "text", kinds: Sequence[str] | None = None) -> DataFrame:
+    """TXT6: term counts per row: ``(key, term, n)`` of the words or, with ``kinds``, ``(key, kind, term, n)`` of words, bigrams of
+    words and runs of four characters."""
+    low = F.lower(F.col(text))
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    if kinds is None:
+        return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    found = {
+        "word": lambda: words,
+        "bigram": lambda: _runs(words, 2),
+        "char": lambda: F.transform(_starts(F.length(low), 4), lambda i: F.substring(low, i, F.lit(4))),
+    }
+    named = [F.transform(found[k](), _of_kind(k)) for k in kinds]
+    rows = df.where(F.col(text).isNotNull()).select(key, F.explode(F.flatten(F.array(*named))).alias("x"))
+    return rows.groupBy(key, "x.kind", "x.term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _starts(length: Column, size: int) -> Column:
+    """1 up to the last place where ``size`` items begin; none where there are fewer."""
+    return F.when(length >= size, F.sequence(F.lit(1), length - size + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _runs(words: Column, size: int) -> Column:
+    return F.transform(_starts(F.size(words), size), lambda i: F.array_join(F.slice(words, i, size), " "))
+
+
+def _of_kind(kind: str):
+    return lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"))
+
+
+def tag_trigrams(html: Column) -> Column:
+    """TXT6: three tags in a row, in page order."""
+    return _runs(F.transform(F.regexp_extract_all(html, F.lit(r"<\s*([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower), 3)
 
 
 def tf_idf(counts: DataFrame, key: str) -> DataFrame:
@@ -77,3 +123,21 @@ def cosine_pairs(queries: DataFrame, index: DataFrame, q: str, d: str) -> DataFr
     """JOIN10 and TXT7: cosine of weighted rows by an inverted index: an equi-join on the term, then a sum per pair."""
     a, b = queries.select(q, "term", F.col("w").alias("w1")), index.select(d, "term", F.col("w").alias("w2"))
     return a.join(b, "term").groupBy(q, d).agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine"))
+
+
+def disguised(text: Column, words: Sequence[str]) -> Column:
+    """TXT2: how many words are one of ``words`` once their diacritics are gone, and not before."""
+    plain = lambda t: F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
+    hits = lambda t: F.size(F.filter(plain(t), lambda w: w.isin(*words)))
+    return (hits(fold_marks(text)) - hits(text)).cast("long")
+
+
+def folder_date(name: Column) -> Column:
+    """DAT1: the first eight digits in a row of a folder's name, as a date; null if they are none."""
+    return F.try_to_date(F.regexp_extract(name, r"(?:^|\D)(\d{8})(?!\d)", 1), "yyyyMMdd")
+
+
+def mail_date(header: Column) -> Column:
+    """DAT1: the day, in UTC, of a mail header's date; null if it is none."""
+    bare = F.regexp_extract(header, r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1)
+    return F.to_date(F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")))

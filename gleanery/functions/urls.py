@@ -61,6 +61,14 @@ def registrable(df: DataFrame, host: str, suffixes: DataFrame, out: str = "regis
     return df.join(named, F.col(host) == F.col("_h"), "left").withColumn(out, F.coalesce("_r", F.col(host))).drop("_h", "_r")
 
 
+def platform_suffix(df: DataFrame, host: str, private: DataFrame, out: str = "platform") -> DataFrame:
+    """URL4: the longest private suffix (``suffix``) that a host lies under, or is; null where there is none."""
+    hosts = df.select(F.col(host).alias("_h")).distinct()
+    keyed = hosts.select("_h", F.explode(host_suffixes(F.col("_h"))).alias("suffix"))
+    best = keyed.join(private.select("suffix").distinct(), "suffix").groupBy("_h").agg(F.max_by("suffix", F.length("suffix")).alias(out))
+    return df.join(best, F.col(host) == F.col("_h"), "left").drop("_h")
+
+
 def site_key(host: Column, reg: Column) -> Column:
     """URL5: the host on shared platforms, else the registrable domain."""
     return F.when(reg.isin(SHARED_PLATFORMS), host).otherwise(reg)

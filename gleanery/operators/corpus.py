@@ -160,3 +160,46 @@ def after_cutoff(day: Column, models: Sequence[tuple[str, str]]) -> Column:
     """DAT2: per model, whether the day's month lies after its cutoff month; null for an unknown day."""
     month = F.date_format(day, "yyyy-MM")
     return F.map_from_arrays(F.array(*[F.lit(m) for m, _ in models]), F.array(*[month > F.lit(c) for _, c in models]))
+
+
+def swap_fields(cases: DataFrame, group: Sequence[str], inside: Sequence[str], seed: str) -> DataFrame:
+    """JOIN7: each case with the fields of ``group`` from a donor of the other label, everything else its own; a column ``donor``.
+
+    Cases and donors hold every field of the group. Donors are numbered in a seeded order inside each block of ``inside`` and
+    label, and a case takes the one whose number its own hash gives, so no pairs are formed but those taken.
+    """
+    full = cases.where(" and ".join(f"{c} is not null" for c in group))
+    block = Window.partitionBy(*inside, "label")
+    no = F.row_number().over(block.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "case_id")), "case_id")) - 1
+    donors = full.select(*inside, F.col("label").alias("_label"), F.col("case_id").alias("donor"), *(F.col(c).alias(f"_{c}") for c in group), no.alias("_no"))
+    sizes = full.groupBy(*inside, F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("_k"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("b"), F.lit(seed), "case_id")), 1, 8), 16, 10).cast("long")
+    asked = full.join(sizes, list(inside)).where("label <> _label").withColumn("_no", draw % F.col("_k"))
+    met = asked.join(donors, [*inside, "_label", "_no"])
+    return met.select(*(F.col(f"_{c}").alias(c) if c in group else F.col(c) for c in cases.columns), "donor")
+
+
+def append_new(rows: DataFrame, path: str, keys: Sequence[str], by: str, failed: Column) -> None:
+    """SNK3: append the rows whose keys a sink does not hold yet, by partition, failures to a sink of their own. A run that is
+    repeated after a loss writes only what is missing."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    kind = rows.withColumn("_failed", F.coalesce(failed, F.lit(False)))
+    for name, when in (("done", ~F.col("_failed")), ("failed", F.col("_failed"))):
+        seen = None
+        for other in ("done", "failed"):
+            if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{other}")):
+                held = spark.read.schema(rows.schema).parquet(f"{path}/{other}").select(*keys)
+                seen = held if seen is None else seen.unionByName(held)
+        new = kind.where(when).drop("_failed")
+        new = new if seen is None else new.join(seen.distinct(), list(keys), "left_anti")
+        new.write.mode("append").partitionBy(by).parquet(f"{path}/{name}")
+
+
+def extend_manifest(manifest: DataFrame, new: DataFrame) -> DataFrame:
+    """SET2: the manifest and new rows; raises if it has one of their splits already."""
+    both = new.select("split").distinct().join(manifest.select("split").distinct(), "split", "left_semi").limit(1).collect()
+    if both:
+        raise ValueError(f"the manifest already has split {both[0][0]}")
+    return manifest.unionByName(new)

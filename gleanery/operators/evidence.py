@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.texts import grounded
 from gleanery.functions.urls import extract_urls
 from gleanery.operators.graph import connected_components
 
@@ -208,3 +209,29 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
         tp.alias("tp"), fp.alias("fp"), fn.alias("fn"),
         F.try_divide(tp.cast("double"), (tp + fp).cast("double")).alias("precision"), F.try_divide(tp.cast("double"), (tp + fn).cast("double")).alias("recall"),
     )
+
+
+def grounding(quotes: DataFrame, lines: DataFrame) -> DataFrame:
+    """TXT9: ``(case_id, ref, outcome)``: a quote that stands in the line it cites is kept; one that cites none is repaired if it
+    stands in one line of the case alone, else dropped as a bad line; one that is not in its line is a bad quote."""
+    met = quotes.join(lines, "case_id", "left")
+    here = F.when(grounded(F.col("quote"), F.col("line")), F.col("i"))
+    g = met.groupBy("case_id", "ref", "cited").agg(F.collect_set(here).alias("at"))
+    outcome = (
+        F.when(F.col("cited").isNotNull() & F.array_contains("at", F.col("cited")), "kept")
+        .when(F.col("cited").isNotNull(), "bad quote")
+        .when(F.size("at") == 1, "repaired")
+        .otherwise("bad line")
+    )
+    return g.select("case_id", "ref", outcome.alias("outcome"))
+
+
+def coverage_ceiling(cases: DataFrame, needs: dict[str, list[str]], least: int) -> DataFrame:
+    """EVD32: from the ``readable`` fields of a case: agents that can analyse anything, those with all they need, the number of
+    fields, whether ``least`` agents make a verdict possible, and the agents to disclose as gaps."""
+    some = {a: F.arrays_overlap("readable", F.array(*map(F.lit, n))) for a, n in sorted(needs.items())}
+    whole = [F.size(F.array_except(F.array(*map(F.lit, n)), "readable")) == 0 for n in needs.values()]
+    count = lambda flags: sum((x.cast("long") for x in flags), F.lit(0).cast("long"))
+    gaps = F.array_join(F.array_compact(F.array(*(F.when(~x, a) for a, x in some.items()))), ",")
+    n = count(some.values())
+    return cases.select("case_id", n.alias("analysable"), count(whole).alias("complete"), F.size("readable").cast("long").alias("fields"), (n >= least).alias("verdict_possible"), gaps.alias("gaps"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators import ranking
+from gleanery.operators.metrics import PHISHING
+
 
 def standardise(df: DataFrame, columns: Sequence[str], floor: float = 1e-9) -> DataFrame:
     """MLD2: by the population deviation, never below ``floor``."""
@@ -44,22 +47,46 @@ def log_loss(p: Column, y: Column) -> Column:
     return F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q)))
 
 
-def out_of_fold(df: DataFrame, folds: Sequence[int], reg: float) -> DataFrame:
-    """MLD7: each fold's rows scored by the model of the other folds."""
+def out_of_fold(df: DataFrame, folds: Sequence[int], reg: float, fit: Callable | None = None) -> DataFrame:
+    """MLD7: each fold's rows scored by the model of the other folds: a logistic one, or what ``fit`` makes of the rows."""
     parts = None
     for k in folds:
-        scored = probability(logistic(df.where(F.col("fold") != k), reg), df.where(F.col("fold") == k))
+        others = df.where(F.col("fold") != k)
+        scored = probability(fit(others) if fit else logistic(others, reg), df.where(F.col("fold") == k))
         parts = scored if parts is None else parts.unionByName(scored)
     return parts
 
 
 def choose_reg(df: DataFrame, folds: Sequence[int], grid: Sequence[float]) -> DataFrame:
-    """MLD4: out-of-fold log loss of each penalty of a grid, the least marked."""
+    """MLD4: out-of-fold log loss of each penalty of a grid, the least chosen (the larger penalty where two are equal)."""
     rows = None
     for reg in grid:
         one = out_of_fold(df, folds, reg).agg(log_loss(F.col("p"), F.col("y")).alias("loss")).withColumn("reg", F.lit(reg))
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    best = rows.agg(F.min_by("reg", F.struct("loss", -F.col("reg"))).alias("best"))
+    return rows.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("reg") == F.col("best")).drop("best")  # one row
+
+
+def choose_learner(scored: dict[str, DataFrame], reference: str, precision: float = 0.95) -> DataFrame:
+    """MLD7: out-of-fold recall at a precision and average precision of each learner; of those better than the reference on both,
+    the best is chosen, and the reference where there is none. ``scored`` has ``doc_id``, ``y`` and ``p``."""
+    rows = None
+    for name, df in scored.items():
+        d = df.select(F.lit(name).alias("learner"), F.col("doc_id").alias("case_id"), F.when(F.col("y") > 0, PHISHING).otherwise("benign").alias("label"), F.col("p").alias("score"))
+        rows = d if rows is None else rows.unionByName(d)
+    found = ranking.threshold_at_precision(rows, ["learner"], precision).select("learner", "recall")
+    t = ranking.average_precision(rows, ["learner"]).join(found, "learner", "left").fillna(0.0, ["recall"])
+    ref = F.broadcast(t.where(F.col("learner") == reference).select(F.col("recall").alias("r0"), F.col("ap").alias("a0")))  # one row
+    t = t.crossJoin(ref).withColumn("better", (F.col("recall") > F.col("r0")) & (F.col("ap") > F.col("a0"))).drop("r0", "a0")
+    best = t.agg(F.coalesce(F.max_by("learner", F.when(F.col("better"), F.struct("recall", "ap", "learner"))), F.lit(reference)).alias("best"))
+    return t.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("learner") == F.col("best")).drop("best")
+
+
+def require_thresholds(rebuilt: dict[str, float], frozen: dict[str, float], tolerance: float = 1e-9) -> None:
+    """MLD16: refuses to apply a frozen model whose thresholds do not come out again."""
+    for name, value in frozen.items():
+        if name not in rebuilt or abs(rebuilt[name] - value) > tolerance:
+            raise ValueError(f"threshold {name}: frozen {value}, rebuilt {rebuilt.get(name)}")
 
 
 def platt_fit(df: DataFrame):

@@ -133,3 +133,23 @@ def flips(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(F.col("one") == F.col("label")).alias("first_right"),
         F.count_if(F.col("two") == F.col("label")).alias("second_right"),
     )
+
+
+def component_helps(delta: Column, high: Column, least: float = 0.03) -> Column:
+    """STA10: leaving the component out costs at least ``least``, and the interval of that lies below zero."""
+    return F.coalesce((delta <= -least) & (high < 0), F.lit(False))
+
+
+def go_no_go(runs: DataFrame, reference: str, precision: float = 0.01, coverage: float = 0.05) -> DataFrame:
+    """STA12: candidates against a reference run, each criterion a column, and whether all hold."""
+    ref = F.broadcast(runs.where(F.col("arm") == reference).select(*(F.col(c).alias(f"_{c}") for c in ("n", "f1", "precision", "coverage"))))  # one row
+    j = runs.where(F.col("arm") != reference).crossJoin(ref)
+    c = F.col
+    tests = {
+        "f1_holds": c("f1") >= c("_f1"), "precision_holds": c("precision") >= c("_precision") - precision, "coverage_holds": c("coverage") >= c("_coverage") - coverage,
+        "complete": c("n") == c("_n"),
+    }
+    every = F.lit(True)
+    for t in tests.values():
+        every = every & t
+    return j.select("arm", (c("f1") - c("_f1")).alias("delta"), *(t.alias(n) for n, t in tests.items()), every.alias("go"))

@@ -2,6 +2,7 @@
 
 from gleanery.plans import (  # noqa: F401  registers
     corpus_queries,
+    detail_queries,
     evidence_queries,
     function_queries,
     further_queries,

@@ -33,7 +33,7 @@ def _sited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT page_id, {HOST} AS host, array_to_string(list_slice(string_split({HOST}, '.'), -2, -1), '.') AS registrable, regexp_replace(regexp_replace(url, '#.*$', ''), '/+($|\\?)', '\\1') AS url_norm FROM pages")
-def url1_url2_url3_url5_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def url1_url2_url3_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sited(spark, sf_dir).select("page_id", "host", "registrable", urls.normalize_url(F.col("url")).alias("url_norm"))
 
 
@@ -66,7 +66,7 @@ def htm1_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT page_id, CASE WHEN len({TEXT}) >= 200 THEN substr(sha256(regexp_replace(lower({TEXT}), '[0-9]+', '0', 'g')), 1, 20) END AS text_key,
  CASE WHEN len({SKEL}) >= 30 THEN substr(sha256(array_to_string(list_slice({SKEL}, 1, 400), ' ') || '|'), 1, 20) END AS skeleton_key, substr(sha256(html), 1, 20) AS html_sha FROM pages"""
 )
-def htm2_htm3_htm4_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def htm2_htm4_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
     return read_table(spark, sf_dir, "pages").select("page_id", P.text_key(h).alias("text_key"), P.skeleton_key(h).alias("skeleton_key"), P.short_hash(h).alias("html_sha"))
 
@@ -90,18 +90,11 @@ def htm7_page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, CAST(ceil(len(text) / 4) AS BIGINT) AS tokens, greatest(1, CAST(ceil(len(text) / 500) AS INTEGER)) AS chunks FROM documents")
-def txt11_htm12_tokens_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txt11_tokens_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return read_table(spark, sf_dir, "documents").select("doc_id", texts.token_estimate(t).alias("tokens"), F.size(P.chunk_text(t, 500)).alias("chunks"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: substr(trim(x), 1, 200)), lambda x: x <> '') AS v FROM documents)
- SELECT doc_id, len(v) AS n_lines, len(list_distinct(v)) AS distinct_lines FROM l""")
-def txt1_win17_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", texts.lines(F.col("text")).alias("v"))
-    return d.select("doc_id", F.size("v").cast("long").alias("n_lines"), F.size(F.array_distinct("v")).cast("long").alias("distinct_lines"))
-
-
 @query(
     r"""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), u AS (SELECT doc_id, regexp_replace(t, '(https?://\S+|www\.\S+|\b[\w-]+\.(?:com|net|org|ly|co|info|xyz|me|io)/\S*)', ' <url> ', 'gi') AS t FROM t),
  e AS (SELECT doc_id, regexp_replace(t, '[\w.+-]+\s*@\s*[\w-]+(\s*\.\s*[\w-]+)+', ' <email> ', 'g') AS t FROM u)
@@ -125,7 +118,7 @@ def join10_txt6_txt7_txt8_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, 'text@' || (instr(text, 'the') - 1) || ':' || (instr(text, 'the') + 2) AS locator, 'the' AS quote FROM documents WHERE contains(text, 'the')")
-def txt9_txt10_grounded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txt10_grounded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", texts.span_locator(F.lit("text"), F.col("text"), F.lit("the")).alias("locator"))
     d = d.withColumn("quote", texts.resolve_span(F.col("locator"), F.col("text")))
     return d.where("locator is not null").where(texts.grounded(F.col("quote"), F.col("text"))).select("doc_id", "locator", "quote")
@@ -157,7 +150,7 @@ def jsn2_jsn3_reply_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days, strftime(ts, '%Y-%m') > '2023-12' AS after_a, strftime(ts, '%Y-%m') > '2024-01' AS after_b, event_id FROM events")
-def dat1_dat2_cutoff_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dat2_cutoff_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("ts")
     flags = corpus.after_cutoff(day, [("a", "2023-12"), ("b", "2024-01")])
     e = read_table(spark, sf_dir, "events")
@@ -178,17 +171,6 @@ def fil1_agg16_filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.funnel(read_table(spark, sf_dir, "documents").withColumn("why", why), "why", ["source"])
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (regexp_matches(text, '\\bERR_[A-Z_]{4,}\\b') AND contains(text, 'reached')) AS offline FROM documents")
-def fil8_offline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.col("text").rlike(r"\bERR_[A-Z_]{4,}\b") & F.col("text").contains("reached")
-    return read_table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("offline"))
-
-
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(sk|key|token)[-_][A-Za-z0-9]{16,}') OR contains(text, 'AKIA')")
-def snk7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(sk|key|token)[-_][A-Za-z0-9]{16,}") | F.col("text").contains("AKIA")).select("doc_id")
-
-
 @query()
 def win1_greedy_two_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by id, under the hash of the text's first line and the hash of its end. Tested against the sequential rule."""
@@ -215,7 +197,7 @@ def gra1_campaign_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH k AS (SELECT page_id, {HOST} AS host, split_part(regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1), '/', 2) AS lang FROM pages) SELECT host, lang, min(page_id) AS page_id, count(*) AS members FROM k GROUP BY ALL")
-def win3_agg17_earliest_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win3_earliest_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"), F.split_part(F.regexp_extract("url", r"^[^/]*//[^/?#]*([^?#]*)", 1), F.lit("/"), F.lit(2)).alias("lang"))
     return p.groupBy("host", "lang").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("members"))
 
@@ -311,12 +293,6 @@ def win18_top_k_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rank")).where("rank <= 3")
 
 
-@query("SELECT o_custkey, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY ALL")
-def win19_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    when = F.struct("o_orderdate", "o_orderkey")
-    return read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min_by("o_orderkey", when).alias("first_order"), F.max_by("o_orderkey", when).alias("last_order"))
-
-
 @query(
     """WITH l AS (SELECT *, row_number() OVER () AS r FROM lineitem), x AS (SELECT r, l_orderkey, l_linenumber, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM l JOIN orders o ON l_suppkey = o_custkey AND o_orderdate <= l_shipdate + INTERVAL 1 DAY GROUP BY ALL)
  SELECT l_orderkey, l_linenumber, latest FROM x"""
@@ -328,13 +304,6 @@ def join14_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of(left, right, "key", "t", "latest").where("latest is not null").select("l_orderkey", "l_linenumber", "latest")
 
 
-@query("SELECT p_partkey, p_brand, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40 GROUP BY ALL")
-def src2_late_materialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys are picked from narrow columns first; the wide side is then read for those keys."""
-    picked = read_table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("lines"))
-    return read_table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(picked, "p_partkey").select("p_partkey", "p_brand", "lines")
-
-
 @query("SELECT count(*) FILTER (d.doc_id IS NULL) AS labels_only, count(*) FILTER (l.doc_id IS NULL) AS documents_only, count(*) FILTER (d.doc_id = l.doc_id) AS both FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def src9_unmatched_on_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"))

@@ -40,12 +40,6 @@ def evd11_preliminary_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.preliminary(findings(spark, sf_dir))
 
 
-@query(f"{FS}, {GROUPS} SELECT case_id, capture_id, artifact, array_to_string(refs, ',') AS refs FROM g")
-def evd14_shared_artifact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = E.shared_groups(findings(spark, sf_dir), "artifact")
-    return g.withColumn("refs", F.array_join(F.transform("refs", lambda r: r.cast("string")), ","))
-
-
 @query(f"{FS}, {GROUPS} SELECT case_id, ref FROM dis")
 def evd18_discounted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.discounted(E.shared_groups(findings(spark, sf_dir), "artifact"))
@@ -197,7 +191,7 @@ def fil10_agg23_ablation_conditions(spark: SparkSession, sf_dir: str) -> DataFra
     f"""{FS}, r AS (SELECT case_id, capture_id, list_sort(list(DISTINCT field)) AS fields FROM f GROUP BY ALL), n AS (SELECT *, lead(fields) OVER (PARTITION BY case_id ORDER BY capture_id) AS nxt FROM r)
  SELECT case_id, capture_id, len(list_filter(nxt, lambda x: NOT list_contains(fields, x))) AS added, len(list_filter(fields, lambda x: NOT list_contains(nxt, x))) AS resolved FROM n WHERE nxt IS NOT NULL"""
 )
-def win21_agg34_round_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def win21_round_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = findings(spark, sf_dir).groupBy("case_id", "capture_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
     n = r.withColumn("nxt", F.lead("fields").over(Window.partitionBy("case_id").orderBy("capture_id"))).where("nxt is not null")
     return n.select("case_id", "capture_id", F.size(F.array_except("nxt", "fields")).cast("long").alias("added"), F.size(F.array_except("fields", "nxt")).cast("long").alias("resolved"))

@@ -11,11 +11,11 @@ from gleanery.operators import corpus, evidence, learning, paired
 from gleanery.operators.graph import connected_components
 from gleanery.plans.corpus_queries import HOST
 from gleanery.plans.evidence_queries import FS, GROUPS, SUPPORT
-from gleanery.plans.learning_queries import COLUMNS, _ready
+from gleanery.plans.learning_queries import COLUMNS, FOLDS, features
 from gleanery.plans.registry import query, rounded
 from gleanery.plans.score_queries import DM
 from gleanery.plans.tables import cases, decisions, findings
-from gleanery.sources.shared import new_path
+from gleanery.sources.shared import materialize, new_path
 from gleanery.sources.tables import read_table
 
 
@@ -58,23 +58,6 @@ def snk6_checksum_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CASE event_type WHEN 'click' THEN 'phishing' WHEN 'signup' THEN 'phishing' WHEN 'view' THEN 'benign' WHEN 'purchase' THEN 'benign' END AS label, count(*) AS n FROM events WHERE event_type <> 'error' AND user_id NOT IN (3, 5, 8) GROUP BY 1")
-def fil2_fil5_label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source labels mapped, out-of-scope ones dropped, stand-in models (a fixed list) refused."""
-    label = F.when(F.col("event_type").isin("click", "signup"), "phishing").when(F.col("event_type").isin("view", "purchase"), "benign")
-    e = read_table(spark, sf_dir, "events").withColumn("label", label).where("label is not null")
-    return e.where(~F.col("user_id").isin(3, 5, 8)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT page_id, {HOST} AS host FROM pages WHERE NOT ends_with({HOST}, '.example.org')")
-def fil7_url4_platform_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages under none of the private suffixes; here one, by an anti join on the hosts' parents."""
-    p = read_table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host"))
-    private = spark.sql("SELECT 'example.org' AS suffix")
-    parents = p.select("host").distinct().select("host", F.explode(F.slice(urls.host_suffixes(F.col("host")), 2, 99)).alias("suffix"))
-    return p.join(parents.join(F.broadcast(private), "suffix").select("host"), "host", "left_anti").select("page_id", "host")
-
-
 @query(f"{FS}, k(artifact, field) AS (VALUES ('art0', 'f0'), ('art0', 'f1'), ('art1', 'f2'), ('art2', 'f3')) SELECT f.case_id, f.ref, f.field FROM f JOIN k ON f.artifact = k.artifact AND f.field = k.field")
 def fil12_applicable_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that apply to the kind of submission, by a small fixed table."""
@@ -100,12 +83,6 @@ def agg20_evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(sides[0], "case_id", "left").join(sides[1], "case_id", "left").fillna(0)
 
 
-@query(f"{DM}, c AS (SELECT case_id, label, stratum, row_number() OVER (PARTITION BY label, stratum ORDER BY case_id) AS i FROM m WHERE split = 'train') SELECT case_id, label, stratum FROM c WHERE i <= 5")
-def win24_stratified_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("label", "stratum").orderBy("case_id"))
-    return cases(spark, sf_dir).where("split = 'train'").withColumn("i", i).where("i <= 5").select("case_id", "label", "stratum")
-
-
 @query("SELECT page_id, len(CASE WHEN len(html) > 1000 THEN substr(html, 1, 1000 - strpos(reverse(substr(html, 1, 1000)), '>') + 1) || '[cut]' ELSE html END) AS kept FROM pages")
 def htm6_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages shortened at a tag end, with a notice, to a budget of characters."""
@@ -161,12 +138,15 @@ def evd31_evidence_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mld10_mld13_feature_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold log loss of three feature subsets, with rows added whose symbol features are withheld."""
-    df = _ready(spark, sf_dir).drop("features")
-    more = df.unionByName(df.withColumns({c: F.lit(0.0) for c in ("stars", "pipes")})).cache()
+    """Out-of-fold log loss of three feature subsets, with a row more for each document and set of withheld evidence: its raw
+    features are derived again without that evidence, and standardised with all others."""
+    raw = corpus.folds(features(spark, sf_dir), "source", len(FOLDS), "f")
+    for held in (["stars", "pipes"], ["digits", "upper"], ["log_length"]):
+        raw = raw.unionByName(corpus.folds(features(spark, sf_dir), "source", len(FOLDS), "f").withColumns({c: F.lit(0.0) for c in held}))
+    more = materialize(learning.standardise(raw, COLUMNS), "augmented")
     rows = None
     for name, cols in (("all", COLUMNS), ("symbols", ["stars", "pipes"]), ("shape", ["log_length", "digits", "upper"])):
-        oof = learning.out_of_fold(learning.assemble(more, cols), [0, 1, 2], 0.01)
+        oof = learning.out_of_fold(learning.assemble(more, cols), FOLDS, 0.01)
         one = oof.agg(F.round(learning.log_loss(F.col("p"), F.col("y")), 4).alias("loss")).withColumn("subset", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
     return rows
@@ -174,11 +154,13 @@ def mld10_mld13_feature_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mld15_gate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A logistic gate on the evidence features, fitted on the even cases and applied to the others."""
-    g = evidence.gate_features(findings(spark, sf_dir), 9)
-    y = evidence.preliminary(findings(spark, sf_dir)).select("case_id", (F.col("verdict") != "neutral").cast("double").alias("y"))
-    df = learning.assemble(g.withColumn("conf", F.col("conf").cast("double")).join(y, "case_id"), ["cov", "agr", "suf", "conf", "sol"])
-    even = F.col("case_id") % 2 == 0
+    """A logistic gate on six evidence features, fitted on the cases whose hash is even and applied to the others."""
+    f = findings(spark, sf_dir)
+    g, y = evidence.gate_features(f, 9), evidence.preliminary(f).select("case_id", (F.col("verdict") != "neutral").cast("double").alias("y"))
+    top = f.groupBy("case_id").agg((F.max("strength") / 3).alias("top"))
+    df = g.withColumn("conf", F.col("conf").cast("double")).join(top, "case_id").join(y, "case_id")
+    df = learning.assemble(materialize(df, "gate"), ["cov", "agr", "suf", "conf", "top", "sol"])
+    even = F.conv(F.substring(F.md5(F.col("case_id").cast("string")), 1, 1), 16, 10).cast("int") % 2 == 0
     return learning.probability(learning.logistic(df.where(even), 0.01), df.where(~even)).select("case_id", "y", F.round("p", 3).alias("p"))
 
 
@@ -216,3 +198,10 @@ def sta3_two_sample_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = _times(spark, rows, RESAMPLES, s).join(rows, "no").groupBy("b").agg((F.sum(F.col("k") * F.col("ok")) / F.sum("k")).alias(s))
         means.append(t)
     return means[0].join(means[1], "b").select("b", F.round(F.col("s1") - F.col("s0"), 6).alias("delta"))
+
+
+@query("SELECT CASE event_type WHEN 'click' THEN 'phishing' WHEN 'signup' THEN 'phishing' WHEN 'view' THEN 'benign' WHEN 'purchase' THEN 'benign' END AS label, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
+def fil2_label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source labels mapped, out-of-scope ones dropped."""
+    label = F.when(F.col("event_type").isin("click", "signup"), "phishing").when(F.col("event_type").isin("view", "purchase"), "benign")
+    return read_table(spark, sf_dir, "events").select(label.alias("label")).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -41,37 +41,6 @@ def join12_brand_in_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.named_elsewhere(p, "tokens", "own", F.broadcast(_brands(spark))).select("page_id", "own", "word")  # four brands
 
 
-@query(
-    f"""{DM}, x AS (SELECT b.case_id, n.case_id AS donor, row_number() OVER (PARTITION BY b.case_id ORDER BY md5('5|' || b.case_id || '|' || n.case_id)) AS i FROM m b JOIN m n ON b.stratum = n.stratum AND b.grp = n.grp AND b.label <> n.label)
- SELECT case_id, donor FROM x WHERE i = 1"""
-)
-def join7_opposite_label_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded donor of the other label per case. Donors come from the case's own stratum and group, so the join has an
-    equi-key and never pairs all cases."""
-    m = cases(spark, sf_dir).select("case_id", "label", "stratum", "grp")
-    n = m.select(F.col("case_id").alias("donor"), F.col("label").alias("other"), "stratum", "grp")
-    met = m.join(n, ["stratum", "grp"]).where("label <> other")
-    key = F.md5(F.concat_ws("|", F.lit("5"), "case_id", "donor"))
-    return met.groupBy("case_id").agg(F.min_by("donor", key).alias("donor"))
-
-
-@query("SELECT source, arg_min(doc_id, (coalesce(l.quality, 2), -d.doc_id)) AS doc_id FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
-def join21_prefer_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "source").join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.groupBy("source").agg(F.min_by("doc_id", F.struct(F.coalesce("quality", F.lit(2)), -F.col("doc_id"))).alias("doc_id"))
-
-
-@query(f"{FS}, {GROUPS}, s AS (SELECT case_id, count(DISTINCT agent) AS agents, count(*) AS n FROM f WHERE direction <> 'neutral' GROUP BY case_id), k AS (SELECT case_id, count(*) AS dup FROM dis GROUP BY case_id) SELECT case_id, agents, n, coalesce(dup, 0) AS duplicates, round(coalesce(dup, 0) / n, 6) AS share FROM s LEFT JOIN k USING (case_id)")
-def agg27_duplicate_support_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleanery.operators import evidence as E
-
-    f = findings(spark, sf_dir)
-    dropped = E.discounted(E.shared_groups(f, "artifact")).groupBy("case_id").agg(F.count(F.lit(1)).alias("duplicates"))
-    s = f.where("direction <> 'neutral'").groupBy("case_id").agg(F.count_distinct("agent").alias("agents"), F.count(F.lit(1)).alias("n"))
-    s = s.join(dropped, "case_id", "left").fillna(0, ["duplicates"])
-    return rounded(s.withColumn("share", F.col("duplicates") / F.col("n")))
-
-
 @query(
     f"""{FS}, c AS (SELECT case_id, list(DISTINCT ref) FILTER (strength >= 2) AS cited, list(DISTINCT ref) FILTER (direction <> 'neutral') AS eligible FROM f GROUP BY case_id)
  SELECT case_id, len(coalesce(cited, [])) AS cited, len(list_filter(coalesce(cited, []), lambda x: NOT list_contains(coalesce(eligible, []), x))) AS outside,
@@ -85,7 +54,7 @@ def fil18_agg24_citation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{FS}, a AS (SELECT unnest(['agent0', 'agent1', 'agent2', 'agent3', 'agent4']) AS agent), w AS (SELECT DISTINCT case_id, agent FROM (SELECT DISTINCT case_id FROM f), a), l AS (SELECT w.case_id, w.agent FROM w ANTI JOIN f ON w.case_id = f.case_id AND w.agent = f.agent), o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY agent) AS i FROM l) SELECT case_id, string_agg(agent, ',' ORDER BY agent) AS never, string_agg(agent, ',' ORDER BY agent) FILTER (i <= 2) AS targets FROM o GROUP BY case_id")
-def evd7_evd22_evd23_never_dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evd22_never_dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agents that never ran on a case, and the first two as the next round's targets."""
     every = F.array(*[F.lit(f"agent{i}") for i in range(5)])
     g = findings(spark, sf_dir).groupBy("case_id").agg(F.collect_set("agent").alias("ran"))
@@ -93,12 +62,6 @@ def evd7_evd22_evd23_never_dispatched(spark: SparkSession, sf_dir: str) -> DataF
     return g.where(F.size(never) > 0).select("case_id", F.array_join(never, ",").alias("never"), F.array_join(F.slice(never, 1, 2), ",").alias("targets"))
 
 
-@query(f"{FS}, c AS (SELECT case_id, list(DISTINCT agent) AS ran, list(DISTINCT field) AS fields FROM f GROUP BY case_id) SELECT case_id, len(ran) AS analysable, len(fields) AS readable, len(ran) >= 2 AND len(fields) >= 2 AS verdict_possible, 9 - len(fields) AS gaps FROM c")
-def evd32_coverage_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = findings(spark, sf_dir).groupBy("case_id").agg(F.count_distinct("agent").alias("analysable"), F.count_distinct("field").alias("readable"))
-    return g.withColumns({"verdict_possible": (F.col("analysable") >= 2) & (F.col("readable") >= 2), "gaps": 9 - F.col("readable")})
-
-
 @query(f"{D} SELECT arm, case_id, (row_number() OVER (PARTITION BY arm, ('0x' || substr(md5(CAST(case_id AS VARCHAR)), 1, 2))::BIGINT ORDER BY case_id) - 1) % 4 AS shard FROM d")
 def win15_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work shards: rows dealt in turn inside each hash bucket, so no task orders all rows."""
@@ -114,13 +77,6 @@ def win16_occurrence_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).select("case_id", "ref", name.alias("locator"))
 
 
-@query(f"{DM}, e AS (SELECT case_id FROM m WHERE split = 'test'), n AS (SELECT case_id + 1000000000 AS case_id, 'extra' AS split FROM e) SELECT split, count(*) AS n FROM (SELECT case_id, split FROM m UNION ALL SELECT case_id, split FROM n) GROUP BY split")
-def set2_extend_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = cases(spark, sf_dir).select("case_id", "split")
-    new = m.where("split = 'test'").select((F.col("case_id") + 1000000000).alias("case_id"), F.lit("extra").alias("split"))
-    return m.unionByName(new).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     f"""{D}, c AS (SELECT arm, {COUNTS} FROM d GROUP BY arm), r AS (SELECT arm, 2 * tp / (2 * tp + fp + fn) AS f1, (tp + fp + tn + fn) / n AS coverage FROM c), z AS (SELECT f1 AS base FROM r WHERE arm = 'a0')
  SELECT arm, round(f1 - base, 6) AS delta, f1 - base > -0.03 AS within_margin, coverage >= 0.5 AS covers, CASE WHEN f1 - base > 0.001 THEN 'WIN' WHEN f1 - base < -0.001 THEN 'LOSS' ELSE 'TIE' END AS reading FROM r, z"""
@@ -136,13 +92,13 @@ def sta8_sta10_sta12_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, contains(text, 'é') AS accents, CAST(length(text) - length(replace(text, chr(8203), '')) AS BIGINT) AS zero_width, 'c-' || substr(sha256(text), 1, 12) AS id FROM documents")
-def txt2_hsh1_obfuscation_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hsh1_short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return read_table(spark, sf_dir, "documents").select("doc_id", t.contains("é").alias("accents"), texts.obfuscation(t)["zero_width"].alias("zero_width"), F.concat(F.lit("c-"), F.substring(F.sha2(t, 256), 1, 12)).alias("id"))
 
 
 @query("SELECT event_type, user_id % 4 AS shard, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
-def src3_src4_snk3_json_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src3_json_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger written as partitioned, gzipped JSON lines and read again by an explicit schema."""
     path = new_path(spark, "ledger")
     e = read_table(spark, sf_dir, "events").select("event_id", "event_type", "value", (F.col("user_id") % 4).alias("shard"))
@@ -152,7 +108,7 @@ def src3_src4_snk3_json_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT source, count(*) AS n, CAST(sum(len(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
-def src7_snk2_csv_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src7_csv_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with quotes and line breaks written as CSV and read again."""
     path = new_path(spark, "messages")
     read_table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.csv(path, header=True, escape='"')
@@ -169,23 +125,26 @@ def src1_snk1_page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).cast("long").alias("chars"))
 
 
-@query("SELECT user_id % 7 AS case_id, event_type, min(ts) IS NOT NULL AS seen, count(*) AS attempts, bool_or(value < 5) AND bool_or(value >= 5) AS recovered FROM events GROUP BY ALL")
+@query(
+    """WITH a AS (SELECT user_id % 7 AS case_id, event_type AS field, event_id AS attempt, value < 5 AS failed FROM events), g AS (SELECT case_id, field, count(*) AS attempts, arg_min(failed, attempt) AS first_failed, max(attempt) FILTER (NOT failed) AS last_ok, min(attempt) AS first FROM a GROUP BY ALL)
+ SELECT case_id, field, attempts, first_failed, CASE WHEN first_failed AND last_ok > first THEN 'recovered' WHEN last_ok IS NOT NULL THEN 'obtained' ELSE 'failed' END AS status FROM g"""
+)
 def str4_recovered_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per case and field, as a stream: attempts so far, and whether one failed and one did not."""
+    """Attempts of each case and field as a stream: a first failure that a later attempt made good."""
     s = ledger.ledger_stream(spark, f"{sf_dir}/events.parquet*", read_table(spark, sf_dir, "events").schema)
-    weak = F.col("value") < 5
-    t = s.groupBy((F.col("user_id") % 7).alias("case_id"), "event_type").agg(
-        (F.count("ts") > 0).alias("seen"), F.count(F.lit(1)).alias("attempts"), (F.bool_or(weak) & F.bool_or(~weak)).alias("recovered")
-    )
-    return ledger.drain(t, "attempts", "complete")
+    s = s.select((F.col("user_id") % 7).alias("case_id"), F.col("event_type").alias("field"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("attempt"), (F.col("value") < 5).alias("failed"))
+    return ledger.drain(ledger.recovered(s), "attempts", "update", ["case_id", "field"])
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type IN ('click', 'signup') AND n_nationkey % 2 = 0) AS tp, count(*) FILTER (event_type IN ('click', 'signup') AND n_nationkey % 2 = 1) AS fp FROM events JOIN nation ON user_id % 25 = n_nationkey GROUP BY ALL")
+@query(
+    """WITH x AS (SELECT CAST(ts AS DATE) AS day, event_type, quality FROM events JOIN labels ON user_id = doc_id) SELECT day, count(*) AS n, count(*) FILTER (event_type IN ('click', 'signup') AND quality = 0) AS tp, count(*) FILTER (event_type IN ('click', 'signup') AND quality = 1) AS fp,
+ count(*) FILTER (event_type NOT IN ('click', 'signup') AND quality = 1) AS tn, count(*) FILTER (event_type NOT IN ('click', 'signup') AND quality = 0) AS fn FROM x GROUP BY day"""
+)
 def str5_rolling_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windowed confusion counts of a stream joined with a static table of labels; 25 rows of it."""
+    """Daily confusion counts of a stream joined with the labels that have arrived."""
     s = ledger.ledger_stream(spark, f"{sf_dir}/events.parquet*", read_table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    truth = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    hit = F.col("event_type").isin("click", "signup")
-    t = s.withWatermark("ts", "1 day").join(F.broadcast(truth), F.col("user_id") % 25 == F.col("k")).groupBy(F.window("ts", "1 day"))
-    t = t.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit & (F.col("k") % 2 == 0)).alias("tp"), F.count_if(hit & (F.col("k") % 2 == 1)).alias("fp"))
-    return ledger.drain(t, "quality", "complete").select(F.to_date("window.start").alias("day"), "n", "tp", "fp")
+    truth = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), (F.col("quality") == 0).alias("bad"))
+    hit, bad = F.col("event_type").isin("click", "signup"), F.col("bad")
+    t = s.withWatermark("ts", "1 day").join(truth, F.col("user_id") == F.col("k")).groupBy(F.window("ts", "1 day"))
+    t = t.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(n) for n, c in (("tp", hit & bad), ("fp", hit & ~bad), ("tn", ~hit & ~bad), ("fn", ~hit & bad))))
+    return ledger.drain(t, "quality", "update", ["window"]).select(F.to_date("window.start").alias("day"), "n", "tp", "fp", "tn", "fn")

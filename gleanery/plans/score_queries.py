@@ -33,12 +33,6 @@ def agg3_forced_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.forced(metrics.confusion(decisions(spark, sf_dir), ["arm"])))
 
 
-@query(f"{D}, c AS (SELECT arm, model, {COUNTS} FROM d GROUP BY ALL) SELECT arm, model, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM c")
-def agg4_zero_default_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = metrics.rates(metrics.confusion(decisions(spark, sf_dir), ["arm", "model"]))
-    return rounded(metrics.zero_default(r.select("arm", "model", "precision", "recall"), ["precision", "recall"]))
-
-
 @query(
     f"""{D}, c AS (SELECT arm, count(*) FILTER (label = 'phishing' AND verdict = label) AS tp, count(*) FILTER (label = 'phishing' AND verdict <> label) AS fn,
  count(*) FILTER (label = 'benign' AND verdict = label) AS tn, count(*) FILTER (label = 'benign' AND verdict <> label) AS fp FROM d GROUP BY ALL)
@@ -56,19 +50,6 @@ def agg6_fil13_metrics_by_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(metrics.with_subsets(decisions(spark, sf_dir), "2024-01-15"), ["arm", "subset"])
 
 
-@query(
-    f"""{D} SELECT arm, round(avg(CASE WHEN verdict = 'inconclusive' THEN 1 ELSE 0 END), 6) AS finalization_error_rate,
- round(avg(CASE WHEN verdict <> label THEN 1 ELSE 0 END), 6) AS forced_error, count(score) AS n_scored FROM d GROUP BY ALL"""
-)
-def agg36_fourth_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.fourth_outcome(decisions(spark, sf_dir), ["arm"]))
-
-
-@query(f"{D} SELECT arm, label, count(score) AS scored, round(avg(score), 6) AS mean_score, count(*) FILTER (score IS NULL) AS unscored FROM d GROUP BY ALL")
-def agg38_score_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.prevalence(decisions(spark, sf_dir), ["arm", "label"]))
-
-
 @query(
     f"""{D}, l AS (SELECT arm, list_sort(list(latency_s)) AS v FROM d WHERE latency_s IS NOT NULL GROUP BY arm)
  SELECT arm, v[len(v) // 2 + 1] AS median, v[greatest(0, len(v) * 95 // 100 - 1) + 1] AS p95 FROM l"""
@@ -96,7 +77,7 @@ def _prices(spark: SparkSession) -> DataFrame:
     f"""{D}, p(kind, price_in, price_out) AS {PRICES} SELECT arm, count(*) AS calls, sum(tokens) AS tokens, round(avg(tokens), 6) AS mean_tokens,
  round(sum(tokens * price_in + tokens / 4 * price_out) / 1000000, 6) AS usd FROM d JOIN p ON d.model % 3 = p.kind GROUP BY ROLLUP (arm)"""
 )
-def agg13_agg15_join17_cost_per_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg13_join17_cost_per_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(spark, sf_dir).withColumn("kind", F.col("model") % 3).join(F.broadcast(_prices(spark)), "kind")  # three price rows
     usd = F.sum(F.col("tokens") * F.col("price_in") + F.col("tokens") / 4 * F.col("price_out")) / 1000000
     return rounded(d.rollup("arm").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.avg("tokens").alias("mean_tokens"), usd.alias("usd")))
@@ -340,12 +321,3 @@ def win22_smallest_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("arm", "w").agg(risk.alias("risk")).where("risk <= 0.5").groupBy("arm").agg(F.min("w").alias("width"))
 
 
-@query(
-    f"""{D}, s AS (SELECT case_id, string_agg(arm, '+' ORDER BY arm) FILTER (verdict <> 'inconclusive') AS chosen, any_value(label) AS label FROM d GROUP BY case_id)
- SELECT coalesce(chosen, '') AS chosen, label, count(*) AS n FROM s GROUP BY ALL"""
-)
-def agg22_selection_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decisions(spark, sf_dir)
-    chosen = F.array_join(F.array_sort(F.collect_list(F.when(F.col("verdict") != "inconclusive", F.col("arm")))), "+")
-    s = d.groupBy("case_id").agg(chosen.alias("chosen"), F.first("label").alias("label"))
-    return s.groupBy("chosen", "label").agg(F.count(F.lit(1)).alias("n"))

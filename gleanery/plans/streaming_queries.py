@@ -22,5 +22,5 @@ def str1_str2_exactly_once_decisions(spark: SparkSession, sf_dir: str) -> DataFr
 
 @query("SELECT CAST(ts AS DATE) AS day, 'a' || (event_id % 3) AS arm, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, round(sum(value), 4) AS cost FROM events GROUP BY ALL")
 def str3_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ledger.drain(ledger.running_totals(_stream(spark, sf_dir)), "totals", "complete")
+    t = ledger.drain(ledger.running_totals(_stream(spark, sf_dir)), "totals", "update", ["window", "arm"])
     return rounded(t.select(F.to_date("window.start").alias("day"), "arm", "n", "failures", "cost"), 4)

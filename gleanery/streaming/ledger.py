@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gleanery.sources.shared import new_path
 
@@ -27,13 +29,32 @@ def running_totals(stream: DataFrame, width: str = "1 day", late: str = "1 day")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("value").alias("cost"))
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table of the shared folder, and read it."""
+def recovered(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """STR4: per case and field the state of its attempts: how many, whether the first one failed, and whether one succeeded after
+    that. Rows have ``case_id``, ``field``, ``ts``, ``attempt`` (their order) and ``failed``."""
+    g = stream.withWatermark("ts", late).groupBy("case_id", "field").agg(
+        F.count(F.lit(1)).alias("attempts"), F.min_by("failed", "attempt").alias("first_failed"), F.max(F.when(~F.col("failed"), F.col("attempt"))).alias("last_ok"),
+        F.min("attempt").alias("first"),
+    )
+    done = F.col("last_ok").isNotNull()
+    status = F.when(F.col("first_failed") & done & (F.col("last_ok") > F.col("first")), "recovered").when(done, "obtained").otherwise("failed")
+    return g.select("case_id", "field", "attempts", "first_failed", status.alias("status"))
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over all that is there, into a table of the shared folder, and read it.
+
+    In update mode each batch writes the rows that it changed to a folder of its own number, which a repeated batch
+    overwrites; a reader takes the last row of each of ``keys``.
+    """
     spark = stream.sparkSession
     out, state = new_path(spark, label), new_path(spark, f"{label}-state")
     if mode == "append":
         job = stream.writeStream.format("parquet").option("path", out)
-    else:  # the last batch's whole result
-        job = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    else:
+        job = stream.writeStream.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
     job.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    back = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    return back.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("x")).select("x.*")
