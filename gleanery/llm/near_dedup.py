@@ -9,7 +9,9 @@ A posting list is never paired with itself as a whole. Each list has a pivot, it
 are compared with it on the full sets. What that leaves open of the list is settled by what the comparison showed:
 two members of different components can only be linked if their overlaps with the pivot and their sizes allow it
 (those few pairs are compared), or if they share enough shingles that the pivot lacks (these make the posting lists of
-the next round, under the same count and prefix filters, and far shorter). After the last round the pairs still open are compared one by one.
+the next round, under the same count and prefix filters, and far shorter). Rounds go on while any list is long. The pairs
+still open then are candidates one by one: their collisions are counted over the coordinates of both signatures, pairs with
+fewer than the match threshold are skipped, and those retained are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from gleanery.sources.shared import materialize
 COORDINATES = 64
 #: The chance at most that a pair at the threshold has too few equal coordinates to be compared.
 MISS = 5e-5
+#: A list of more members than this takes another round, up to so many rounds; what is left after them is still compared.
+LONG_LIST, MOST_ROUNDS = 256, 8
 #: A missing id is the smallest.
 NO_ID = -(2**63)
 _rng = np.random.default_rng(64)
@@ -123,6 +127,16 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "p").join(two, "q").select("p", "q", "n_p", "n_q", extra.alias("extra")).withColumn("both", F.col("n_q") - F.size("extra"))
 
 
+def _retained(pairs: DataFrame, signed: DataFrame, matches: int) -> DataFrame:
+    """The class pairs with ``matches`` collisions or more: coordinates in which their signatures have one value."""
+    named = pairs.select(F.explode(F.array("p", "q")).alias("class")).distinct()
+    posted = signed.select("class", "posted").join(named, "class", "left_semi").groupBy("class").agg(F.min("posted").alias("posted"))
+    one, two = (posted.select(F.col("class").alias(c), F.col("posted").alias(f"of_{c}")) for c in ("p", "q"))
+    # a posted value carries its coordinate's number, so equal values are equal coordinates
+    counted = pairs.join(one, "p").join(two, "q").withColumn("collisions", F.size(F.array_intersect("of_p", "of_q")))
+    return counted.where(F.col("collisions") >= matches).select("p", "q")
+
+
 def _linked(percent: int):
     return 100 * F.col("both") >= percent * (F.col("n_p") + F.col("n_q") - F.col("both"))
 
@@ -145,7 +159,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     confirmed on the full sets; ``component_id`` is the smallest ``doc_id`` reachable over links and ``kept`` marks the
     document that has it. Pairs are compared if ``matches`` of 64 coordinates are equal, by default :func:`least_matches` of
     ``percent``: 42 at 85, where a pair at the threshold has fewer with a chance of 3.0e-5, and 38 at 80, where it is 4.4e-5;
-    links more similar than that are found all the more surely.
+    links more similar than that are found all the more surely. At least ``rounds`` rounds shorten the posting lists.
 
     Null texts and texts without words have an empty set and no links: their component is their own id. Rows with the same
     ``doc_id`` are rows of one component if their sets are linked, else of several. Ids are integers; a null id is the
@@ -177,7 +191,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     sets = materialize(sets.dropDuplicates(["class"]), "sets")
 
     links = loose = parts = None  # confirmed links; pairs that sizes and overlaps leave open; components of the first round
-    for _ in range(rounds):
+    for turn in range(MOST_ROUNDS):
         size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("q", F.struct("central", "q")).alias("p"))
         entries = materialize(lists.join(size.where("size > 1").drop("size"), "key").select("key", "p", "q"), "entries")
         compared = materialize(_compare(entries.select("p", "q").where("p <> q").distinct(), sets), "compared")
@@ -207,9 +221,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
         prefix = F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("need") + 1)).alias("x")
         lists = later.select(prefix, "q", "part", F.col("both").alias("central"))
         lists = materialize(lists.select(F.col("x.key").alias("key"), "q", "part", "central"), "lists")
+        if turn + 1 >= rounds and lists.groupBy("key").count().where(F.col("count") > LONG_LIST).isEmpty():
+            break
     rest = lists.select("key", "q", "part")
     rest = rest.alias("a").join(rest.alias("b"), "key").where("a.q < b.q and a.part <> b.part").select(F.col("a.q").alias("p"), F.col("b.q").alias("q"))
-    compared = _compare(loose.unionByName(rest).distinct(), sets)
+    left = materialize(loose.unionByName(rest).distinct(), "left")
+    compared = _compare(_retained(left, signed, matches), sets)
     links = links.unionByName(compared.where(_linked(percent)).select("p", "q"))
     parts = connected_components(links, "p", "q").select(F.col("node").alias("class"), F.col("component").alias("part"))
 

@@ -81,3 +81,19 @@ def test_null_ids(spark):
 def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([], "doc_id long, text string, class long, part string, key int")
     assert N.near_duplicates(df).count() == 0
+
+
+def test_long_lists_take_more_rounds(spark, monkeypatch):
+    monkeypatch.setattr(N, "LONG_LIST", 1)
+    monkeypatch.setattr(N, "MOST_ROUNDS", 4)
+    rows = cases()[40:]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, N.near_duplicates(df, rounds=1).collect())) == brute(rows)
+
+
+def test_pairs_below_the_match_threshold_are_skipped(spark):
+    keep, skip = list(range(64)), list(range(41)) + list(range(100, 123))
+    sign = lambda v: [(j << 32) | x for j, x in enumerate(v)]
+    signed = spark.createDataFrame([(1, sign(keep)), (1, sign(keep)), (2, sign(keep[:42] + [9] * 22)), (3, sign(skip))], "class long, posted array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "p long, q long")
+    assert [tuple(r) for r in N._retained(pairs, signed, 42).collect()] == [(1, 2)]
