@@ -171,13 +171,25 @@ def fil1_agg16_filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.funnel(read_table(spark, sf_dir, "documents").withColumn("why", why), "why", ["source"])
 
 
-@query()
+def _with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, and after them copies: of the url with other html, of the html under another url, and of that url with other html."""
+    p, k = read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), F.col("page_id")
+    again = F.concat(F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)), F.lit("?copy="), k)
+    one = p.where(k % 3 == 0).select((k + 10_000_000).alias("page_id"), F.concat("url", F.lit("#x")).alias("url"), F.concat("html", F.lit("<!-- 1 -->")).alias("html"))
+    two = p.where(k % 4 == 0).select((k + 20_000_000).alias("page_id"), again.alias("url"), "html")
+    three = p.where(k % 4 == 0).select((k + 30_000_000).alias("page_id"), again.alias("url"), F.concat("html", F.lit("<!-- 3 -->")).alias("html"))
+    return p.unionByName(one).unionByName(two).unionByName(three)
+
+
+@query(
+    r"""WITH o AS (SELECT page_id, row_number() OVER (PARTITION BY regexp_replace(regexp_replace(url, '#.*$', ''), '/+($|\?)', '\1') ORDER BY page_id) AS i FROM pages)
+ SELECT page_id FROM o WHERE i = 1 UNION ALL SELECT page_id + CASE WHEN i = 1 THEN 30000000 ELSE 20000000 END FROM o WHERE page_id % 4 = 0"""
+)
 def win1_greedy_two_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by id, under the hash of the text's first line and the hash of its end. Tested against the sequential rule."""
-    d = read_table(spark, sf_dir, "documents")
-    first = P.short_hash(F.substring_index("text", "\n", 1))
-    last = P.short_hash(F.substring_index("text", " ", -3))
-    return corpus.greedy_dedup(d.select("doc_id", "source", first.alias("head"), last.alias("tail")), ("head", "tail"), ["doc_id"])
+    """Pages by number under the hash of their html and their normal url. A copy of a kept page's url or html goes; the copy of a
+    url that only a dropped page had stays, as that one blocks nothing."""
+    d = _with_copies(spark, sf_dir).select("page_id", P.short_hash(F.col("html")).alias("html_sha"), P.short_hash(urls.normalize_url(F.col("url"))).alias("url_sha"))
+    return corpus.greedy_dedup(d, ("html_sha", "url_sha"), ["page_id"]).select("page_id")
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS i FROM documents) WHERE i = 1")

@@ -35,7 +35,7 @@ def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {FEATURES} SELECT doc_id, y, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / greatest(stddev_pop({c}) OVER (), 1e-9), 5) AS {c}" for c in COLUMNS) + " FROM x")
-def mld1_mld2_standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mld2_standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.standardise(features(spark, sf_dir), COLUMNS).select("doc_id", "y", *COLUMNS), 5)
 
 

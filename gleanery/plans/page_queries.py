@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from gleanery.functions import pages as P
 from gleanery.functions import texts, urls
 from gleanery.operators import brands, triggers
+from gleanery.operators import evidence as E
 from gleanery.plans.corpus_queries import HOST, _suffixes
+from gleanery.plans.evidence_queries import SUPPORT
 from gleanery.plans.registry import query, rounded
+from gleanery.plans.tables import FINDINGS_SQL, findings
 from gleanery.sources.tables import read_table
 
 #: What is put before the html of every n-th page: (n, rest, markup).
@@ -289,6 +292,44 @@ def evd6_populated_vs_empty_trigger(spark: SparkSession, sf_dir: str) -> DataFra
     return triggers.populated_vs_empty(page_evidence(spark, sf_dir))
 
 
+# --- the sixty features ------------------------------------------------------------------------------------------------
+
+SIDES = ("phishing", "benign")
+CELLS = [(f"f{i}", side, k) for i in range(6) for side in SIDES for k in (1, 2, 3)]
+PAGE_COLUMNS = ("log_length", "digits", "host_dots", "is_address", "has_at", "punycode", "forms", "fields", "passwords", "iframes", "scripts", "refreshes", "text_chars", "title_chars")
+
+
+@query(
+    rf"""WITH {WEB}, {FINDINGS_SQL}, {SUPPORT}, c AS (SELECT case_id, 9 - count(DISTINCT field) AS gaps, (count(DISTINCT direction) FILTER (direction <> 'neutral') = 2)::INT AS issues, avg(strength) / 3 AS judge_score, (count(*) FILTER (direction <> 'neutral') > 0)::INT AS judged, """
+    + ", ".join(f"count(*) FILTER (field = '{f}' AND direction = '{d}' AND strength = {k}) AS {f}_{d}_{k}" for f, d, k in CELLS)
+    + rf""" FROM f GROUP BY case_id), e AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS x FROM w), t AS (SELECT page_id, lower(regexp_extract(x, '^<([a-zA-Z0-9]+)', 1)) AS tag, lower(x) AS x FROM e),
+ g AS (SELECT page_id, count(*) FILTER (tag = 'form') AS forms, count(*) FILTER (tag = 'input') AS fields, count(*) FILTER (tag = 'input' AND x LIKE '%type=%password%') AS passwords, count(*) FILTER (tag = 'iframe') AS iframes, count(*) FILTER (tag = 'script') AS scripts, count(*) FILTER (tag = 'meta' AND x LIKE '%http-equiv="refresh"%') AS refreshes FROM t GROUP BY page_id),
+ p AS (SELECT w.page_id, round(ln(1 + len(url)), 6) AS log_length, len(regexp_extract_all(url, '[0-9]')) AS digits, len(regexp_extract_all({HOST}, '\.')) AS host_dots, regexp_matches({HOST}, '^[0-9.]+$')::INT AS is_address, contains(url, '@')::INT AS has_at, contains({HOST}, 'xn--')::INT AS punycode,
+   forms, fields, passwords, iframes, scripts, refreshes, len({text_of("html")}) AS text_chars, len(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) AS title_chars FROM w JOIN g ON w.page_id = g.page_id)
+ SELECT c.case_id, coalesce(b.breadth, 0) AS phishing_breadth, coalesce(b.top, 0) AS phishing_top, coalesce(b.opposition, 0) AS phishing_opposition, coalesce(n.breadth, 0) AS benign_breadth, coalesce(n.top, 0) AS benign_top, coalesce(n.opposition, 0) AS benign_opposition,
+ issues, gaps, {", ".join(f"{f}_{d}_{k}" for f, d, k in CELLS)}, round(judge_score, 6) AS judge_score, judged, {", ".join(PAGE_COLUMNS)}
+ FROM c LEFT JOIN s b ON b.case_id = c.case_id AND b.side = 'phishing' LEFT JOIN s n ON n.case_id = c.case_id AND n.side = 'benign' JOIN p ON p.page_id = c.case_id % 50"""
+)
+def mld1_sixty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision step's columns: 8 of evidence, 36 of field, direction and strength, 2 of the judge, 14 of the case's page."""
+    f, w = findings(spark, sf_dir), web_pages(spark, sf_dir)
+    support = E.support(f)
+    cells = [F.count_if((F.col("field") == x) & (F.col("direction") == d) & (F.col("strength") == k)).alias(f"{x}_{d}_{k}") for x, d, k in CELLS]
+    said = F.when(F.col("direction") != "neutral", F.col("direction"))
+    c = f.groupBy("case_id").agg(
+        (F.count_distinct(said) == 2).cast("long").alias("issues"), (9 - F.count_distinct("field")).alias("gaps"), *cells, (F.avg("strength") / 3).alias("judge_score"), (F.count(said) > 0).cast("long").alias("judged"),
+    )
+    for side in SIDES:
+        c = c.join(support.where(F.col("side") == side).select("case_id", *(F.col(x).alias(f"{side}_{x}") for x in ("breadth", "top", "opposition"))), "case_id", "left")
+    c = c.fillna(0)
+    url = {n: x.cast("double" if n == "log_length" else "long").alias(n) for n, x in urls.lexical_features(F.col("url")).items()}
+    text = [F.length(P.visible_text(F.col("html"))).cast("long").alias("text_chars"), F.length(P.title(F.col("html"))).cast("long").alias("title_chars")]
+    page = w.select("page_id", *url.values(), *text).join(htm7_structural_lines(spark, sf_dir).drop("hosts"), "page_id")
+    c = c.withColumn("page_id", F.col("case_id") % 50).join(page, "page_id")
+    evidence = [f"{side}_{x}" for side in SIDES for x in ("breadth", "top", "opposition")]
+    return rounded(c.select("case_id", *evidence, "issues", "gaps", *(f"{x}_{d}_{k}" for x, d, k in CELLS), "judge_score", "judged", *PAGE_COLUMNS))
+
+
 # --- nearest labelled pages --------------------------------------------------------------------------------------------
 
 NEAREST = 10

@@ -1,13 +1,14 @@
 """Tables in the folder that the driver and all executors share.
 
 ``spark.checkpoint.dir`` names that folder on a cluster. A table written there cuts lineage, outlives a lost
-executor and is read again by any of them. Where the setting is absent (local tests) one temporary folder per
-process takes its place.
+executor and is read again by any of them. Where the setting is absent, a session in one process (tests) gets one temporary
+folder instead; on a cluster that would be seen by the driver alone, so it is an error there.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -22,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="gleanery-")
     return f"file://{_own}"
