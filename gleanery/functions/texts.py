@@ -32,6 +32,20 @@ def sentences(text: Column, most: int = 200) -> Column:
     return lines(F.regexp_replace(text, "([.!?]) +", "$1\n"), most)
 
 
+def canonical_message(text: Column) -> Column:
+    """TXT5: urls that a tokeniser took apart put together again, addresses and source markers dropped, punctuation spaced outside
+    urls, spaces folded."""
+    t = F.regexp_replace(F.lower(text), r"(?m)^\s*(?:subject|re|fwd?)\s*:\s*", "")
+    t = F.regexp_replace(t, r"(https?) ?: ?/ ?/ ?", "$1://")
+    t = F.regexp_replace(t, EMAIL, " ")
+    urls = F.regexp_extract_all(t, F.lit(r"https?://\S+"), F.lit(0))
+    between = F.transform(F.split(t, r"https?://\S+"), lambda x: F.regexp_replace(x, "([,.;:!?])", " $1 "))
+    whole = F.aggregate(
+        F.sequence(F.lit(1), F.size(between)), F.lit(""), lambda s, i: F.concat(s, F.element_at(between, i), F.coalesce(F.get(urls, i - 1), F.lit("")))
+    )
+    return F.trim(F.regexp_replace(F.regexp_replace(whole, r"[ \t]+", " "), " ?\n ?", "\n"))
+
+
 def token_estimate(text: Column) -> Column:
     """TXT11: a quarter of the characters, rounded up."""
     return F.ceil(F.length(text) / 4).cast("long")

@@ -98,10 +98,49 @@ def gate_features(findings: DataFrame, fields: int) -> DataFrame:
     )
 
 
-def gate(features: DataFrame, coverage: float, agreement: float) -> DataFrame:
-    """EVD24: stop where all four conjuncts hold."""
-    stop = (F.col("cov") >= coverage) & (F.col("agr") >= agreement) & (F.col("suf") >= 1) & ~F.col("conf")
-    return features.withColumn("stop", stop)
+def gate(features: DataFrame, policies: DataFrame) -> DataFrame:
+    """EVD24: per case and policy (``policy``, ``coverage``, ``agreement``, ``least_band``; a few rows), whether the four conjuncts hold:
+    enough coverage, agreement, a band at least, no conflict."""
+    at = features.crossJoin(F.broadcast(policies))
+    stop = (F.col("cov") >= F.col("coverage")) & (F.col("agr") >= F.col("agreement")) & (F.col("band") >= F.col("least_band")) & ~F.col("conf")
+    return at.withColumn("stop", stop)
+
+
+RUNGS = ("none", "thin", "suggestive", "strong", "decisive")
+
+
+def top_band(findings: DataFrame) -> DataFrame:
+    """EVD13 for AGG21: the rung, 0 to 4, of the side with the higher band."""
+    rung = F.array_position(F.array(*map(F.lit, RUNGS)), band(F.col("top"), F.col("breadth"), F.col("opposition"))) - 1
+    return support(findings).groupBy("case_id").agg(F.max(rung).alias("band"))
+
+
+def reply_errors(replies: DataFrame) -> DataFrame:
+    """FIL18: what is wrong with a stored reply: it cites what is not eligible, decides without citing, or leaves gaps or issues
+    undisclosed. Rows have the arrays ``cited``, ``eligible``, ``gaps``, ``said_gaps``, ``issues`` and ``said_issues``, and ``verdict``."""
+    left = lambda a, b: F.size(F.array_except(a, b)) > 0
+    rules = {
+        "cites outside": left("cited", "eligible"), "cites nothing": F.col("verdict").isin(*SIDES) & (F.size("cited") == 0), "gap not disclosed": left("gaps", "said_gaps"),
+        "issue not disclosed": left("issues", "said_issues"),
+    }
+    return replies.withColumn("errors", F.array_compact(F.array(*(F.when(w, n) for n, w in rules.items()))))
+
+
+def acquire(plan: DataFrame, pool: float) -> DataFrame:
+    """WIN20: attempts by stage, field and number, retries charged like first ones, until the case's pool does not cover the next one;
+    whatever comes after that is not attempted."""
+    w = Window.partitionBy("case_id").orderBy("stage", "field", "attempt").rowsBetween(Window.unboundedPreceding, 0)
+    spent = plan.withColumn("spent", F.sum("cost").over(w))
+    return spent.withColumn("status", F.when(F.col("spent") <= pool, F.when(F.col("attempt") > 1, "retried").otherwise("attempted")).otherwise("refused"))
+
+
+def shown_again(findings: DataFrame, cited: DataFrame, fresh: DataFrame) -> DataFrame:
+    """EVD31: what an agent that is asked again is shown: the items that others' arguments cite, and its own, unless it is new to
+    the case or was rejected (``fresh``, by case and agent)."""
+    agents = findings.select("case_id", "agent").distinct()
+    own = findings.select("case_id", "agent", "ref").join(fresh, ["case_id", "agent"], "left_anti")
+    others = agents.join(cited.select("case_id", F.col("agent").alias("who"), "ref"), "case_id").where("who <> agent")
+    return own.unionByName(others.select("case_id", "agent", "ref"))
 
 
 def bounded_conclusion(findings: DataFrame, dropped: DataFrame, fields: int, coverage: float) -> DataFrame:
@@ -115,13 +154,6 @@ def bounded_conclusion(findings: DataFrame, dropped: DataFrame, fields: int, cov
     return g.withColumn("outcome", out).withColumn("cause", F.when(out != "decided", cause))
 
 
-def dispatch_within_budget(plan: DataFrame, budget: float) -> DataFrame:
-    """WIN20: attempts in order while their running cost stays within the case's budget; the first that does not fit ends it."""
-    w = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    spent = plan.withColumn("spent", F.sum("cost").over(w))
-    return spent.withColumn("status", F.when(F.col("spent") <= budget, "dispatched").otherwise("skipped"))
-
-
 def dispatch_in_order(plan: DataFrame, budget: float) -> DataFrame:
     """EVD10: agents in order, each dispatched if the case's budget still covers its cost; one that is refused costs nothing, so a
     cheaper one after it may still go. A case has a handful of agents."""
@@ -201,6 +233,20 @@ def latest_attempt(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("case_id", "field").agg(F.max_by(F.struct("status", "content"), "attempt").alias("x")).select("case_id", "field", "x.*")
 
 
+def merge_rates(pairs: DataFrame) -> DataFrame:
+    """AGG28: per policy and kind of pair, how many there are, the share that was merged, and the errors: merged though independent
+    (over), apart though dependent (under)."""
+    over, under = F.col("said") & ~F.col("truth"), F.col("truth") & ~F.col("said")
+    return pairs.groupBy("policy", "kind").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("said").cast("int")).alias("merged"), F.count_if(over).alias("over"), F.count_if(under).alias("under"))
+
+
+def availability_gaps(rows: DataFrame, least: float) -> DataFrame:
+    """AGG11: per field the share of each label's cases in which it is available, and whether these differ by ``least`` or more.
+    ``rows`` has one row a case and field with ``label`` and ``available``."""
+    rate = [F.avg(F.when(F.col("label") == s, F.col("available").cast("int"))).alias(s) for s in SIDES]
+    return rows.groupBy("field").agg(*rate).withColumn("flagged", F.abs(F.col("phishing") - F.col("benign")) >= least)
+
+
 def pair_metrics(pairs: DataFrame) -> DataFrame:
     """AGG28, JOIN9: precision, recall and F1 of predicted dependency pairs, from rows with ``truth`` and ``said``."""
     tp, fp = F.count_if(F.col("truth") & F.col("said")), F.count_if(~F.col("truth") & F.col("said"))

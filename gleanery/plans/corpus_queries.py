@@ -290,7 +290,7 @@ def agg12_cube_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  r AS (SELECT indicator, round(avg(v::INT) FILTER (quality = 1), 6) AS good, round(avg(v::INT) FILTER (quality = 0), 6) AS bad FROM (UNPIVOT x ON mail, digits, stars INTO NAME indicator VALUE v) GROUP BY indicator)
  SELECT *, abs(good - bad) >= 0.1 AS flagged FROM r"""
 )
-def agg11_agg30_indicator_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg30_indicator_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     d = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id")
     d = d.select("quality", t.contains("@").alias("mail"), t.rlike("[0-9]{4}").alias("digits"), t.contains("***").alias("stars"))

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import pages as P
-from gleanery.functions import texts, urls
+from gleanery.functions import replies, texts, urls
 from gleanery.operators import corpus, guards, metrics, paired
 from gleanery.operators import evidence as E
+from gleanery.operators import records as R
 from gleanery.plans.corpus_queries import HOST
-from gleanery.plans.evidence_queries import FS
+from gleanery.plans.evidence_queries import BAND, FS, GROUPS, LINKS, SUPPORT
 from gleanery.plans.page_queries import site
 from gleanery.plans.registry import query, rounded
+from gleanery.plans.rule_queries import RECORDS, all_records
 from gleanery.plans.score_queries import COUNTS, D, DM
 from gleanery.plans.tables import cases, decisions, findings
 from gleanery.sources.shared import new_path
@@ -467,3 +469,215 @@ def evd32_coverage_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     agents whose gap must be disclosed."""
     g = findings(spark, sf_dir).groupBy("case_id").agg(F.collect_set("field").alias("readable"))
     return E.coverage_ceiling(g, {"url": ["f0", "f1"], "content": ["f2", "f3", "f4"], "network": ["f5", "f6"]}, least=2)
+
+
+DISCOUNTED = f"{GROUPS}, fd AS (SELECT f.* FROM f ANTI JOIN dis ON f.case_id = dis.case_id AND f.ref = dis.ref)"
+
+
+@query(
+    f"""{FS}, {DISCOUNTED}, q AS (SELECT case_id, count(DISTINCT field) AS seen, count(DISTINCT field) FILTER (direction = 'phishing') AS p, count(DISTINCT field) FILTER (direction = 'benign') AS b, avg(strength) AS st FROM fd GROUP BY case_id),
+ o AS (SELECT case_id, direction AS side, count(DISTINCT field) AS breadth, max(strength) AS top FROM fd WHERE direction <> 'neutral' GROUP BY ALL), a AS (SELECT case_id, CASE direction WHEN 'phishing' THEN 'benign' ELSE 'phishing' END AS side, field, max(strength) AS most FROM fd WHERE direction <> 'neutral' GROUP BY ALL),
+ s AS (SELECT o.*, (SELECT count(*) FROM a WHERE a.case_id = o.case_id AND a.side = o.side AND most >= top) AS opposition FROM o), n AS (SELECT case_id, max(CASE {BAND} WHEN 'thin' THEN 1 WHEN 'suggestive' THEN 2 WHEN 'strong' THEN 3 WHEN 'decisive' THEN 4 ELSE 0 END) AS band FROM s GROUP BY case_id),
+ gt AS (SELECT q.case_id, seen / 9 AS cov, coalesce(greatest(p, b) / nullif(p + b, 0), 0) AS agr, least(1, greatest(p, b) / 2) AS suf, p > 0 AND b > 0 AS conf, coalesce(band, 0) AS band, st / 3 AS sol FROM q LEFT JOIN n ON q.case_id = n.case_id),
+ po(policy, c, g, k) AS (VALUES ('strict', 0.5, 0.8, 3), ('usual', 0.4, 0.6, 2), ('loose', 0.2, 0.5, 1))
+ SELECT case_id, policy, round(cov, 6) AS cov, round(agr, 6) AS agr, round(suf, 6) AS suf, conf, band, round(sol, 6) AS sol, cov >= c AND agr >= g AND band >= k AND NOT conf AS stop FROM gt, po"""
+)
+def agg21_evd24_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate features over the findings that are not discounted, and three policies' verdicts on them."""
+    f = findings(spark, sf_dir)
+    left = f.join(E.discounted(E.shared_groups(f, "artifact")), ["case_id", "ref"], "left_anti")
+    g = E.gate_features(left, 9).join(E.top_band(left), "case_id", "left").fillna(0, ["band"])
+    rows = [("strict", 0.5, 0.8, 3), ("usual", 0.4, 0.6, 2), ("loose", 0.2, 0.5, 1)]
+    items = [F.struct(F.lit(p).alias("policy"), F.lit(c).alias("coverage"), F.lit(a).alias("agreement"), F.lit(k).alias("least_band")) for p, c, a, k in rows]
+    policies = spark.range(1).select(F.explode(F.array(*items)).alias("p")).select("p.*")
+    return rounded(E.gate(g, policies).select("case_id", "policy", "cov", "agr", "suf", "conf", "band", "sol", "stop"))
+
+
+REPLY = """rp AS (SELECT case_id, CASE WHEN count(DISTINCT field) FILTER (direction = 'phishing') > count(DISTINCT field) FILTER (direction = 'benign') THEN 'phishing' WHEN count(DISTINCT field) FILTER (direction = 'benign') > count(DISTINCT field) FILTER (direction = 'phishing') THEN 'benign' ELSE 'neutral' END AS verdict,
+   coalesce(list(ref) FILTER (strength = 3 AND case_id % 4 > 0), []) AS cited, coalesce(list(ref) FILTER (direction <> 'neutral'), []) AS eligible, list_filter(['f0', 'f1', 'f2'], lambda x: NOT list_contains(list(field), x)) AS gaps, count(DISTINCT direction) FILTER (direction <> 'neutral') = 2 AS conflict FROM f GROUP BY case_id),
+ er AS (SELECT case_id, list_filter([CASE WHEN NOT list_has_all(eligible, cited) THEN 'cites outside' END, CASE WHEN verdict <> 'neutral' AND len(cited) = 0 THEN 'cites nothing' END, CASE WHEN case_id % 6 = 0 AND len(gaps) > 0 THEN 'gap not disclosed' END,
+   CASE WHEN conflict AND case_id % 7 = 0 THEN 'issue not disclosed' END], lambda x: x IS NOT NULL) AS errors FROM rp)"""
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges' replies from the findings: every sixth case hides a gap, every seventh a conflict, every fourth cites nothing."""
+    f, k = findings(spark, sf_dir), F.col("case_id")
+    none = F.array().cast("array<string>")
+    r = f.groupBy("case_id").agg(
+        F.collect_list(F.when((F.col("strength") == 3) & (k % 4 > 0), F.col("ref"))).alias("cited"), F.collect_list(F.when(F.col("direction") != "neutral", F.col("ref"))).alias("eligible"),
+        F.array_except(F.array(*(F.lit(x) for x in ("f0", "f1", "f2"))), F.collect_set("field")).alias("gaps"), F.count_distinct(F.when(F.col("direction") != "neutral", F.col("direction"))).alias("sides"),
+    )
+    issues = F.when(F.col("sides") == 2, F.array(F.lit("conflict"))).otherwise(none)
+    r = r.join(E.preliminary(f).select("case_id", "verdict"), "case_id").withColumn("issues", issues)
+    return r.withColumns({"said_gaps": F.when(k % 6 == 0, none).otherwise(F.col("gaps")), "said_issues": F.when(k % 7 == 0, none).otherwise(F.col("issues"))})
+
+
+@query(f"{FS}, {REPLY} SELECT case_id, array_to_string(errors, '; ') AS errors FROM er")
+def fil18_reply_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.reply_errors(_replies(spark, sf_dir)).select("case_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(f"{FS}, {REPLY}, n AS (SELECT count(*) AS replies FROM er) SELECT error, count(*) AS n, any_value(replies) AS replies FROM (SELECT unnest(errors) AS error FROM er), n GROUP BY error")
+def agg24_disclosure_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E.reply_errors(_replies(spark, sf_dir))
+    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("replies")))  # one row
+    return e.select(F.explode("errors").alias("error")).crossJoin(n).groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.first("replies").alias("replies"))
+
+
+@query(f"{FS}, {RECORDS} SELECT agent, count(*) FILTER (st IN ('ran', 'error', 'no_data')) AS executed, count(*) FILTER (st = 'error') AS rejected, count(*) FILTER (st = 'no_data') AS failures, count(*) FILTER (st = 'skipped') AS blocked, count(*) FILTER (list_contains(failed, 'locators_resolve')) AS invalid_citations, count(*) FILTER (said = 'phishing') AS phishing, count(*) FILTER (said = 'benign') AS benign FROM rc GROUP BY agent")
+def agg37_ledger_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records executed, rejected, failed and blocked by agent, invalid citations, and verdicts."""
+    r, s = R.validated(all_records(spark, sf_dir)), F.col("status")
+    counts = {
+        "executed": s.isin("ran", "error", "no_data"), "rejected": s == "error", "failures": s == "no_data", "blocked": s == "skipped", "invalid_citations": F.array_contains("failed", "locators_resolve"),
+        "phishing": F.col("verdict") == "phishing", "benign": F.col("verdict") == "benign",
+    }
+    return r.groupBy("agent").agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+
+
+@query(
+    f"""{FS}, p AS (SELECT case_id, pos % 3 AS stage, field, pos AS attempt0, strength AS cost FROM f), a AS (SELECT case_id, stage, field, cost, row_number() OVER (PARTITION BY case_id, stage, field ORDER BY attempt0) AS attempt FROM p), s AS (SELECT *, sum(cost) OVER (PARTITION BY case_id ORDER BY stage, field, attempt) AS spent FROM a)
+ SELECT case_id, stage, field, attempt, CAST(spent AS BIGINT) AS spent, CASE WHEN spent > 9 THEN 'refused' WHEN attempt > 1 THEN 'retried' ELSE 'attempted' END AS status FROM s"""
+)
+def win20_budgeted_acquisition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts in the order of their stages, retries charged, until the pool is spent."""
+    p = findings(spark, sf_dir).select("case_id", (F.col("pos") % 3).alias("stage"), "field", F.col("strength").alias("cost"), "pos")
+    n = F.row_number().over(Window.partitionBy("case_id", "stage", "field").orderBy("pos")).cast("long")
+    return E.acquire(p.withColumn("attempt", n), 9).select("case_id", "stage", "field", "attempt", "spent", "status")
+
+
+@query(
+    f"""{FS}, x AS (SELECT case_id, agent, ref FROM f WHERE strength = 3), n AS (SELECT DISTINCT case_id, agent FROM f WHERE (case_id + CAST(substr(agent, 6, 1) AS INT)) % 4 = 0), ag AS (SELECT DISTINCT case_id, agent FROM f),
+ s AS (SELECT f.case_id, f.agent, f.ref FROM f ANTI JOIN n ON f.case_id = n.case_id AND f.agent = n.agent UNION ALL SELECT ag.case_id, ag.agent, x.ref FROM ag JOIN x ON ag.case_id = x.case_id AND ag.agent <> x.agent) SELECT case_id, agent, count(*) AS shown, min(ref) AS first FROM s GROUP BY ALL"""
+)
+def evd31_evidence_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An agent's own items, unless it is new or was rejected, and those of others that are cited."""
+    f = findings(spark, sf_dir)
+    fresh = f.where((F.col("case_id") + F.substring("agent", 6, 1).cast("int")) % 4 == 0).select("case_id", "agent").distinct()
+    s = E.shown_again(f, f.where("strength = 3"), fresh)
+    return s.groupBy("case_id", "agent").agg(F.count(F.lit(1)).alias("shown"), F.min("ref").alias("first"))
+
+
+@query(
+    f"""{FS} SELECT case_id, 'url' AS submission_type, count(*) FILTER (direction <> 'neutral') AS artifacts, count(DISTINCT field) FILTER (direction = 'neutral') AS failures, count(DISTINCT agent) FILTER (strength = 1) AS inapplicable,
+ count(DISTINCT agent) AS agents_with_findings, count(*) FILTER (pos >= 5) AS revised FROM f GROUP BY case_id"""
+)
+def src6_nested_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested document per case with its artifacts, failures, inapplicable agents, findings and revisions, written and read by an
+    explicit schema, then flattened."""
+    path = new_path(spark, "captures")
+    f = findings(spark, sf_dir)
+    item = F.struct(F.col("entity").alias("observation"), "field", "direction", "strength")
+    per = f.groupBy("case_id", "agent").agg(F.collect_list(item).alias("found"), F.collect_list(F.when(F.col("pos") >= 5, item)).alias("revised"))
+    maps = per.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("agent", "found"))).alias("findings"), F.map_from_entries(F.collect_list(F.struct("agent", "revised"))).alias("revisions"))
+    quiet = F.array_distinct(F.collect_list(F.when(F.col("direction") == "neutral", F.col("field"))))
+    doc = f.groupBy("case_id").agg(
+        F.lit("url").alias("submission_type"), F.collect_list(F.when(F.col("direction") != "neutral", F.struct("field", F.col("entity").alias("content"), "instrument"))).alias("artifacts"),
+        F.map_from_entries(F.transform(quiet, lambda x: F.struct(x, F.lit("timeout")))).alias("failures"), F.array_sort(F.collect_set(F.when(F.col("strength") == 1, F.col("agent")))).alias("inapplicable"),
+    )
+    doc.join(maps, "case_id").write.json(path)
+    found = "map<string, array<struct<observation: string, field: string, direction: string, strength: int>>>"
+    schema = f"case_id long, submission_type string, artifacts array<struct<field: string, content: string, instrument: string>>, failures map<string, string>, inapplicable array<string>, findings {found}, revisions {found}"
+    d = spark.read.schema(schema).json(path)
+    revised = F.aggregate(F.map_values("revisions"), F.lit(0).cast("long"), lambda n, x: n + F.size(x))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return d.select("case_id", "submission_type", size("artifacts").alias("artifacts"), size("failures").alias("failures"), size("inapplicable").alias("inapplicable"), size("findings").alias("agents_with_findings"), revised.alias("revised"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type IN ('click', 'signup') THEN 'phishing' WHEN event_type = 'error' THEN 'inconclusive' ELSE 'benign' END AS verdict, CASE WHEN event_type <> 'error' THEN round(user_id % 11 / 10, 6) END AS score,
+ CASE WHEN user_id % 4 = 0 THEN 0 ELSE user_id % 9 END AS agent_score, user_id % 4 = 0 AS missing FROM events"""
+)
+def jsn3_jsn7_flags_and_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two flags and a score out of ten from a JSON reply, and an agent's score with a flag where it is missing."""
+    k, t = F.col("user_id"), F.col("event_type")
+    flag = F.when(t == "error", "null").when(t.isin("click", "signup"), "true").otherwise("false")
+    ten = F.when(t == "error", F.lit("")).otherwise(F.concat(F.lit(', "score": '), k % 11))
+    agent = F.when(k % 4 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"url": '), k % 9, F.lit("}")))
+    reply = F.concat(F.lit('Sure: {"phishing": '), flag, F.lit(', "suspicious": '), F.when(t == "error", "null").otherwise("false"), ten, F.lit(', "agents": '), agent, F.lit("} done"))
+    e = read_table(spark, sf_dir, "events").select("event_id", replies.json_object(reply).alias("v"))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    own = get("$.agents.url", "long")
+    return rounded(e.select(
+        "event_id", replies.two_flags(get("$.phishing", "boolean"), get("$.suspicious", "boolean")).alias("verdict"), (get("$.score", "double") / 10).alias("score"), F.coalesce(own, F.lit(0)).cast("long").alias("agent_score"), own.isNull().alias("missing"),
+    ))
+
+
+@query(f"{FS}, l AS (SELECT case_id, agent, field || ': ' || entity AS line FROM f) SELECT case_id, agent, CAST(120 + sum(ceil((len(line) + 1) / 4)) AS BIGINT) AS tokens FROM l GROUP BY ALL")
+def txt11_prompt_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of an agent's prompt on a case: a fixed head and its evidence lines."""
+    line = F.concat_ws(": ", "field", "entity")
+    f = findings(spark, sf_dir).select("case_id", "agent", texts.token_estimate(F.concat(line, F.lit("\n"))).alias("t"))
+    return f.groupBy("case_id", "agent").agg((F.sum("t") + 120).alias("tokens"))
+
+
+@query(
+    f"""{FS}, {SUPPORT}, h AS (SELECT case_id, count(*) AS findings, count(DISTINCT field) AS fields, (count(DISTINCT direction) FILTER (direction <> 'neutral') = 2)::BIGINT AS issues FROM f GROUP BY case_id), p AS (SELECT * FROM s WHERE side = 'phishing'), b AS (SELECT * FROM s WHERE side = 'benign')
+ SELECT h.case_id, findings, 9 - fields AS gaps, issues, coalesce(p.breadth, 0) AS bad_breadth, coalesce(p.top, 0) AS bad_top, coalesce(p.opposition, 0) AS bad_opposition, coalesce(b.breadth, 0) AS good_breadth, coalesce(b.top, 0) AS good_top, coalesce(b.opposition, 0) AS good_opposition FROM h LEFT JOIN p ON h.case_id = p.case_id LEFT JOIN b ON h.case_id = b.case_id"""
+)
+def agg20_evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence features of a case, for both directions, with its open issues and gaps."""
+    f = findings(spark, sf_dir)
+    s = E.support(f)
+    h = f.groupBy("case_id").agg(F.count(F.lit(1)).alias("findings"), (9 - F.count_distinct("field")).alias("gaps"))
+    h = h.join(E.conflict_issues(f).select("case_id", F.lit(1).cast("long").alias("issues")), "case_id", "left")
+    for side, n in (("phishing", "bad"), ("benign", "good")):
+        h = h.join(s.where(F.col("side") == side).select("case_id", *(F.col(c).alias(f"{n}_{c}") for c in ("breadth", "top", "opposition"))), "case_id", "left")
+    return h.fillna(0)
+
+
+@query(
+    f"""{FS}, {LINKS}, pr AS (SELECT a.case_id, a.ref AS a, b.ref AS b, CASE WHEN a.agent = b.agent THEN 'one agent' ELSE 'two agents' END AS kind, a.capture_id = b.capture_id AND a.artifact = b.artifact AS truth FROM f a JOIN f b ON a.case_id = b.case_id AND a.ref < b.ref)
+ SELECT 'common cause' AS policy, kind, count(*) AS pairs, round(avg((lk.a IS NOT NULL)::INT), 6) AS merged, count(*) FILTER (lk.a IS NOT NULL AND NOT truth) AS over, count(*) FILTER (truth AND lk.a IS NULL) AS under FROM pr LEFT JOIN lk ON lk.a = pr.a AND lk.b = pr.b GROUP BY kind"""
+)
+def agg28_merge_rates_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of observations of a case by kind: how many were merged, wrongly or not. A case has eight observations."""
+    f = findings(spark, sf_dir).select("case_id", "ref", "agent", "capture_id", "artifact")
+    a, b = f.alias("a"), f.alias("b")
+    kind = F.when(F.col("a.agent") == F.col("b.agent"), "one agent").otherwise("two agents")
+    truth = (F.col("a.capture_id") == F.col("b.capture_id")) & (F.col("a.artifact") == F.col("b.artifact"))
+    pairs = a.join(b, [F.col("a.case_id") == F.col("b.case_id"), F.col("a.ref") < F.col("b.ref")]).select(F.col("a.ref").alias("a"), F.col("b.ref").alias("b"), kind.alias("kind"), truth.alias("truth"))
+    said = E.common_cause_links(findings(spark, sf_dir), [f"f{i}" for i in range(9)]).select("a", "b", F.lit(True).alias("s"))
+    j = pairs.join(said, ["a", "b"], "left").select(F.lit("common cause").alias("policy"), "kind", "truth", F.coalesce("s", F.lit(False)).alias("said"))
+    return rounded(E.merge_rates(j))
+
+
+@query(
+    f"""{FS}, c AS (SELECT DISTINCT case_id, CASE WHEN case_id * 7 % 5 < 2 THEN 'phishing' ELSE 'benign' END AS label FROM f), x AS (SELECT c.case_id, label, k.field, k.field IN (SELECT g.field FROM f g WHERE g.case_id = c.case_id) AS available FROM c, (SELECT unnest(['f0', 'f1', 'f2', 'f3', 'f4', 'f5', 'f6', 'f7', 'f8']) AS field) k)
+ SELECT field, round(avg(available::INT) FILTER (label = 'phishing'), 6) AS phishing, round(avg(available::INT) FILTER (label = 'benign'), 6) AS benign, abs(avg(available::INT) FILTER (label = 'phishing') - avg(available::INT) FILTER (label = 'benign')) >= 0.05 AS flagged FROM x GROUP BY field"""
+)
+def agg11_availability_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each field is available in the cases of either label, and fields where that differs by five hundredths."""
+    got = findings(spark, sf_dir).groupBy("case_id").agg(F.collect_set("field").alias("have"))
+    every = F.explode(F.array(*(F.lit(f"f{i}") for i in range(9)))).alias("field")
+    rows = got.select("case_id", "have", every).select("field", F.array_contains("have", F.col("field")).alias("available"), F.when(F.col("case_id") * 7 % 5 < 2, "phishing").otherwise("benign").alias("label"))
+    return rounded(E.availability_gaps(rows, 0.05))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Subject: Hi, you!' || chr(10) || 'go http : / / a.example.com/x,y now. ' || text WHEN 1 THEN 'mail x.y@z.com: ' || text ELSE text END AS text FROM documents),
+ a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '(?m)^\s*(?:subject|re|fwd?)\s*:\s*', '', 'g'), '(https?) ?: ?/ ?/ ?', '\1://', 'g'), '[\w.+-]+\s*@\s*[\w-]+(\s*\.\s*[\w-]+)+', ' ', 'g') AS t FROM t),
+ b AS (SELECT doc_id, regexp_extract_all(t, 'https?://\S+') AS u, string_split_regex(t, 'https?://\S+') AS p FROM a), c AS (SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: regexp_replace(p[i], '([,.;:!?])', ' \1 ', 'g') || coalesce(u[i], '')), '') AS t FROM b)
+ SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(t, '[ 	]+', ' ', 'g'), ' ?
+ ?', chr(10), 'g'))) AS sha FROM c"""
+)
+def txt5_canonical_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in one form: urls whole and untouched, addresses and markers gone, punctuation spaced."""
+    k, t = F.col("doc_id") % 3, F.col("text")
+    t = F.when(k == 0, F.concat(F.lit("Subject: Hi, you!\ngo http : / / a.example.com/x,y now. "), t)).when(k == 1, F.concat(F.lit("mail x.y@z.com: "), t)).otherwise(t)
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.sha2(texts.canonical_message(t), 256).alias("sha"))
+
+
+@query(
+    f"""{FS}, s AS (SELECT case_id, list_sort(list(DISTINCT field) FILTER (direction = 'phishing')) AS a, list_sort(list(DISTINCT field) FILTER (direction = 'benign')) AS b FROM f GROUP BY case_id), t AS (SELECT case_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM s)
+ SELECT case_id, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS either, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS only_bad, list_has_all(a, b) AS covers, list_has_any(a, b) AS meet FROM t"""
+)
+def set5_field_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of either side of a case: union, intersection, difference, inclusion."""
+    sides = [F.collect_set(F.when(F.col("direction") == s, F.col("field"))).alias(n) for s, n in (("phishing", "a"), ("benign", "b"))]
+    t = findings(spark, sf_dir).groupBy("case_id").agg(*sides)
+    text = lambda x: F.array_join(F.array_sort(x), ",")
+    return t.select(
+        "case_id", text(F.array_union("a", "b")).alias("either"), text(F.array_intersect("a", "b")).alias("both"), text(F.array_except("a", "b")).alias("only_bad"), (F.size(F.array_except("b", "a")) == 0).alias("covers"),
+        F.arrays_overlap("a", "b").alias("meet"),
+    )

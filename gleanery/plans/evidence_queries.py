@@ -71,7 +71,7 @@ def evd19_conflict_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{FS}, h AS (SELECT DISTINCT case_id, 'f' || ((ref + 1) % 9) AS field FROM f), l AS (SELECT h.case_id, h.field FROM h ANTI JOIN f ON h.case_id = f.case_id AND h.field = f.field)
  SELECT case_id, string_agg(field, ',' ORDER BY field) AS fields FROM l GROUP BY case_id"""
 )
-def evd20_set5_unexamined_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evd20_unexamined_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = findings(spark, sf_dir)
     return E.unexamined(f, f.select("case_id", F.concat(F.lit("f"), (F.col("ref") + 1) % 9).alias("field")))
 
@@ -89,11 +89,6 @@ GATE = """q AS (SELECT case_id, count(DISTINCT field) AS seen, count(DISTINCT fi
  gt AS (SELECT case_id, seen / 9 AS cov, coalesce(greatest(p, b) / nullif(p + b, 0), 0) AS agr, least(1, greatest(p, b) / 2) AS suf, p > 0 AND b > 0 AS conf, st / 3 AS sol FROM q)"""
 
 
-@query(f"{FS}, {GATE} SELECT case_id, round(cov, 6) AS cov, round(agr, 6) AS agr, round(suf, 6) AS suf, conf, round(sol, 6) AS sol, cov >= 0.5 AND agr >= 0.6 AND suf >= 1 AND NOT conf AS stop FROM gt")
-def agg21_evd24_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.gate(E.gate_features(findings(spark, sf_dir), 9), 0.5, 0.6))
-
-
 @query(
     f"""{FS}, {GROUPS}, c AS (SELECT case_id, count(DISTINCT field) / 9 AS coverage FROM f GROUP BY case_id),
  l AS (SELECT f.case_id, count(DISTINCT field) FILTER (direction = 'phishing') AS phishing, count(DISTINCT field) FILTER (direction = 'benign') AS benign FROM f ANTI JOIN dis ON f.case_id = dis.case_id AND f.ref = dis.ref GROUP BY 1),
@@ -105,12 +100,6 @@ def evd27_evd28_evd29_bounded_conclusion(spark: SparkSession, sf_dir: str) -> Da
     return rounded(E.bounded_conclusion(f, E.discounted(E.shared_groups(f, "artifact")), 9, 0.4))
 
 
-@query(f"{FS}, s AS (SELECT case_id, pos, strength, sum(strength) OVER (PARTITION BY case_id ORDER BY pos) AS spent FROM f) SELECT case_id, pos, spent, CASE WHEN spent <= 9 THEN 'dispatched' ELSE 'skipped' END AS status FROM s")
-def win20_budgeted_acquisition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = findings(spark, sf_dir).select("case_id", "pos", F.col("strength").alias("cost"))
-    return E.dispatch_within_budget(plan, 9).select("case_id", "pos", "spent", "status")
-
-
 SUBSETS = "SELECT bits AS subset, 'agent' || i AS agent, i + 1 AS cost FROM range(1, 32) b(bits), range(0, 5) a(i) WHERE (bits >> i) & 1 = 1"
 
 

@@ -29,17 +29,6 @@ def src5_manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.min("observed").alias("first"))
 
 
-@query(f"{FS} SELECT case_id, count(*) AS artifacts, count(DISTINCT field) AS fields FROM f GROUP BY case_id")
-def src6_nested_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested document per case, written and read with its arrays of records, then flattened."""
-    path = new_path(spark, "captures")
-    doc = findings(spark, sf_dir).groupBy("case_id").agg(F.collect_list(F.struct("field", "artifact", "instrument")).alias("artifacts"))
-    doc.write.json(path)
-    back = spark.read.schema("case_id long, artifacts array<struct<field: string, artifact: string, instrument: string>>").json(path)
-    flat = back.select("case_id", F.explode("artifacts").alias("a"))
-    return flat.groupBy("case_id").agg(F.count(F.lit(1)).alias("artifacts"), F.count_distinct("a.field").alias("fields"))
-
-
 @query(f"{FS} SELECT case_id FROM f GROUP BY case_id HAVING bool_or(field = 'f0') AND bool_or(field = 'f1')")
 def src8_complete_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases that hold all required entries."""
@@ -71,18 +60,6 @@ def fil16_judgment_free_projection(spark: SparkSession, sf_dir: str) -> DataFram
     return findings(spark, sf_dir).where("direction <> 'neutral'").select("case_id", "ref", "agent", "field", "entity")
 
 
-@query(f"{FS}, {SUPPORT}, h AS (SELECT case_id, count(*) AS findings, count(DISTINCT field) AS fields FROM f GROUP BY case_id), p AS (SELECT * FROM s WHERE side = 'phishing'), b AS (SELECT * FROM s WHERE side = 'benign') SELECT h.case_id, findings, 9 - fields AS gaps, coalesce(p.breadth, 0) AS bad_breadth, coalesce(p.top, 0) AS bad_top, coalesce(b.breadth, 0) AS good_breadth, coalesce(b.top, 0) AS good_top FROM h LEFT JOIN p USING (case_id) LEFT JOIN b ON h.case_id = b.case_id")
-def agg20_evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = findings(spark, sf_dir)
-    s = evidence.support(f)
-    sides = [
-        s.where(F.col("side") == side).select("case_id", F.col("breadth").alias(f"{n}_breadth"), F.col("top").alias(f"{n}_top"))
-        for side, n in (("phishing", "bad"), ("benign", "good"))
-    ]
-    h = f.groupBy("case_id").agg(F.count(F.lit(1)).alias("findings"), (9 - F.count_distinct("field")).alias("gaps"))
-    return h.join(sides[0], "case_id", "left").join(sides[1], "case_id", "left").fillna(0)
-
-
 @query("SELECT page_id, len(CASE WHEN len(html) > 1000 THEN substr(html, 1, 1000 - strpos(reverse(substr(html, 1, 1000)), '>') + 1) || '[cut]' ELSE html END) AS kept FROM pages")
 def htm6_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages shortened at a tag end, with a notice, to a budget of characters."""
@@ -97,14 +74,6 @@ def txt3_entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(F.array_except("w", stop)).cast("long").alias("entities"), F.array_contains("w", "clown").alias("named"))
 
 
-@query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\w.+-]+\s*@\s*[\w-]+(\s*\.\s*[\w-]+)+', ' ', 'g'), '([,.;:!?])', ' \1 ', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'))) AS sha FROM documents")
-def txt5_canonical_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses dropped, punctuation spaced, spaces folded around lines."""
-    t = F.regexp_replace(F.regexp_replace(F.lower("text"), texts.EMAIL, " "), "([,.;:!?])", " $1 ")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), " ?\n ?", "\n")
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.trim(t), 256).alias("sha"))
-
-
 COSINE = r"""w AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
  c AS (SELECT item_id, term, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY item_id),
  l AS (SELECT a.item_id AS a, b.item_id AS b FROM c a JOIN c b ON a.term = b.term AND a.item_id < b.item_id JOIN m x ON x.item_id = a.item_id JOIN m y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id, x.norm, y.norm HAVING sum(a.n * b.n) / (x.norm * y.norm) >= 0.5)"""
@@ -126,16 +95,6 @@ def evd30_exact_text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("case_id", "entity", F.size("refs").cast("long").alias("members"), F.element_at("refs", 1).alias("first"))
 
 
-@query(f"{FS}, {GROUPS}, o AS (SELECT case_id, agent, ref FROM f WHERE direction <> 'neutral'), x AS (SELECT case_id, ref FROM f WHERE strength = 3), a AS (SELECT DISTINCT case_id, agent FROM f), s AS (SELECT a.case_id, a.agent, o.ref FROM a JOIN o ON a.case_id = o.case_id AND a.agent = o.agent UNION SELECT a.case_id, a.agent, x.ref FROM a JOIN x USING (case_id)) SELECT case_id, agent, count(*) AS shown FROM s GROUP BY ALL")
-def evd31_evidence_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An agent's own substantive items and all cited (strongest) ones of the case."""
-    f = findings(spark, sf_dir)
-    agents = f.select("case_id", "agent").distinct()
-    own = f.where("direction <> 'neutral'").select("case_id", "agent", "ref")
-    cited = agents.join(f.where("strength = 3").select("case_id", "ref"), "case_id").select("case_id", "agent", "ref")
-    return own.unionByName(cited).distinct().groupBy("case_id", "agent").agg(F.count(F.lit(1)).alias("shown"))
-
-
 @query()
 def mld10_mld13_feature_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold log loss of three feature subsets, with a row more for each document and set of withheld evidence: its raw

@@ -41,18 +41,6 @@ def join12_brand_in_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.named_elsewhere(p, "tokens", "own", F.broadcast(_brands(spark))).select("page_id", "own", "word")  # four brands
 
 
-@query(
-    f"""{FS}, c AS (SELECT case_id, list(DISTINCT ref) FILTER (strength >= 2) AS cited, list(DISTINCT ref) FILTER (direction <> 'neutral') AS eligible FROM f GROUP BY case_id)
- SELECT case_id, len(coalesce(cited, [])) AS cited, len(list_filter(coalesce(cited, []), lambda x: NOT list_contains(coalesce(eligible, []), x))) AS outside,
- len(list_filter(coalesce(cited, []), lambda x: NOT list_contains(coalesce(eligible, []), x))) = 0 AND len(coalesce(cited, [])) > 0 AS valid FROM c"""
-)
-def fil18_agg24_citation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = [F.collect_set(F.when(w, F.col("ref"))).alias(n) for n, w in (("c", F.col("strength") >= 2), ("e", F.col("direction") != "neutral"))]
-    g = findings(spark, sf_dir).groupBy("case_id").agg(*ok)
-    outside = F.size(F.array_except("c", "e")).cast("long")
-    return g.select("case_id", F.size("c").cast("long").alias("cited"), outside.alias("outside"), ((outside == 0) & (F.size("c") > 0)).alias("valid"))
-
-
 @query(f"{FS}, a AS (SELECT unnest(['agent0', 'agent1', 'agent2', 'agent3', 'agent4']) AS agent), w AS (SELECT DISTINCT case_id, agent FROM (SELECT DISTINCT case_id FROM f), a), l AS (SELECT w.case_id, w.agent FROM w ANTI JOIN f ON w.case_id = f.case_id AND w.agent = f.agent), o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY agent) AS i FROM l) SELECT case_id, string_agg(agent, ',' ORDER BY agent) AS never, string_agg(agent, ',' ORDER BY agent) FILTER (i <= 2) AS targets FROM o GROUP BY case_id")
 def evd22_never_dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agents that never ran on a case, and the first two as the next round's targets."""

@@ -289,12 +289,6 @@ def fil4_fil19_ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(spark, sf_dir).groupBy("arm").agg(bad.alias("bad_verdicts"), (F.count(F.lit(1)) - F.count_distinct("case_id")).alias("repeats"), F.count_distinct("model").alias("models"))
 
 
-@query(f"{D} SELECT arm, count(*) AS decisions, count(*) FILTER (verdict = 'inconclusive') AS failures, sum(tokens) AS tokens, count(*) FILTER (verdict = 'phishing') AS phishing, count(*) FILTER (verdict = 'benign') AS benign FROM d GROUP BY arm")
-def agg37_ledger_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [F.count_if(F.col("verdict") == v).alias(n) for v, n in (("inconclusive", "failures"), ("phishing", "phishing"), ("benign", "benign"))]
-    return decisions(spark, sf_dir).groupBy("arm").agg(F.count(F.lit(1)).alias("decisions"), F.sum("tokens").alias("tokens"), *counts)
-
-
 @query(
     f"""{DM}, p AS (SELECT case_id, arm, score, CASE WHEN abs(score - 0.05) >= 0.02 THEN CASE WHEN score >= 0.05 THEN 'phishing' ELSE 'benign' END ELSE 'inconclusive' END AS v, label FROM d WHERE score IS NOT NULL)
  SELECT arm, count(*) AS n, round(avg((v <> 'inconclusive')::INT), 6) AS coverage, round(avg((v <> label)::INT) FILTER (v <> 'inconclusive'), 6) AS risk FROM p GROUP BY arm"""

@@ -142,7 +142,8 @@ def test_stopping_error(spark):
 def test_dispatch_goes_on_after_a_refusal(spark):
     d = spark.createDataFrame([(1, 0, 6), (1, 1, 5), (1, 2, 3), (1, 3, 1)], "case_id int, pos long, cost int")
     assert [(r.pos, r.spent, r.status) for r in evidence.dispatch_in_order(d, 9).orderBy("pos").collect()] == [(0, 6, "dispatched"), (1, 6, "not_dispatched"), (2, 9, "dispatched"), (3, 9, "not_dispatched")]
-    assert [r.status for r in evidence.dispatch_within_budget(d, 9).orderBy("pos").collect()] == ["dispatched", "skipped", "skipped", "skipped"]
+    p = d.select("case_id", F.lit(0).alias("stage"), F.lit("f").alias("field"), (F.col("pos") + 1).alias("attempt"), "cost")
+    assert [r.status for r in evidence.acquire(p, 11).orderBy("attempt").collect()] == ["attempted", "retried", "refused", "refused"]
 
 
 def test_as_of_against_brute_force(spark):
