@@ -51,6 +51,10 @@ def _log_gamma(x: Column) -> Column:
     return series
 
 
+#: Cases that are sent to all tasks at most; more meet their draws by shuffle.
+BROADCAST_CASES = 200_000
+
+
 def resample(cases: DataFrame, resamples: int) -> DataFrame:
     """Cases drawn with replacement: ``b``, the columns of ``cases`` but ``case_id``, and ``k``, how often a case with these values
     is in resample ``b``. Draw j of a resample is a quarter of the hash of b and j div 4, modulo the number of cases, which
@@ -62,7 +66,10 @@ def resample(cases: DataFrame, resamples: int) -> DataFrame:
     groups = groups.select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // 4))).alias("g"))
     parts = [F.struct((F.col("g") * 4 + i).alias("j"), F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long").alias("x")) for i in range(4)]
     draws = groups.withColumn("h", F.md5(F.concat_ws("|", "b", "g"))).select("b", F.inline(F.array(*parts))).where(F.col("j") < n)
-    times = draws.groupBy("b", (F.col("x") % max(n, 1)).alias("no")).agg(F.count(F.lit(1)).alias("k"))
+    draws = draws.select("b", (F.col("x") % max(n, 1)).alias("no"))
+    if n <= BROADCAST_CASES:  # draws meet the cases where they are made, and are summed there
+        return draws.join(F.broadcast(numbered), "no").groupBy("b", *columns).agg(F.count(F.lit(1)).alias("k"))
+    times = draws.groupBy("b", "no").agg(F.count(F.lit(1)).alias("k"))
     times = times.hint("merge")  # the plan takes the draws for as few as the resamples, and would broadcast them
     return times.join(numbered, "no").groupBy("b", *columns).agg(F.sum("k").alias("k"))
 

@@ -183,7 +183,10 @@ def test_mcnemar_is_exact(spark, b, c):
     assert spark.range(1).select(paired.mcnemar(F.lit(b), F.lit(c))).first()[0] == pytest.approx(want, rel=1e-8)
 
 
-def test_resamples_draw_every_case_as_often_as_any(spark):
+@pytest.mark.parametrize("joined", [False, True])
+def test_resamples_draw_every_case_as_often_as_any(spark, monkeypatch, joined):
+    if joined:
+        monkeypatch.setattr(paired, "BROADCAST_CASES", 0)
     d = spark.createDataFrame([(i, i) for i in range(50)], "case_id int, v int")
     t = paired.resample(d, 40)
     assert {r.n for r in t.groupBy("b").agg(F.sum("k").alias("n")).collect()} == {50}
