@@ -32,7 +32,7 @@ def test_text(page, text):
 
 
 @pytest.mark.parametrize("piece", ['<p a="', "<p a='\"", "</script", "<p ", "<", "<!", "</x>", "<div>", "<i>", "<div class=ad>", "<p a = ", "<a b='<p>"])
-@pytest.mark.parametrize("end", ["", "'>", '">', ">"])
+@pytest.mark.parametrize("end", ["", "'>", '">'])
 def test_any_markup_takes_linear_time(piece, end):
     def seconds(n):
         page, began = "<div>" * (n // 50) + piece * (n // len(piece)) + end, time.process_time()
@@ -40,8 +40,7 @@ def test_any_markup_takes_linear_time(piece, end):
         return time.process_time() - began
 
     seconds(10_000)
-    assert seconds(1_000_000) < 20  # quadratic time would take an hour
-    assert seconds(400_000) < 12 * seconds(100_000) + 0.5
+    assert seconds(400_000) < 12 * seconds(100_000) + 0.5  # quadratic time would be minutes
 
 
 def brute_key(node):
@@ -125,3 +124,9 @@ def test_clashing_columns_and_repeated_rows(spark, monkeypatch, joined):
     got = H.extract_main_text(df)
     assert got.columns == ["page_id", "url", "html", "_host", "_keys", "text"]
     assert sorted(r.text for r in got.collect()) == ["", "x", "x", "x"]
+
+
+def test_a_page_of_five_megabytes():
+    page = "<body><article><h1>T</h1>" + "<p>text <b>bold</b></p>" * 200_000 + "</article></body>"
+    text = H.extract(page)
+    assert len(page) > 4.5e6 and text.count("text bold") == 200_000
