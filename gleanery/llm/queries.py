@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chat, classifier, decontamination, html_text, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, url_filters
+from gleanery.llm import centroids, chat, classifier, decontamination, html_text, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, url_filters
 from gleanery.sources.tables import read_table
 
 URL_RULES = (
@@ -103,6 +103,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_heap_ordered_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 finite components after three rounds from 16 centroids."""
+    vectors = centroids.integer_vectors(read_table(spark, sf_dir, "embeddings"), "embedding", 64)
+    place = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
+    return centroids.with_inertia(*centroids.cluster(vectors, 64, 16, 3, place))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,6 +123,7 @@ QUERIES = {
         op8_site_template_removal,
         op9_weighted_fair_queueing,
         op10_chat_formatting,
+        op13_heap_ordered_bounds,
     )
 }
 
@@ -124,6 +132,10 @@ _FITS = " OR ".join(
     f"(rule = '{r}' AND (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}'))" for r, _ in URL_RULES
 )
 _RULES = ", ".join(f"('{r}', '{a}')" for r, a in URL_RULES)
+_NEAREST = "SELECT v.vec_id, v.x, list_aggregate(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])), 'sum')::BIGINT AS d, c.c FROM v, c{0} c"
+_ASSIGN = f"a{{0}} AS MATERIALIZED (SELECT vec_id, x, min_by(c, (d, c)) AS c, min(d) AS d FROM ({_NEAREST}) GROUP BY vec_id, x)"
+_MEANS = """m{0} AS (SELECT c, j, floor(sum(x[j]) / count(*))::BIGINT AS mean FROM a{0}, range(1, 65) r(j) GROUP BY c, j),
+ c{1} AS MATERIALIZED (SELECT c{0}.c, coalesce(n.x, c{0}.x) AS x FROM c{0} LEFT JOIN (SELECT c, list(mean ORDER BY j) AS x FROM m{0} GROUP BY c) n ON n.c = c{0}.c)"""
 # op4's SQL holds where no page has a canonical link or refresh, as in the shared tables: every alias class is then one url.
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,6 +159,14 @@ WITH u AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce(regexp_extrac
  r(rule, action) AS (VALUES {_RULES}),
  f AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(action, len(rule)) AS action FROM u JOIN r ON {_FITS} GROUP BY page_id)
 SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN f ON u.page_id = f.page_id""",
+    "op13_heap_ordered_bounds": f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64
+   AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x FROM v ORDER BY sha256('1:' || vec_id), x LIMIT 16),
+ {", ".join(f"{_ASSIGN.format(i)}, {_MEANS.format(i, i + 1)}" for i in range(3))}, {_ASSIGN.format(3)},
+ t AS (SELECT c, sum(d)::BIGINT AS own FROM a3 GROUP BY c)
+SELECT vec_id, a3.c::INTEGER AS cluster, d AS distance, t.own AS cluster_inertia, (SELECT sum(own)::BIGINT FROM t) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN t ON t.c = a3.c JOIN c3 ON c3.c = a3.c""",
     "op10_chat_formatting": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) x(t)),
