@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import centroids, chat, classifier, decontamination, html_text, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, url_filters
+from gleanery.llm import centroids, chat, classifier, decontamination, html_text, lm_scoring, mixing, near_dedup, neighbour_graph, quality_rules, suffix_dedup, url_filters
 from gleanery.sources.tables import read_table
 
 URL_RULES = (
@@ -103,6 +103,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of every hundredth."""
+    rows = neighbour_graph.vector_rows(read_table(spark, sf_dir, "embeddings"), "embedding")
+    graph = neighbour_graph.build_graph(rows, answers=11)  # ten and the query's own
+    return neighbour_graph.search(graph, rows.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op13_heap_ordered_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of all vectors of 64 finite components after three rounds from 16 centroids."""
     vectors = centroids.integer_vectors(read_table(spark, sf_dir, "embeddings"), "embedding", 64)
@@ -123,6 +130,7 @@ QUERIES = {
         op8_site_template_removal,
         op9_weighted_fair_queueing,
         op10_chat_formatting,
+        op11_robust_pruned_graph,
         op13_heap_ordered_bounds,
     )
 }
