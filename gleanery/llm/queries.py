@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import centroids, chat, classifier, decontamination, html_text, lm_scoring, mixing, near_dedup, neighbour_graph, quality_rules, suffix_dedup, url_filters
+from gleanery.llm import centroids, chat, classifier, conversation_trie, decontamination, html_text, lm_scoring, mixing, near_dedup, neighbour_graph, quality_rules, suffix_dedup, url_filters
+from gleanery.sources.shared import materialize
 from gleanery.sources.tables import read_table
 
 URL_RULES = (
@@ -110,6 +111,26 @@ def op11_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_graph.search(graph, rows.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt to begin like the first of its five."""
+    turns, named = rebuilt_conversations(read_table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(turns, named)
+
+
+def rebuilt_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and ids of rebuilt conversations: the first h turns of conversation c - c % 5, then c's own after its first h."""
+    turns = materialize(conversation_trie.number_turns(rows), "numbered")
+    own = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_own"))
+    own = own.withColumn("_base", F.col("conv_id") - F.col("conv_id") % 5).withColumn("_h", F.crc32(F.col("conv_id").cast("string")) % 9)
+    lengths = own.select(F.col("conv_id").alias("_base"), F.col("_own").alias("_length"))
+    facts = own.join(lengths, "_base", "left").withColumn("_kept", F.least("_h", F.coalesce("_length", F.lit(0))))
+    facts = materialize(facts.drop("_own", "_length"), "facts")
+    first = turns.where("place <= 8").withColumnRenamed("conv_id", "_base").join(facts, "_base").where("place <= _h")
+    rest = turns.join(facts, "conv_id").where("place > _h").withColumn("place", F.col("_kept") + F.col("place") - F.col("_h"))
+    columns = ["conv_id", "place", "turn_id", "n_bytes"]
+    return first.select(*columns).unionByName(rest.select(*columns)), facts.select("conv_id")
+
+
 def op13_heap_ordered_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of all vectors of 64 finite components after three rounds from 16 centroids."""
     vectors = centroids.integer_vectors(read_table(spark, sf_dir, "embeddings"), "embedding", 64)
@@ -131,6 +152,7 @@ QUERIES = {
         op9_weighted_fair_queueing,
         op10_chat_formatting,
         op11_robust_pruned_graph,
+        op12_burst_trie,
         op13_heap_ordered_bounds,
     )
 }
@@ -167,6 +189,24 @@ WITH u AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce(regexp_extrac
  r(rule, action) AS (VALUES {_RULES}),
  f AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(action, len(rule)) AS action FROM u JOIN r ON {_FITS} GROUP BY page_id)
 SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN f ON u.page_id = f.page_id""",
+    "op12_burst_trie": r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+   FROM conversations WHERE conv_id IS NOT NULL),
+ c AS MATERIALIZED (SELECT conv_id AS c, conv_id - conv_id % 5 AS base, count(*) AS own, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: unicode(s)::BIGINT)),
+   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 9 AS h
+   FROM t GROUP BY conv_id),
+ f AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS kept FROM c LEFT JOIN c b ON b.c = c.base),
+ r AS (SELECT c, p, role, text FROM f JOIN t ON conv_id = base AND p <= h UNION ALL SELECT c, kept + p - h, role, text FROM f JOIN t ON conv_id = c AND p > h),
+ m AS MATERIALIZED (SELECT c, 0 AS d, '' AS k, 0 AS b FROM c UNION ALL SELECT c, p, sha256(string_agg(len(role) || ':' || role || len(text) || ':' || text, '' ORDER BY p)
+   OVER (PARTITION BY c ORDER BY p ROWS UNBOUNDED PRECEDING)), octet_length(encode(text)) FROM r),
+ n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, any_value(b) AS b FROM m GROUP BY d, k),
+ u AS (SELECT DISTINCT m.d, m.k, q.k AS up FROM m JOIN m q ON q.c = m.c AND q.d = m.d - 1),
+ kids AS (SELECT d - 1 AS d, up AS k, count(*) AS kids FROM u GROUP BY d, up),
+ x AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (d, k)),
+ s AS (SELECT m.d, m.k, sum((x.kids = 0)::INT) AS leaves, sum((x.n - 1) * x.b) AS saved FROM x JOIN m ON m.c = x.conv_id AND m.d <= x.d GROUP BY m.d, m.k),
+ l AS (SELECT c, max(d) AS d, arg_max(k, d) AS k FROM m GROUP BY c), e AS (SELECT d, k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM l GROUP BY d, k)
+SELECT x.conv_id, x.d::BIGINT AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM x JOIN s ON s.d = x.d AND s.k = x.k LEFT JOIN u ON u.d = x.d AND u.k = x.k LEFT JOIN n up ON up.d = x.d - 1 AND up.k = u.up LEFT JOIN e ON e.d = x.d AND e.k = x.k""",
     "op13_heap_ordered_bounds": f"""
 WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64
    AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
