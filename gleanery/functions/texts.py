@@ -115,6 +115,10 @@ def _runs(words: Column, size: int) -> Column:
     return F.transform(_starts(F.size(words), size), lambda i: F.array_join(F.slice(words, i, size), " "))
 
 
+def _marked(mark: str):
+    return lambda t: F.concat(F.lit(mark), t)
+
+
 def _of_kind(kind: str):
     return lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"))
 
@@ -133,10 +137,13 @@ def tf_idf(counts: DataFrame, key: str) -> DataFrame:
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine_pairs(queries: DataFrame, index: DataFrame, q: str, d: str) -> DataFrame:
-    """JOIN10 and TXT7: cosine of weighted rows by an inverted index: an equi-join on the term, then a sum per pair."""
-    a, b = queries.select(q, "term", F.col("w").alias("w1")), index.select(d, "term", F.col("w").alias("w2"))
-    return a.join(b, "term").groupBy(q, d).agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine"))
+def semantic_terms(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """TXT6: ``(key, term, n)`` of words, word bigrams and runs of four characters of the words, digits as 0."""
+    words = F.regexp_extract_all(F.regexp_replace(F.lower(F.col(text)), "[0-9]+", "0"), F.lit("[a-z0-9]+"), F.lit(0))
+    t = df.where(F.col(text).isNotNull()).select(key, words.alias("_w"), F.array_join(words, " ").alias("_s"))
+    four = F.transform(_starts(F.length("_s"), 4), lambda i: F.substring(F.col("_s"), i, F.lit(4)))
+    named = [F.transform(x, _marked(k)) for k, x in (("w:", F.col("_w")), ("b:", _runs(F.col("_w"), 2)), ("c:", four))]
+    return t.select(key, F.explode(F.flatten(F.array(*named))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def disguised(text: Column, words: Sequence[str]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import pages as P
 from gleanery.functions import replies, texts, urls
-from gleanery.operators import corpus
+from gleanery.operators import corpus, similarity
 from gleanery.operators.asof import as_of
 from gleanery.plans.registry import query, rounded
 from gleanery.plans.tables import CASES_SQL, DECISIONS_SQL, cases
@@ -113,8 +113,7 @@ def txt4_template_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def join10_txt6_txt7_txt8_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = texts.tf_idf(texts.terms(read_table(spark, sf_dir, "benchmark"), "item_id"), "item_id")
-    a, b = v.withColumnRenamed("item_id", "a"), v.withColumnRenamed("item_id", "b")
-    return rounded(texts.cosine_pairs(a, b, "a", "b").where("a < b and cosine >= 0.1"))
+    return rounded(similarity.similar_pairs(v, "item_id", 0.1))
 
 
 @query("SELECT doc_id, 'text@' || (instr(text, 'the') - 1) || ':' || (instr(text, 'the') + 2) AS locator, 'the' AS quote FROM documents WHERE contains(text, 'the')")

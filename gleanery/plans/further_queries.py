@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import pages as P
 from gleanery.functions import texts, urls
-from gleanery.operators import corpus, evidence, learning, paired
+from gleanery.operators import corpus, evidence, learning, paired, similarity
 from gleanery.operators.graph import connected_components
 from gleanery.plans.corpus_queries import HOST
 from gleanery.plans.evidence_queries import FS, GROUPS, SUPPORT
@@ -74,19 +74,22 @@ def txt3_entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(F.array_except("w", stop)).cast("long").alias("entities"), F.array_contains("w", "clown").alias("named"))
 
 
-COSINE = r"""w AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
- c AS (SELECT item_id, term, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY item_id),
- l AS (SELECT a.item_id AS a, b.item_id AS b FROM c a JOIN c b ON a.term = b.term AND a.item_id < b.item_id JOIN m x ON x.item_id = a.item_id JOIN m y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id, x.norm, y.norm HAVING sum(a.n * b.n) / (x.norm * y.norm) >= 0.5)"""
+COSINE = r"""w AS (SELECT doc_id, doc_id // 8 AS case_id, regexp_extract_all(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT *, array_to_string(w, ' ') AS s FROM w),
+ t AS (SELECT doc_id, case_id, unnest(list_transform(w, lambda x: 'w:' || x) || list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(s) - 2), lambda i: 'c:' || s[i:i + 3])) AS term FROM s),
+ c AS (SELECT doc_id, case_id, term, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id),
+ l AS (SELECT a.case_id, a.doc_id AS a, b.doc_id AS b FROM c a JOIN c b ON a.case_id = b.case_id AND a.term = b.term AND a.doc_id < b.doc_id JOIN m x ON x.doc_id = a.doc_id JOIN m y ON y.doc_id = b.doc_id GROUP BY a.case_id, a.doc_id, b.doc_id, x.norm, y.norm HAVING sum(a.n * b.n) / (x.norm * y.norm) >= 0.15)"""
 
 
-@query(f"WITH RECURSIVE {COSINE}, e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r(node, reach) AS (SELECT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x) SELECT node, min(reach) AS component FROM r GROUP BY node")
+@query(f"WITH RECURSIVE {COSINE}, e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r(node, reach) AS (SELECT x, x FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x) SELECT node // 8 AS case_id, node, min(reach) AS component FROM r GROUP BY node")
 def gra4_evd17_similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of pairs whose count vectors have a cosine of one half or more."""
-    c = texts.terms(read_table(spark, sf_dir, "benchmark"), "item_id")
-    norm = c.groupBy("item_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    v = c.join(norm, "item_id").select("item_id", "term", (F.col("n") / F.col("norm")).alias("w"))
-    pairs = texts.cosine_pairs(v.withColumnRenamed("item_id", "a"), v.withColumnRenamed("item_id", "b"), "a", "b").where("a < b and cosine >= 0.5 - 1e-12")
-    return connected_components(pairs, "a", "b")
+    """Groups of observations within a case, eight documents here: components of pairs whose counts of words, bigrams and runs of four
+    characters have a cosine of 0.15 or more."""
+    counts = texts.semantic_terms(read_table(spark, sf_dir, "documents"), "doc_id")
+    case = F.expr("doc_id div 8")
+    inside = similarity.unit_rows(counts, "doc_id").withColumn("term", F.concat_ws("|", case, "term"))  # no pairs across cases
+    groups = connected_components(similarity.similar_pairs(inside, "doc_id", 0.15), "a", "b")
+    return groups.select(F.expr("node div 8").alias("case_id"), "node", "component")
 
 
 @query(f"{FS}, g AS (SELECT case_id, capture_id, entity, list_sort(list(ref)) AS refs FROM f GROUP BY ALL HAVING count(*) >= 2) SELECT case_id, entity, len(refs) AS members, refs[1] AS first FROM g")

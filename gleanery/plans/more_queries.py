@@ -113,17 +113,6 @@ def src1_snk1_page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).cast("long").alias("chars"))
 
 
-@query(
-    """WITH a AS (SELECT user_id % 7 AS case_id, event_type AS field, event_id AS attempt, value < 5 AS failed FROM events), g AS (SELECT case_id, field, count(*) AS attempts, arg_min(failed, attempt) AS first_failed, max(attempt) FILTER (NOT failed) AS last_ok, min(attempt) AS first FROM a GROUP BY ALL)
- SELECT case_id, field, attempts, first_failed, CASE WHEN first_failed AND last_ok > first THEN 'recovered' WHEN last_ok IS NOT NULL THEN 'obtained' ELSE 'failed' END AS status FROM g"""
-)
-def str4_recovered_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts of each case and field as a stream: a first failure that a later attempt made good."""
-    s = ledger.ledger_stream(spark, f"{sf_dir}/events.parquet*", read_table(spark, sf_dir, "events").schema)
-    s = s.select((F.col("user_id") % 7).alias("case_id"), F.col("event_type").alias("field"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("attempt"), (F.col("value") < 5).alias("failed"))
-    return ledger.drain(ledger.recovered(s), "attempts", "update", ["case_id", "field"])
-
-
 @query(
     """WITH x AS (SELECT CAST(ts AS DATE) AS day, event_type, quality FROM events JOIN labels ON user_id = doc_id) SELECT day, count(*) AS n, count(*) FILTER (event_type IN ('click', 'signup') AND quality = 0) AS tp, count(*) FILTER (event_type IN ('click', 'signup') AND quality = 1) AS fp,
  count(*) FILTER (event_type NOT IN ('click', 'signup') AND quality = 1) AS tn, count(*) FILTER (event_type NOT IN ('click', 'signup') AND quality = 0) AS fn FROM x GROUP BY day"""

@@ -5,12 +5,12 @@ The shared pages have no forms, frames or foreign links; ``WEB`` derives pages t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import pages as P
 from gleanery.functions import texts, urls
-from gleanery.operators import brands, triggers
+from gleanery.operators import brands, similarity, triggers
 from gleanery.operators import evidence as E
 from gleanery.plans.corpus_queries import HOST, _suffixes
 from gleanery.plans.evidence_queries import SUPPORT
@@ -350,12 +350,36 @@ def mld14_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
     v = texts.tf_idf(texts.terms(d, "doc_id"), "doc_id")
     own = d.select("doc_id", "source", "y").distinct()
-    pairs = texts.cosine_pairs(v.withColumnRenamed("doc_id", "q"), v.withColumnRenamed("doc_id", "o"), "q", "o").withColumn("s", F.round("cosine", 9))
-    mine, theirs = own.select(F.col("doc_id").alias("q"), F.col("source").alias("of_q")), own.select(F.col("doc_id").alias("o"), F.col("source").alias("of_o"), "y")
-    r = pairs.join(mine, "q").join(theirs, "o").where("of_q <> of_o")
-    r = r.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), F.col("o").desc()))).where(F.col("i") <= NEAREST)
-    best = [F.max(F.when(F.col("y") == k, F.col("s"))).alias(n) for k, n in ((1, "good"), (0, "bad"))]
-    g = r.groupBy(F.col("q").alias("doc_id")).agg((F.sum(F.col("s") * F.col("y")) / F.sum("s")).alias("share"), *best)
-    has = v.select("doc_id").distinct().withColumn("has", F.lit(True))
-    out = own.join(g, "doc_id", "left").join(has, "doc_id", "left").fillna({"share": 0.5, "good": 0.0, "bad": 0.0})
-    return rounded(out.select("doc_id", "share", "good", "bad", F.col("has").isNull().alias("no_vector")), 5)
+    near = similarity.nearest(v, "doc_id", own.select("doc_id", F.col("source").alias("grp")), NEAREST)
+    return rounded(similarity.nearest_label_features(near, own, "doc_id", v), 5)
+
+
+PAGE_MEMORY = rf"""s AS (SELECT page_id, url, {text_of("html")} AS text, html FROM w), t AS (SELECT page_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') || regexp_extract_all(lower(url), '[a-z0-9]{{3,}}')) AS term FROM s),
+ g AS (SELECT page_id, list_transform(regexp_extract_all(html, '<\s*([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)) AS g FROM w), u AS (SELECT page_id, unnest(list_transform(range(1, len(g) - 1), lambda i: g[i] || ' ' || g[i + 1] || ' ' || g[i + 2])) AS term FROM g),
+ tc AS (SELECT page_id, term, count(*) AS n FROM t GROUP BY ALL), uc AS (SELECT page_id, term, count(*) AS n FROM u GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM tc GROUP BY term), k AS (SELECT count(DISTINCT page_id) AS total FROM tc),
+ tw AS (SELECT page_id, term, n * (ln((total + 1) / (df + 1)) + 1) AS w FROM tc JOIN f USING (term), k), d AS (SELECT page_id, {HOST} AS grp, (page_id * 7 % 5 < 2)::INT AS y FROM w)"""
+
+
+def _memory(name: str, rows: str) -> str:
+    """SQL: features of the ten nearest pages of other hosts by one kind of terms."""
+    return f"""{name}m AS (SELECT page_id, sqrt(sum(w * w)) AS norm FROM {rows} GROUP BY page_id), {name}v AS (SELECT page_id, term, w / norm AS w FROM {rows} JOIN {name}m USING (page_id)),
+ {name}p AS (SELECT a.page_id AS q, b.page_id AS o, round(sum(a.w * b.w), 9) AS s FROM {name}v a JOIN {name}v b USING (term) WHERE a.page_id <> b.page_id GROUP BY ALL),
+ {name}r AS (SELECT q, s, e.y, row_number() OVER (PARTITION BY q ORDER BY s DESC, o DESC) AS i FROM {name}p JOIN d ON q = d.page_id JOIN d e ON o = e.page_id WHERE d.grp <> e.grp AND s > 0),
+ {name}g AS (SELECT q, sum(s * y) / sum(s) AS share, max(s) FILTER (y = 1) AS good, max(s) FILTER (y = 0) AS bad FROM {name}r WHERE i <= 10 GROUP BY q),
+ {name}f AS (SELECT d.page_id, round(coalesce(share, 0.5), 5) AS {name}_share, round(coalesce(good, 0), 5) AS {name}_good, round(coalesce(bad, 0), 5) AS {name}_bad, d.page_id NOT IN (SELECT page_id FROM {rows}) AS {name}_no_vector FROM d LEFT JOIN {name}g ON d.page_id = q)"""
+
+
+@query(f"WITH {WEB}, {PAGE_MEMORY}, uw AS (SELECT page_id, term, n AS w FROM uc), {_memory('text', 'tw')}, {_memory('tags', 'uw')} SELECT * FROM textf JOIN tagsf USING (page_id)")
+def mld14_two_page_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the ten nearest labelled pages of other hosts, by the words of text and url (weighed by rarity) and by runs of
+    three tags (plain counts); a page's label follows its number here."""
+    w = web_pages(spark, sf_dir).withColumn("grp", urls.host_of(F.col("url"))).withColumn("y", (F.col("page_id") * 7 % 5 < 2).cast("int"))
+    said = F.concat(*(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]{3,}"), F.lit(0)) for x in (P.visible_text(F.col("html")), F.col("url"))))
+    out = w.select("page_id")
+    for name, found in (("text", said), ("tags", texts.tag_trigrams(F.col("html")))):
+        counts = w.select("page_id", F.explode(found).alias("term")).groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("n"))
+        rows = texts.tf_idf(counts, "page_id") if name == "text" else similarity.unit_rows(counts, "page_id")
+        near = similarity.nearest(rows, "page_id", w.select("page_id", "grp"), NEAREST)
+        f = rounded(similarity.nearest_label_features(near, w.select("page_id", "y"), "page_id", rows), 5)
+        out = out.join(f.select("page_id", *(F.col(c).alias(f"{name}_{c}") for c in f.columns if c != "page_id")), "page_id")
+    return out

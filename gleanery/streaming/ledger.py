@@ -6,20 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from gleanery.sources.shared import new_path
+from gleanery.streaming.keyed import KeyedTable, first_by, latest
 
 
-def ledger_stream(spark: SparkSession, path: str, schema: StructType, files: int = 4) -> DataFrame:
-    """STR1: files of a folder as a stream, a few per batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def ledger_stream(spark: SparkSession, path: str, schema: StructType, files: int | None = 4) -> DataFrame:
+    """STR1: files of a folder as a stream, a few per batch, or all that are there."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
-def decisions(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """STR1, STR2: decisions only, each event once within the watermark."""
-    rows = stream.where(F.col("event_type") != "error").withWatermark("ts", late)
-    return rows.dropDuplicatesWithinWatermark(["event_id"])
+def decisions(stream: DataFrame, keys: Sequence[str], late: str = "1 day") -> DataFrame:
+    """STR1, STR2: of the rows of a key within the watermark only one, and none behind it. Repeats are rows written again by a resumed
+    run, so which one stays does not matter here."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def keep_decisions(stream: DataFrame, table: KeyedTable, checkpoint: str, order: Sequence[str]) -> None:
+    """Follow a stream of decisions into a table of one row per key, the first in ``order``, until all that is there is done. Run again, it
+    goes on where it stopped; a batch that was lost half-way is merged again from the state before it."""
+    job = stream.writeStream.foreachBatch(lambda df, n: table.upsert(df, n, first_by(*order)))
+    job.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def running_totals(stream: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -29,32 +38,15 @@ def running_totals(stream: DataFrame, width: str = "1 day", late: str = "1 day")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("value").alias("cost"))
 
 
-def recovered(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """STR4: per case and field the state of its attempts: how many, whether the first one failed, and whether one succeeded after
-    that. Rows have ``case_id``, ``field``, ``ts``, ``attempt`` (their order) and ``failed``."""
-    g = stream.withWatermark("ts", late).groupBy("case_id", "field").agg(
-        F.count(F.lit(1)).alias("attempts"), F.min_by("failed", "attempt").alias("first_failed"), F.max(F.when(~F.col("failed"), F.col("attempt"))).alias("last_ok"),
-        F.min("attempt").alias("first"),
-    )
-    done = F.col("last_ok").isNotNull()
-    status = F.when(F.col("first_failed") & done & (F.col("last_ok") > F.col("first")), "recovered").when(done, "obtained").otherwise("failed")
-    return g.select("case_id", "field", "attempts", "first_failed", status.alias("status"))
-
-
 def drain(stream: DataFrame, label: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
-    """Run a stream over all that is there, into a table of the shared folder, and read it.
-
-    In update mode each batch writes the rows that it changed to a folder of its own number, which a repeated batch
-    overwrites; a reader takes the last row of each of ``keys``.
-    """
+    """Run a stream over all that is there, into a table of the shared folder, and read it. In update mode the table has the last row of
+    each of ``keys``."""
     spark = stream.sparkSession
     out, state = new_path(spark, label), new_path(spark, f"{label}-state")
-    if mode == "append":
-        job = stream.writeStream.format("parquet").option("path", out)
+    table = KeyedTable(spark, out, stream.schema, keys) if mode == "update" else None
+    if table:
+        job = stream.writeStream.foreachBatch(lambda df, n: table.upsert(df, n, latest()))
     else:
-        job = stream.writeStream.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
+        job = stream.writeStream.format("parquet").option("path", out)
     job.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    if mode == "append":
-        return spark.read.schema(stream.schema).parquet(out)
-    back = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
-    return back.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("x")).select("x.*")
+    return table.read() if table else spark.read.schema(stream.schema).parquet(out)
