@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import pages as P
-from gleanery.functions import texts, urls
+from gleanery.functions import structure, texts, urls
 from gleanery.operators import brands, similarity, triggers
 from gleanery.operators import evidence as E
 from gleanery.plans.corpus_queries import HOST, _suffixes
@@ -26,6 +26,7 @@ MARKUP = (
     (4, 1, '<iframe src="//frames.example.net/f"></iframe><script>var f = \'<iframe src="https://script.example.io/">\';</script>'),
     (5, 0, "<META content=\"0; URL='https://refresh.example.com/p'\" http-equiv=\"Refresh\">"),
     (6, 0, '<a href="https://out.example.com/">Out &amp; away</a><a href="mailto:x@y.z">m</a><a href="#">t</a><A HREF="javascript:go()">j</A>'),
+    (4, 2, '<a href="//zeta.example.org/1">z</a><a href="https://alpha.example.org/">a</a><img src="//zeta.example.org/i.png"><iframe hidden src="/f"></iframe>'),
     (7, 0, '<button>Casino &lt;login&gt;</button><img alt="Bets logo" src="/i.png"><input placeholder="Your PIN" type="password">'),
 )
 
@@ -88,28 +89,52 @@ def htm10_cross_origin_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.references(w).join(size, "page_id")
 
 
-@query(
-    rf"""WITH {WEB}, e AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS x FROM w), k AS (SELECT page_id, lower(regexp_extract(x, '^<([a-zA-Z0-9]+)', 1)) AS tag, lower(x) AS x FROM e),
- h AS (SELECT page_id, url, {HOST} AS host FROM w)
- SELECT h.page_id, count(*) FILTER (tag = 'form') AS forms, count(*) FILTER (tag = 'input') AS fields, count(*) FILTER (tag = 'input' AND x LIKE '%type=%password%') AS passwords, count(*) FILTER (tag = 'iframe') AS iframes,
- count(*) FILTER (tag = 'script') AS scripts, count(*) FILTER (tag = 'meta' AND x LIKE '%http-equiv="refresh"%') AS refreshes,
- coalesce(string_agg(DISTINCT regexp_extract(x, '(?:href|src)="(?:https?:)?//([^/"]*)', 1), ',' ORDER BY regexp_extract(x, '(?:href|src)="(?:https?:)?//([^/"]*)', 1)) FILTER (regexp_matches(x, '(?:href|src)="(?:https?:)?//')), '') AS hosts
- FROM h LEFT JOIN k ON h.page_id = k.page_id GROUP BY h.page_id"""
-)
+def _value(name: str) -> str:
+    """SQL: the last value of an attribute of a mark, decoded; null without it."""
+    piece = rf"list_extract(list_filter(attrs, lambda p: lower(regexp_extract(p, '^([^\s=]+)', 1)) = '{name}'), -1)"
+    out = rf"regexp_replace(regexp_replace(regexp_extract({piece}, '(?s)^[^\s=]+\s*=\s*(.*)$', 1), '(?s)^\"(.*)\"$', '\1'), '(?s)^''(.*)''$', '\1')"
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{ref}', '{char}')"
+    return f"CASE WHEN {piece} IS NOT NULL THEN {out} END"
+
+
+def _literal(text: str) -> str:
+    """SQL: a string in quotes."""
+    slashed = rf"replace({text}, '\', '\\')"
+    return rf"""CASE WHEN contains({text}, '''') AND NOT contains({text}, '"') THEN '"' || {slashed} || '"' ELSE '''' || replace({slashed}, '''', '\''') || '''' END"""
+
+
+def _link(link: str) -> str:
+    """SQL: the host of a link on a page whose own is ``own``."""
+    named = f"lower(regexp_extract({link}, '^[^/]*//(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+    return f"CASE WHEN regexp_matches({link}, '^[a-zA-Z][a-zA-Z0-9+.-]*://') OR starts_with({link}, '//') THEN {named} WHEN regexp_matches({link}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN '' ELSE own END"
+
+
+READ = {"action": "action", "method": "method", "type": "type", "name": "name", "placeholder": "place", "src": "src", "href": "href", "style": "style", "width": "width", "hidden": "hid", "http-equiv": "equiv", "content": "content"}
+HTM7_SQL = rf"""{WEB}, b AS (SELECT page_id, {HOST} AS own, html, regexp_replace(regexp_replace(regexp_replace(html, '(?is)(<script\b[^>]*>).*?(</script\s*>)', '\1\2', 'g'), '(?is)(<style\b[^>]*>).*?(</style\s*>)', '\1\2', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS bare FROM w),
+ k AS (SELECT page_id, own, unnest(l) AS mark, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, own, regexp_extract_all(bare, '<(/?[a-zA-Z][^\s/>]*(?:"[^"]*"|''[^'']*''|[^''">])*)>', 1) AS l FROM b)),
+ a AS (SELECT page_id, own, pos, lower(regexp_extract(mark, '^(/?[^\s/>]+)', 1)) AS tag, regexp_extract_all(regexp_replace(mark, '^/?[^\s/>]+', ''), '[^\s=>/"'']+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?') AS attrs FROM k),
+ v AS (SELECT page_id, own, pos, tag, {", ".join(f"{_value(n)} AS {c}" for n, c in READ.items())} FROM a),
+ o AS (SELECT *, coalesce((SELECT u.tag = 'form' FROM v u WHERE u.page_id = v.page_id AND u.pos <= v.pos AND u.tag IN ('form', '/form') ORDER BY u.pos DESC LIMIT 1), false) AND tag IN ('input', 'select', 'textarea') AS fld FROM v),
+ n AS (SELECT *, count(*) FILTER (fld OR tag = 'form') OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
+ f AS (SELECT *, (SELECT u.before FROM n u WHERE u.page_id = n.page_id AND u.pos <= n.pos AND u.tag = 'form' ORDER BY u.pos DESC LIMIT 1) AS form, CASE WHEN coalesce(action, '') = '' THEN own ELSE {_link("action")} END AS ah,
+   left(coalesce(action, ''), 120) AS a120, left(coalesce(src, ''), 120) AS s120, left(coalesce(content, ''), 120) AS c120 FROM n),
+ l AS (SELECT page_id, pos, CASE WHEN tag = 'form' THEN 'form ' || form || ': method=' || coalesce(method, 'get') || ' action=' || {_literal("a120")} || ' action_host=' || ah || ' cross_origin=' || CASE WHEN ah <> own THEN 'True' ELSE 'False' END
+   WHEN fld THEN 'form ' || form || ' field: <' || tag || ' type=' || coalesce(type, '') || ' name=' || coalesce(name, '') || ' placeholder=' || coalesce(place, '') || '>'
+   WHEN tag = 'iframe' THEN 'iframe src=' || {_literal("s120")} || ' hidden=' || CASE WHEN contains(lower(replace(coalesce(style, ''), ' ', '')), 'display:none') OR coalesce(width IN ('0', '1'), false) OR hid IS NOT NULL THEN 'True' ELSE 'False' END
+   WHEN tag = 'meta' AND lower(equiv) = 'refresh' THEN 'meta refresh content=' || {_literal("c120")} WHEN tag = 'script' AND src <> '' THEN 'script src=' || left(src, 150) END AS line FROM f),
+ r AS (SELECT page_id, own, pos, i, trim(x) AS x FROM (SELECT page_id, own, pos, 0 AS i, href AS x FROM v UNION ALL SELECT page_id, own, pos, 1, src FROM v UNION ALL SELECT page_id, own, pos, 2, action FROM v) WHERE trim(x) <> '' AND NOT regexp_matches(trim(x), '^(#|javascript:|data:|mailto:|tel:)')),
+ h AS (SELECT page_id, host, count(*) AS n, min((pos, i)) AS seen FROM (SELECT *, {_link("x")} AS host FROM r) WHERE host <> '' AND host <> own GROUP BY page_id, host),
+ t AS (SELECT page_id, string_agg(host || '(' || n || ')', ', ' ORDER BY n DESC, seen) AS top FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, seen) AS k FROM h) WHERE k <= 10 GROUP BY page_id),
+ z AS (SELECT page_id, pos, line FROM l WHERE line IS NOT NULL UNION ALL SELECT page_id, -1, 'title: ' || trim(x) FROM (SELECT page_id, replace(regexp_replace(array_to_string(regexp_extract_all(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), ''), '^\s+|\s+$', '', 'g'), '&amp;', '&') AS x FROM b) WHERE trim(x) <> ''
+   UNION ALL SELECT page_id, 1000000000, 'password inputs: ' || len(regexp_extract_all(html, '(?i)type\s*=\s*["'']?password')) FROM b UNION ALL SELECT b.page_id, 1000000001, 'external hosts referenced: ' || coalesce(top, 'none') FROM b LEFT JOIN t ON t.page_id = b.page_id),
+ y AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS no, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM z)"""
+
+
+@query(f"WITH {HTM7_SQL} SELECT page_id, no, CASE WHEN len(line) <= 200 THEN line ELSE left(line, 199) || '…' END AS line FROM y WHERE no <= 40")
 def htm7_structural_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's structure in one line: forms, fields, passwords, frames, scripts, refreshes, and up to ten foreign hosts."""
-    w = web_pages(spark, sf_dir)
-    e = P.page_elements(w).join(w.select("page_id", "url"), "page_id")
-    a, tag = F.col("attributes"), F.col("tag")
-    link = F.coalesce(F.nullif(P.attribute(a, "href"), F.lit("")), P.attribute(a, "src"))
-    outside = link.rlike(r"^(?i)(https?:)?//")
-    counts = {
-        "forms": tag == "form", "fields": tag == "input", "passwords": (tag == "input") & (F.lower(P.attribute(a, "type")) == "password"), "iframes": tag == "iframe",
-        "scripts": tag == "script", "refreshes": (tag == "meta") & (F.lower(P.attribute(a, "http-equiv")) == "refresh"),
-    }
-    hosts = F.slice(F.array_sort(F.collect_set(F.when(outside, urls.link_host(link, F.col("url"))))), 1, 10)
-    g = e.groupBy("page_id").agg(*(F.count_if(c).alias(n) for n, c in counts.items()), F.array_join(hosts, ",").alias("hosts"))
-    return w.select("page_id").join(g, "page_id", "left").fillna(0).fillna("")
+    """Every page's structure as lines: title, forms with their fields, frames, refreshes, scripts, password inputs, hosts by count."""
+    return structure.structure_lines(web_pages(spark, sf_dir))
 
 
 KINDS = ("a", "form", "iframe", "img")
