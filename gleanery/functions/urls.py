@@ -121,11 +121,19 @@ def extract_urls(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(URL), F.lit(0))
 
 
+def covering_names(host: Column) -> Column:
+    """URL11: the certificate names that can cover a host, each with its kind: its own, and from three labels up the wildcard of its
+    parent (of one label only; below that the parent is a public suffix)."""
+    bare = F.regexp_replace(F.lower(host), r"\.+$", "")
+    exact = F.struct(bare.alias("name"), F.lit("exact").alias("covers"))
+    wide = F.struct(F.concat(F.lit("*."), F.regexp_replace(bare, r"^[^.]*\.", "")).alias("name"), F.lit("wildcard").alias("covers"))
+    return F.when(F.size(F.split(bare, r"\.")) >= 3, F.array(exact, wide)).otherwise(F.array(exact))
+
+
 def cover_kind(host: Column, name: Column) -> Column:
-    """URL11: how a certificate name covers a host: exact, wildcard (one label only), or null."""
-    parent = F.regexp_replace(host, r"^[^.]*\.", "")
-    wide = name.startswith("*.") & host.contains(".") & (F.substring(name, F.lit(3), F.length(name)) == parent)
-    return F.when(name == host, "exact").when(wide, "wildcard")
+    """URL11: how a certificate name covers a host: exact, wildcard, or null."""
+    clean = F.trim(F.lower(name))
+    return F.try_element_at(F.filter(covering_names(host), lambda n: n["name"] == clean), F.lit(1))["covers"]
 
 
 def certificate_scope(host: Column, name: Column, platform: Column) -> Column:

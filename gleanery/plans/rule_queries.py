@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import records as S
 from gleanery.functions import numbers, replies, urls
+from gleanery.operators import certificates as CT
 from gleanery.operators import evidence as E
 from gleanery.operators import guards, metrics, paired, ranking
 from gleanery.operators import records as R
@@ -326,27 +327,78 @@ def sta9_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- summaries, objects, replies ------------------------------------------------------------------------------------------
 
 
+OBSERVED, PLATFORMS = "2024-01-20", ("example.net", "example.org")
+
+
+def observed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's host, every third one with a label more, and its day."""
+    n = F.col("page_id")
+    host = F.concat(F.when(n % 3 == 0, F.concat(F.lit("h"), n % 7, F.lit("."))).otherwise(""), urls.host_of(F.col("url")))
+    day = F.date_add(F.lit(OBSERVED).cast("date"), (n % 10).cast("int"))
+    return read_table(spark, sf_dir, "pages").select("page_id", host.alias("host"), day.alias("day"))
+
+
+def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a certificate, two in a row of one serial number, for the host of the page that the number gives: for its name and
+    others, its parent's wildcard, its own wildcard, or another host."""
+    hosts = observed_hosts(spark, sf_dir)
+    e = read_table(spark, sf_dir, "events").crossJoin(F.broadcast(hosts.agg(F.max("page_id").alias("_last"))))  # one row
+    i = F.col("event_id")
+    e = e.withColumn("page_id", F.expr("event_id div 2") % (F.col("_last") + 1)).join(hosts, "page_id")
+    h, parent = F.col("host"), F.regexp_replace("host", r"^[^.]*\.", "")
+    names = F.when(i % 4 == 0, F.concat(F.lit(" WWW."), h, F.lit("\n"), h, F.lit(" "))).when(i % 4 == 1, F.concat(F.lit("*."), parent)).when(i % 4 == 2, F.concat(F.lit("*."), h))
+    begun = F.col("ts").cast("timestamp")
+    return e.select(
+        F.when(i % 50 > 1, F.expr("event_id div 2")).alias("serial"), F.when(i % 5 > 0, F.concat(F.lit("CA"), i % 5)).alias("issuer"),
+        F.when(i % 8 == 7, h).otherwise("other.example").alias("common_name"), names.alias("names"), F.when(i % 11 > 0, begun).alias("not_before"), (begun + F.expr("INTERVAL 90 DAYS")).alias("not_after"),
+    )
+
+
+HOSTS_SQL = f"oh AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'h' || page_id % 7 || '.' ELSE '' END || lower(regexp_extract(url, '^[^/]*//([^/?#:]*)', 1)) AS host, DATE '{OBSERVED}' + CAST(page_id % 10 AS INTEGER) AS day FROM pages)"
+CERTS_SQL = f"""{HOSTS_SQL}, ce AS (SELECT event_id AS i, CASE WHEN event_id % 50 > 1 THEN event_id // 2 END AS serial, CASE WHEN event_id % 5 > 0 THEN 'CA' || event_id % 5 END AS issuer, CASE WHEN event_id % 8 = 7 THEN host ELSE 'other.example' END AS common_name,
+  CASE event_id % 4 WHEN 0 THEN ' WWW.' || host || chr(10) || host || ' ' WHEN 1 THEN '*.' || regexp_replace(host, '^[^.]*[.]', '') WHEN 2 THEN '*.' || host END AS names, CASE WHEN event_id % 11 > 0 THEN ts END AS not_before, ts + INTERVAL 90 DAY AS not_after
+  FROM events JOIN oh ON page_id = (event_id // 2) % (SELECT max(page_id) + 1 FROM oh)),
+ cn AS (SELECT *, list_distinct(list_transform(string_split_regex(coalesce(names, ''), '\\s+') || [common_name], lambda n: lower(trim(n)))) AS every FROM ce WHERE not_before IS NOT NULL),
+ cj AS (SELECT oh.page_id, oh.host, oh.day, cn.*, CASE WHEN list_contains(every, oh.host) THEN 'exact' ELSE 'wildcard' END AS covers FROM oh JOIN cn ON not_before < day + INTERVAL 1 DAY
+   AND (list_contains(every, oh.host) OR (len(string_split(oh.host, '.')) >= 3 AND list_contains(every, '*.' || regexp_replace(oh.host, '^[^.]*[.]', ''))))),
+ cu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, coalesce(serial::VARCHAR, coalesce(issuer, '') || '|' || common_name || '|' || coalesce(names, '') || '|' || not_before) ORDER BY covers, not_before, coalesce(names, '')) AS k FROM cj) WHERE k = 1),
+ cs AS (SELECT page_id, count(*) AS n_before, count(*) FILTER (covers = 'exact') AS n_exact, count(*) FILTER (covers = 'wildcard') AS n_wildcard, min(not_before) AS first_not_before,
+   list((serial, issuer, names, not_before, not_after, covers) ORDER BY not_before DESC, serial DESC NULLS LAST) AS l FROM cu GROUP BY page_id)"""
+
+
 @query(
-    r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[^/]*//([^/?#:]*)', 1)) AS host FROM pages),
- c AS (SELECT page_id, host, CASE page_id % 3 WHEN 0 THEN 'host' WHEN 1 THEN 'platform_wildcard' ELSE 'own_wildcard' END AS scope, 1 + page_id % 5 AS n, DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER) AS first, DATE '2024-05-01' AS day FROM p)
- SELECT page_id, 'cert_scope=' || scope || ' (' || CASE scope WHEN 'host' THEN 'a certificate names this exact host' WHEN 'platform_wildcard' THEN 'only a wildcard certificate of the hosting platform covers this host' ELSE 'only a wildcard certificate of a parent domain covers this host' END
- || '); platform_hosted=' || CASE WHEN scope = 'platform_wildcard' THEN 'true (on ' || array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') || ')' ELSE 'false (a registered domain of its own)' END || '; host=' || host || '; certificates=' || n || ' (exact=' || CASE WHEN scope = 'host' THEN n ELSE 0 END
- || ', wildcard=' || CASE WHEN scope = 'host' THEN 0 ELSE n END || '); valid_from=' || first || ' (' || date_diff('day', first, day) || ' days before observation); latest_issuer=' || coalesce(CASE WHEN page_id % 4 > 0 THEN 'CA' || page_id % 4 END, '') AS certificate,
- 'domain=' || array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') || '; registered=' || first || ' (' || date_diff('day', first, day) || ' days before observation); registrar=' || coalesce(CASE WHEN page_id % 4 > 0 THEN 'CA' || page_id % 4 END, '') || '; expiration=' AS registration FROM c"""
+    rf"""WITH {CERTS_SQL} SELECT oh.page_id, oh.host, coalesce(n_before, 0) AS n_before, coalesce(n_exact, 0) AS n_exact, coalesce(n_wildcard, 0) AS n_wildcard, first_not_before, l[1][6] AS latest_covers, len(l[:50]) AS listed,
+ sha256(array_to_string(list_reverse(list_transform(l[:50], lambda x: coalesce(x[1]::VARCHAR, '-') || ':' || x[6])), ',')) AS listed_sha256, CASE WHEN n_before IS NULL THEN 'no_covering_cert_valid_before_observation' END AS reason FROM oh LEFT JOIN cs ON cs.page_id = oh.page_id"""
+)
+def join14_url11_covering_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host with the certificates that cover it and began by its day: counts by kind, the first, and the fifty latest."""
+    s = CT.summary(observed_hosts(spark, sf_dir), certificates(spark, sf_dir), "page_id")
+    each = F.transform("certificates", lambda c: F.concat(F.coalesce(c["serial"].cast("string"), F.lit("-")), F.lit(":"), c["covers"]))
+    return s.select(
+        "page_id", "host", "n_before", "n_exact", "n_wildcard", "first_not_before", F.col("last.covers").alias("latest_covers"),
+        F.when(F.col("n_before") > 0, F.size("certificates").cast("long")).alias("listed"), F.sha2(F.array_join(each, ","), 256).alias("listed_sha256"), "reason",
+    )
+
+
+@query(
+    rf"""WITH {CERTS_SQL}, c AS (SELECT oh.*, cs.*, l[1] AS z, CASE WHEN regexp_replace(host, '^.*?([^.]+[.][^.]+)$', '\1') IN ('example.net', 'example.org') AND len(string_split(host, '.')) >= 3 THEN regexp_replace(host, '^.*?([^.]+[.][^.]+)$', '\1') END AS plat FROM oh LEFT JOIN cs ON cs.page_id = oh.page_id),
+ d AS (SELECT *, CASE WHEN n_exact > 0 THEN 'host' WHEN n_before > 0 AND coalesce(regexp_replace(host, '^[^.]*[.]', '') = plat, false) THEN 'platform_wildcard' WHEN n_before > 0 THEN 'own_wildcard' END AS scope FROM c)
+ SELECT page_id, CASE WHEN n_before > 0 THEN 'cert_scope=' || scope || ' (' || CASE scope WHEN 'host' THEN 'a certificate names this exact host' WHEN 'platform_wildcard' THEN 'only the hosting platform''s own wildcard certificate covers this host' ELSE 'only a wildcard certificate of the host''s parent domain covers this host' END
+ || '); platform_hosted=' || CASE WHEN plat IS NOT NULL THEN 'true (host is on the shared hosting platform ' || plat || ')' ELSE 'false (host is its own registered domain, not a shared hosting platform)' END || '; host=' || host
+ || '; certs_covering_host_valid_on_or_before_observation=' || n_before || ' (exact_name=' || n_exact || ', wildcard=' || n_wildcard || '); first_covering_cert_valid_from=' || first_not_before::DATE || ' (' || date_diff('day', first_not_before::DATE, day)
+ || ' days before observation); latest_cert_covers=' || z[6] || '; latest_cert_issuer=' || coalesce(z[2], 'None') || '; latest_not_before=' || z[4]::DATE || '; latest_not_after=' || z[5]::DATE || '; latest_names=' || left(trim(regexp_replace(coalesce(z[3], ''), '\s+', ' ', 'g')), 300) END AS certificate,
+ CASE WHEN page_id % 4 > 0 THEN 'domain=' || regexp_replace(host, '^.*?([^.]+[.][^.]+)$', '\1') || '; registered=' || (day - CAST(page_id % 90 AS INTEGER)) || ' (' || page_id % 90 || ' days before observation); registrar=' || CASE page_id % 4 WHEN 1 THEN 'None' ELSE 'R' || page_id % 4 END || '; expiration=' || CASE page_id % 4 WHEN 2 THEN '' ELSE (day + 30)::VARCHAR END END AS registration FROM d"""
 )
 def crt1_certificate_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Certificate and registration records as one line of ``key=value`` pieces each, with their meaning in brackets."""
-    n = F.col("page_id")
-    host = urls.host_of(F.col("url"))
-    scope = F.when(n % 3 == 0, "host").when(n % 3 == 1, "platform_wildcard").otherwise("own_wildcard")
-    first = F.date_add(F.lit("2024-01-01").cast("date"), (n % 90).cast("int"))
-    issuer = F.when(n % 4 > 0, F.concat(F.lit("CA"), n % 4))
-    c = read_table(spark, sf_dir, "pages").select("page_id", host.alias("host"), scope.alias("scope"), (1 + n % 5).alias("n"), first.alias("first"), issuer.alias("issuer"))
-    domain = F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".")
-    day = F.lit("2024-05-01").cast("date")
-    exact = F.when(F.col("scope") == "host", F.col("n")).otherwise(0)
-    cert = S.certificate_summary(F.col("scope"), domain, F.col("host"), F.col("n"), exact, F.col("first"), day, F.col("issuer"))
-    return c.select("page_id", cert.alias("certificate"), S.registration_summary(domain, F.col("first"), day, F.col("issuer"), F.lit(None).cast("date")).alias("registration"))
+    """The certificates that cover a page's host, and its registration, as one line of ``key=value`` pieces each; null where there is none."""
+    s = CT.summary(observed_hosts(spark, sf_dir), certificates(spark, sf_dir), "page_id")
+    domain, n = F.array_join(F.slice(F.split("host", r"\."), -2, 2), "."), F.col("page_id")
+    platform = F.when(domain.isin(*PLATFORMS) & (F.size(F.split("host", r"\.")) >= 3), domain)
+    row = {c: F.col(c) for c in ("host", "day", "n_before", "n_exact", "n_wildcard", "first_not_before")}
+    text = S.certificate_summary(CT.scope(F.col("n_exact"), F.col("n_before"), F.col("host"), platform), platform, row, F.col("last"))
+    registered = F.when(n % 4 > 0, F.date_sub("day", (n % 90).cast("int")))
+    registrar, expires = F.when(n % 4 > 1, F.concat(F.lit("R"), n % 4)), F.when(n % 4 != 2, F.date_add("day", 30))
+    return s.select("page_id", text.alias("certificate"), S.registration_summary(domain, registered, F.col("day"), registrar, expires).alias("registration"))
 
 
 OBJECT_TEXT = "CASE WHEN conv_id % 3 = 0 THEN coalesce(text, '') || ' see https://a.example.com/x?q=1) and http://b.example.net/y' WHEN conv_id % 3 = 1 THEN coalesce(text, '') || ' http://c.example.org' ELSE text END"
@@ -408,13 +460,14 @@ def jsn4_mth4_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[^/]*//([^/?#:]*)', 1)) AS host FROM pages), q AS (SELECT *, regexp_replace(host, '^[^.]*[.]', '') AS parent FROM p),
- n AS (SELECT *, CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN '*.' || parent WHEN 2 THEN '*.' || host ELSE '*.example.com' END AS name FROM q), k AS (SELECT *, CASE WHEN name = host THEN 'exact' WHEN name = '*.' || parent THEN 'wildcard' END AS kind FROM n)
+    r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'shop.' ELSE '' END || lower(regexp_extract(url, '^[^/]*//([^/?#:]*)', 1)) AS host FROM pages), q AS (SELECT *, regexp_replace(host, '^[^.]*[.]', '') AS parent FROM p),
+ n AS (SELECT *, CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN '*.' || parent WHEN 2 THEN '*.' || host ELSE '*.example.com' END AS name FROM q), k AS (SELECT *, CASE WHEN name = host THEN 'exact' WHEN name = '*.' || parent AND len(string_split(host, '.')) >= 3 THEN 'wildcard' END AS kind FROM n)
  SELECT page_id, name, page_id % 7 AS n, kind, CASE WHEN kind = 'exact' THEN 'host' WHEN kind = 'wildcard' AND name = '*.example.net' THEN 'platform_wildcard' WHEN kind = 'wildcard' THEN 'own_wildcard' END AS scope FROM k"""
 )
 def url11_url12_jsn5_certificate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names out of ``key=value`` notes, how they cover the page's host, and the scope of that."""
-    k, host = F.col("page_id"), urls.host_of(F.col("url"))
+    k = F.col("page_id")
+    host = F.concat(F.when(k % 5 == 0, "shop.").otherwise(""), urls.host_of(F.col("url")))
     name = F.when(k % 4 == 0, host).when(k % 4 == 1, F.concat(F.lit("*."), F.regexp_replace(host, r"^[^.]*\.", ""))).when(k % 4 == 2, F.concat(F.lit("*."), host)).otherwise("*.example.com")
     note = F.concat(F.lit("name="), name, F.lit(" ; n="), (k % 7).cast("string"))
     p = read_table(spark, sf_dir, "pages").select("page_id", host.alias("host"), replies.notes(note).alias("m"))
