@@ -85,36 +85,9 @@ def feature_histogram(findings: DataFrame) -> DataFrame:
     return c.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("histogram"))
 
 
-def gate_features(findings: DataFrame, fields: int) -> DataFrame:
-    """AGG21: coverage, agreement, sufficiency, conflict and solidity per case."""
-    sides = [F.countDistinct(F.when(F.col("direction") == s, F.col("field"))) for s in SIDES]
-    g = findings.groupBy("case_id").agg(
-        F.countDistinct("field").alias("seen"), *[x.alias(s) for x, s in zip(sides, SIDES)], F.max("strength").alias("top"), F.avg("strength").alias("sol")
-    )
-    most, both = F.greatest(*SIDES), F.col("phishing") + F.col("benign")
-    return g.select(
-        "case_id", (F.col("seen") / fields).alias("cov"), F.coalesce(F.try_divide(most, both), F.lit(0.0)).alias("agr"),
-        F.least(F.lit(1.0), most / 2).alias("suf"), ((F.col("phishing") > 0) & (F.col("benign") > 0)).alias("conf"), (F.col("sol") / 3).alias("sol"),
-    )
-
-
-def gate(features: DataFrame, policies: DataFrame) -> DataFrame:
-    """EVD24: per case and policy (``policy``, ``coverage``, ``agreement``, ``least_band``; a few rows), whether the four conjuncts hold:
-    enough coverage, agreement, a band at least, no conflict."""
-    at = features.crossJoin(F.broadcast(policies))
-    stop = (F.col("cov") >= F.col("coverage")) & (F.col("agr") >= F.col("agreement")) & (F.col("band") >= F.col("least_band")) & ~F.col("conf")
-    return at.withColumn("stop", stop)
-
-
 RUNGS = ("none", "thin", "suggestive", "strong", "decisive")
 
 
-def top_band(findings: DataFrame) -> DataFrame:
-    """EVD13 for AGG21: the rung, 0 to 4, of the side with the higher band."""
-    rung = F.array_position(F.array(*map(F.lit, RUNGS)), band(F.col("top"), F.col("breadth"), F.col("opposition"))) - 1
-    return support(findings).groupBy("case_id").agg(F.max(rung).alias("band"))
-
-
 def reply_errors(replies: DataFrame) -> DataFrame:
     """FIL18: what is wrong with a stored reply: it cites what is not eligible, decides without citing, or leaves gaps or issues
     undisclosed. Rows have the arrays ``cited``, ``eligible``, ``gaps``, ``said_gaps``, ``issues`` and ``said_issues``, and ``verdict``."""

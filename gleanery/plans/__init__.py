@@ -6,6 +6,7 @@ from gleanery.plans import (  # noqa: F401  registers
     evidence_queries,
     function_queries,
     further_queries,
+    gate_queries,
     learning_queries,
     more_queries,
     page_queries,

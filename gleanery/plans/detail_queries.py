@@ -11,7 +11,7 @@ from gleanery.operators import corpus, guards, metrics, paired
 from gleanery.operators import evidence as E
 from gleanery.operators import records as R
 from gleanery.plans.corpus_queries import HOST
-from gleanery.plans.evidence_queries import BAND, FS, GROUPS, LINKS, SUPPORT
+from gleanery.plans.evidence_queries import FS, LINKS, SUPPORT
 from gleanery.plans.page_queries import site
 from gleanery.plans.registry import query, rounded
 from gleanery.plans.rule_queries import RECORDS, all_records
@@ -448,17 +448,6 @@ def evd7_ready_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("case_id", F.size("a").cast("long").alias("applicable"), F.size("r").cast("long").alias("ready"), F.try_divide(F.size("r"), F.size("a")).alias("availability")))
 
 
-@query(
-    f"""{FS}, i AS (SELECT case_id, pos AS round, agent, ref FROM f WHERE strength >= 2), g AS (SELECT case_id, agent, min(ref) AS first FROM i GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY first) AS k FROM g) SELECT case_id, string_agg(agent, ',' ORDER BY first) AS targets FROM t WHERE k <= 2 GROUP BY case_id"""
-)
-def evd23_round_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two distinct agents that a case's actionable issues name, in the order of the issues."""
-    issues = findings(spark, sf_dir).where("strength >= 2").groupBy("case_id", "agent").agg(F.min("ref").alias("first"))
-    k = F.row_number().over(Window.partitionBy("case_id").orderBy("first"))
-    t = issues.withColumn("k", k).where("k <= 2").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("first", "agent"))).alias("t"))
-    return t.select("case_id", F.array_join(F.col("t.agent"), ",").alias("targets"))
-
-
 @query(
     f"""{FS}, c AS (SELECT case_id, list(DISTINCT field) AS readable FROM f GROUP BY case_id), a(agent, needs) AS (VALUES ('url', ['f0', 'f1']), ('content', ['f2', 'f3', 'f4']), ('network', ['f5', 'f6'])),
  k AS (SELECT case_id, any_value(readable) AS readable, count(*) FILTER (list_has_any(needs, readable)) AS analysable, count(*) FILTER (list_has_all(readable, needs)) AS complete, string_agg(agent, ',' ORDER BY agent) FILTER (NOT list_has_any(needs, readable)) AS gaps FROM c, a GROUP BY case_id)
@@ -471,28 +460,6 @@ def evd32_coverage_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.coverage_ceiling(g, {"url": ["f0", "f1"], "content": ["f2", "f3", "f4"], "network": ["f5", "f6"]}, least=2)
 
 
-DISCOUNTED = f"{GROUPS}, fd AS (SELECT f.* FROM f ANTI JOIN dis ON f.case_id = dis.case_id AND f.ref = dis.ref)"
-
-
-@query(
-    f"""{FS}, {DISCOUNTED}, q AS (SELECT case_id, count(DISTINCT field) AS seen, count(DISTINCT field) FILTER (direction = 'phishing') AS p, count(DISTINCT field) FILTER (direction = 'benign') AS b, avg(strength) AS st FROM fd GROUP BY case_id),
- o AS (SELECT case_id, direction AS side, count(DISTINCT field) AS breadth, max(strength) AS top FROM fd WHERE direction <> 'neutral' GROUP BY ALL), a AS (SELECT case_id, CASE direction WHEN 'phishing' THEN 'benign' ELSE 'phishing' END AS side, field, max(strength) AS most FROM fd WHERE direction <> 'neutral' GROUP BY ALL),
- s AS (SELECT o.*, (SELECT count(*) FROM a WHERE a.case_id = o.case_id AND a.side = o.side AND most >= top) AS opposition FROM o), n AS (SELECT case_id, max(CASE {BAND} WHEN 'thin' THEN 1 WHEN 'suggestive' THEN 2 WHEN 'strong' THEN 3 WHEN 'decisive' THEN 4 ELSE 0 END) AS band FROM s GROUP BY case_id),
- gt AS (SELECT q.case_id, seen / 9 AS cov, coalesce(greatest(p, b) / nullif(p + b, 0), 0) AS agr, least(1, greatest(p, b) / 2) AS suf, p > 0 AND b > 0 AS conf, coalesce(band, 0) AS band, st / 3 AS sol FROM q LEFT JOIN n ON q.case_id = n.case_id),
- po(policy, c, g, k) AS (VALUES ('strict', 0.5, 0.8, 3), ('usual', 0.4, 0.6, 2), ('loose', 0.2, 0.5, 1))
- SELECT case_id, policy, round(cov, 6) AS cov, round(agr, 6) AS agr, round(suf, 6) AS suf, conf, band, round(sol, 6) AS sol, cov >= c AND agr >= g AND band >= k AND NOT conf AS stop FROM gt, po"""
-)
-def agg21_evd24_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate features over the findings that are not discounted, and three policies' verdicts on them."""
-    f = findings(spark, sf_dir)
-    left = f.join(E.discounted(E.shared_groups(f, "artifact")), ["case_id", "ref"], "left_anti")
-    g = E.gate_features(left, 9).join(E.top_band(left), "case_id", "left").fillna(0, ["band"])
-    rows = [("strict", 0.5, 0.8, 3), ("usual", 0.4, 0.6, 2), ("loose", 0.2, 0.5, 1)]
-    items = [F.struct(F.lit(p).alias("policy"), F.lit(c).alias("coverage"), F.lit(a).alias("agreement"), F.lit(k).alias("least_band")) for p, c, a, k in rows]
-    policies = spark.range(1).select(F.explode(F.array(*items)).alias("p")).select("p.*")
-    return rounded(E.gate(g, policies).select("case_id", "policy", "cov", "agr", "suf", "conf", "band", "sol", "stop"))
-
-
 REPLY = """rp AS (SELECT case_id, CASE WHEN count(DISTINCT field) FILTER (direction = 'phishing') > count(DISTINCT field) FILTER (direction = 'benign') THEN 'phishing' WHEN count(DISTINCT field) FILTER (direction = 'benign') > count(DISTINCT field) FILTER (direction = 'phishing') THEN 'benign' ELSE 'neutral' END AS verdict,
    coalesce(list(ref) FILTER (strength = 3 AND case_id % 4 > 0), []) AS cited, coalesce(list(ref) FILTER (direction <> 'neutral'), []) AS eligible, list_filter(['f0', 'f1', 'f2'], lambda x: NOT list_contains(list(field), x)) AS gaps, count(DISTINCT direction) FILTER (direction <> 'neutral') = 2 AS conflict FROM f GROUP BY case_id),
  er AS (SELECT case_id, list_filter([CASE WHEN NOT list_has_all(eligible, cited) THEN 'cites outside' END, CASE WHEN verdict <> 'neutral' AND len(cited) = 0 THEN 'cites nothing' END, CASE WHEN case_id % 6 = 0 AND len(gaps) > 0 THEN 'gap not disclosed' END,

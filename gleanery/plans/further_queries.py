@@ -114,18 +114,6 @@ def mld10_mld13_feature_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-@query()
-def mld15_gate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A logistic gate on six evidence features, fitted on the cases whose hash is even and applied to the others."""
-    f = findings(spark, sf_dir)
-    g, y = evidence.gate_features(f, 9), evidence.preliminary(f).select("case_id", (F.col("verdict") != "neutral").cast("double").alias("y"))
-    top = f.groupBy("case_id").agg((F.max("strength") / 3).alias("top"))
-    df = g.withColumn("conf", F.col("conf").cast("double")).join(top, "case_id").join(y, "case_id")
-    df = learning.assemble(materialize(df, "gate"), ["cov", "agr", "suf", "conf", "top", "sol"])
-    even = F.conv(F.substring(F.md5(F.col("case_id").cast("string")), 1, 1), 16, 10).cast("int") % 2 == 0
-    return learning.probability(learning.logistic(df.where(even), 0.01), df.where(~even)).select("case_id", "y", F.round("p", 3).alias("p"))
-
-
 #: As many as the reference draws.
 RESAMPLES = 2000
 

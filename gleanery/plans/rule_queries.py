@@ -118,7 +118,8 @@ def fil15_evd12_record_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("case_id", "agent", "status", "verdict", F.array_join("failed", ",").alias("failed"))
 
 
-ISSUES = """rf AS (SELECT a.case_id, a.agent, list_sort(flatten(list(b.refs))) AS others FROM rc a JOIN rc b ON a.case_id = b.case_id AND a.agent <> b.agent AND b.st = 'ran' GROUP BY ALL),
+ISSUES = """vr AS (SELECT case_id, agent, unnest(refs) AS ref FROM rc WHERE st = 'ran'), vs AS (SELECT case_id, list((agent, ref) ORDER BY ref) AS every FROM vr GROUP BY case_id),
+ rf AS (SELECT rc.case_id, rc.agent, list_transform(list_filter(every, lambda x: x[1] <> rc.agent), lambda x: x[2]) AS others FROM rc JOIN vs ON vs.case_id = rc.case_id),
  iss AS (SELECT rc.case_id, rc.agent, CASE st WHEN 'not_dispatched' THEN 'selection' ELSE 'coverage' END AS kind, st AS status,
    CASE st WHEN 'no_data' THEN list_sort(fields) WHEN 'not_dispatched' THEN [] ELSE list_sort(list_intersect(fields, obtained)) END AS affected, CASE WHEN st = 'skipped' THEN [] ELSE coalesce(others, []) END AS refs
    FROM rc LEFT JOIN rf ON rf.case_id = rc.case_id AND rf.agent = rc.agent WHERE st IN ('no_data', 'error', 'not_dispatched') OR (st = 'skipped' AND list_has_any(fields, obtained)))"""
