@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import pages as P
-from gleanery.functions import structure, texts, urls
+from gleanery.functions import numbers, structure, texts, urls
 from gleanery.operators import brands, similarity, triggers
 from gleanery.operators import evidence as E
+from gleanery.operators.certificates import summary as certificate_summaries
 from gleanery.plans.corpus_queries import HOST, _suffixes
 from gleanery.plans.evidence_queries import SUPPORT
 from gleanery.plans.registry import query, rounded
+from gleanery.plans.rule_queries import CERTS_SQL, certificates, observed_hosts
 from gleanery.plans.tables import FINDINGS_SQL, findings
 from gleanery.sources.tables import read_table
 
@@ -321,38 +323,66 @@ def evd6_populated_vs_empty_trigger(spark: SparkSession, sf_dir: str) -> DataFra
 
 SIDES = ("phishing", "benign")
 CELLS = [(f"f{i}", side, k) for i in range(6) for side in SIDES for k in (1, 2, 3)]
-PAGE_COLUMNS = ("log_length", "digits", "host_dots", "is_address", "has_at", "punycode", "forms", "fields", "passwords", "iframes", "scripts", "refreshes", "text_chars", "title_chars")
+PAGE_COLUMNS = (
+    "anchors_own", "anchors_external", "anchors_null", "form_external", "resources_external", "has_certificates", "log_certificates", "log_certificate_days",
+    "log_length", "digits", "host_dots", "is_address", "has_at", "punycode",
+)
+EVIDENCE_COLUMNS = [f"{side}_{x}" for side in SIDES for x in ("breadth", "top", "opposition")] + ["issues", "gaps"]
+
+
+def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 14 columns of a page: shares of its links, whether a form leads elsewhere, its certificates, and its url."""
+    w = web_pages(spark, sf_dir)
+    d = htm8_url8_link_destinations(spark, sf_dir).withColumn("all", F.col("null") + F.col("mailto") + F.col("same") + F.col("external"))
+    of = lambda kinds, c: F.sum(F.when(F.col("kind").isin(*kinds), F.col(c)))
+    share = lambda kinds, c: F.coalesce(F.try_divide(of(kinds, c).cast("double"), of(kinds, "all").cast("double")), F.lit(0.0))
+    a, r = ("a",), ("iframe", "img")
+    links = d.groupBy("page_id").agg(
+        share(a, "same").alias("anchors_own"), share(a, "external").alias("anchors_external"), share(a, "null").alias("anchors_null"),
+        (F.coalesce(of(("form",), "external"), F.lit(0)) > 0).cast("long").alias("form_external"), share(r, "external").alias("resources_external"),
+    )
+    s = certificate_summaries(observed_hosts(spark, sf_dir), certificates(spark, sf_dir), "page_id")
+    days = F.datediff("day", F.col("first_not_before").cast("date"))
+    ct = s.select("page_id", (F.col("n_before") > 0).cast("long").alias("has_certificates"), F.log1p("n_before").alias("log_certificates"), F.log1p(F.coalesce(days, F.lit(0))).alias("log_certificate_days"))
+    url = {n: x.cast("double" if n == "log_length" else "long").alias(n) for n, x in urls.lexical_features(F.col("url")).items()}
+    shares = ["anchors_own", "anchors_external", "anchors_null", "form_external", "resources_external"]
+    return w.select("page_id", *url.values()).join(links, "page_id", "left").fillna(0, shares).join(ct, "page_id")
 
 
 @query(
-    rf"""WITH {WEB}, {FINDINGS_SQL}, {SUPPORT}, c AS (SELECT case_id, 9 - count(DISTINCT field) AS gaps, (count(DISTINCT direction) FILTER (direction <> 'neutral') = 2)::INT AS issues, avg(strength) / 3 AS judge_score, (count(*) FILTER (direction <> 'neutral') > 0)::INT AS judged, """
+    rf"""WITH {WEB}, {FINDINGS_SQL}, {SUPPORT}, {CERTS_SQL}, c AS (SELECT case_id, 9 - count(DISTINCT field) AS gaps, (count(DISTINCT direction) FILTER (direction <> 'neutral') = 2)::INT AS issues, CASE WHEN count(*) FILTER (direction <> 'neutral') > 0 THEN avg(strength) / 3 END AS p, """
     + ", ".join(f"count(*) FILTER (field = '{f}' AND direction = '{d}' AND strength = {k}) AS {f}_{d}_{k}" for f, d, k in CELLS)
-    + rf""" FROM f GROUP BY case_id), e AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS x FROM w), t AS (SELECT page_id, lower(regexp_extract(x, '^<([a-zA-Z0-9]+)', 1)) AS tag, lower(x) AS x FROM e),
- g AS (SELECT page_id, count(*) FILTER (tag = 'form') AS forms, count(*) FILTER (tag = 'input') AS fields, count(*) FILTER (tag = 'input' AND x LIKE '%type=%password%') AS passwords, count(*) FILTER (tag = 'iframe') AS iframes, count(*) FILTER (tag = 'script') AS scripts, count(*) FILTER (tag = 'meta' AND x LIKE '%http-equiv="refresh"%') AS refreshes FROM t GROUP BY page_id),
- p AS (SELECT w.page_id, round(ln(1 + len(url)), 6) AS log_length, len(regexp_extract_all(url, '[0-9]')) AS digits, len(regexp_extract_all({HOST}, '\.')) AS host_dots, regexp_matches({HOST}, '^[0-9.]+$')::INT AS is_address, contains(url, '@')::INT AS has_at, contains({HOST}, 'xn--')::INT AS punycode,
-   forms, fields, passwords, iframes, scripts, refreshes, len({text_of("html")}) AS text_chars, len(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))) AS title_chars FROM w JOIN g ON w.page_id = g.page_id)
+    + rf""" FROM f GROUP BY case_id), e AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS x FROM w),
+ l AS (SELECT page_id, lower(regexp_extract(x, '^<([a-zA-Z0-9]+)', 1)) AS tag, {site(HOST)} AS own, lower(regexp_extract(x, '(?i)\b(?:href|action|src)="([^"]*)"', 1)) AS link FROM e),
+ k AS (SELECT *, {site("regexp_extract(link, '^(?:https?:)?//([^/]*)', 1)")} AS to_site FROM l WHERE tag IN ('a', 'form', 'iframe', 'img')),
+ ds AS (SELECT page_id, tag, CASE WHEN link = '' OR link LIKE '#%' OR link LIKE 'javascript:%' THEN 'null' WHEN link LIKE 'mailto:%' THEN 'mailto' WHEN link LIKE '//%' OR link LIKE 'http%' THEN CASE WHEN to_site = own THEN 'same' ELSE 'external' END ELSE 'same' END AS dest FROM k),
+ g AS (SELECT page_id, coalesce(count(*) FILTER (tag = 'a' AND dest = 'same') / nullif(count(*) FILTER (tag = 'a'), 0), 0) AS anchors_own, coalesce(count(*) FILTER (tag = 'a' AND dest = 'external') / nullif(count(*) FILTER (tag = 'a'), 0), 0) AS anchors_external,
+   coalesce(count(*) FILTER (tag = 'a' AND dest = 'null') / nullif(count(*) FILTER (tag = 'a'), 0), 0) AS anchors_null, (count(*) FILTER (tag = 'form' AND dest = 'external') > 0)::INT AS form_external,
+   coalesce(count(*) FILTER (tag IN ('iframe', 'img') AND dest = 'external') / nullif(count(*) FILTER (tag IN ('iframe', 'img')), 0), 0) AS resources_external FROM ds GROUP BY page_id),
+ p AS (SELECT w.page_id, round(coalesce(anchors_own, 0), 6) AS anchors_own, round(coalesce(anchors_external, 0), 6) AS anchors_external, round(coalesce(anchors_null, 0), 6) AS anchors_null, coalesce(form_external, 0) AS form_external, round(coalesce(resources_external, 0), 6) AS resources_external,
+   (n_before IS NOT NULL)::INT AS has_certificates, round(ln(1 + coalesce(n_before, 0)), 6) AS log_certificates, round(ln(1 + coalesce(date_diff('day', first_not_before::DATE, day), 0)), 6) AS log_certificate_days,
+   round(ln(1 + len(url)), 6) AS log_length, len(regexp_extract_all(url, '[0-9]')) AS digits, len(regexp_extract_all({HOST}, '\.')) AS host_dots, regexp_matches({HOST}, '^[0-9.]+$')::INT AS is_address, contains(url, '@')::INT AS has_at, contains({HOST}, 'xn--')::INT AS punycode
+   FROM w LEFT JOIN g ON w.page_id = g.page_id JOIN oh ON oh.page_id = w.page_id LEFT JOIN cs ON cs.page_id = w.page_id)
  SELECT c.case_id, coalesce(b.breadth, 0) AS phishing_breadth, coalesce(b.top, 0) AS phishing_top, coalesce(b.opposition, 0) AS phishing_opposition, coalesce(n.breadth, 0) AS benign_breadth, coalesce(n.top, 0) AS benign_top, coalesce(n.opposition, 0) AS benign_opposition,
- issues, gaps, {", ".join(f"{f}_{d}_{k}" for f, d, k in CELLS)}, round(judge_score, 6) AS judge_score, judged, {", ".join(PAGE_COLUMNS)}
- FROM c LEFT JOIN s b ON b.case_id = c.case_id AND b.side = 'phishing' LEFT JOIN s n ON n.case_id = c.case_id AND n.side = 'benign' JOIN p ON p.page_id = c.case_id % 50"""
+ issues, gaps, {", ".join(f"{f}_{d}_{k}" for f, d, k in CELLS)}, round(coalesce(ln(least(0.99, greatest(0.01, c.p)) / (1 - least(0.99, greatest(0.01, c.p)))), 0), 6) AS judge_logit, (c.p IS NULL)::INT AS judge_missing, {", ".join(PAGE_COLUMNS)}
+ FROM c LEFT JOIN s b ON b.case_id = c.case_id AND b.side = 'phishing' LEFT JOIN s n ON n.case_id = c.case_id AND n.side = 'benign' JOIN p ON p.page_id = c.case_id % (SELECT max(page_id) + 1 FROM w)"""
 )
 def mld1_sixty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision step's columns: 8 of evidence, 36 of field, direction and strength, 2 of the judge, 14 of the case's page."""
-    f, w = findings(spark, sf_dir), web_pages(spark, sf_dir)
+    """The decision step's columns: 8 of evidence, 36 of field, direction and strength, the judge's logit (0 without a score) and whether it
+    is missing, 14 of the case's page; cases go round all pages."""
+    f = findings(spark, sf_dir)
     support = E.support(f)
     cells = [F.count_if((F.col("field") == x) & (F.col("direction") == d) & (F.col("strength") == k)).alias(f"{x}_{d}_{k}") for x, d, k in CELLS]
     said = F.when(F.col("direction") != "neutral", F.col("direction"))
-    c = f.groupBy("case_id").agg(
-        (F.count_distinct(said) == 2).cast("long").alias("issues"), (9 - F.count_distinct("field")).alias("gaps"), *cells, (F.avg("strength") / 3).alias("judge_score"), (F.count(said) > 0).cast("long").alias("judged"),
-    )
+    score = F.when(F.count(said) > 0, F.avg("strength") / 3)
+    c = f.groupBy("case_id").agg((F.count_distinct(said) == 2).cast("long").alias("issues"), (9 - F.count_distinct("field")).alias("gaps"), *cells, score.alias("p"))
     for side in SIDES:
         c = c.join(support.where(F.col("side") == side).select("case_id", *(F.col(x).alias(f"{side}_{x}") for x in ("breadth", "top", "opposition"))), "case_id", "left")
-    c = c.fillna(0)
-    url = {n: x.cast("double" if n == "log_length" else "long").alias(n) for n, x in urls.lexical_features(F.col("url")).items()}
-    text = [F.length(P.visible_text(F.col("html"))).cast("long").alias("text_chars"), F.length(P.title(F.col("html"))).cast("long").alias("title_chars")]
-    page = w.select("page_id", *url.values(), *text).join(htm7_structural_lines(spark, sf_dir).drop("hosts"), "page_id")
-    c = c.withColumn("page_id", F.col("case_id") % 50).join(page, "page_id")
-    evidence = [f"{side}_{x}" for side in SIDES for x in ("breadth", "top", "opposition")]
-    return rounded(c.select("case_id", *evidence, "issues", "gaps", *(f"{x}_{d}_{k}" for x, d, k in CELLS), "judge_score", "judged", *PAGE_COLUMNS))
+    c = c.fillna(0, [x for x in EVIDENCE_COLUMNS if x not in ("issues", "gaps")])
+    judge = [F.coalesce(numbers.clipped_logit(F.col("p")), F.lit(0.0)).alias("judge_logit"), F.col("p").isNull().cast("long").alias("judge_missing")]
+    c = c.withColumn("page_id", F.col("case_id") % ((web_pages(spark, sf_dir).agg(F.max("page_id")).first()[0] or 0) + 1))
+    c = c.join(page_columns(spark, sf_dir), "page_id")
+    return rounded(c.select("case_id", *EVIDENCE_COLUMNS, *(f"{x}_{d}_{k}" for x, d, k in CELLS), *judge, *PAGE_COLUMNS))
 
 
 # --- nearest labelled pages --------------------------------------------------------------------------------------------
