@@ -29,6 +29,7 @@ MARKUP = (
     (5, 0, "<META content=\"0; URL='https://refresh.example.com/p'\" http-equiv=\"Refresh\">"),
     (6, 0, '<a href="https://out.example.com/">Out &amp; away</a><a href="mailto:x@y.z">m</a><a href="#">t</a><A HREF="javascript:go()">j</A>'),
     (4, 2, '<a href="//zeta.example.org/1">z</a><a href="https://alpha.example.org/">a</a><img src="//zeta.example.org/i.png"><iframe hidden src="/f"></iframe>'),
+    (8, 3, '<h2>Sign in to AT&amp;T</h2><button>ING <b>Bank</b></button><img alt="at&amp;t and the box, Your PIN"><form>Out &amp; away</form><a href="https://www.att.com/help">help</a><a href="https://sub.ing.com/">i</a>'),
     (7, 0, '<button>Casino &lt;login&gt;</button><img alt="Bets logo" src="/i.png"><input placeholder="Your PIN" type="password">'),
 )
 
@@ -225,6 +226,40 @@ def join11_brand_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.join(own, "page_id").select("page_id", "word", "own", F.array_contains("domains", F.col("own")).alias("is_own"))
 
 
+REFERENCE = (("AT&T", ("att.com", "att.net")), ("Bets", ("bets.com",)), ("ING", ("ing.com",)), ("box", ("box.com",)), ("Your PIN", ("example.com", "pin.com")), ("Bank of Out & Away", ("away.com",)), ("Out & away", ("away.com",)), ("casino", ("casino.com",)))
+REFERENCE_SQL = "rf(brand, domains) AS (VALUES " + ", ".join(f"('{b}', [{', '.join(repr(d) for d in ds)}])" for b, ds in REFERENCE) + ")"
+
+
+def _reference(spark: SparkSession) -> DataFrame:
+    """A small list of names with marks, capitals and several words."""
+    return spark.createDataFrame([(b, list(ds)) for b, ds in REFERENCE], "brand string, domains array<string>")
+
+
+@query(
+    rf"""WITH {WEB}, {REFERENCE_SQL}, a AS (SELECT page_id, url, {HOST} AS host, {site(HOST)} AS own, html, regexp_matches(html, '(?is)<input\b[^>]*\btype\s*=\s*["'']?password') AS password FROM w),
+ pl AS (SELECT page_id, place, replace(replace(replace(trim(regexp_replace(regexp_replace(x, '<[a-zA-Z/!?][^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM ({" UNION ALL ".join(
+     rf"SELECT page_id, '{t}' AS place, unnest(regexp_extract_all(html, '(?is)<{t}\b[^>]*>(.*?)</{t}>', 1)) AS x FROM w" for t in ("title", "h1", "h2", "h3", "button", "form"))} UNION ALL {" UNION ALL ".join(
+     rf"SELECT page_id, '{n}', unnest(regexp_extract_all(html, '(?is)<[a-z][^>]*?\b{n}\s*=\s*[\"'']([^\"''>]*)[\"'']', 1)) FROM w" for n in ("alt", "placeholder"))})),
+ m AS (SELECT page_id, brand, domains, list_sort(list(DISTINCT place)) AS places FROM pl, rf WHERE (len(brand) >= 4 AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9])' || regexp_escape(brand) || '($|[^A-Za-z0-9])')) OR (len(brand) < 4 AND upper(brand) = brand AND regexp_matches(text, '(^|[^A-Za-z0-9])' || regexp_escape(brand) || '($|[^A-Za-z0-9])')) GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY len(places) DESC, brand) AS place_no FROM m), e AS (SELECT page_id, own, unnest(regexp_extract_all(html, '<[aA]\s[^>]*>')) AS x FROM a),
+ l AS (SELECT page_id, own, lower(regexp_extract(x, '(?i)\bhref="([^"]*)"', 1)) AS link FROM e), k AS (SELECT page_id, CASE WHEN regexp_matches(link, '^(https?:)?//') THEN {site("regexp_extract(link, '^(?:https?:)?//([^/?#]*)', 1)")} END AS dest, own FROM l)
+ SELECT r.page_id, place_no, brand, array_to_string(places, ', ') AS places, array_to_string(list_sort(domains)[:5], ', ') AS official, own, list_contains(domains, own) AS is_own, (SELECT count(*) FROM k WHERE k.page_id = r.page_id AND dest <> k.own AND list_contains(domains, dest)) AS to_brand,
+ (SELECT count(*) FROM k WHERE k.page_id = r.page_id) AS anchors, password FROM r JOIN a ON a.page_id = r.page_id WHERE place_no <= 3"""
+)
+def join11_brand_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three names of a list that stand in most of a page's prominent places, against its own registrable name and its links."""
+    w = web_pages(spark, sf_dir).withColumn("host", urls.host_of(F.col("url")))
+    own = urls.registrable(w, "host", _suffixes(spark), "own")
+    said = P.prominent_text(w).withColumn("text", structure.decoded(F.col("text")))
+    a = P.page_elements(w).where("tag = 'a'").select("page_id", P.attribute(F.col("attributes"), "href").alias("link")).join(own.select("page_id", "url", "own"), "page_id")
+    a = urls.registrable(a.withColumn("to_host", urls.link_host(F.col("link"), F.col("url"))), "to_host", _suffixes(spark), "to_site")
+    leaves = urls.destination(F.col("link"), F.col("own"), F.col("to_site")) == "external"
+    links = a.select("page_id", F.when(leaves, F.col("to_site")).alias("to"))
+    password = F.col("html").rlike(r"(?is)<input\b[^>]*\btype\s*=\s*[\"']?password")
+    found = brands.lookup(said, "page_id", _reference(spark), own.select("page_id", "own", password.alias("password")), links)
+    return found.withColumns({"places": F.array_join("places", ", "), "official": F.array_join("official", ", ")})
+
+
 @query(
     rf"""WITH {WEB}, {BRANDS}, {PROMINENT}, s AS (SELECT page_id, {HOST} AS host, {site(HOST)} AS own, regexp_matches(html, '(?is)<input\b[^>]*type\s*=\s*"?password') AS password FROM w),
  t AS (SELECT DISTINCT page_id, unnest({WORDS}) AS word FROM q), n AS (SELECT page_id, list_contains(domains, own) AS mine FROM t JOIN b USING (word) JOIN s USING (page_id)),
