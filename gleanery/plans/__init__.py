@@ -1,6 +1,7 @@
 """Registered queries over the shared tables, and the SQL that gives the same rows."""
 
 from gleanery.plans import (  # noqa: F401  registers
+    acquisition_queries,
     corpus_queries,
     detail_queries,
     evidence_queries,
