@@ -56,6 +56,7 @@ PROSE = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What a start tag closes when it is open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: White space as HTML has it; a no-break space is a character like others.
 SPACE = re.compile(r"[ \t\n\r\f\v]{2,}|[\t\n\r\f\v]")
 
 
@@ -168,6 +169,8 @@ def parse(page: str) -> Node:
             chrome, label = label and bool(re.search("comment|repl", names.lower())), False
         if tag in ("body", "html"):
             chrome = label = False
+        if tag == "header" and stack[-1].prose and chrome and not known.keys() & {"hidden", "role"}:
+            chrome, label = False, True  # an article's own header: chrome unless it holds the heading
         if tag not in BLOCKS:
             if not chrome and not label:
                 continue
@@ -187,7 +190,7 @@ def parse(page: str) -> Node:
 
 def _settle(root: Node) -> Node:
     """Labels make chrome, but not of what holds the first heading of an article, nor of what holds every article (or else
-    every main) of the page."""
+    every main) of the page. A header inside an article is kept for any heading in it."""
     nodes = _nodes(root)
     free, open_ = {"article": False, "main": False}, {id(root)}
     for node in nodes:
@@ -199,11 +202,14 @@ def _settle(root: Node) -> Node:
     lost = next((t for t in ("article", "main") if t in some), None)
     lost = None if lost and free[lost] else lost
     holds: set[int] = set()
+    headed: set[int] = set()
     for node in reversed(nodes):  # children before parents
+        if node.tag in HEADINGS or any(isinstance(p, Node) and not p.chrome and id(p) in headed for p in node.parts):
+            headed.add(id(node))
         below = any(isinstance(p, Node) and not p.chrome and id(p) in holds for p in node.parts)
         if below or lost and node.tag == lost or node.tag == "h1" and node.prose:
             holds.add(id(node))
-        node.chrome = node.chrome or node.label and not below
+        node.chrome = node.chrome or node.label and not below and not (node.tag == "header" and id(node) in headed)
         if node.tag == "article":  # a heading speaks for what is inside its article
             holds.discard(id(node)) if lost != "article" else None
     return root

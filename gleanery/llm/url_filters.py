@@ -51,16 +51,38 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(path_of(url) == "", "/").otherwise(path_of(url)), F.coalesce(query, F.lit(""))))
 
 
+def _plain_path(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments, which take the one before them along; none lead above the root."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.array_append(kept, part))
+
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    plain = F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), plain).otherwise(path)
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """An absolute url for a link on page ``base``."""
+    """An absolute url for a link on page ``base``, without its fragment; null for schemes that name no host, as ``mailto:``. An empty link, or
+    a fragment alone, is the page itself."""
     scheme = F.substring_index(base, "://", 1)
     site = F.concat(scheme, F.lit("://"), host_of(base))
-    folder = F.regexp_extract(path_of(base), r"^(.*/)", 1)
+    path = path_of(base)
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
+    bare = F.regexp_replace(href, "#.*$", "")
+    query = F.regexp_extract(bare, r"(\?.*)$", 1)
+    asked = F.regexp_replace(bare, r"\?.*$", "")
     return (
-        F.when(href.contains("://"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, href))
-        .when(href != "", F.concat(site, F.when(folder == "", "/").otherwise(folder), href))
+        F.when(bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), bare)
+        .when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
+        .when(bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(bare == "", F.regexp_replace(base, "#.*$", ""))
+        .when(asked == "", F.concat(site, path, query))
+        .when(asked.startswith("/"), F.concat(site, _plain_path(asked), query))
+        .otherwise(F.concat(site, _plain_path(F.concat(F.when(folder == "", "/").otherwise(folder), asked)), query))
     )
 
 
