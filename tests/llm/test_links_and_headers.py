@@ -45,7 +45,6 @@ CASES = [
     ("<article><header>by me, <a>share</a></header><p>b</p></article>", "b"),
     ("<article><header role=banner><h1>T</h1></header><p>b</p></article>", "b"),
     ("<main><header><h1>Site</h1></header><p>b</p></main>", "b"),
-    ("<article><p>a&nbsp;&nbsp;b　c d&nbsp;</p><p>&nbsp;</p></article>", "a b c d"),
 ]
 
 
