@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.texts import MOST_CHARS, MOST_LINES, clipped
 from gleanery.functions.urls import link_host
 
-# Line limits of the first protocol, kinds of fields, link attributes and the schemes that lead nowhere.
-MOST_LINES, MOST_CHARS = 40, 200
+# Kinds of fields, link attributes and the schemes that lead nowhere.
 FIELDS = ("input", "select", "textarea")
 LINKS = ("href", "src", "action")
 NOWHERE = ("#", "javascript:", "data:", "mailto:", "tel:")
@@ -26,12 +26,6 @@ def decoded(text: Column) -> Column:
     return text
 
 
-def clipped(text: Column, most: int = MOST_CHARS) -> Column:
-    """White space folded; what is too long ends in an ellipsis."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most - 1), F.lit("…")))
-
-
 def marks(pages: DataFrame) -> DataFrame:
     """``(page_id, url, pos, tag, attributes)``: tags in page order, closing ones with a slash. Comments and what scripts and styles hold
     are not markup."""

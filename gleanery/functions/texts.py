@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.sql import fold_marks
@@ -21,15 +21,34 @@ def template_key(text: Column) -> Column:
     return F.substring(F.sha2(F.trim(t), 256), 1, 12)
 
 
-def lines(text: Column, most: int = 200) -> Column:
-    """TXT1: trimmed, non-empty lines, each clipped."""
-    parts = F.transform(F.split(text, "\n"), lambda x: F.substring(F.trim(x), 1, most))
-    return F.filter(parts, lambda x: x != "")
+# Lines of a text, their length, the shortest that is one, and where texts and records break.
+MOST_LINES, MOST_CHARS, SHORTEST_LINE = 40, 200, 3
+TEXT_BREAK, RECORD_BREAK = r"(?<=[.!?])\s+|\n+", r";\s*|\n+"
 
 
-def sentences(text: Column, most: int = 200) -> Column:
-    """TXT1: lines, cut after the end of each sentence, trimmed, non-empty and clipped."""
-    return lines(F.regexp_replace(text, "([.!?]) +", "$1\n"), most)
+def clipped(text: Column, most: int = MOST_CHARS) -> Column:
+    """White space folded; what is too long ends in an ellipsis."""
+    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most - 1), F.lit("…")))
+
+
+def _numbered(rows: DataFrame, key: str, most: int) -> DataFrame:
+    no = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
+    return rows.withColumn("no", no).where(F.col("no") <= most).select(key, "no", "line")
+
+
+def evidence_lines(df: DataFrame, key: str, text: str, most: int = MOST_LINES, chars: int = MOST_CHARS) -> DataFrame:
+    """TXT1, WIN17: ``(key, no, line)``: the first lines and sentences of three characters or more, clipped, each once whatever its case."""
+    parts = df.select(key, F.posexplode(F.split(text, TEXT_BREAK)).alias("pos", "part"))
+    cut = parts.where(F.length(F.trim(F.regexp_replace("part", r"\s+", " "))) >= SHORTEST_LINE).select(key, "pos", clipped(F.col("part"), chars).alias("line"))
+    first = cut.groupBy(key, F.lower("line").alias("_low")).agg(F.min(F.struct("pos", "line")).alias("x")).select(key, "x.pos", "x.line")
+    return _numbered(first, key, most)
+
+
+def record_lines(df: DataFrame, key: str, text: str, most: int = MOST_LINES, chars: int = MOST_CHARS) -> DataFrame:
+    """TXT1: ``(key, no, line)``: the pieces of a record between semicolons and line ends, clipped; empty ones are none."""
+    parts = df.select(key, F.posexplode(F.split(text, RECORD_BREAK)).alias("pos", "part"))
+    return _numbered(parts.select(key, "pos", clipped(F.col("part"), chars).alias("line")).where("line <> ''"), key, most)
 
 
 def canonical_message(text: Column) -> Column:

@@ -150,10 +150,15 @@ def cutoff_search(df: DataFrame, need_before: int, need_after: int) -> DataFrame
 
 
 def folds(df: DataFrame, group: str, k: int, seed: str) -> DataFrame:
-    """WIN14: whole groups dealt to ``k`` folds in hash order; the group table alone is ordered."""
-    g = df.select(group).distinct()
-    n = F.row_number().over(Window.orderBy(hash_order(group, seed=seed)))
-    return df.join(g.select(group, ((n - 1) % k).alias("fold")), group)
+    """WIN14: whole groups dealt to ``k`` folds in hash order. Groups are numbered inside stretches of the hash, whose sizes are counted
+    first, so no task orders all groups. A null group is in no fold."""
+    g = df.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_h", hash_order(group, seed=seed)).withColumn("_stretch", F.substring("_h", 1, 2))
+    sizes = g.groupBy("_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(sizes.select("_stretch", F.coalesce(before, F.lit(0)).alias("_start")))  # 256 rows at most
+    no = F.col("_start") + F.row_number().over(Window.partitionBy("_stretch").orderBy("_h", group)) - 1
+    dealt = g.join(starts, "_stretch").select(group, (no % k).cast("int").alias("fold"))
+    return df.join(dealt, group)
 
 
 def after_cutoff(day: Column, models: Sequence[tuple[str, str]]) -> Column:

@@ -254,3 +254,13 @@ def coverage_ceiling(cases: DataFrame, needs: dict[str, list[str]], least: int)
     gaps = F.array_join(F.array_compact(F.array(*(F.when(~x, a) for a, x in some.items()))), ",")
     n = count(some.values())
     return cases.select("case_id", n.alias("analysable"), count(whole).alias("complete"), F.size("readable").cast("long").alias("fields"), (n >= least).alias("verdict_possible"), gaps.alias("gaps"))
+
+
+def escalation_yield(states: DataFrame, case: str, round_: str) -> DataFrame:
+    """AGG34: one row: the rounds after a case's first state, those that resolved an issue, those that added a finding, and the share that did
+    either. States have the arrays ``found`` and ``opened`` (open issues)."""
+    w = Window.partitionBy(case).orderBy(round_)
+    n = states.select("found", "opened", F.lead("found").over(w).alias("found_next"), F.lead("opened").over(w).alias("open_next")).where("found_next is not null")
+    d = n.select(F.size(F.array_except("found_next", "found")).alias("added"), F.size(F.array_except("opened", "open_next")).alias("resolved"))
+    good = ((F.col("resolved") > 0) | (F.col("added") > 0)).cast("int")
+    return d.agg(F.count(F.lit(1)).alias("rounds"), F.count_if(F.col("resolved") > 0).alias("resolving"), F.count_if(F.col("added") > 0).alias("adding"), F.avg(good).alias("yield"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PHISHING, BENIGN = "phishing", "benign"
@@ -171,3 +171,17 @@ def case_roll_up(objects: DataFrame) -> DataFrame:
     """AGG39: objects of a case as one unit: work summed, insufficient if any object is."""
     sums = [F.sum(c).alias(c) for c in ("cost", "tokens", "dispatched", "eligible")]
     return objects.groupBy("case_id").agg(F.count(F.lit(1)).alias("objects"), *sums, F.bool_or("insufficient").alias("insufficient"))
+
+
+def cost_by_file(spark: SparkSession, paths: str, prices: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """AGG15: cases, tokens and cost per priced model and ledger, with totals of each model and of all. ``paths`` is a glob of ledgers, each
+    a file or folder of JSON lines; a row's ledger is what the scan says that it came from. Ledgers of failures, broken lines, parts of
+    a case and models without a price do not count. Prices are ``(model, in, out)`` a million tokens."""
+    kind = "kind string, parent_object_id string, model_id string, input_tokens long, output_tokens long"
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]*\.jsonl)(?:/[^/]*)?$", 1)
+    rows = spark.read.text(paths).select(F.from_json("value", kind).alias("e"), file.alias("file")).where("file <> '' and not contains(file, 'failures')")
+    rows = rows.where("e.kind = 'decision' and e.parent_object_id is null")
+    price = F.broadcast(spark.createDataFrame([*prices], "model string, price_in double, price_out double"))  # a fixed table
+    d = rows.select(F.col("e.model_id").alias("model"), "file", *(F.coalesce(F.col(f"e.{c}_tokens"), F.lit(0)).alias(c) for c in ("input", "output"))).join(price, "model")
+    usd = F.sum(F.col("input") * F.col("price_in") + F.col("output") * F.col("price_out")) / 1e6
+    return d.rollup("model", "file").agg(F.count(F.lit(1)).alias("n"), F.sum("input").alias("tokens_in"), F.sum("output").alias("tokens_out"), usd.alias("usd"))

@@ -23,27 +23,28 @@ from gleanery.sources.tables import read_table
 # --- texts ---------------------------------------------------------------------------------------------------------------
 
 
+CLIPPED = "CASE WHEN len(x) <= 200 THEN x ELSE left(x, 199) || '…' END"
+
+
 @query(
-    r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]) +', '\1' || chr(10), 'g'), chr(10)) AS p FROM documents), v AS (SELECT doc_id, list_filter(list_transform(p, lambda x: substr(trim(x), 1, 200)), lambda x: x <> '') AS v FROM s),
- e AS (SELECT doc_id, unnest(v) AS line, unnest(range(len(v))) AS pos FROM v), f AS (SELECT doc_id, line, min(pos) AS pos FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM f)
- SELECT doc_id, pos, i, sha256(line) AS line FROM r WHERE i <= 5"""
+    rf"""WITH s AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+') AS p FROM documents), e AS (SELECT doc_id, trim(regexp_replace(unnest(p), '\s+', ' ', 'g')) AS x, unnest(range(len(p))) AS pos FROM s),
+ c AS (SELECT doc_id, pos, {CLIPPED} AS line FROM e WHERE len(x) >= 3), f AS (SELECT doc_id, lower(line) AS low, min(pos) AS pos, arg_min(line, pos) AS line FROM c GROUP BY doc_id, low), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM f)
+ SELECT doc_id, no, sha256(line) AS line FROM r WHERE no <= 40"""
 )
 def txt1_win17_distinct_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five distinct lines or sentences of each text at their first places; the cap is the operator's."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(texts.sentences(F.col("text"))).alias("pos", "line"))
-    first = d.groupBy("doc_id", "line").agg(F.min("pos").alias("pos"))
-    i = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    return first.withColumn("i", i).where("i <= 5").select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("i").cast("long").alias("i"), F.sha2("line", 256).alias("line"))
+    """The first forty distinct lines or sentences of each text, whatever their case; the cap is the operator's."""
+    out = texts.evidence_lines(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "no", F.sha2("line", 256).alias("line"))
 
 
 @query(
-    r"""WITH t AS (SELECT page_id, 'a=1; b = two ;;c=' || page_id || '; d' AS rec FROM pages), e AS (SELECT page_id, unnest(string_split(rec, ';')) AS x, unnest(range(len(string_split(rec, ';')))) AS pos FROM t) SELECT page_id, pos, trim(x) AS piece FROM e WHERE trim(x) <> ''"""
+    rf"""WITH t AS (SELECT page_id, 'a=1; b = two ;;c=' || page_id || chr(10) || '; d' || chr(10) || chr(10) || 'a=1;' AS rec FROM pages), e AS (SELECT page_id, trim(regexp_replace(unnest(p), '\s+', ' ', 'g')) AS x, unnest(range(len(p))) AS pos FROM (SELECT page_id, string_split_regex(rec, ';\s*|\n+') AS p FROM t))
+ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS no, x AS line FROM e WHERE x <> ''"""
 )
 def txt1_record_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of ``key=value`` pieces as lines, one a piece."""
-    rec = F.concat(F.lit("a=1; b = two ;;c="), F.col("page_id"), F.lit("; d"))
-    e = read_table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(rec, ";")).alias("pos", "piece"))
-    return e.select("page_id", F.col("pos").cast("long").alias("pos"), F.trim("piece").alias("piece")).where("piece <> ''")
+    """Records of ``key=value`` pieces as lines, one a piece; they also break at line ends, and repeats stay."""
+    rec = F.concat(F.lit("a=1; b = two ;;c="), F.col("page_id"), F.lit("\n; d\n\na=1;"))
+    return texts.record_lines(read_table(spark, sf_dir, "pages").select("page_id", rec.alias("rec")), "page_id", "rec")
 
 
 OBFUSCATED = "CASE doc_id % 5 WHEN 0 THEN text || ' pаypal lоgin' WHEN 1 THEN text || ' pássword ùser ' WHEN 2 THEN text || ' a' || chr(8203) || 'b' || chr(65279) ELSE text END"
@@ -327,11 +328,25 @@ def agg4_zero_default_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.join(cost, "arm"))
 
 
-@query(f"{D}, x AS (SELECT 'm' || model % 4 AS model, 'run-' || arm AS file, tokens, latency_s FROM d) SELECT model, file, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(latency_s), 6) AS seconds FROM x GROUP BY ROLLUP (model, file)")
+PRICES = (("m0", 0.15, 0.6), ("m1", 2.5, 10.0), ("m2", 0.8, 4.0))
+
+
+@query(
+    f"""{D}, x AS (SELECT 'm' || model % 4 AS model, 'run-' || arm || '.jsonl' AS file, tokens, tokens // 2 AS made, case_id FROM d WHERE case_id % 7 > 0), pr(model, i, o) AS (VALUES {", ".join(f"('{m}', {i}, {o})" for m, i, o in PRICES)})
+ SELECT model, file, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens_in, CAST(sum(made) AS BIGINT) AS tokens_out, round(sum(tokens * i + made * o) / 1e6, 6) AS usd FROM x JOIN pr USING (model) GROUP BY ROLLUP (model, file)"""
+)
 def agg15_cost_by_model_and_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost per model and ledger file, with totals of each model and of all."""
-    d = decisions(spark, sf_dir).select(F.concat(F.lit("m"), F.col("model") % 4).alias("model"), F.concat(F.lit("run-"), "arm").alias("file"), "tokens", "latency_s")
-    return rounded(d.rollup("model", "file").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"), F.sum("latency_s").alias("seconds")))
+    """Cost per priced model and ledger file, as the scan names it, with totals of each model and of all. The ledgers are a folder of lines
+    for each run; some lines are of parts of a case, some broken, and a ledger of failures lies beside them."""
+    d, path = decisions(spark, sf_dir), new_path(spark, "ledgers")
+    part = F.when(F.col("case_id") % 7 == 0, "o1:page:1")
+    line = F.to_json(F.struct(F.lit("decision").alias("kind"), part.alias("parent_object_id"), F.concat(F.lit("m"), F.col("model") % 4).alias("model_id"), F.col("tokens").alias("input_tokens"), F.expr("tokens div 2").alias("output_tokens")))
+    lines = d.select("arm", line.alias("line"), (F.col("case_id") % 50).alias("k"))
+    for arm in ("a0", "a1", "a2"):
+        own = lines.where(F.col("arm") == arm)
+        own.select("line").unionByName(own.where("k = 1").select(F.substring("line", 1, 20).alias("line"))).write.text(f"{path}/run-{arm}.jsonl")
+    lines.where("k < 5").select("line").write.text(f"{path}/run-a0.failures.jsonl")
+    return rounded(metrics.cost_by_file(spark, f"{path}/*.jsonl", PRICES))
 
 
 @query(
@@ -362,16 +377,21 @@ def agg27_duplicate_support_share(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query(
-    f"""{FS}, r AS (SELECT case_id, capture_id, list_sort(list(DISTINCT field)) AS fields FROM f GROUP BY ALL), n AS (SELECT *, lead(fields) OVER (PARTITION BY case_id ORDER BY capture_id) AS nxt FROM r), d AS (SELECT case_id, len(list_filter(nxt, lambda x: NOT list_contains(fields, x))) AS added, len(list_filter(fields, lambda x: NOT list_contains(nxt, x))) AS resolved FROM n WHERE nxt IS NOT NULL)
- SELECT count(*) AS rounds, count(*) FILTER (resolved > 0) AS resolving, count(*) FILTER (added > 0) AS adding, round(avg((resolved > 0 OR added > 1)::INT), 6) AS yield FROM d"""
+    f"""{FS}, h AS (SELECT a.case_id, a.pos, b.field, arg_max(b.direction, b.pos) AS latest, bool_or(b.direction <> 'neutral') AS said FROM f a JOIN f b ON b.case_id = a.case_id AND b.pos <= a.pos GROUP BY ALL),
+ s AS (SELECT case_id, pos, coalesce(list(field) FILTER (said), []) AS found, coalesce(list(field) FILTER (latest = 'neutral'), []) AS opened FROM h GROUP BY ALL), n AS (SELECT *, lead(found) OVER w AS found_next, lead(opened) OVER w AS open_next FROM s WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
+ d AS (SELECT len(list_filter(found_next, lambda x: NOT list_contains(found, x))) AS added, len(list_filter(opened, lambda x: NOT list_contains(open_next, x))) AS resolved FROM n WHERE found_next IS NOT NULL)
+ SELECT count(*) AS rounds, count(*) FILTER (resolved > 0) AS resolving, count(*) FILTER (added > 0) AS adding, round(avg((resolved > 0 OR added > 0)::INT), 6) AS yield FROM d"""
 )
 def agg34_escalation_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of rounds that resolved something or added more than one."""
-    r = findings(spark, sf_dir).groupBy("case_id", "capture_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
-    n = r.withColumn("nxt", F.lead("fields").over(Window.partitionBy("case_id").orderBy("capture_id"))).where("nxt is not null")
-    d = n.select(F.size(F.array_except("nxt", "fields")).alias("added"), F.size(F.array_except("fields", "nxt")).alias("resolved"))
-    good = ((F.col("resolved") > 0) | (F.col("added") > 1)).cast("int")
-    return rounded(d.agg(F.count(F.lit(1)).alias("rounds"), F.count_if(F.col("resolved") > 0).alias("resolving"), F.count_if(F.col("added") > 0).alias("adding"), F.avg(good).alias("yield")))
+    """The share of rounds that resolved an issue or added a finding. Each finding is a round here: fields with a directional finding are what
+    was found, fields whose latest finding is neutral are open."""
+    upto = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    h = findings(spark, sf_dir).select("case_id", "pos", F.collect_list(F.struct("pos", "field", "direction")).over(upto).alias("h"))  # eight at most
+    found = F.array_distinct(F.transform(F.filter("h", lambda x: x["direction"] != "neutral"), lambda x: x["field"]))
+    fields = F.array_distinct(F.transform("h", lambda x: x["field"]))
+    is_open = lambda f: F.element_at(F.filter("h", lambda x: x["field"] == f), -1)["direction"] == "neutral"
+    states = h.select("case_id", "pos", found.alias("found"), F.filter(fields, is_open).alias("opened"))
+    return rounded(E.escalation_yield(states, "case_id", "pos"))
 
 
 @query(

@@ -3,15 +3,14 @@ fit have none; tests check them against a plain solver."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators import learning as L
+from gleanery.operators import frozen
 from gleanery.operators.corpus import folds
 from gleanery.plans.registry import query, rounded
-from gleanery.sources.shared import materialize
+from gleanery.sources.shared import materialize, new_path
 from gleanery.sources.tables import read_table
 
 FOLDS = range(5)
@@ -87,12 +86,17 @@ def mld8_mld11_mld12_calibrated_route(spark: SparkSession, sf_dir: str) -> DataF
 
 
 WEIGHTS = {"log_length": 0.5, "stars": -20.0, "pipes": -10.0, "digits": 1.0, "upper": -3.0}
+PRECISION = 0.9
 
 
-@query(f"WITH {FEATURES} SELECT doc_id, round(1 / (1 + exp(-(-2.0 + 0.5 * log_length - 20.0 * stars - 10.0 * pipes + 1.0 * digits - 3.0 * upper))), 6) AS p FROM x")
+@query(
+    f"""WITH {FEATURES}, p AS (SELECT doc_id, y, 1 / (1 + exp(-(-2.0 + 0.5 * log_length - 20.0 * stars - 10.0 * pipes + 1.0 * digits - 3.0 * upper))) AS p FROM x), g AS (SELECT p, sum(y) AS pos, count(*) AS n FROM p WHERE doc_id % 3 > 0 GROUP BY p),
+ c AS (SELECT p, sum(pos) OVER w AS tp, sum(n) OVER w AS k FROM g WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) SELECT doc_id, round(p, 6) AS p, p >= (SELECT min(p) FROM c WHERE tp >= {PRECISION} * k) - 1e-12 AS flagged FROM p"""
+)
 def mld16_frozen_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored linear model, applied without a new fit once its threshold has been found again: the score of its own midpoint."""
-    L.require_thresholds({"middle": 1 / (1 + math.exp(0.0))}, {"middle": 0.5})
-    return rounded(L.linear_apply(features(spark, sf_dir), WEIGHTS, -2.0).select("doc_id", "p"))
-
-
+    """A linear model frozen in the shared folder with the threshold of two thirds of the documents, then applied to all, once the file, the
+    training rows and the threshold that they give are found as they were."""
+    x = features(spark, sf_dir)
+    training, path = x.where("doc_id % 3 > 0").drop("source"), new_path(spark, "frozen")
+    frozen.freeze(spark, path, WEIGHTS, -2.0, training, PRECISION)
+    return rounded(frozen.apply_frozen(path, training, x).select("doc_id", "p", "flagged"))
