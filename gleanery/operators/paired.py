@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +65,9 @@ def resample(cases: DataFrame, resamples: int) -> DataFrame:
     numbered = number_rows(cases, "case_id").drop("case_id")
     columns, n = [c for c in numbered.columns if c != "no"], numbered.count()
     spark = cases.sparkSession
-    groups = spark.range(resamples, numPartitions=max(1, min(resamples, spark.sparkContext.defaultParallelism * 4)))
-    groups = groups.select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // 4))).alias("g"))
+    per = max(n - 1, 0) // 4 + 1
+    groups = spark.range(resamples * per, numPartitions=max(1, min(resamples, spark.sparkContext.defaultParallelism * 4)))
+    groups = groups.select(F.expr(f"id div {per}").alias("b"), (F.col("id") % per).alias("g"))
     parts = [F.struct((F.col("g") * 4 + i).alias("j"), F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long").alias("x")) for i in range(4)]
     draws = groups.withColumn("h", F.md5(F.concat_ws("|", "b", "g"))).select("b", F.inline(F.array(*parts))).where(F.col("j") < n)
     draws = draws.select("b", (F.col("x") % max(n, 1)).alias("no"))
@@ -74,6 +78,42 @@ def resample(cases: DataFrame, resamples: int) -> DataFrame:
     return times.join(numbered, "no").groupBy("b", *columns).agg(F.sum("k").alias("k"))
 
 
+def class_draws(classes: DataFrame, n: str, resamples: int, stream: str, rows: int = 50_000) -> DataFrame:
+    """Cases drawn with replacement, class by class: ``b``, the columns of ``classes`` but ``n``, and ``k``, how often cases of the class are in
+    resample ``b`` (0 is left out). ``classes`` has a row for each kind of case and how many there are, so a resample costs as much
+    as there are kinds, whatever the number of cases.
+
+    The draws of a resample are split over buckets of classes, and each bucket's over its classes, by multinomial counts, which
+    together have the law of single draws. Their seeds are the stream, the resample and the bucket, so reruns agree and streams are
+    independent. ``rows`` classes are held by a task, about."""
+    names = [c for c in classes.columns if c != n]
+    kept = classes.where(F.col(n) > 0)
+    buckets = max(16, -(-kept.count() // rows))
+    dealt = kept.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+    sizes = [0] * buckets
+    for r in dealt.groupBy("_bucket").agg(F.sum(n).alias("s")).collect():  # a row per bucket
+        sizes[r[0]] = int(r.s)
+    shares, total, base = [s / max(sum(sizes), 1) for s in sizes], sum(sizes), zlib.crc32(stream.encode())
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        table = table.sort_by([(c, "ascending") for c in names])
+        own = table.column(n).to_numpy()
+        own, at, of, times = own / own.sum(), [], [], []
+        for b in range(resamples):
+            mine = np.random.default_rng([base, b]).multinomial(total, shares)[bucket]
+            k = np.random.default_rng([base, b, bucket]).multinomial(mine, own)
+            hit = np.flatnonzero(k)
+            at.append(np.full(len(hit), b))
+            of.append(hit)
+            times.append(k[hit])
+        out = table.select(names).take(pa.array(np.concatenate(of)))
+        return out.append_column("b", pa.array(np.concatenate(at), pa.int64())).append_column("k", pa.array(np.concatenate(times), pa.int64()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema if f.name != n)
+    return dealt.groupBy("_bucket").applyInArrow(draw, f"{schema}, b long, k long")
+
+
 def weighted_f1(verdict: str) -> Column:
     """Forced F1 of a column of verdicts over rows that count ``k`` times."""
     bad, hit = F.col("label") == PHISHING, F.col(verdict) == PHISHING
@@ -160,3 +200,12 @@ def go_no_go(runs: DataFrame, reference: str, precision: float = 0.01, coverage:
     for t in tests.values():
         every = every & t
     return j.select("arm", (c("f1") - c("_f1")).alias("delta"), *(t.alias(n) for n, t in tests.items()), every.alias("go"))
+
+
+def rechosen_rates(draws: DataFrame, recall: float) -> DataFrame:
+    """STA2: per resample ``b`` of ``(b, label, score, k)``, the highest score at which the recall is met, and the false positive rate there."""
+    bad = F.col("label") == PHISHING
+    t = draws.groupBy("b", "score").agg(F.sum(F.when(bad, F.col("k")).otherwise(0)).alias("pos"), F.sum(F.when(~bad, F.col("k")).otherwise(0)).alias("neg"))
+    down, every = Window.partitionBy("b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("b")
+    t = t.select("b", "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
+    return t.where(F.col("tp") >= F.ceil(F.col("p") * recall - 1e-9)).groupBy("b").agg(F.max("score").alias("threshold"), F.min(F.try_divide("fp", "n")).alias("fpr"))

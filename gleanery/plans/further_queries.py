@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import pages as P
@@ -118,24 +118,12 @@ def mld10_mld13_feature_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESAMPLES = 2000
 
 
-def _times(spark: SparkSession, rows: DataFrame, resamples: int, stream: str) -> DataFrame:
-    """Hash-drawn multiplicities of numbered rows for each resample; ``stream`` keeps samples independent."""
-    n = rows.count()
-    draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("j"))
-    no = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(stream), "b", "j")), 1, 8), 16, 10).cast("long") % max(n, 1)
-    return draws.groupBy("b", no.alias("no")).agg(F.count(F.lit(1)).alias("k")).hint("merge")  # the plan takes the draws for as few as the resamples, and would broadcast them
-
-
 @query()
 def sta2_bootstrap_with_rechosen_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per resample, the false positive rate at the threshold that the resample itself gives recall 0.9. Weighted counts per
-    distinct score are what a resample's window orders."""
-    d = paired.number_rows(decisions(spark, sf_dir).where("arm = 'a0' and score is not null"), "case_id").select("no", "label", "score")
-    bad = F.col("label") == "phishing"
-    t = _times(spark, d, RESAMPLES, "a").join(d, "no").groupBy("b", "score").agg(F.sum(F.when(bad, F.col("k")).otherwise(0)).alias("pos"), F.sum(F.when(~bad, F.col("k")).otherwise(0)).alias("neg"))
-    down, every = Window.partitionBy("b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("b")
-    t = t.select("b", "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
-    return t.where("tp >= ceil(p * 0.9 - 1e-9)").groupBy("b").agg(F.max("score").alias("threshold"), F.round(F.min(F.try_divide("fp", "n")), 6).alias("fpr"))
+    """Per resample, the false positive rate at the threshold that the resample itself gives recall 0.9. Cases of one label and score
+    are drawn together; what a resample's window orders are its distinct scores."""
+    d = decisions(spark, sf_dir).where("arm = 'a0' and score is not null").groupBy("label", "score").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(paired.rechosen_rates(paired.class_draws(materialize(d, "classes"), "n", RESAMPLES, "a"), 0.9))
 
 
 @query()
@@ -144,9 +132,9 @@ def sta3_two_sample_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(spark, sf_dir).where("arm = 'a0'").withColumn("ok", (F.col("verdict") == F.col("label")).cast("double"))
     means = []
     for s in ("s0", "s1"):
-        rows = paired.number_rows(d.where(F.col("stratum") == s), "case_id").select("no", "ok")
-        t = _times(spark, rows, RESAMPLES, s).join(rows, "no").groupBy("b").agg((F.sum(F.col("k") * F.col("ok")) / F.sum("k")).alias(s))
-        means.append(t)
+        kinds = d.where(F.col("stratum") == s).groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+        t = paired.class_draws(materialize(kinds, "classes"), "n", RESAMPLES, s)
+        means.append(t.groupBy("b").agg((F.sum(F.col("k") * F.col("ok")) / F.sum("k")).alias(s)))
     return means[0].join(means[1], "b").select("b", F.round(F.col("s1") - F.col("s0"), 6).alias("delta"))
 
 
