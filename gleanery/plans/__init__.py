@@ -5,6 +5,7 @@ from gleanery.plans import (  # noqa: F401  registers
     corpus_queries,
     detail_queries,
     evidence_queries,
+    file_queries,
     function_queries,
     further_queries,
     gate_queries,
