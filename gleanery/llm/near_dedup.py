@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.texts import BASE, FOLD, SPACED, U64, blocks, hash_spans, mix, shingles, text_buffer, word_spans
-from gleanery.operators.graph import connected_components
+from gleanery.operators.graph import component_stars
 from gleanery.sources.shared import materialize
 
 COORDINATES = 64
@@ -82,16 +82,20 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def _posted(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The signatures as lists; a value carries its coordinate's number, so equal values are equal coordinates."""
+    posted = signatures(h, bounds).astype(U64) | (np.arange(COORDINATES, dtype=U64) << U64(32))
+    ends = np.arange(0, posted.size + 1, COORDINATES)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(posted.ravel()))
+
+
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 4 << 20):
             h, bounds = shingle_sets(b.column("text"), k)
             n = np.diff(bounds)
-            posted = signatures(h, bounds).astype(U64) | (np.arange(COORDINATES, dtype=U64) << U64(32))
-            ends = np.arange(0, posted.size + 1, COORDINATES)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(posted.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), pa.array(n), _signed(set_hash(h, bounds)), lists], ["doc_id", "row", "n_shingles", "class", "posted"]
+                [b.column("doc_id"), b.column("row"), pa.array(n), _signed(set_hash(h, bounds)), _posted(h, bounds)], ["doc_id", "row", "n_shingles", "class", "posted"]
             )
 
     return run
@@ -113,7 +117,8 @@ def _sets(k: int):
             h, bounds = shingle_sets(b.column("text"), k)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _signed(h))
             mine = np.asarray(b.column("class")) == set_hash(h, bounds).view(np.int64)
-            out = pa.RecordBatch.from_arrays([b.column("class"), pa.array(np.diff(bounds)), lists], ["class", "n", "members"])
+            out = [b.column("class"), pa.array(np.diff(bounds)), lists, _posted(h, bounds)]
+            out = pa.RecordBatch.from_arrays(out, ["class", "n", "members", "posted"])
             yield out.filter(pa.array(mine))
 
     return run
@@ -129,10 +134,8 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _retained(pairs: DataFrame, signed: DataFrame, matches: int) -> DataFrame:
     """The class pairs with ``matches`` collisions or more: coordinates in which their signatures have one value."""
-    named = pairs.select(F.explode(F.array("p", "q")).alias("class")).distinct()
-    posted = signed.select("class", "posted").join(named, "class", "left_semi").groupBy("class").agg(F.min("posted").alias("posted"))
+    posted = signed.groupBy("class").agg(F.min("posted").alias("posted"))
     one, two = (posted.select(F.col("class").alias(c), F.col("posted").alias(f"of_{c}")) for c in ("p", "q"))
-    # a posted value carries its coordinate's number, so equal values are equal coordinates
     counted = pairs.join(one, "p").join(two, "q").withColumn("collisions", F.size(F.array_intersect("of_p", "of_q")))
     return counted.where(F.col("collisions") >= matches).select("p", "q")
 
@@ -182,36 +185,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     shared = posted.join(shared, "key").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
     shared = shared.where(F.size("keys") >= matches)
     central = F.aggregate("keys", F.lit(0).cast("long"), lambda n, x: n + x["df"]).alias("central")
-    prefix = F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("x")
-    lists = materialize(shared.select("class", central, prefix).select(F.col("x.key").alias("key"), F.col("class").alias("q"), "central"), "lists")
+    prefix = F.slice(F.col("keys.key"), F.lit(1), F.size("keys") - matches + 1).alias("keys")
+    kept = materialize(shared.select("class", central, prefix), "lists")
+    lists = kept.select(F.explode("keys").alias("key"), F.col("class").alias("q"), "central")
 
-    picked = lists.select(F.col("q").alias("class")).distinct()
-    picked = full.join(picked, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = texts.join(picked, "doc_id").select("class", "text").mapInArrow(_sets(k), "class long, n long, members array<long>")
+    picked = full.join(kept.select("class"), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    sets = texts.join(picked, "doc_id").select("class", "text").mapInArrow(_sets(k), "class long, n long, members array<long>, posted array<long>")
     sets = materialize(sets.dropDuplicates(["class"]), "sets")
 
-    links = loose = parts = None  # confirmed links; pairs that sizes and overlaps leave open; components of the first round
+    links = loose = parts = None  # links confirmed after the first round; pairs that sizes and overlaps leave open; components of the first round
     for turn in range(MOST_ROUNDS):
         size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("q", F.struct("central", "q")).alias("p"))
         entries = materialize(lists.join(size.where("size > 1").drop("size"), "key").select("key", "p", "q"), "entries")
-        compared = materialize(_compare(entries.select("p", "q").where("p <> q").distinct(), sets), "compared")
+        # the pivot itself is one of the members compared with it, and linked
+        compared = materialize(_compare(entries.select("p", "q").distinct(), sets), "compared")
         compared = compared.withColumn("linked", _linked(percent))
-        new = compared.where("linked").select("p", "q")
-        links = new if links is None else links.unionByName(new)
+        new = compared.where("linked and p <> q").select("p", "q")
         if parts is None:
-            parts = connected_components(new, "p", "q").select(F.col("node").alias("q"), F.col("component").alias("part"))
-        own = entries.where("p = q").join(sets.select(F.col("class").alias("q"), "n"), "q")
-        own = own.select("key", "p", "q", F.col("n").alias("n_p"), F.col("n").alias("n_q"), F.col("n").alias("both"), F.lit(True).alias("linked"))
-        known = entries.join(compared.drop("extra"), ["p", "q"]).select(*own.columns).unionByName(own)
+            parts = component_stars(new, "p", "q").select(F.col("node").alias("class"), F.col("component").alias("part"))
+        else:
+            links = new if links is None else links.unionByName(new)
         # a member linked to the pivot stands in its component
-        known = known.withColumn("stand", F.when(F.col("linked"), F.col("p")).otherwise(F.col("q")))
-        known = known.join(parts.select(F.col("q").alias("stand"), "part"), "stand", "left").withColumn("part", F.coalesce("part", "stand"))
-        known = materialize(known.drop("linked", "stand"), "known")
+        judged = compared.select("p", "q", "n_q", "both", F.when(F.col("linked"), F.col("p")).otherwise(F.col("q")).alias("stand"))
+        known = entries.join(_placed(judged, parts, "stand"), ["p", "q"])
         mixed = known.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-        known = known.join(mixed, "key")
+        known = materialize(known.join(mixed, "key"), "known")
         found = _open_pairs(known, percent)
         loose = found if loose is None else loose.unionByName(found)
-        later = known.select("p", "q", "part").distinct().join(compared.select("p", "q", "n_q", "both", "extra"), ["p", "q"])
+        later = known.groupBy("p", "q").agg(F.min("part").alias("part")).join(compared.select("p", "q", "n_q", "both", "extra"), ["p", "q"])
         need = F.greatest(F.lit(1), F.ceil(F.col("n_q") * percent / 100) - F.col("both")).cast("int")
         later = later.select("p", "q", "part", need.alias("need"), "both", F.explode("extra").alias("x"))
         later = later.withColumn("key", F.xxhash64("p", "x")).drop("x")
@@ -225,12 +226,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
             break
     rest = lists.select("key", "q", "part")
     rest = rest.alias("a").join(rest.alias("b"), "key").where("a.q < b.q and a.part <> b.part").select(F.col("a.q").alias("p"), F.col("b.q").alias("q"))
-    left = materialize(loose.unionByName(rest).distinct(), "left")
-    compared = _compare(_retained(left, signed, matches), sets)
-    links = links.unionByName(compared.where(_linked(percent)).select("p", "q"))
-    parts = connected_components(links, "p", "q").select(F.col("node").alias("class"), F.col("component").alias("part"))
-
-    of = full.select("doc_id", "row", "n_shingles", "class").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    left = loose.unionByName(rest).distinct()
+    new = _compare(_retained(left, sets, matches), sets).where(_linked(percent)).select("p", "q")
+    links = new if links is None else links.unionByName(new)
+    # only what still connects components of the first round goes through rounds again
+    links = _placed(_placed(links, parts, "p").withColumnRenamed("part", "a"), parts, "q").withColumnRenamed("part", "b")
+    wider = component_stars(links, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("part"))
+
+    of = full.select("doc_id", "row", "n_shingles", "class")
+    of = _placed(_placed(of, parts, "class").withColumnRenamed("part", "class"), wider, "class")
     least = of.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     out = of.join(least, "part").select("doc_id", "row", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
     empty = signed.where("n_shingles = 0")
@@ -240,9 +244,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     return out.drop("row") if row is None else out.withColumnRenamed("row", row)
 
 
+def _placed(rows: DataFrame, parts: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``part`` in place of ``column``: the component of its class, or the class itself where ``parts`` has none."""
+    at = parts.withColumnRenamed("class", column)
+    return rows.join(at, column, "left").withColumn("part", F.coalesce("part", column)).drop(column)
+
+
 def _open_pairs(known: DataFrame, percent: int) -> DataFrame:
     """Pairs of one list and different components whose similarity may reach the threshold even if all they share is in
-    the pivot: at most the smaller overlap with it. Only sizes within the threshold's ratio are brought together."""
+    the pivot: at most the smaller overlap with it. Only sizes within the threshold's ratio are brought together. A pair comes
+    once for each list that it shares."""
     step = F.floor(F.log(F.col("n_q").cast("double")) / F.log(F.lit(100.0 / percent)))
     side = known.select("key", "q", "n_q", "both", "part", step.alias("step"))
     left = side.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
@@ -252,5 +263,4 @@ def _open_pairs(known: DataFrame, percent: int) -> DataFrame:
     # sizes of one step meet once, by order of class; those of neighbouring steps once, from the lower step
     once = (F.floor(F.log(F.col("a.n_q").cast("double")) / F.log(F.lit(100.0 / percent))) < F.col("b.step")) | (F.col("a.q") < F.col("b.q"))
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.part") != F.col("b.part")) & may & once
-    met = a.join(b, on).select(F.least("a.q", "b.q").alias("p"), F.greatest("a.q", "b.q").alias("q"))
-    return met.distinct()
+    return a.join(b, on).select(F.least("a.q", "b.q").alias("p"), F.greatest("a.q", "b.q").alias("q"))
