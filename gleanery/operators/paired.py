@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.metrics import PHISHING
+from gleanery.sources.shared import materialize
 
 
 def pair(df: DataFrame, one: str, two: str) -> DataFrame:
@@ -54,25 +55,129 @@ def _log_gamma(x: Column) -> Column:
     return series
 
 
-#: Cases that are sent to all tasks at most; more meet their draws by shuffle.
-BROADCAST_CASES = 200_000
+#: Cases whose kinds are sent to all tasks at most, four bytes each; more meet their draws by shuffle. Cases of a row that is sent.
+BROADCAST_CASES, PACKED = 8_000_000, 65_536
+#: Tasks that share the resamples. Hashes that are taken together: what they need stays in a core's cache.
+RESAMPLE_TASKS, TOGETHER = 48, 16_384
 
 
 def resample(cases: DataFrame, resamples: int) -> DataFrame:
     """Cases drawn with replacement: ``b``, the columns of ``cases`` but ``case_id``, and ``k``, how often a case with these values
     is in resample ``b``. Draw j of a resample is a quarter of the hash of b and j div 4, modulo the number of cases, which
-    are numbered by a two-level count. Draws are counted per case, and cases that are alike together, before anything else."""
-    numbered = number_rows(cases, "case_id").drop("case_id")
+    are numbered by a two-level count. Cases that are alike are of one kind; each task has the kinds of all cases by their numbers, makes
+    the draws of some resamples and counts them by kind, so no draw becomes a row."""
+    numbered = materialize(number_rows(cases, "case_id").drop("case_id"), "cases")
     columns, n = [c for c in numbered.columns if c != "no"], numbered.count()
     spark = cases.sparkSession
+    if n > BROADCAST_CASES:
+        return _joined_draws(numbered, n, resamples)
+    kinds = numbered.groupBy(*columns).agg(F.min("no").alias("_kind"))  # a kind's number is its first case's
+    alike = F.lit(True)
+    for c in columns:
+        alike = alike & F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}"))
+    of = numbered.alias("c").join(kinds.alias("k"), alike).select("no", F.col("_kind").cast("int"))
+    packed = of.groupBy(F.expr(f"no div {PACKED}").alias("start")).agg(F.array_sort(F.collect_list(F.struct("no", "_kind")))["_kind"].alias("kinds"))
+    tasks = min(resamples, RESAMPLE_TASKS)
+    shares = spark.range(tasks, numPartitions=tasks).withColumnRenamed("id", "task").crossJoin(F.broadcast(packed))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, dict[int, np.ndarray]] = {}
+        for batch in batches:
+            for task, start, kinds in zip(*(batch.column(c) for c in ("task", "start", "kinds"))):
+                parts.setdefault(task.as_py(), {})[start.as_py()] = kinds.values.to_numpy()
+        for task, blocks in parts.items():
+            names, table = np.unique(np.concatenate([blocks[i] for i in sorted(blocks)]), return_inverse=True)
+            table = table.astype(np.min_scalar_type(len(names)))
+            for b, drawn in kinds_drawn(range(task * resamples // tasks, (task + 1) * resamples // tasks), table):
+                k = np.bincount(drawn, minlength=len(names))
+                hit = np.flatnonzero(k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), b)), pa.array(names[hit].astype(np.int64)), pa.array(k[hit])], ["b", "_kind", "k"])
+
+    times = shares.mapInArrow(draw, "b long, _kind long, k long")
+    return times.join(kinds, "_kind").select("b", *columns, "k")
+
+
+def kinds_drawn(resamples: Iterable[int], table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each resample with the kinds of its draws; ``table`` has the kind of each case by its number."""
+    n = len(table)
+    groups = (n + 3) // 4
+    drawn, tails, width, quotient = np.empty((groups, 4), table.dtype), [], 0, np.empty(TOGETHER, np.uint32)
+    for b in resamples:
+        head = f"{b}|".encode()
+        if len(head) != width:
+            width, tails = len(head), list(numbers_after(len(head), groups))
+        for at, words in tails:
+            for i, x in enumerate(md5_words(head, words)):
+                q = np.floor_divide(x.byteswap(inplace=True), np.uint32(n), out=quotient[: len(x)])  # with multiplying, faster than a remainder
+                drawn[at : at + len(x), i] = table[np.subtract(x, np.multiply(q, np.uint32(n), out=q), out=x)]
+        yield b, drawn.reshape(-1)[:n]
+
+
+def numbers_after(width: int, count: int) -> Iterator[tuple[int, list]]:
+    """Numbers from 0 to below ``count`` as the ends of hashed texts whose first ``width`` bytes are the same: the first number of each
+    stretch of equal length, and the sixteen words of a block with the digits and the padding; words that all share are single numbers."""
+    low, digits = 0, 1
+    while low < count:
+        high = min(low + TOGETHER, 10**digits, count)
+        at, words = np.arange(low, high), [0] * 14 + [8 * (width + digits), 0]
+        for i in range(digits):
+            byte = width + i
+            digit = (at // 10 ** (digits - 1 - i) % 10 + 48).astype(np.uint32) << np.uint32(8 * (byte % 4))
+            words[byte // 4] = words[byte // 4] + digit
+        end = width + digits
+        words[end // 4] = words[end // 4] + np.uint32(0x80 << 8 * (end % 4))
+        yield low, words
+        low = high
+        digits += low == 10**digits
+
+
+SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def md5_words(head: bytes, words: list) -> list[np.ndarray]:
+    """The four words of the MD5 hashes of many short texts that begin with ``head``, the rest given by ``words``: one block each."""
+    words = [w + int.from_bytes(head[4 * i : 4 * i + 4], "little") if 4 * i < len(head) else w for i, w in enumerate(words)]
+    words = [w if isinstance(w, np.ndarray) else int(w) for w in words]
+    count = next(len(w) for w in words if isinstance(w, np.ndarray))
+    first = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    a, b, c, d = (np.full(count, x, np.uint32) for x in first)
+    t, u = np.empty(count, np.uint32), np.empty(count, np.uint32)
+    for i in range(64):
+        if i < 16:
+            g = i
+            np.bitwise_xor(d, np.bitwise_and(b, np.bitwise_xor(c, d, out=t), out=t), out=t)
+        elif i < 32:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(c, np.bitwise_and(d, np.bitwise_xor(b, c, out=t), out=t), out=t)
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(d, np.bitwise_xor(b, c, out=t), out=t)
+        else:
+            g = 7 * i % 16
+            np.bitwise_xor(c, np.bitwise_or(b, np.invert(d, out=t), out=t), out=t)
+        np.add(t, a, out=t)
+        if isinstance(words[g], np.ndarray):
+            np.add(np.add(t, words[g], out=t), np.uint32(SINES[i]), out=t)
+        else:
+            np.add(t, np.uint32((SINES[i] + words[g]) % 2**32), out=t)
+        np.left_shift(t, np.uint32(SHIFTS[i]), out=u)
+        np.right_shift(t, np.uint32(32 - SHIFTS[i]), out=t)
+        np.add(np.bitwise_or(t, u, out=t), b, out=a)
+        a, b, c, d = d, a, b, c
+    return [np.add(x, np.uint32(y), out=x) for x, y in zip((a, b, c, d), first)]
+
+
+def _joined_draws(numbered: DataFrame, n: int, resamples: int) -> DataFrame:
+    """The same for more cases than a task holds: each draw is a row and meets its case by shuffle."""
+    columns = [c for c in numbered.columns if c != "no"]
+    spark = numbered.sparkSession
     per = max(n - 1, 0) // 4 + 1
     groups = spark.range(resamples * per, numPartitions=max(1, min(resamples, spark.sparkContext.defaultParallelism * 4)))
     groups = groups.select(F.expr(f"id div {per}").alias("b"), (F.col("id") % per).alias("g"))
     parts = [F.struct((F.col("g") * 4 + i).alias("j"), F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long").alias("x")) for i in range(4)]
     draws = groups.withColumn("h", F.md5(F.concat_ws("|", "b", "g"))).select("b", F.inline(F.array(*parts))).where(F.col("j") < n)
     draws = draws.select("b", (F.col("x") % max(n, 1)).alias("no"))
-    if n <= BROADCAST_CASES:  # draws meet the cases where they are made, and are summed there
-        return draws.join(F.broadcast(numbered), "no").groupBy("b", *columns).agg(F.count(F.lit(1)).alias("k"))
     times = draws.groupBy("b", "no").agg(F.count(F.lit(1)).alias("k"))
     times = times.hint("merge")  # the plan takes the draws for as few as the resamples, and would broadcast them
     return times.join(numbered, "no").groupBy("b", *columns).agg(F.sum("k").alias("k"))
