@@ -35,3 +35,12 @@ def test_no_draw_becomes_a_row(spark):
     t = paired.resample(cases, 3)
     assert "Generate" not in t._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.b, r.v): r.k for r in t.collect()} == counted(spark, cases, ["v"], 3)
+
+
+def test_cases_of_several_runs_meet_their_draws_with_null_values(spark):
+    v = [F.when(F.col("id") % m > 0, F.concat(F.lit(f"v{m}"), F.col("id") % m)).alias(f"v{m}") for m in (2, 3, 5)]
+    cases = spark.range(500).select(F.col("id").alias("case_id"), *v)
+    t = paired.resample(cases, 4)
+    assert "Generate" not in t._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.b, r.v2, r.v3, r.v5): r.k for r in t.collect()} == counted(spark, cases, ["v2", "v3", "v5"], 4)
+    assert paired.resample(cases.limit(0), 4).count() == 0
