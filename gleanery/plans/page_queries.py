@@ -12,7 +12,7 @@ from gleanery.functions import pages as P
 from gleanery.functions import numbers, structure, texts, urls
 from gleanery.operators import brands, similarity, triggers
 from gleanery.operators import evidence as E
-from gleanery.operators.certificates import summary as certificate_summaries
+from gleanery.operators.certificates import counts as certificate_counts
 from gleanery.plans.corpus_queries import HOST, _suffixes
 from gleanery.plans.evidence_queries import SUPPORT
 from gleanery.plans.registry import query, rounded
@@ -376,7 +376,8 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         share(a, "same").alias("anchors_own"), share(a, "external").alias("anchors_external"), share(a, "null").alias("anchors_null"),
         (F.coalesce(of(("form",), "external"), F.lit(0)) > 0).cast("long").alias("form_external"), share(r, "external").alias("resources_external"),
     )
-    s = certificate_summaries(observed_hosts(spark, sf_dir), certificates(spark, sf_dir), "page_id")
+    hosts = observed_hosts(spark, sf_dir)
+    s = hosts.join(certificate_counts(hosts, certificates(spark, sf_dir))[0], ["host", "day"], "left").fillna(0, ["n_before"])
     days = F.datediff("day", F.col("first_not_before").cast("date"))
     ct = s.select("page_id", (F.col("n_before") > 0).cast("long").alias("has_certificates"), F.log1p("n_before").alias("log_certificates"), F.log1p(F.coalesce(days, F.lit(0))).alias("log_certificate_days"))
     url = {n: x.cast("double" if n == "log_length" else "long").alias(n) for n, x in urls.lexical_features(F.col("url")).items()}

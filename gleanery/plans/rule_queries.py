@@ -373,7 +373,7 @@ CERTS_SQL = f"""{HOSTS_SQL}, ce AS (SELECT event_id AS i, CASE WHEN event_id % 5
 )
 def join14_url11_covering_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host with the certificates that cover it and began by its day: counts by kind, the first, and the fifty latest."""
-    s = CT.summary(observed_hosts(spark, sf_dir), certificates(spark, sf_dir), "page_id")
+    s = CT.summary(observed_hosts(spark, sf_dir), certificates(spark, sf_dir), "page_id", columns=("serial", "covers"))
     each = F.transform("certificates", lambda c: F.concat(F.coalesce(c["serial"].cast("string"), F.lit("-")), F.lit(":"), c["covers"]))
     return s.select(
         "page_id", "host", "n_before", "n_exact", "n_wildcard", "first_not_before", F.col("last.covers").alias("latest_covers"),
@@ -392,7 +392,7 @@ def join14_url11_covering_certificates(spark: SparkSession, sf_dir: str) -> Data
 )
 def crt1_certificate_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The certificates that cover a page's host, and its registration, as one line of ``key=value`` pieces each; null where there is none."""
-    s = CT.summary(observed_hosts(spark, sf_dir), certificates(spark, sf_dir), "page_id")
+    s = CT.summary(observed_hosts(spark, sf_dir), certificates(spark, sf_dir), "page_id", listed=1)
     domain, n = F.array_join(F.slice(F.split("host", r"\."), -2, 2), "."), F.col("page_id")
     platform = F.when(domain.isin(*PLATFORMS) & (F.size(F.split("host", r"\.")) >= 3), domain)
     row = {c: F.col(c) for c in ("host", "day", "n_before", "n_exact", "n_wildcard", "first_not_before")}

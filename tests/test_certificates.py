@@ -81,3 +81,28 @@ def test_summary_text(spark):
         "certs_covering_host_valid_on_or_before_observation=2 (exact_name=0, wildcard=2); first_covering_cert_valid_from=2024-01-02 (8 days before observation); latest_cert_covers=wildcard; latest_cert_issuer=CA; "
         "latest_not_before=2024-01-08; latest_not_after=2024-04-07; latest_names=*.web.app"
     )
+
+
+def test_hosts_on_many_days_with_more_certificates_than_are_listed(spark):
+    rng = random.Random(7)
+    hosts, names = ["a.example.com", "b.example.com", "example.com"], ["a.example.com", "b.example.com", "example.com", "*.example.com", "other.net"]
+    certs = [cert(rng.choice([None, f"s{rng.randint(0, 90)}"]), " ".join(rng.sample(names, rng.randint(0, 3))), rng.randint(1, 14), rng.randint(0, 23), rng.choice([None, *names])) for _ in range(500)]
+    rows = [(h, dt.date(2024, 1, d)) for h in hosts for d in range(1, 15)]
+    h = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "case_id long, host string, day date")
+    c = spark.createDataFrame([(*c, "clash", 1) for c in certs], SCHEMA)
+    got = {r.case_id: r for r in certificates.summary(h, c, "case_id", listed=7).collect()}
+    for i, (host, day) in enumerate(rows):
+        want = brute(host, day, certs)
+        kinds = [v[0] for v in want.values()]
+        assert (got[i].n_before, got[i].n_exact, got[i].n_wildcard) == (len(want), kinds.count("exact"), kinds.count("wildcard")), (host, day)
+        assert got[i].first_not_before == min((v[1] for v in want.values()), default=None)
+        assert [x.not_before for x in got[i].certificates or []] == sorted(v[1] for v in want.values())[-7:]
+
+
+def test_pages_of_one_host_do_not_multiply_its_certificates(spark):
+    c = spark.createDataFrame([(*cert(f"s{i}", "a.b.com *.b.com", 1 + i % 9), "clash", 1) for i in range(40)], SCHEMA)
+    hosts = spark.createDataFrame([(i, "a.b.com", DAY) for i in range(300)], "case_id long, host string, day date")
+    n, rows, _ = certificates.counts(hosts, c)
+    assert (n.count(), rows.count()) == (1, 40)
+    s = certificates.summary(hosts, c, "case_id", columns=("serial", "covers"))
+    assert {(r.n_before, len(r.certificates), r.last.covers) for r in s.collect()} == {(40, 40, "exact")} and s.count() == 300
