@@ -106,3 +106,11 @@ def test_pages_of_one_host_do_not_multiply_its_certificates(spark):
     assert (n.count(), rows.count()) == (1, 40)
     s = certificates.summary(hosts, c, "case_id", columns=("serial", "covers"))
     assert {(r.n_before, len(r.certificates), r.last.covers) for r in s.collect()} == {(40, 40, "exact")} and s.count() == 300
+
+
+def test_listing_few_columns_looks_nothing_up(spark):
+    c = spark.createDataFrame([(*cert("s1", "a.b.com", 2), "clash", 1), (*cert("s2", "*.b.com", 3), "clash", 1)], SCHEMA)
+    hosts = spark.createDataFrame([(1, "a.b.com", DAY), (2, "a.b.com", dt.date(2024, 1, 2)), (3, "c.b.com", DAY)], "case_id long, host string, day date")
+    s = certificates.summary(hosts, c, "case_id", columns=("serial", "covers"))
+    assert {r.case_id: [tuple(x) for x in r.certificates] for r in s.where("n_before > 0").collect()} == {1: [("s1", "exact"), ("s2", "wildcard")], 2: [("s1", "exact")], 3: [("s2", "wildcard")]}
+    assert "min_by" not in s._jdf.queryExecution().optimizedPlan().toString()
