@@ -26,3 +26,22 @@ def test_many_blocks_with_copies_give_the_same_nearest(spark, monkeypatch):
         if group[q] is None or group[o] is None or group[q] != group[o]:
             want.setdefault(q, []).append((round(s, 9), o))
     assert got == {q: [(round(s, 6), o) for s, o in sorted(x, reverse=True)[:7]] for q, x in want.items()}
+
+
+def test_matrices_and_single_postings_give_the_same(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    tables = []
+    for block in (0, 1):
+        rows = [(f"p{block}{i:02d}", 1 + i % 3 if i % 7 else None, t, rng.random()) for i in range(40) for t in rng.sample(range(60), 20)]
+        key, grp, term, w = zip(*rows)
+        t = similarity.packed_block(pa.table({"block": pa.array([block] * len(rows), pa.int32()), "key": key, "grp": pa.array(grp, pa.int64()), "term": pa.array(term, pa.int64()), "w": w}))
+        tables.append({c: t[c][0] for c in t.column_names})
+    found = []
+    for dense in (0, 10**9):
+        monkeypatch.setattr(similarity, "DENSE", dense)
+        found.append([tuple(r.values()) for pair in (tables, tables[:1] * 2) for b in similarity.meeting(*pair, 5, 9) for r in b.to_pylist()])
+    assert len(found[0]) == 3 * 40 * 5 and [x[:2] for x in found[0]] == [x[:2] for x in found[1]]
+    assert [x[2] for x in found[0]] == pytest.approx([x[2] for x in found[1]])
+    assert all(q != o for q, o, _ in found[0])
