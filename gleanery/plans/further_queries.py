@@ -85,10 +85,9 @@ COSINE = r"""w AS (SELECT doc_id, doc_id // 8 AS case_id, regexp_extract_all(reg
 def gra4_evd17_similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of observations within a case, eight documents here: components of pairs whose counts of words, bigrams and runs of four
     characters have a cosine of 0.15 or more."""
-    counts = texts.semantic_terms(read_table(spark, sf_dir, "documents"), "doc_id")
-    case = F.expr("doc_id div 8")
-    inside = similarity.unit_rows(counts, "doc_id").withColumn("term", F.concat_ws("|", case, "term"))  # no pairs across cases
-    groups = connected_components(similarity.similar_pairs(inside, "doc_id", 0.15), "a", "b")
+    words = F.array_join(texts.semantic_words(F.col("text")), " ").alias("words")
+    docs = read_table(spark, sf_dir, "documents").select(F.expr("doc_id div 8").alias("case_id"), "doc_id", words)
+    groups = connected_components(similarity.similar_within(docs, "case_id", "doc_id", "words", 0.15), "a", "b")
     return groups.select(F.expr("node div 8").alias("case_id"), "node", "component")
 
 

@@ -45,3 +45,30 @@ def test_matrices_and_single_postings_give_the_same(spark, monkeypatch):
     assert len(found[0]) == 3 * 40 * 5 and [x[:2] for x in found[0]] == [x[:2] for x in found[1]]
     assert [x[2] for x in found[0]] == pytest.approx([x[2] for x in found[1]])
     assert all(q != o for q, o, _ in found[0])
+
+
+@pytest.mark.parametrize("together", [256, 5])
+def test_pairs_inside_groups(spark, monkeypatch, together):
+    monkeypatch.setattr(similarity, "TOGETHER", together)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i // 9 if i < 50 else 7, i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(60)] + [(1, 9, "w1 w2"), (None, 70, "w1"), (2, None, "w1"), (2, 71, None)]
+    texts = {}
+    for g, k, s in docs:
+        if None not in (g, k, s):
+            texts.setdefault((g, k), []).append(s)
+    count = {}
+    for at, parts in texts.items():
+        c = Counter()
+        for s in parts:
+            w = s.split()
+            c.update([("w", x) for x in w] + [("b", *x) for x in zip(w, w[1:])] + [("c", s[i : i + 4]) for i in range(len(s) - 3)])
+        count[at] = c
+    want = {}
+    for (g, a), (h, b) in combinations(sorted(count), 2):
+        x, y = count[g, a], count[h, b]
+        if g == h and x and y and (cos := sum(x[t] * y[t] for t in x) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))) >= 0.15:
+            want[a, b] = cos
+    df = spark.createDataFrame(docs, "case_id long, doc_id long, words string")
+    got = {(r.a, r.b): r.cosine for r in similarity.similar_within(df, "case_id", "doc_id", "words", 0.15).collect()}
+    assert got.keys() == want.keys() and len(got) > 20 and all(got[p] == pytest.approx(want[p]) for p in want)
