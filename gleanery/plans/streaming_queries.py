@@ -24,6 +24,14 @@ def _deliveries(rows: DataFrame, *parts: tuple[float, float, float, float]) -> l
     return [rows.where(((share >= a) & (share < b)) | ((share >= c) & (share < d))) for a, b, c, d in parts]
 
 
+def _by_time(rows: DataFrame, *parts: tuple[float, float, float, float]) -> list[DataFrame]:
+    """The same by the share of the time, whatever the order of the ids."""
+    at = F.unix_micros("ts")
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    share = (at - F.lit(first or 0)) / F.lit((last or 0) - (first or 0) + 1)
+    return [rows.where(((share >= a) & (share < b)) | ((share >= c) & (share < d))) for a, b, c, d in parts]
+
+
 @query("SELECT 'a' || (event_id % 3) AS arm, event_id // 3 % 2 AS repeat, event_id // 6 AS case_id, event_type AS verdict, ts FROM events WHERE event_type <> 'error'")
 def str1_str2_exactly_once_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of a run that was stopped twice and wrote its last ones again each time, and its first ones, long past, too: a row per arm,
@@ -58,7 +66,7 @@ def str4_recovered_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.element_at(F.array(*map(F.lit, ("transient", "failed", "ok"))), (F.floor("value") % 3 + 1).cast("int")).alias("outcome")
     rows = e.select("event_id", F.col("user_id").alias("case_id"), F.col("event_type").alias("field"), "ts", F.col("event_id").alias("attempt"), outcome)
     folder, out, state = new_path(spark, "arrivals"), new_path(spark, "runs"), new_path(spark, "runs-state")
-    for part in _deliveries(rows, (0, 0.4, 0, 0), (0.4, 0.7, 0, 0), (0.7, 1, 0, 0.3)):
+    for part in _by_time(rows, (0, 0.4, 0, 0), (0.4, 0.7, 0, 0), (0.7, 1, 0, 0.3)):
         part.write.mode("append").parquet(folder)
         runs = attempts.acquisition_runs(ledger.ledger_stream(spark, folder, rows.schema, None), DAY_MS, "1 day")
         with attempts.keyed_state(spark):

@@ -1,4 +1,4 @@
-"""STR4: the attempts at each case and field as keyed state with timers."""
+"""STR4: the attempts at each case and field as sessions, and the same rule on plain arrays."""
 
 from __future__ import annotations
 
@@ -6,22 +6,17 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = StructType([StructField(c, StringType() if c == "outcome" else LongType()) for c in ("first", "attempt", "outcome", "last", "succeeded", "n")])
-RESULT = "case_id long, field string, opened timestamp, closed timestamp, attempts long, first_outcome string, status string"
 NEVER = -(2**63)
 
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """A query that starts inside keeps its state in the store that timers need."""
+    """A query that starts inside keeps its state in the store that may outgrow memory."""
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
@@ -33,12 +28,6 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(PROVIDER, before)
 
 
-def _status(first: str, opened: int, succeeded: int) -> str:
-    if succeeded == NEVER:
-        return "failed"
-    return "recovered" if first == "transient" else "obtained"
-
-
 def merge_runs(runs: list[tuple], gap: int) -> list[tuple]:
     """Runs of attempts ``(first, attempt, outcome, last, succeeded, n)`` joined where the next begins at most ``gap`` after one's end; in
     whatever order they came. Times are microseconds."""
@@ -64,54 +53,17 @@ def runs_of(at: np.ndarray, attempt: np.ndarray, outcome: np.ndarray, gap: int)
     return runs
 
 
-class Attempts(StatefulProcessor):
-    """Keeps the open runs of a case and field; a run closes, and leaves the state, once the watermark is past its last attempt by the
-    gap. What is kept of a run does not grow with its attempts."""
-
-    def __init__(self, gap_ms: int) -> None:
-        self.gap_ms = gap_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", STATE)
-
-    def _due(self, run: tuple) -> int:
-        return run[3] // 1000 + self.gap_ms + 1
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = [tuple(r) for r in self.open.get()]
-        runs = list(before)
-        for df in rows:
-            runs += runs_of(df["at"].to_numpy(), df["attempt"].to_numpy(), df["outcome"].to_numpy(), self.gap_ms * 1000)
-        runs = merge_runs(runs, self.gap_ms * 1000)
-        self.open.put(runs)
-        had, has = {self._due(r) for r in before}, {self._due(r) for r in runs}
-        for due in had - has:
-            self.handle.deleteTimer(due)
-        for due in has - had:
-            self.handle.registerTimer(due)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        runs = [tuple(r) for r in self.open.get()]
-        done, rest = [r for r in runs if self._due(r) <= now], [r for r in runs if self._due(r) > now]
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        out = [(key[0], key[1], pd.Timestamp(r[0], unit="us"), pd.Timestamp(r[3], unit="us"), r[5], r[2], _status(r[2], r[0], r[4])) for r in done]
-        yield pd.DataFrame(out, columns=names)
-
-    def close(self) -> None:
-        pass
-
-
 def acquisition_runs(stream: DataFrame, gap_ms: int, late: str) -> DataFrame:
     """Closed runs of attempts per case and field: when they began and ended, how many, how the first one ended, and whether the field
     was ``recovered`` (a transient failure first, then success), ``obtained`` or ``failed``. Rows of the stream: ``case_id``, ``field``, ``ts``,
-    ``attempt`` (order within an instant) and ``outcome`` (``ok``, ``transient``, ``failed``). Rows behind the watermark are dropped."""
+    ``attempt`` (order within an instant) and ``outcome`` (``ok``, ``transient``, ``failed``). A run is a session of its case and field: an attempt at
+    most the gap after another belongs to the same, and it closes, and leaves the state, once the watermark is past its last attempt by the
+    gap. Rows that lie behind the watermark by the gap or more are dropped. What is kept of a run does not grow with its attempts."""
     rows = stream.where("case_id is not null and field is not null and ts is not null").withWatermark("ts", late)
-    rows = rows.select("case_id", "field", "ts", F.unix_micros("ts").alias("at"), "attempt", F.coalesce("outcome", F.lit("failed")).alias("outcome"))
-    return rows.groupBy("case_id", "field").transformWithStateInPandas(Attempts(gap_ms), RESULT, "append", "eventTime")
+    rows = rows.select("case_id", "field", "ts", "attempt", F.coalesce("outcome", F.lit("failed")).alias("outcome"))
+    runs = rows.groupBy("case_id", "field", F.session_window("ts", f"{gap_ms} milliseconds")).agg(
+        F.min("ts").alias("opened"), F.max("ts").alias("closed"), F.count(F.lit(1)).alias("attempts"),
+        F.min_by("outcome", F.struct("ts", "attempt")).alias("first_outcome"), F.bool_or(F.col("outcome") == "ok").alias("_good"),
+    )
+    status = F.when(~F.col("_good"), "failed").when(F.col("first_outcome") == "transient", "recovered").otherwise("obtained")
+    return runs.select("case_id", "field", "opened", "closed", "attempts", "first_outcome", status.alias("status"))

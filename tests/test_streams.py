@@ -124,3 +124,23 @@ def test_a_repeated_batch_counts_once_and_old_files_go(spark):
     assert not table.files.exists(table._at("version=0/bucket=1")) and table._manifest()["versions"] == {"0": 3, "1": 1}
     assert sorted(map(tuple, table.read().collect())) == [(1, 5), (2, 7), (3, 1), (5, 5)]
     assert keyed.KeyedTable(spark, new_path(spark, "none"), kind, ["k"]).read().count() == 0
+
+
+def test_attempts_are_sessions_that_touch_at_the_gap(spark):
+    folder, out, state = (new_path(spark, n) for n in ("in", "out", "state"))
+    names = "case_id long, field string, ts long, attempt long, outcome string"
+    rows = [(1, "html", 0, 1, "failed"), (1, "html", 0, 0, "transient"), (1, "html", 2 * HOUR, 2, "ok"), (1, "html", 4 * HOUR + 1, 3, "transient"), (2, "url", 30 * HOUR, 4, "ok")]
+    deliver(spark, folder, rows, names)
+    runs = attempts.acquisition_runs(ledger.ledger_stream(spark, folder, schema("case_id long, field string, ts timestamp, attempt long, outcome string"), None), 2 * HOUR * 1000, "1 hour")
+    assert "Python" not in runs._jdf.queryExecution().analyzed().toString() and "session_window" in runs._jdf.queryExecution().analyzed().toString()
+    assert follow(spark, folder, out, state) == [(1, "html", 0, 2, 3, "transient", "recovered"), (1, "html", 4, 4, 1, "transient", "failed")]
+
+
+def test_deliveries_follow_the_time_whatever_the_ids(spark):
+    from gleanery.plans.streaming_queries import _by_time
+
+    rows = spark.range(200).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 37 % 100).alias("ts"))
+    one, two, three = _by_time(rows, (0, 0.4, 0, 0), (0.4, 0.7, 0, 0), (0.7, 1, 0, 0.3))
+    assert one.agg(F.max("ts")).first()[0] < two.agg(F.min("ts")).first()[0]
+    assert (one.count(), two.count(), three.count()) == (80, 60, 120)
+    assert [x.count() for x in _by_time(rows.limit(0), (0, 1, 0, 0))] == [0]
