@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.texts import BASE, FOLD, SPACED, U64, blocks, hash_spans, mix, shingles, text_buffer, word_spans
 from gleanery.operators.graph import component_stars
-from gleanery.sources.shared import materialize
+from gleanery.sources.shared import free_shuffles, materialize, release
 
 COORDINATES = 64
 #: The chance at most that a pair at the threshold has too few equal coordinates to be compared.
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     number = F.lit(0).cast("long") if row is None else F.col(row).cast("long")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), number.alias("row"), F.col("text").cast("string").alias("text"))
     signed = texts.mapInArrow(_sign(k), "doc_id long, row long, n_shingles long, class long, posted array<long>")
-    signed = materialize(signed, "signed")
+    signed, spark = materialize(signed, "signed"), docs.sparkSession
     full = signed.where("n_shingles > 0")
 
     classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("posted").alias("posted"))
@@ -189,18 +189,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     kept = materialize(shared.select("class", central, prefix), "lists")
     lists = kept.select(F.explode("keys").alias("key"), F.col("class").alias("q"), "central")
 
-    picked = full.join(kept.select("class"), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = texts.join(picked, "doc_id").select("class", "text").mapInArrow(_sets(k), "class long, n long, members array<long>, posted array<long>")
-    sets = materialize(sets.dropDuplicates(["class"]), "sets")
+    free_shuffles(spark)  # what is shuffled and written on the way goes as soon as nothing reads it again, not when the driver happens to collect its garbage
+    named = "doc_id" if row is None else "row"
+    picked = full.join(kept.select("class"), "class").groupBy("class").agg(F.min(named).alias(named))
+    sets = texts.join(picked, named).select("class", "text").mapInArrow(_sets(k), "class long, n long, members array<long>, posted array<long>")
+    # rows that share an id may have one set; a row's own number names one row, and its set is sent nowhere
+    sets = materialize(sets.dropDuplicates(["class"]) if row is None else sets, "sets")
+    rows = materialize(signed.select("doc_id", "row", "n_shingles", "class"), "numbered")
+    release(signed)
+    free_shuffles(spark)
+    full, empty, before = rows.where("n_shingles > 0"), rows.where("n_shingles = 0"), kept
 
     links = loose = parts = None  # links confirmed after the first round; pairs that sizes and overlaps leave open; components of the first round
     for turn in range(MOST_ROUNDS):
         size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("q", F.struct("central", "q")).alias("p"))
         entries = materialize(lists.join(size.where("size > 1").drop("size"), "key").select("key", "p", "q"), "entries")
+        release(before)
+        free_shuffles(spark)
         # the pivot itself is one of the members compared with it, and linked
-        compared = materialize(_compare(entries.select("p", "q").distinct(), sets), "compared")
-        compared = compared.withColumn("linked", _linked(percent))
-        new = compared.where("linked and p <> q").select("p", "q")
+        written = materialize(_compare(entries.select("p", "q").distinct(), sets), "compared")
+        free_shuffles(spark)
+        compared = written.withColumn("linked", _linked(percent))
+        new = materialize(compared.where("linked and p <> q").select("p", "q"), "links")
         if parts is None:
             parts = component_stars(new, "p", "q").select(F.col("node").alias("class"), F.col("component").alias("part"))
         else:
@@ -210,6 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
         known = entries.join(_placed(judged, parts, "stand"), ["p", "q"])
         mixed = known.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
         known = materialize(known.join(mixed, "key"), "known")
+        release(entries)
+        free_shuffles(spark)
         found = _open_pairs(known, percent)
         loose = found if loose is None else loose.unionByName(found)
         later = known.groupBy("p", "q").agg(F.min("part").alias("part")).join(compared.select("p", "q", "n_q", "both", "extra"), ["p", "q"])
@@ -221,7 +233,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
         later = later.agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys")).where("size(keys) >= need")
         prefix = F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("need") + 1)).alias("x")
         lists = later.select(prefix, "q", "part", F.col("both").alias("central"))
-        lists = materialize(lists.select(F.col("x.key").alias("key"), "q", "part", "central"), "lists")
+        lists = before = materialize(lists.select(F.col("x.key").alias("key"), "q", "part", "central"), "lists")
+        release(written)
+        free_shuffles(spark)
         if turn + 1 >= rounds and lists.groupBy("key").count().where(F.col("count") > LONG_LIST).isEmpty():
             break
     rest = lists.select("key", "q", "part")
@@ -237,7 +251,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, matches: int
     of = _placed(_placed(of, parts, "class").withColumnRenamed("part", "class"), wider, "class")
     least = of.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     out = of.join(least, "part").select("doc_id", "row", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
-    empty = signed.where("n_shingles = 0")
     out = out.unionByName(empty.select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
     out = out.withColumn("kept", (F.col("doc_id") == F.col("component_id")) & F.col("kept"))
     out = out.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", "component_id")})
